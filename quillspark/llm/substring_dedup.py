@@ -302,15 +302,16 @@ def digests(df: DataFrame, window: int = 20) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
-p AS (
-  SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, w FROM d WHERE len(w) >= 20),
-k AS (
-  SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(w[s:s + 19], ' ') ORDER BY doc_id, s) AS nth FROM p),
+u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+r AS (
+  SELECT doc_id, i AS s, string_agg(x, ' ') OVER v AS p, count(*) OVER v AS n FROM u
+  WINDOW v AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+k AS (SELECT doc_id, s, row_number() OVER (PARTITION BY p ORDER BY doc_id, s) AS nth FROM r WHERE n = 20),
 gone AS (
   SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM k WHERE nth > 1),
 kept AS (
   SELECT u.doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n
-  FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) u ANTI JOIN gone USING (doc_id, i)
+  FROM u ANTI JOIN gone USING (doc_id, i)
   GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
