@@ -281,6 +281,16 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     return removed_windows(df, doc_id, text, window, room).mapInArrow(strip, "doc_id long, text string, n_words long, n_removed long")
 
 
+def strip_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", window: int = 20, room: int = 1 << 19) -> DataFrame:
+    """``df`` with its repeated windows taken out of the texts and ``n_chars``
+    counted anew; a document of which no word is left goes.  All columns and
+    their order stay; rows that lose nothing stay as they are."""
+    lost = substring_dedup(df, doc_id, text, window, room).where("n_removed > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), (F.col("n_removed") == F.col("n_words")).alias("_all"))
+    both = df.join(lost, F.col(doc_id) == F.col("_id"), "left").where("not coalesce(_all, false)")
+    new = {text: F.coalesce("_text", F.col(text)), n_chars: F.when(F.col("_id").isNotNull(), F.length("_text")).otherwise(F.col(n_chars))}
+    return both.select(*[new[x].cast(df.schema[x].dataType).alias(x) if x in new else F.col(x) for x in df.columns])
+
+
 def digests(df: DataFrame, window: int = 20) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
 
