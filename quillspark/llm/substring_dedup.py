@@ -53,7 +53,7 @@ def _counts(docs: DataFrame, window: int) -> tuple[np.ndarray, int]:
                 t = c.tokens(data, at, letters)
                 ok = np.flatnonzero(t.whole(window, t.text_of()))
                 for row, k in enumerate(LEVELS):
-                    have[row] += np.bincount((c.grams(t.hashes, k)[ok] % c.U(SLOTS)).astype(np.int64), minlength=SLOTS)
+                    have[row] += np.bincount((c.grams(t.hashes, min(k, window))[ok] % c.U(SLOTS)).astype(np.int64), minlength=SLOTS)
         yield pa.record_batch([pa.array(np.arange(have.size)), pa.array(have.ravel())], names=["slot", "n"])
 
     rows = docs.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 0").collect()  # at most 3 * SLOTS rows
@@ -186,7 +186,7 @@ def _repeats(docs: DataFrame, anchors: DataFrame, window: int, anchor: int, coun
                 path = c.grams(t.hashes, window)[at_]
                 by = path.copy()
                 for row, k in reversed(list(enumerate(LEVELS))):
-                    prefix = c.grams(t.hashes, k)[at_]
+                    prefix = c.grams(t.hashes, min(k, window))[at_]
                     short = rare[row][(prefix % c.U(SLOTS)).astype(np.int64)]
                     by[short] = prefix[short]
                 paths.append(path)

@@ -147,7 +147,7 @@ def _together(votes: DataFrame) -> tuple[int, np.ndarray]:
     return int(flat[-1]), flat[:-1].reshape(m, m)
 
 
-def label_model(n: int, together: np.ndarray, prior: float, rounds: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(n: int, together: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rates of firing in the positive and the negative class, and which
     voters are correlated.  A voter that never fires has equal rates."""
     m = len(together)
@@ -156,19 +156,18 @@ def label_model(n: int, together: np.ndarray, prior: float, rounds: int = 4) ->
     live = (mean > 0) & (mean < 1)
     noise = np.sqrt(np.outer(mean * (1 - mean), mean * (1 - mean)) / max(n, 1)) + 1e-12
     use = np.outer(live, live) & ~np.eye(m, dtype=bool)
-    tied = np.zeros((m, m), bool)
-    u = np.sqrt(np.maximum(0, np.where(use, cov, 0).max(1)))
-    for _ in range(rounds):
-        for _ in range(100):  # alternating least squares on the pairs in use
-            u = np.where(live, ((cov * use) @ u) / np.maximum((use * u**2).sum(1), 1e-12), 0)
-        off = np.abs(cov - np.outer(u, u)) / noise
-        limit = max(8.0, 6 * float(np.median(off[use])) if use.any() else 8.0)
-        strong = np.outer(live, live) & ~np.eye(m, dtype=bool) & (off > limit) & (np.abs(cov) > 0.25 * np.sqrt(np.outer(mean * (1 - mean), mean * (1 - mean))))
-        if (strong == tied).all() or (strong.sum(1) > m // 2).any():
-            break
-        tied, use = strong, use & ~strong
-    if u.sum() < 0:
-        u = -u
+    sure = use & (cov > 4 * noise)
+    u = np.zeros(m)
+    for i in np.flatnonzero(live):  # of every three voters each product of two is known; a median bears tied pairs
+        j, k = np.nonzero(np.triu(sure & sure[i][:, None] & sure[i][None, :]))
+        if len(j):
+            u[i] = np.sqrt(np.median(cov[i, j] * cov[i, k] / cov[j, k]))
+    sd = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
+    off = np.abs(cov - np.outer(u, u))
+    tied = use & (off > 8 * noise) & (off > 0.15 * np.outer(sd, sd))
+    use = use & ~tied
+    for _ in range(rounds):  # least squares on the pairs that are left
+        u = np.where(live, np.maximum(0, ((cov * use) @ u) / np.maximum((use * u**2).sum(1), 1e-12)), 0) if u.any() else u
     s = np.sqrt(prior * (1 - prior))
     p1 = np.clip(mean + u * (1 - prior) / s, 1e-4, 1 - 1e-4)
     p0 = np.clip(mean - u * prior / s, 1e-4, 1 - 1e-4)
