@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from quillspark import registry
+from quillspark.plans import documents, logs, projects, texts, vectors  # noqa: F401  they register their queries
+from quillspark.streaming import folds  # noqa: F401
 
-def queries() -> dict:
-    return {}
 
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
-def oracle_sql() -> dict:
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(registry.SQL)
