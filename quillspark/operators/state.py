@@ -52,10 +52,10 @@ def insert_missing(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataF
 def merge_entities(links: DataFrame, mapping: DataFrame, left: str, right: str) -> DataFrame:
     """Links with merged ends replaced by their survivor, without loops and
     duplicates.  ``mapping``: (merged, survivor)."""
-    m = mapping.select("merged", "survivor")
+    m, columns = mapping.select("merged", "survivor"), links.columns
     for end in (left, right):
         links = links.join(m.withColumnRenamed("merged", end), end, "left").withColumn(end, F.coalesce("survivor", end)).drop("survivor")
-    return links.where(F.col(left) != F.col(right)).distinct()
+    return links.where(F.col(left) != F.col(right)).select(*columns).distinct()
 
 
 def version_stack(entries: DataFrame, key: str, by: Sequence[str], anchors: str, snapshot: str, kind: str = "kind") -> DataFrame:

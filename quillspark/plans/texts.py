@@ -1 +1,92 @@
+"""Queries that read texts: formats, contact data, redaction, exports."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions import citations, markers, privacy, text
+from quillspark.registry import query
+from quillspark.sources import export, formats
+from quillspark.sources.tables import ELEMENTS_SQL, document_elements, table
+
+
+def _chain() -> str:
+    out = "html"
+    for pattern, new in text.HTML_REWRITES:
+        lit = lambda x: "'" + x.replace("'", "''") + "'"
+        out = f"regexp_replace({out}, {lit(pattern)}, {lit(new)}, 'g')" if new != "\n" and new != "\n\n" else f"regexp_replace({out}, {lit(pattern)}, repeat(chr(10), {len(new)}), 'g')"
+    return f"regexp_replace({out}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"SELECT page_id, {_chain()} AS text FROM pages")
+def page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages as text by rewrites."""
+    return table(spark, folder, "pages").select("page_id", text.html_to_text("html").alias("text"))
+
+
+_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.MIME.items())
+
+
+@query(f"SELECT page_id, CASE list_last(string_split(lower(regexp_extract(url, '([^/?#]*)([?#].*)?$', 1)), '.')) {_CASES} ELSE 'application/octet-stream' END AS mime FROM pages")
+def page_types(spark: SparkSession, folder: str) -> DataFrame:
+    name = F.regexp_extract("url", r"([^/?#]*)([?#].*)?$", 1)
+    return table(spark, folder, "pages").select("page_id", text.mime_type(name).alias("mime"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), lambda x: regexp_replace(x, '^\d+([A-Za-z])', '\1')))), ' ') AS emails
+FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')""")
+def document_emails(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents").where(F.col("text").contains("@"))
+    return d.select("doc_id", F.array_join(F.array_sort(privacy.emails("text")), " ").alias("emails")).where("emails <> ''")
+
+
+@query(r"""SELECT doc_id, length(text)::BIGINT AS n_chars, list_sum(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: (trim(regexp_replace(x, '\s+', ' ', 'g')) <> '')::INT))::BIGINT AS n_paragraphs FROM documents WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''""")
+def text_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents")
+    n = formats.paragraphs(d).groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("n_paragraphs"))
+    return d.select("doc_id", F.length("text").cast("long").alias("n_chars")).join(n, "doc_id")
+
+
+@query(f"""WITH {ELEMENTS_SQL} SELECT document_id, string_agg(CASE WHEN element_type = 'heading' THEN repeat('#', level) || ' ' || content ELSE content END, chr(10) || chr(10) ORDER BY char_start) AS markdown FROM e GROUP BY document_id""")
+def exported_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    return export.markdown(document_elements(spark, folder))
+
+
+@query()
+def sentence_elements(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentences with offsets; checked against the texts in the tests."""
+    return formats.sentence_elements(formats.paragraphs(table(spark, folder, "documents")))
+
+
+@query()
+def redacted_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with contact data replaced, and how many places of each kind."""
+    d = table(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    seeds = privacy.contact_seeds(d, "document_id").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("category", F.array("value").alias("variants"), "replacement"))).alias("seeds"))
+    e = d.join(seeds, "document_id").withColumn("edits", privacy.edits("text", "seeds"))
+    n = lambda k: F.size(F.filter("edits", lambda x: x.category == k)).alias(f"n_{k}")
+    return e.select("document_id", privacy.redacted(F.col("text"), F.col("edits")).alias("text"), n("email"), n("phone"), n("student_id"))
+
+
+@query()
+def marked_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Paragraphs with markers of findings, questions, methods or plans."""
+    p = document_elements(spark, folder).where("element_type = 'paragraph'")
+    c = F.col("content")
+    out = p.select("document_id", "char_start", markers.findings(c).alias("findings"), markers.is_question(c).alias("question"), markers.is_method(c).alias("method"), markers.plan(c).alias("plan"))
+    return out.where("size(findings) > 0 or question or method or plan.is_plan").select("document_id", "char_start", F.size("findings").alias("n_findings"), "question", "method", "plan.is_plan")
+
+
+@query()
+def cited_authors(spark: SparkSession, folder: str) -> DataFrame:
+    """Mentions of authors in paragraphs."""
+    p = document_elements(spark, folder).where("element_type = 'paragraph'").select("document_id", "char_start", F.col("content").alias("text"))
+    return citations.mentions(p)
+
+
+@query()
+def typed_headings(spark: SparkSession, folder: str) -> DataFrame:
+    """Headings with the type that their words name."""
+    h = document_elements(spark, folder).where("element_type = 'heading'")
+    return h.select("document_id", "char_start", markers.heading_type(F.col("content")).alias("t")).select("document_id", "char_start", "t.*")
