@@ -48,21 +48,28 @@ def _slots(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([of, of[: len(pair)][pair]]), (h % c.U(SLOTS)).astype(np.int64)
 
 
-def log_ratios(docs: DataFrame, target: DataFrame) -> np.ndarray:
-    """Log target minus log raw probability of each slot; docs (key, text), target (key)."""
+def log_ratios(docs: DataFrame, target: DataFrame, sample: int = 50_000) -> np.ndarray:
+    """Log target minus log raw probability of each slot; docs (key, text),
+    target (key).  The raw model counts all documents, the target model about
+    ``sample`` of the target rows, chosen by the hash of their ids."""
+    ids = target.where("key is not null").distinct()
+    share = min(1.0, sample / max(1, ids.count()))
+    few = ids.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) <= int(share * (1 << 20))).toArrow()
+    held = docs.sparkSession.sparkContext.broadcast(np.sort(np.asarray(few["key"])))  # about ``sample`` ids
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, SLOTS), np.int64)
         for b in batches:
-            good = np.asarray(b.column("good").cast(pa.int8())).astype(bool)
+            key = np.asarray(b.column("key").fill_null(-1))
+            spot = np.minimum(np.searchsorted(held.value, key), max(0, len(held.value) - 1))
+            good = held.value[spot] == key if len(held.value) else np.zeros(len(key), bool)
             for i, _, data, at in c.slices(b.column("text")):
                 of, slot = _slots(data, at)
                 total[0] += np.bincount(slot, minlength=SLOTS)
                 total[1] += np.bincount(slot[good[i + of]], minlength=SLOTS)
         yield pa.record_batch([pa.array(np.arange(2 * SLOTS)), pa.array(total.ravel())], names=["cell", "n"])
 
-    marked = docs.select("key", "text").join(target.select("key", F.lit(True).alias("is_good")).distinct(), "key", "left").select("text", F.coalesce("is_good", F.lit(False)).alias("good"))
-    rows = marked.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # 2 * SLOTS rows
+    rows = docs.select("key", "text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # 2 * SLOTS rows
     n = np.zeros(2 * SLOTS)
     for r in rows:
         n[r["cell"]] = r["n"]
