@@ -290,7 +290,7 @@ def fold(doc_id: str | Column) -> Column:
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(3))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Model:
     """The model of documents (key, text) and labels (doc_id, toxic)."""
     learn = F.coalesce(fold("key") != 1, F.lit(False))
     known = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("key"), F.col("toxic").cast("int").alias("toxic")).where(learn).groupBy("key").agg(F.max("toxic").alias("toxic"))
@@ -364,7 +364,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(rate, "key long, score double")
 
 
-def toxicity(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 20_000, least: float = 0.7) -> DataFrame:
+def toxicity(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 12_000, least: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of ``df``."""
     docs = df.select(F.col(doc_id).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     out = score(docs, fit(docs, labels, sample))
