@@ -128,3 +128,60 @@ def leaks(texts: DataFrame, seeds: DataFrame, context: int = 40) -> DataFrame:
     near = F.substring("text", F.greatest(F.lit(1), F.col("at") - context), F.length("candidate") + 2 * context)
     best = c.withColumn("near", near).groupBy("document_id", "seed_id").agg(F.min(F.struct("pos", "candidate", "at", "near")).alias("b"))
     return best.select("document_id", "seed_id", "b.candidate", (F.col("b.at") - 1).alias("start"), F.col("b.near").alias("context"))
+
+
+# Labels that give a person near them a role.
+ROLE_LABELS = (
+    ("author", r"(?i)\b(?:vorgelegt|eingereicht|verfasst|abgegeben|presented|submitted|prepared|written)\s+(?:von|by)\b"),
+    ("author", r"(?i)\b(?:autor(?:in)?|author|verfasser(?:in)?|bearbeiter(?:in)?|kandidat(?:in)?|name)\b"),
+    ("supervisor", r"(?i)\b(?:betreuer(?:in)?|(?:erst|zweit|dritt)?gutachter(?:in)?|prüfer(?:in)?|mentor(?:in)?|supervisor|advisor|examiner)\b"),
+)
+
+
+def role_labels(docs: DataFrame, doc_id: str = "document_id", text: str = "text") -> DataFrame:
+    """(document_id, pos, role) of every label in the front matter."""
+    out = None
+    for role, pattern in ROLE_LABELS:
+        # the pieces before each hit give its place
+        head = front_matter(F.col(text))
+        hits = F.arrays_zip(F.split(head, pattern).alias("a"), F.regexp_extract_all(head, F.lit(pattern), F.lit(0)).alias("h"))
+        each = docs.select(F.col(doc_id).alias("document_id"), F.posexplode(hits).alias("n", "x"))
+        w = Window.partitionBy("document_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+        upto = F.sum(F.length(F.coalesce("x.a", F.lit("")))).over(w) + F.coalesce(F.sum(F.length("x.h")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        one = each.withColumn("pos", upto).where("x.h is not null").select("document_id", F.col("pos").cast("long").alias("pos"), F.lit(role).alias("role"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def person_roles(persons: DataFrame, labels: DataFrame, within: int = 150) -> DataFrame:
+    """Persons (document_id, start, ...) with the role of the nearest label at
+    most ``within`` characters before them; without one the first person of a
+    document is its author, later ones are others.  An as-of match by window."""
+    keep = persons.columns
+    both = persons.withColumn("_at", F.col("start").cast("long")).withColumn("_l", F.lit(None).cast("struct<pos:long,role:string>"))
+    marks = labels.select("document_id", F.col("pos").alias("_at"), F.struct("pos", "role").alias("_l"))
+    w = Window.partitionBy("document_id").orderBy("_at", F.col("_l").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    near = F.last("_l", ignorenulls=True).over(w)
+    first = F.row_number().over(Window.partitionBy("document_id").orderBy("_at")) == 1
+    joined = both.unionByName(marks, allowMissingColumns=True).withColumn("_n", near).where("_l is null")
+    role = F.when(F.col("_at") - F.col("_n.pos") <= within, F.col("_n.role")).when(first, "author").otherwise("other")
+    return joined.withColumn("role", role).select(*keep, "role")
+
+
+def split_persons(persons: DataFrame) -> DataFrame:
+    """Persons (document_id, text, start) whose span runs two names together,
+    split before titles and brackets; parts of fewer than two names go."""
+    cut = r"\s+(?=\(|Prof\.|Dr\.|Mr\.|Mrs\.|Hon\.|PhD\.?|MD\.?)"
+    parts = persons.withColumn("_p", F.explode(F.split("text", cut)))
+    bare = F.trim(F.regexp_replace("_p", r"^\(?(?:(?:Prof|Dr|h\.c|phil|theol|med|iur|nat|Mr|Mrs|Hon|Sir)\.?\s+)+", ""))
+    out = parts.withColumn("name", bare).where(F.size(F.regexp_extract_all("name", F.lit(r"\p{Lu}[\p{L}'’-]+"), F.lit(0))) >= 2)
+    return out.select("document_id", F.col("name").alias("text"), (F.col("start") + F.expr("instr(text, name)") - 1).alias("start"))
+
+
+def title_hint(text: Column, misc: Column) -> Column:
+    """A work's title: what follows its label, else the first name of a work
+    (``misc``: array of strings) of 12 to 200 characters."""
+    label = r"(?i)\b(?:titel|title|titre|título|titolo)\s*[:.]?\s*([^.\n]{8,200})"
+    named = F.trim(F.regexp_replace(F.regexp_extract(front_matter(text), label, 1), r"\s+", " "))
+    fit = F.filter(misc, lambda x: F.length(x).between(12, 200))
+    return F.when(F.length(named) >= 8, named).otherwise(F.trim(F.get(fit, F.lit(0))))

@@ -121,3 +121,24 @@ def json_object(text: Column, schema: str) -> Column:
     body = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     fixed = F.regexp_replace(body, "[„“”]", '"')
     return F.from_json(F.when(F.try_parse_json(body).isNotNull(), body).when(F.try_parse_json(fixed).isNotNull(), fixed), schema)
+
+
+FORMS = ("deductive", "inductive", "abductive")
+
+
+def validity(responses: DataFrame, arguments: DataFrame, fallacies: Sequence[str]) -> DataFrame:
+    """Assessments (atom_id, local_id, carries, form, fallacy, target,
+    rationale) of answers (atom_id, raw_text) with ``VALIDITY An`` sections, for
+    known arguments (atom_id, local_id): one that carries needs a form, one that
+    does not a known fallacy and a target, both a rationale."""
+    form = r"(?i)^\s*(?:#{1,3}\s+)?[*_]{0,3}\s*VALIDITY\s+(A\d+)\s*[*_]{0,3}\s*$"
+    head = F.col("content").rlike(form)
+    f = fields(_sections(responses, head, head)).withColumn("local_id", F.upper(F.regexp_extract("head", form, 1)))
+    last = f.groupBy("document_id", "local_id").agg(F.max("section").alias("section"))
+    f = f.join(last, ["document_id", "local_id", "section"])
+    get = lambda *names: F.trim(F.coalesce(*[F.max(F.when(F.col("key") == n, F.col("value"))) for n in names], F.lit("")))
+    w = f.groupBy(F.col("document_id").alias("atom_id"), "local_id").agg(F.lower(get("carries")).isin("yes", "true").alias("carries"), F.lower(get("form", "inference_form")).alias("form"), F.lower(get("fallacy")).alias("fallacy"), get("target", "target_premise").alias("target"), get("rationale").alias("rationale"))
+    w = w.withColumn("form", F.when(F.col("form").isin(*FORMS), F.col("form")))
+    ok = (F.col("rationale") != "") & F.when(F.col("carries"), F.col("form").isNotNull()).otherwise(F.col("fallacy").isin(*fallacies) & (F.col("target") != ""))
+    w = w.where(ok).withColumn("fallacy", F.when(~F.col("carries"), F.col("fallacy"))).withColumn("target", F.when(~F.col("carries"), F.col("target")))
+    return w.join(arguments.select("atom_id", "local_id").distinct(), ["atom_id", "local_id"], "left_semi")

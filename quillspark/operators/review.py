@@ -105,3 +105,46 @@ def replace_partitions(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> D
 def redaction_state(seeds: Column, hits: Column, marked: Column) -> Column:
     """What is to be done with a document's personal data."""
     return F.when(seeds == 0, "no_candidates").when(marked & (hits == 0), "skipped_already_redacted").otherwise("applied")
+
+
+def gated_steps(walk: DataFrame, gates: Sequence[tuple[str, Sequence[str]]], own: Sequence[str], once: dict[str, str], last: Sequence[str]) -> DataFrame:
+    """Steps (document_id, step, kind, at) of a walk (document_id, at, type).
+
+    A gate runs once, before the first complex of a type that needs it, else
+    before the ``last`` steps; complexes of ``own`` types run each; types in
+    ``once`` run one step at their first complex.
+    """
+    end = F.lit((1 << 62)).cast("long")
+    docs = walk.select("document_id").distinct()
+    row = lambda df, at, rank, kind: df.select("document_id", at.alias("pos"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("at"))
+    steps = walk.where(F.col("type").isin(*own)).select("document_id", F.col("at").alias("pos"), F.lit(len(gates)).alias("rank"), F.lit("complex").alias("kind"), F.col("at").cast("long").alias("at"))
+    for k, (name, needed_by) in enumerate(gates):
+        first = walk.groupBy("document_id").agg(F.min(F.when(F.col("type").isin(*needed_by), F.col("at"))).alias("f"))
+        steps = steps.unionByName(row(first, F.coalesce("f", end), k, name))
+    for kind, name in once.items():
+        first = walk.where(F.col("type") == kind).groupBy("document_id").agg(F.min("at").alias("f"))
+        steps = steps.unionByName(row(first, F.col("f"), len(gates), name))
+    for k, name in enumerate(last):
+        steps = steps.unionByName(row(docs, end, len(gates) + 1 + k, name))
+    order = Window.partitionBy("document_id").orderBy("pos", "rank")
+    return steps.select("document_id", F.row_number().over(order).cast("long").alias("step"), "kind", "at")
+
+
+def by_rank(answers: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Answers (unit, number, rationale) with the candidate (unit, rank,
+    node_id) whose rank their digits name; others are dropped."""
+    n = F.regexp_replace("number", r"\D", "").try_cast("int")
+    return answers.withColumn("rank", n).where("rank > 0").join(candidates, ["unit", "rank"]).select("unit", "rank", "node_id", F.trim("rationale").alias("rationale"))
+
+
+def premise_histogram(premises: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, histogram): counts of premise types as text, ``type:n`` each."""
+    n = premises.groupBy(*keys, "type").agg(F.count("*").alias("n"))
+    parts = F.array_sort(F.collect_list(F.concat("type", F.lit(":"), F.col("n").cast("string"))))
+    return n.groupBy(*keys).agg(F.array_join(parts, " ").alias("histogram"))
+
+
+def format_blocks(memos: DataFrame, key: str, title: str, body: str, order: str) -> DataFrame:
+    """(key, block): memos one under another, each under its title."""
+    part = F.struct(F.col(order).alias("o"), F.concat(F.lit("## "), F.col(title), F.lit("\n"), F.col(body)).alias("t"))
+    return memos.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x.t), "\n\n").alias("block"))

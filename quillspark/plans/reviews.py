@@ -146,3 +146,18 @@ def redaction_states(spark: SparkSession, folder: str) -> DataFrame:
 
     n = F.size(privacy.emails("text"))
     return table(spark, folder, "documents").select("doc_id", review.redaction_state(n, n, F.col("text").rlike(r"\[(NAME|EMAIL)_")).alias("state"))
+
+
+_OWN, _GATE = "('EXPOSITION', 'THEORY')", "('METHOD', 'SYNTHESIS')"
+
+
+@query(f"""{E}, k AS (SELECT document_id, char_start AS "at", function_type AS type FROM e WHERE function_type IS NOT NULL),
+u AS (SELECT document_id, "at" AS pos, 1 AS rank, 'complex' AS kind, "at" FROM k WHERE type IN {_OWN}
+  UNION ALL SELECT document_id, coalesce(min("at") FILTER (WHERE type IN {_GATE}), 4611686018427387904), 0, 'design', NULL FROM k GROUP BY document_id
+  UNION ALL SELECT document_id, min("at"), 1, 'synthesis', NULL FROM k WHERE type = 'SYNTHESIS' GROUP BY document_id
+  UNION ALL SELECT DISTINCT document_id, 4611686018427387904, 2, 'description', NULL FROM k UNION ALL SELECT DISTINCT document_id, 4611686018427387904, 3, 'review', NULL FROM k)
+SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY pos, rank)::BIGINT AS step, kind, "at" FROM u""")
+def gated_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """Steps of the typed headings, with what must run before them."""
+    walk = document_elements(spark, folder).where("function_type is not null").select("document_id", F.col("char_start").alias("at"), F.col("function_type").alias("type"))
+    return review.gated_steps(walk, [("design", ["METHOD", "SYNTHESIS"])], ["EXPOSITION", "THEORY"], {"SYNTHESIS": "synthesis"}, ["description", "review"])

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import citations, markers, privacy, prose, text
-from quillspark.operators import graph, positions, profile, state
+from quillspark.operators import graph, positions, profile, review, state
 from quillspark.sources import docx, export, formats
 
 
@@ -202,3 +202,34 @@ def test_docx(spark):
     assert [(r["idx"], r["note_text"]) for r in docx.footnotes(p).collect()] == [(3, "Note")]
     md = export.markdown(docx.document_elements(p)).first()["markdown"]
     assert md.startswith("Titel\n\n# Einleitung\n\nEin Satz") and "## Unter" in md
+
+
+def test_validity_answers(spark):
+    raw = "## VALIDITY A1\ncarries: yes\nform: inductive\nrationale: r\n more\n**VALIDITY A2**\ncarries: no\nfallacy: circular\ntarget: p1\nrationale: x\nVALIDITY A3\ncarries: no\nfallacy: unknown\ntarget: p\nrationale: y\nVALIDITY A9\ncarries: yes\nform: deductive\nrationale: z"
+    known = spark.createDataFrame([("r", f"A{k}") for k in (1, 2, 3)], "atom_id string, local_id string")
+    got = prose.validity(spark.createDataFrame([("r", raw)], "atom_id string, raw_text string"), known, ["circular"]).orderBy("local_id").collect()
+    assert [(r["local_id"], r["carries"], r["form"], r["fallacy"], r["target"], r["rationale"]) for r in got] == [("A1", True, "inductive", None, None, "r\n more"), ("A2", False, None, "circular", "p1", "x")]
+
+
+def test_ranks_histograms_and_blocks(spark):
+    answers = spark.createDataFrame([("u", "Nr. 2", " a "), ("u", "0", "b"), ("u", "x", "c"), ("u", "9", "d")], "unit string, number string, rationale string")
+    pool = spark.createDataFrame([("u", 1, "n1"), ("u", 2, "n2")], "unit string, rank int, node_id string")
+    assert [tuple(r) for r in review.by_rank(answers, pool).collect()] == [("u", 2, "n2", "a")]
+    p = spark.createDataFrame([("s", "stated"), ("s", "stated"), ("s", "carried")], "section string, type string")
+    assert review.premise_histogram(p, ["section"]).first()["histogram"] == "carried:1 stated:2"
+    m = spark.createDataFrame([("k", 2, "B", "y"), ("k", 1, "A", "x")], "k string, o int, t string, b string")
+    assert review.format_blocks(m, "k", "t", "b", "o").first()["block"] == "## A\nx\n\n## B\ny"
+
+
+def test_roles_of_persons(spark):
+    t = "Betreuerin: Prof. Dr. Eva Klein\nvorgelegt von Max Groß" + " " * 200 + "Lea Kurz"
+    docs = spark.createDataFrame([("d", t)], "document_id string, text string")
+    labels = privacy.role_labels(docs)
+    assert {(r["pos"], r["role"]) for r in labels.collect()} == {(t.index("Betreuerin"), "supervisor"), (t.index("vorgelegt"), "author")}
+    persons = spark.createDataFrame([("d", n, t.index(n)) for n in ("Eva Klein", "Max Groß", "Lea Kurz")] + [("e", "Ida Neu", 5), ("e", "Tom Alt", 90)], "document_id string, text string, start int")
+    got = {r["text"]: r["role"] for r in privacy.person_roles(persons, labels).collect()}
+    assert got == {"Eva Klein": "supervisor", "Max Groß": "author", "Lea Kurz": "other", "Ida Neu": "author", "Tom Alt": "other"}
+    two = spark.createDataFrame([("d", "Eva Klein Prof. Dr. Max Groß", 10), ("d", "Single", 0)], "document_id string, text string, start int")
+    assert sorted((r["text"], r["start"]) for r in privacy.split_persons(two).collect()) == [("Eva Klein", 10), ("Max Groß", 30)]
+    hint = docs.select(privacy.title_hint(F.lit("Titel: Ein langer Titel\nx"), F.array(F.lit("a"))).alias("a"), privacy.title_hint(F.lit("nothing"), F.array(F.lit("short"), F.lit("A longer name of a work"))).alias("b")).first()
+    assert tuple(hint) == ("Ein langer Titel", "A longer name of a work")
