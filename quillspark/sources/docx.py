@@ -17,22 +17,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-ROWS = "document_id string, idx int, style_id string, text string, level int, ilvl int, anchor string, notes array<int>, drawing boolean, note_text string, error string"
+ROWS = "document_id string, idx int, style_id string, text string, level int, toc int, ilvl int, anchor string, link string, notes array<int>, drawing boolean, note_text string, error string"
 SCHEMA = pa.schema([
-    ("document_id", pa.string()), ("idx", pa.int32()), ("style_id", pa.string()), ("text", pa.string()), ("level", pa.int32()), ("ilvl", pa.int32()),
-    ("anchor", pa.string()), ("notes", pa.list_(pa.int32())), ("drawing", pa.bool_()), ("note_text", pa.string()), ("error", pa.string()),
+    ("document_id", pa.string()), ("idx", pa.int32()), ("style_id", pa.string()), ("text", pa.string()), ("level", pa.int32()), ("toc", pa.int32()), ("ilvl", pa.int32()),
+    ("anchor", pa.string()), ("link", pa.string()), ("notes", pa.list_(pa.int32())), ("drawing", pa.bool_()), ("note_text", pa.string()), ("error", pa.string()),
 ])
 # Names that styles of headings begin with.
 HEADING_NAMES = ("heading ", "überschrift ", "ueberschrift ")
+BIBLIOGRAPHY = r"(?i)^\W*(\d[\d.]*\s+)?(literatur|bibliogra|quellen|references)"
+TOC_NAMES = ("toc ", "verzeichnis ")
 
 
-def style_levels(xml: bytes) -> dict[str, int]:
-    """Heading level of each style, by its name or that of one it is based on."""
+def style_levels(xml: bytes, names: tuple[str, ...]) -> dict[str, int]:
+    """Level of each style, by its name or that of one it is based on."""
     own, base = {}, {}
     for s in ElementTree.fromstring(xml).iter(f"{W}style"):
         key, name, up = s.get(f"{W}styleId"), s.find(f"{W}name"), s.find(f"{W}basedOn")
         label = (name.get(f"{W}val") if name is not None else "").strip().lower()
-        for start in HEADING_NAMES:
+        for start in names:
             if label.startswith(start) and label[len(start) :].strip().isdigit():
                 own[key] = int(label[len(start) :])
         base[key] = up.get(f"{W}val") if up is not None else None
@@ -49,6 +51,7 @@ def style_levels(xml: bytes) -> dict[str, int]:
 
 def _paragraph(p) -> dict:
     style, level, mark = p.find(f"{W}pPr/{W}pStyle"), p.find(f"{W}pPr/{W}numPr/{W}ilvl"), p.find(f"{W}bookmarkStart")
+    link = next(p.iter(f"{W}hyperlink"), None)
     text, notes = [], []
     for node in p.iter():
         if node.tag == f"{W}t":
@@ -60,18 +63,19 @@ def _paragraph(p) -> dict:
     val = lambda n: n.get(f"{W}val") if n is not None else None
     return {
         "style_id": val(style), "text": "".join(text).strip(), "ilvl": int(val(level)) if val(level) else None,
-        "anchor": mark.get(f"{W}name") if mark is not None else None, "notes": notes, "drawing": next(p.iter(f"{W}drawing"), None) is not None,
+        "anchor": mark.get(f"{W}name") if mark is not None else None, "link": link.get(f"{W}anchor") if link is not None else None, "notes": notes, "drawing": next(p.iter(f"{W}drawing"), None) is not None,
     }
 
 
 def read_paragraphs(content: bytes) -> list[dict]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
-        levels = style_levels(z.read("word/styles.xml")) if "word/styles.xml" in names else {}
+        styles = z.read("word/styles.xml") if "word/styles.xml" in names else b"<x/>"
+        levels, contents = style_levels(styles, HEADING_NAMES), style_levels(styles, TOC_NAMES)
         body = ElementTree.fromstring(z.read("word/document.xml"))
         out = [_paragraph(p) for p in body.iter(f"{W}p")]
         for r in out:
-            r["level"] = levels.get(r["style_id"])
+            r["level"], r["toc"] = levels.get(r["style_id"]), contents.get(r["style_id"])
         if "word/footnotes.xml" in names:
             for n in ElementTree.fromstring(z.read("word/footnotes.xml")).iter(f"{W}footnote"):
                 if n.get(f"{W}type") is None:
@@ -97,23 +101,28 @@ def paragraphs(files: DataFrame) -> DataFrame:
 
 
 def document_elements(p: DataFrame) -> DataFrame:
-    """Elements of paragraphs: prose broken by soft returns is joined, then
-    (document_id, seq, element_type, content, level, numbering, section_kind,
+    """Elements of paragraphs: prose broken by soft returns is joined (but for
+    the entries of a bibliography), a heading's level is that of its entry in
+    the table of contents, else of its style; then (document_id, seq, element_type, content, level, numbering, section_kind,
     position_role, char_start, char_end)."""
     w = Window.partitionBy("document_id").orderBy("idx")
     b = p.where("error is null and note_text is null and (text <> '' or drawing)")
-    kind = F.when(F.col("level").isNotNull(), "heading").when(F.col("drawing") & (F.col("text") == ""), "figure")
+    known = toc_references(p).groupBy("document_id", F.col("heading_idx").alias("idx")).agg(F.min("level").alias("_toc"))
+    b = b.join(known, ["document_id", "idx"], "left").withColumn("level", F.coalesce("_toc", "level"))
+    kind = F.when(F.col("toc").isNotNull(), "toc_entry").when(F.col("level").isNotNull(), "heading").when(F.col("drawing") & (F.col("text") == ""), "figure")
     kind = kind.when(F.col("text").rlike(r"^(Abb\.|Abbildung|Tab\.|Tabelle|Figure|Fig\.|Table)\s*\d+") & (F.length("text") <= 300), "caption").otherwise("paragraph")
     b = b.withColumn("element_type", kind)
+    books = F.when(F.col("element_type") == "heading", F.when(F.col("text").rlike(BIBLIOGRAPHY), F.col("level")).otherwise(-F.col("level")))
+    b = b.withColumn("_books", F.last(books, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     # a paragraph that does not end a sentence goes on in the next one
-    joins = (F.lag("element_type").over(w) == "paragraph") & (F.col("element_type") == "paragraph") & ~F.lag("text").over(w).rlike(r"[.?!…:]$")
+    joins = (F.lag("element_type").over(w) == "paragraph") & (F.col("element_type") == "paragraph") & ~F.lag("text").over(w).rlike(r"[.?!…:]$") & ~F.coalesce(F.col("_books") > 0, F.lit(False))
     b = b.withColumn("_new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("seq", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x.text)
     e = b.groupBy("document_id", "seq").agg(F.min("element_type").alias("element_type"), F.array_join(parts, " ").alias("content"), F.min("level").alias("level"), F.min("anchor").alias("anchor"))
     w = Window.partitionBy("document_id").orderBy("seq")
     upto, later = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
     head = F.col("element_type") == "heading"
-    opens = F.when(head & F.col("content").rlike(r"(?i)^\W*(\d[\d.]*\s+)?(literatur|bibliogra|quellen|references)"), "bibliography").when(head & F.col("content").rlike(r"(?i)^\W*(anhang|appendix)"), "appendix").when(head, "main")
+    opens = F.when(head & F.col("content").rlike(BIBLIOGRAPHY), "bibliography").when(head & F.col("content").rlike(r"(?i)^\W*(anhang|appendix)"), "appendix").when(head, "main")
     top = F.when(head & (F.col("level") == 1) | opens.isin("bibliography", "appendix"), opens)
     e = e.withColumn("section_kind", F.coalesce(F.last(top, ignorenulls=True).over(upto), F.lit("front_matter")))
     role = F.when(~head, F.when(F.max(head).over(later), "before_heading").when(F.lag(head).over(w), "after_heading").otherwise("mid"))
@@ -121,6 +130,20 @@ def document_elements(p: DataFrame) -> DataFrame:
     return e.withColumn("position_role", role).withColumn("char_start", start).withColumn("char_end", F.col("char_start") + F.length("content"))
 
 
+def toc_references(p: DataFrame) -> DataFrame:
+    """(document_id, toc_idx, title, level, number, heading_idx, mismatch):
+    entries of tables of contents with the first heading that bears their
+    bookmark; the page number at the end goes, and ``mismatch`` tells that the
+    entry's number is not the heading's."""
+    clean = F.trim(F.regexp_replace("text", r"[\s.]*\d+$", ""))
+    number = lambda c: F.nullif(F.regexp_extract(c, r"^(\d+(?:\.\d+)*)\b", 1), F.lit(""))
+    entries = p.where("toc is not null and text <> ''").select("document_id", F.col("idx").alias("toc_idx"), clean.alias("title"), F.coalesce(F.col("ilvl") + 1, F.col("toc")).alias("level"), F.col("link").alias("anchor"))
+    heads = p.where("anchor is not null and toc is null").groupBy("document_id", "anchor").agg(F.min("idx").alias("heading_idx"), F.min_by("text", "idx").alias("heading"))
+    j = entries.join(heads, ["document_id", "anchor"])
+    a, b = number("title"), number("heading")
+    return j.select("document_id", "toc_idx", "title", "level", a.alias("number"), "heading_idx", (a.isNotNull() & b.isNotNull() & (a != b)).alias("mismatch"))
+
+
 def footnotes(p: DataFrame) -> DataFrame:
     """(document_id, idx, note_text): footnotes paired with the paragraphs that
     refer to them, by order."""

@@ -199,6 +199,7 @@ def test_docx(spark):
         ("paragraph", "Neu.", None, "main", "before_heading"), ("heading", "Unter", 2, "main", None), ("paragraph", "Text.", None, "main", "before_heading"),
         ("heading", "Literatur", 1, "bibliography", None), ("paragraph", "Klein 2012.", None, "bibliography", "after_heading"),
     ]
+    assert docx.toc_references(p).count() == 0
     assert [(r["idx"], r["note_text"]) for r in docx.footnotes(p).collect()] == [(3, "Note")]
     md = export.markdown(docx.document_elements(p)).first()["markdown"]
     assert md.startswith("Titel\n\n# Einleitung\n\nEin Satz") and "## Unter" in md
@@ -233,3 +234,12 @@ def test_roles_of_persons(spark):
     assert sorted((r["text"], r["start"]) for r in privacy.split_persons(two).collect()) == [("Eva Klein", 10), ("Max Groß", 30)]
     hint = docs.select(privacy.title_hint(F.lit("Titel: Ein langer Titel\nx"), F.array(F.lit("a"))).alias("a"), privacy.title_hint(F.lit("nothing"), F.array(F.lit("short"), F.lit("A longer name of a work"))).alias("b")).first()
     assert tuple(hint) == ("Ein langer Titel", "A longer name of a work")
+
+
+def test_tables_of_contents(spark):
+    rows = [("d", 0, "1 Start .... 3", None, 1, None, "b1"), ("d", 1, "1.1 Next 4", None, 2, "", "b2"), ("d", 2, "1 Start", 3, None, "b1", None), ("d", 3, "1.2 Next", None, None, "b2", None), ("d", 4, "again", None, None, "b2", None), ("d", 5, "Literatur", 1, None, None, None), ("d", 6, "Klein", None, None, None, None), ("d", 7, "Groß", None, None, None, None)]
+    p = spark.createDataFrame([(*r, None, [], False, None, None) for r in rows], "document_id string, idx int, text string, level int, toc int, anchor string, link string, ilvl int, notes array<int>, drawing boolean, note_text string, error string")
+    got = sorted((r["toc_idx"], r["title"], r["level"], r["heading_idx"], r["mismatch"]) for r in docx.toc_references(p).collect())
+    assert got == [(0, "1 Start", 1, 2, False), (1, "1.1 Next", 2, 3, True)]
+    e = docx.document_elements(p).orderBy("seq").collect()
+    assert [(r["element_type"], r["content"], r["level"]) for r in e] == [("toc_entry", "1 Start .... 3", None), ("toc_entry", "1.1 Next 4", None), ("heading", "1 Start", 1), ("heading", "1.2 Next", 2), ("paragraph", "again", None), ("heading", "Literatur", 1), ("paragraph", "Klein", None), ("paragraph", "Groß", None)]
