@@ -38,11 +38,17 @@ NEVER_ROLES = frozenset("navigation banner contentinfo complementary search dial
 NEVER_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense adsbygoogle sponsor sponsored promo promos promotion banner "
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar skip "
-    "sidebar side aside rail widget widgets related recommended recommendations teaser teasers trending popular "
-    "comment comments commentlist disqus respond reply replies discussion feedback reviews "
+    "sidebar aside rail related recommended recommendations teaser teasers trending promoted advertorial adbox adslot adunit submenu dropdown "
+    "comment comments commentlist disqus respond responses reply replies guestbook "
     "cookie cookies consent gdpr notice notices alert popup modal overlay lightbox paywall newsletter subscribe subscription signup signin login "
-    "share sharing social socials follow tags byline-links copyright legal disclaimer print hidden".split()
+    "share sharing social socials copyright disclaimer".split()
 )
+#: These name what is left out only where no name of content stands beside them.
+WEAK_NAMES = frozenset("header widget widgets side popular tags follow legal feedback discussion".split())
+CONTENT_NAMES = frozenset("article content entry post story text body main title".split())
+#: A wrapper that says what a page has ("has-sidebar", "no-menu") is none itself.
+ABOUT_NAMES = frozenset("has with without no".split())
+HIDDEN_CLASSES = frozenset("hidden d-none sr-only visually-hidden".split())
 CLOSED_BY_SAME = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 CLOSES_P = BLOCK - {"li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "summary", "html", "body"} | {"li", "dd", "dt"}
 
@@ -55,23 +61,26 @@ _raw_end: dict[str, re.Pattern] = {}
 def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
     if tag in NEVER or tag == "header" and not inside_article:
         return True
-    if not attributes or tag in WHOLE and "hidden" not in attributes:
+    if not attributes:
         return False
     a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")):
         return True
-    if tag in WHOLE:
+    if tag in WHOLE and tag != "article":
         return False
-    if a.get("role", "").lower() in NEVER_ROLES:
+    if a.get("role", "").lower() in NEVER_ROLES or not HIDDEN_CLASSES.isdisjoint(a.get("class", "").split()):
         return True
-    named = f"{a.get('class', '')} {a.get('id', '')}"
-    return any(x.lower() in NEVER_NAMES for x in NAME.findall(named))
+    names = {x.lower() for x in NAME.findall(f"{a.get('class', '')} {a.get('id', '')}")}
+    if not names or not ABOUT_NAMES.isdisjoint(names):
+        return False
+    return not NEVER_NAMES.isdisjoint(names) or not inside_article and CONTENT_NAMES.isdisjoint(names) and not WEAK_NAMES.isdisjoint(names)
 
 
 class _Page:
     """Elements and blocks of a page, in page order."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, strict: bool = True):
+        self.strict = strict
         self.tag, self.parent, self.off = ["#"], [0], [False]
         self.blocks: list[tuple[int, str, float]] = []  # element, text, share of link text
         self.stack = [0]
@@ -127,7 +136,7 @@ class _Page:
         up = self.stack[-1]
         self.tag.append(tag)
         self.parent.append(up)
-        self.off.append(self.off[up] or _unwanted(tag, attributes, any(self.tag[k] in ("article", "main") for k in self.stack)))
+        self.off.append(self.off[up] or tag == "head" or self.strict and _unwanted(tag, attributes, any(self.tag[k] in ("article", "main") for k in self.stack)))
         self.stack.append(len(self.tag) - 1)
         self.links += tag == "a"
 
@@ -172,6 +181,8 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = _Page(html)
+    if not page.blocks:  # all of it stands in a form or under a name of what is left out
+        page = _Page(html, strict=False)
     tag, parent = page.tag, page.parent
     n = len(tag)
     score, chars, linked = [0.0] * n, [0] * n, [0.0] * n
@@ -201,6 +212,8 @@ def main_text(html: str | None) -> str:
     chosen[best] = True
     if tag[best] not in ("article", "main", "body", "html", "#"):
         enough = max(10.0, 0.2 * final[best])
+        for k in range(1, best):  # a headline in a box beside it
+            chosen[k] = tag[k] == "h1" and not page.off[k] and parent[parent[k]] == parent[best]
         for k in range(1, n):
             if parent[k] == parent[best] and not page.off[k]:
                 share = linked[k] / max(1, chars[k])

@@ -33,6 +33,8 @@ def test_toxicity_without_labels_or_rows(spark):
     out = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, none).collect()}
     assert out[7] > out[8]
     assert toxicity.toxicity(docs.limit(0), none).count() == 0
+    kept = toxicity.keep_clean(docs.withColumn("key", F.lit("clash")), none)
+    assert kept.columns == [*docs.columns, "key"] and 7 not in {r["doc_id"] for r in kept.collect()}
 
 
 def test_label_model_finds_correlated_voters():
@@ -91,6 +93,9 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>v
 def test_main_text():
     assert html_extraction.main_text(PAGE) == "The évent\n\nFirst, a long paragraph, with some commas, that goes on for a while.\n\nSecond & open line\n\nThird with link, yes."
     assert [html_extraction.main_text(x) for x in (None, "", "<p>", "<!-- open", "<a", "a < b &lt; c")] == ["", "", "", "", "<a", "a < b < c"]
+    wrapped = '<div class="layout has-sidebar"><div class="site-header">Top, of, it</div><div class="post-header"><h1>Head</h1></div><div class="entry overflow-hidden"><p>Long, first, paragraph of the text, which goes on.</p><article class="comment"><p>Nice, one, here.</p></article></div></div>'
+    assert html_extraction.main_text(wrapped) == "Head\n\nLong, first, paragraph of the text, which goes on."
+    assert html_extraction.main_text("<form><p>All in a form.</p></form>") == "All in a form."
     assert len(html_extraction.main_text("<div>" * 3000 + "deep" + "<p>" + "word, " * 50_000)) > 200_000
 
 
