@@ -24,7 +24,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import common as c
@@ -179,22 +180,45 @@ def _joined(docs: DataFrame, bench: DataFrame, window: int, gram: int) -> DataFr
     return found.join(items, "key", "left").select("key", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<long>")).alias("items"))
 
 
+def _held(spark: SparkSession, benchmark: DataFrame, window: int, gram: int, broadcast_rows: int) -> tuple[DataFrame, Broadcast | None]:
+    """The benchmark's windows as a table, and broadcast if they are few."""
+    bench = c.cut(benchmark_windows(benchmark, window=window, gram=gram), "windows")
+    small = bench.count() <= broadcast_rows
+    return bench, spark.sparkContext.broadcast(_index(bench.toArrow())) if small else None
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, broadcast_rows: int = 1 << 20) -> DataFrame:
     """(key, n_words, n_hit, items) of every document: its words, those inside
     shared windows, and the sorted ids of the items it shares them with."""
-    spark = docs.sparkSession
     src = docs.select(F.col(doc_id).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    bench = c.cut(benchmark_windows(benchmark, window=window, gram=gram), "windows")
-    if bench.count() > broadcast_rows:
+    bench, held = _held(docs.sparkSession, benchmark, window, gram, broadcast_rows)
+    if held is None:
         return _joined(src, bench, window, gram)
-    held = spark.sparkContext.broadcast(_index(bench.toArrow()))
     return src.mapInArrow(_scan_with(lambda: held.value, window, gram), RESULT)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, most: float = 0.0, **how) -> DataFrame:
-    """Documents of which at most the share ``most`` of words is hit."""
-    found = overlaps(docs, benchmark, **how).where(F.col("n_hit") > most * F.greatest("n_words", F.lit(1))).select("key").distinct()
-    return docs.join(found, docs["doc_id"] == found["key"], "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, most: float = 0.0, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, broadcast_rows: int = 1 << 20) -> DataFrame:
+    """Documents of which at most the share ``most`` of words is hit, as they
+    are.  Under a broadcast index each task filters its rows and nothing is
+    shuffled; otherwise the ids of hit documents are joined against."""
+    bench, held = _held(docs.sparkSession, benchmark, window, gram, broadcast_rows)
+    if held is None:
+        src = docs.select(F.col(doc_id).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+        found = _joined(src, bench, window, gram).where(F.col("n_hit") > most * F.greatest("n_words", F.lit(1))).select(F.col("key").alias("_hit")).distinct()
+        return docs.join(found, F.col(doc_id) == F.col("_hit"), "left_anti")
+    letters = c.folded()
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            clean = [np.zeros(0, bool)]
+            for _, _, data, at in c.slices(b.column(text)):
+                t = c.tokens(data, at, letters)
+                of = t.text_of()
+                hit, _ = _found(t, of, held.value, window, gram)
+                clean.append(np.bincount(of[hit], minlength=len(at) - 1) <= most * np.maximum(np.diff(t.first), 1))
+            yield b.filter(pa.array(np.concatenate(clean)))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

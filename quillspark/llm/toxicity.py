@@ -52,6 +52,7 @@ GROUPS = {
     "fr": "imbécile connard connasse salaud salope merde putain abruti ordure minable débile crétin dégoûtant pouffiasse",
     "es": "idiota imbécil estúpido estúpida puta mierda basura cabrón pendejo asqueroso inútil gilipollas escoria payaso perdedor",
 }
+ADDRESS = "you your youre u du sie tu vous usted eres".split()
 PATTERNS = ("you_are", "shouting", "exclaiming", "masked")
 STEMS = 24  # word beginnings that may vote
 FIXED = (*WORDS, *GROUPS, *PATTERNS)
@@ -117,7 +118,7 @@ def _read(data: np.ndarray, at: np.ndarray, lexicon: tuple[np.ndarray, np.ndarra
 
 def _votes(docs: DataFrame, stems: Stems) -> DataFrame:
     """(key, bits): the voters that fire on each document."""
-    near = _hash_words(["you", "your", "youre", "u", "du", "sie", "tu", "vous", "usted", "eres"])
+    near = _hash_words(ADDRESS)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, power = _lexicon(), np.int64(1) << np.arange(len(VOTERS), dtype=np.int64)
@@ -345,21 +346,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Model:
     return Model(wv, ww, bias, *calibrate(z[label >= 0], label[label >= 0].astype(float)), stems)
 
 
+def _scores(texts: pa.Array, m: Model, near: np.ndarray) -> np.ndarray:
+    lexicon, out = _lexicon(), [np.zeros(0)]
+    for _, _, data, at in c.slices(texts):
+        t, v, hit = _read(data, at, lexicon, near, m.stems)
+        text, slot, many, scale = _bag(t, hit)
+        z = v @ m.votes + np.bincount(text, many * m.words[slot], len(at) - 1) * scale + m.bias
+        out.append(1 / (1 + np.exp(-np.clip(m.slope * z + m.shift, -30, 30))))
+    return np.concatenate(out)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(key, score) of documents (key, text)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS numbers
-    near = _hash_words(["you", "your", "youre", "u", "du", "sie", "tu", "vous", "usted", "eres"])
+    held, near = docs.sparkSession.sparkContext.broadcast(model), _hash_words(ADDRESS)  # SLOTS numbers
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, m = _lexicon(), held.value
         for b in batches:
-            out = [np.zeros(0)]
-            for _, _, data, at in c.slices(b.column("text")):
-                t, v, hit = _read(data, at, lexicon, near, m.stems)
-                text, slot, many, scale = _bag(t, hit)
-                z = v @ m.votes + np.bincount(text, many * m.words[slot], len(at) - 1) * scale + m.bias
-                out.append(1 / (1 + np.exp(-np.clip(m.slope * z + m.shift, -30, 30))))
-            yield pa.record_batch([b.column("key"), pa.array(np.concatenate(out))], names=["key", "score"])
+            yield pa.record_batch([b.column("key"), pa.array(_scores(b.column("text"), held.value, near))], names=["key", "score"])
 
     return docs.mapInArrow(rate, "key long, score double")
 
@@ -371,7 +374,14 @@ def toxicity(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return out.select(F.col("key").alias("doc_id"), F.coalesce(fold("key") == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 
-def keep_clean(df: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of ``df`` that are not predicted toxic."""
-    bad = toxicity(df, labels, **how).where("predicted = 1").select(F.col("doc_id").alias("bad")).distinct()
-    return df.join(bad, df["doc_id"] == bad["bad"], "left_anti")
+def keep_clean(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 12_000, least: float = 0.7) -> DataFrame:
+    """The rows of ``df`` that are not predicted toxic, as they are: each task
+    scores and filters its rows, and nothing is shuffled for it."""
+    docs = df.select(F.col(doc_id).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    held, near = df.sparkSession.sparkContext.broadcast(fit(docs, labels, sample)), _hash_words(ADDRESS)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_scores(b.column(text), held.value, near) < least))
+
+    return df.mapInArrow(keep, df.schema)
