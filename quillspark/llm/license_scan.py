@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import cut
+
 # Names and short texts of licences.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -74,8 +76,9 @@ def scan(files: DataFrame, file_id: str = "file_id", path: str = "path", text: s
     src = files.select(F.col(file_id).alias("file_id"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
     about = F.filter(F.split("text", "\r?\n"), lambda x: x.rlike(ABOUT))
     dirs = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    src = src.select("file_id", "path", F.when(F.col("path").isNotNull(), dirs).alias("dir"), F.transform(about, lambda x: F.trim(x)).alias("lines"), F.size(F.split("text", r"\s+")).alias("n_words"))
-    held = src.where(F.size("lines") > 0).select("file_id", "dir", "n_words", F.explode("lines").alias("line"))
+    src = src.select("file_id", "path", F.when(F.col("path").isNotNull(), dirs).alias("dir"), "text", F.transform(about, lambda x: F.trim(x)).alias("lines"))
+    held = src.where(F.size("lines") > 0).select("file_id", "dir", F.size(F.split("text", r"\s+")).alias("n_words"), F.explode("lines").alias("line"))
+    held = cut(held, "lines")  # the texts are read once
     lines = held.groupBy("line").agg(F.count("*").alias("n"))
     found = held.join(match_lines(lines, spark, least), "line")
     own = found.groupBy("file_id", "dir", "n_words").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), F.sum(F.size(F.split("line", r"\s+"))).alias("n_about"))
