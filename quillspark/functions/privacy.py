@@ -30,7 +30,8 @@ def front_matter(text: Column, most: int = 10_000) -> Column:
 
 def emails(text: str | Column) -> Column:
     """E-mail addresses, without digits run together with their front."""
-    found = F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))
+    col = F.col(text) if isinstance(text, str) else text
+    found = F.when(col.contains("@"), F.regexp_extract_all(col, F.lit(EMAIL), F.lit(0))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"^\d+(?=[A-Za-z][^@]*@)", "")))
 
 
