@@ -129,6 +129,31 @@ def _votes(docs: DataFrame, stems: Stems) -> DataFrame:
     return docs.mapInArrow(vote, "key long, bits long")
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """``docs`` (key, text, ...) without most near copies of one another: rows
+    that share the least hash of their three-word runs, under either of two
+    orders, are taken once, so that copies don't pass for evidence."""
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = np.zeros((2, b.num_rows), np.int64)
+            for i, _, data, at in c.slices(b.column("text")):
+                t = c.tokens(data, at, c.folded())
+                of = t.text_of()
+                ok = np.flatnonzero(t.whole(3, of))
+                h, text = c.grams(t.hashes, 3)[ok], of[ok]
+                first = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else text
+                for k, x in enumerate((h, c.mix(h + c.U(1)))):
+                    if len(first):
+                        out[k, i + text[first]] = np.minimum.reduceat(x, first).view(np.int64)
+            yield pa.record_batch([b.column("key"), pa.array(out[0]), pa.array(out[1])], names=["key", "a", "b"])
+
+    marks = docs.select("key", "text").mapInArrow(least, "key long, a long, b long")
+    for mark in ("a", "b"):
+        marks = marks.groupBy(mark).agg(F.min(F.struct("key", "a", "b")).alias("m")).select("m.*")
+    return docs.join(marks.select("key"), "key", "left_semi")
+
+
 def _together(votes: DataFrame) -> tuple[int, np.ndarray]:
     """Documents, and how many of them each two voters fire on."""
     m = len(VOTERS)
@@ -301,7 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Model:
     spread = F.pmod(F.xxhash64("key"), F.lit(1 << 20))
     if rate["n"]:
         some = known.where(spread < int(min(1.0, sample / rate["n"]) * (1 << 20)))
-        quiet = docs.join(some, "key").join(_votes(docs.join(some, "key").select("key", "text"), {}).where("bits = 0").dropDuplicates(["key"]), "key").select("text", "toxic")
+        quiet = _once(docs.join(some, "key")).join(_votes(docs.join(some, "key").select("key", "text"), {}).where("bits = 0").dropDuplicates(["key"]), "key").select("text", "toxic")
         stems = find_stems(quiet, prior)
     votes = c.cut(_votes(docs, stems), "votes")
     n, together = _together(votes)
