@@ -69,6 +69,28 @@ def test_ann_recall_and_exact_scores(spark, n):
     assert ann.neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_ann_ranks_copies_and_near_copies_exactly(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(2, 24))
+    x = np.concatenate([rng.normal(size=(400, 24)), np.repeat(base[:1], 700, 0), base[1] + 1e-3 * rng.normal(size=(1000, 24))]).astype(np.float32)
+    ids = rng.permutation(len(x))
+    out = ann.neighbours(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")).toPandas()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    copies = np.sort(ids[400:1100])
+    asked = {"copies": 0, "near": 0}
+    for at in np.flatnonzero(ids % 50 == 0):
+        got = list(out[out.query_id == ids[at]].sort_values("rank").vec_id)
+        if 400 <= at < 1100:
+            asked["copies"] += 1
+            assert got == [i for i in copies if i != ids[at]][:5]
+        elif at >= 1100:
+            asked["near"] += 1
+            s = unit @ unit[at]
+            s[at] = -2
+            assert set(got) == set(ids[np.argsort(-s)[:5]])
+    assert min(asked.values()) > 5
+
+
 def test_resampling_prefers_the_target(spark):
     rng = np.random.default_rng(3)
     good, bad = [f"g{k}" for k in range(50)], [f"b{k}" for k in range(50)]
