@@ -4,7 +4,9 @@ A page is read once into a tree of its elements.  Every block of text passes
 points for its length and its commas to its ancestors, fewer with distance and
 fewer the more of it is link text.  The best container is kept, with those of
 its siblings that score enough, and without what is never article text (menus,
-forms, notices, comments and the like, by element, role, class or id).
+forms, notices, comments and the like, by element, role, class or id) and
+without lists of three links or more in it that are little but links (lists of
+sources stay, by class, id or role); headings and single links stay.
 
 The work is local to a page, so it is one map over Arrow batches with no
 shuffle; memory is that of a page and its blocks.
@@ -25,7 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Element and attribute names of HTML, and words that name parts of pages.
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math canvas object audio video select".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
+#: Elements whose content is never text of the page, and those of other languages, which end where a tag of HTML begins.
+OFF = frozenset("template svg math canvas object audio video select".split())
+FOREIGN = frozenset("svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -33,6 +38,7 @@ BLOCK = frozenset(
 )
 PARAGRAPH = frozenset("p pre h1 h2 h3 h4 h5 h6 li dd dt td th blockquote figcaption caption summary".split())
 NEVER = frozenset("head nav footer aside form button dialog menu search fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WHOLE = frozenset("html body article main".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NEVER_NAMES = frozenset(
@@ -48,13 +54,19 @@ WEAK_NAMES = frozenset("header widget widgets side popular tags follow legal fee
 CONTENT_NAMES = frozenset("article content entry post story text body main title".split())
 #: A wrapper that says what a page has ("has-sidebar", "no-menu") is none itself.
 ABOUT_NAMES = frozenset("has with without no".split())
+#: Lists of links that belong to the article.
+SOURCE_NAMES = frozenset("references reference reflist bibliography footnotes endnotes citations sources".split())
 HIDDEN_CLASSES = frozenset("hidden d-none sr-only visually-hidden".split())
 CLOSED_BY_SAME = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
+INLINE = frozenset("b big br code em embed hr i img nobr ruby s small span strong strike sub sup tt u var".split())
+#: HTML may stand in these parts of SVG and MathML.
+ISLANDS = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 CLOSES_P = BLOCK - {"li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "summary", "html", "body"} | {"li", "dd", "dt"}
 
 TAG = re.compile(r"<!--(?:>|->)?|<[!?]|</?([a-zA-Z][^\s/>]*)((?>[^\"'>]+|\"[^\"]*\"|'[^']*'|[\"'])*)>")
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+SELF_CLOSED = re.compile(r"(?<!=)(?:^|[\s\"'])/$|(?:^|\s)[^\s\"'=]+/$")
 _raw_end: dict[str, re.Pattern] = {}
 
 
@@ -76,26 +88,33 @@ def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
     return not NEVER_NAMES.isdisjoint(names) or not inside_article and CONTENT_NAMES.isdisjoint(names) and not WEAK_NAMES.isdisjoint(names)
 
 
+def _sources(attributes: str) -> bool:
+    a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
+    return not SOURCE_NAMES.isdisjoint(x.lower() for x in NAME.findall(f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}"))
+
+
 class _Page:
     """Elements and blocks of a page, in page order."""
 
     def __init__(self, html: str, strict: bool = True):
         self.strict = strict
-        self.tag, self.parent, self.off = ["#"], [0], [False]
-        self.blocks: list[tuple[int, str, float]] = []  # element, text, share of link text
+        self.tag, self.parent, self.off, self.source = ["#"], [0], [False], [False]
+        self.blocks: list[tuple[int, str, float, int]] = []  # element, text, share of link text, links
         self.stack = [0]
         self.pieces: list[str] = []
         self.linked = 0
         self.links = 0
+        self.begun = 0  # links of the block
+        self.foreign = 0
         self.parse(html)
 
     def flush(self) -> None:
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
             if text:
-                k = next(x for x in reversed(self.stack) if self.tag[x] in BLOCK or not x)
-                self.blocks.append((k, text, min(1.0, self.linked / len(text))))
-            self.pieces, self.linked = [], 0
+                k = next(x for x in reversed(self.stack) if self.tag[x] in BLOCK and not self.off[x] or not x)
+                self.blocks.append((k, text, min(1.0, self.linked / len(text)), self.begun + (self.links > 0)))
+            self.pieces, self.linked, self.begun = [], 0, 0
 
     def add(self, text: str) -> None:
         if text and not self.off[self.stack[-1]]:
@@ -109,7 +128,10 @@ class _Page:
         for k in self.stack[depth:]:
             if self.tag[k] == "a":
                 self.links -= 1
-        if any(self.tag[k] in BLOCK for k in self.stack[depth:]):
+                self.begun += not self.off[k]
+            elif self.tag[k] in FOREIGN:
+                self.foreign -= 1
+        if any(self.tag[k] in BLOCK and not self.off[k] for k in self.stack[depth:]):
             self.flush()
         del self.stack[depth:]
 
@@ -123,21 +145,25 @@ class _Page:
         return 0
 
     def open(self, tag: str, attributes: str) -> None:
-        if tag in CLOSES_P and (d := self.depth_of("p", {"td", "th", "table", "caption", "button", "article", "div", "section"})):
+        if self.foreign and (tag in BLOCK or tag in INLINE) and (d := self.depth_of("svg", ISLANDS) or self.depth_of("math", ISLANDS)):
             self.close(d)
-        if tag in CLOSED_BY_SAME and (d := self.depth_of(tag, CLOSED_BY_SAME[tag])):
+        if tag in CLOSES_P and (d := self.depth_of("p", {"td", "th", "table", "caption", "button", "article", "div", "section"} | OFF)):
             self.close(d)
-        if tag in ("dd", "dt") and (d := self.depth_of("dt" if tag == "dd" else "dd", {"dl"})):
+        if tag in CLOSED_BY_SAME and (d := self.depth_of(tag, CLOSED_BY_SAME[tag] | OFF)):
             self.close(d)
-        if tag == "a" and (d := self.depth_of("a", BLOCK)):
+        if tag in ("dd", "dt") and (d := self.depth_of("dt" if tag == "dd" else "dd", {"dl"} | OFF)):
+            self.close(d)
+        if tag == "a" and (d := self.depth_of("a", BLOCK | OFF)):
             self.close(d)
-        if tag in BLOCK:
-            self.flush()
         up = self.stack[-1]
+        if tag in BLOCK and not self.off[up]:
+            self.flush()
         self.tag.append(tag)
         self.parent.append(up)
-        self.off.append(self.off[up] or tag == "head" or self.strict and _unwanted(tag, attributes, any(self.tag[k] in ("article", "main") for k in self.stack)))
+        self.off.append(self.off[up] or tag == "head" or tag in OFF or self.strict and _unwanted(tag, attributes, any(self.tag[k] in ("article", "main") for k in self.stack)))
+        self.source.append(self.source[up] or bool(attributes) and tag not in WHOLE and _sources(attributes))
         self.stack.append(len(self.tag) - 1)
+        self.foreign += tag in FOREIGN
         self.links += tag == "a"
 
     def parse(self, html: str) -> None:
@@ -154,18 +180,20 @@ class _Page:
             tag = m[1].lower()
             if m[0][1] == "/":
                 if tag == "br":
-                    self.pieces.append(" ")
-                elif d := self.depth_of(tag, frozenset() if tag in BLOCK else BLOCK):
+                    self.add(" ")
+                elif d := self.depth_of(tag, frozenset() if tag in BLOCK or tag in OFF else BLOCK):
                     self.close(d)
                 continue
-            if tag in RAW:
+            if (self.foreign or tag in FOREIGN) and SELF_CLOSED.search(m[2]) and tag not in BLOCK:
+                continue
+            if tag in RAW and not (self.foreign and tag == "title"):
                 end = _raw_end.setdefault(tag, re.compile(rf"</{tag}[\s/>]", re.I)).search(html, at)
                 at = n if not end else end.start()
                 continue
             if tag in VOID:
                 if tag == "br":
-                    self.pieces.append(" ")
-                elif tag == "hr":
+                    self.add(" ")
+                elif tag == "hr" and not self.off[self.stack[-1]]:
                     self.flush()
                 continue
             if tag == "body" and (d := self.depth_of("head", frozenset())):
@@ -185,9 +213,10 @@ def main_text(html: str | None) -> str:
         page = _Page(html, strict=False)
     tag, parent = page.tag, page.parent
     n = len(tag)
-    score, chars, linked = [0.0] * n, [0] * n, [0.0] * n
-    for k, text, share in page.blocks:
+    score, chars, linked, held = [0.0] * n, [0] * n, [0.0] * n, [0] * n
+    for k, text, share, _ in page.blocks:
         chars[k] += len(text)
+        held[k] += 1
         linked[k] += share * len(text)
         points = (1 + text.count(",") + text.count("，") + min(3.0, len(text) / 100)) * (1 - share)
         up = parent[k] if tag[k] in PARAGRAPH else k
@@ -199,6 +228,7 @@ def main_text(html: str | None) -> str:
     for k in range(n - 1, 0, -1):
         chars[parent[k]] += chars[k]
         linked[parent[k]] += linked[k]
+        held[parent[k]] += held[k]
     bonus = {"article": 25, "main": 15, "div": 5, "section": 5, "blockquote": 3, "td": 3, "li": -3, "ul": -3, "ol": -3, "address": -3, "dl": -3}
     final = [(score[k] + bonus.get(tag[k], 0)) * (1 - linked[k] / max(1, chars[k])) if score[k] and tag[k] not in PARAGRAPH else 0.0 for k in range(n)]
     best = max(range(n), key=lambda k: (final[k], -k))
@@ -218,9 +248,14 @@ def main_text(html: str | None) -> str:
             if parent[k] == parent[best] and not page.off[k]:
                 share = linked[k] / max(1, chars[k])
                 chosen[k] = chosen[k] or final[k] >= enough or tag[k] == "h1" or tag[k] == "p" and share < 0.25 and (chars[k] > 80 or not share and chars[k] > 0)
+    # a list of links in the container goes as a whole; a single link stays
+    dropped = [False] * n
     for k in range(1, n):
-        chosen[k] = chosen[k] or chosen[parent[k]]
-    return "\n\n".join(text for k, text, share in page.blocks if chosen[k] and share < 0.7)
+        inside = chosen[parent[k]]
+        chosen[k] = chosen[k] or inside
+        dropped[k] = inside and (dropped[parent[k]] or held[k] > 2 and linked[k] >= 0.7 * chars[k] and not page.source[k])
+    gone = lambda k, share, links: share >= 0.7 and tag[k] not in HEADINGS and (dropped[k] or links > 2 and tag[k] not in PARAGRAPH and not page.source[k])
+    return "\n\n".join(text for k, text, share, links in page.blocks if chosen[k] and not gone(k, share, links))
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

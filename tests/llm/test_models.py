@@ -121,6 +121,24 @@ def test_main_text():
     assert len(html_extraction.main_text("<div>" * 3000 + "deep" + "<p>" + "word, " * 50_000)) > 200_000
 
 
+def test_linked_headings_and_paragraphs_stay():
+    long = "Long, first, paragraph of the text, which goes on, and on, for a while."
+    page = f'''<article><h1><a href=x>Linked headline</a></h1><p>{long}</p><h2><a href=y>Linked section</a></h2><p><a href=z>One link alone</a></p>
+<ul><li><a href=1>Menu one</a><li><a href=2>Menu two</a><li><a href=3>Menu three</a></ul>
+<ol class="references"><li><a href=4>Source one</a><li><a href=5>Source two</a><li><a href=6>Source three</a></ol>
+<ul><li>A longer item of the list, in words, and <a href=7>its link</a><li><a href=8>Link only</a><li>Another item of words without a link in it</ul></article>'''
+    want = ["Linked headline", long, "Linked section", "One link alone", "Source one", "Source two", "Source three", "A longer item of the list, in words, and its link", "Link only", "Another item of words without a link in it"]
+    assert html_extraction.main_text(page).split("\n\n") == want
+
+
+@pytest.mark.parametrize("odd", ['<svg class="i"/>', "<svg/>", "<math/>", "<svg><title/><path d='M0'/></svg>", "<svg><path d='M0'>", "<select><option>No<option>No</select>", "<template><p>No</template>", "<video>No</video>", "<canvas><div>No</div></canvas>"])
+def test_page_goes_on_after_embedded_elements(odd):
+    long = "Long, first, paragraph of the text, which goes on, and on, for a while."
+    assert html_extraction.main_text(f"<article><div>{odd}</div><p>{long}</p></article>") == long
+    assert html_extraction.main_text(f"<article><p>Before {odd}</p><p>{long}</p></article>") == f"Before\n\n{long}"
+    assert html_extraction.main_text(f"<article><div><object>No</div><p>{long}</p></article>") == long
+
+
 def test_extract_keeps_other_columns(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "clash"), (2, None, None, None)], "page_id long, url string, html string, text string")
     got = {r["page_id"]: r for r in html_extraction.extract(pages).collect()}
