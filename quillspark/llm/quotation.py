@@ -2,9 +2,11 @@
 
 Each message is parsed into its own passages and its quoted ones (lines that
 begin with one or more ``>``, the number being the level; a line that announces
-a quotation goes with it).  Passages are normalised (case, white space,
-punctuation) and hashed.  A quoted passage belongs to the latest earlier
-message of its conversation that has it as its own, else to the first message
+a quotation goes with it).  Adjacent lines of one level are joined, so that it
+does not matter where they are wrapped, and split into sentences; a sentence
+over several lines also counts by its lines.  Passages are normalised (case,
+white space, punctuation) and hashed.  A quoted passage of any length belongs to the latest earlier
+message of its conversation that has it as its own, else, from eight characters on, to the first message
 of all conversations that has, if that comes before (by conversation and turn;
 so links never close a circle).  The message replied to is the one that most
 passages of the least linked level belong to.  Following these links gives
@@ -34,45 +36,76 @@ from quillspark.llm import common as c
 
 _QUOTE = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.S)
 _ANNOUNCE = re.compile(r"^(on\b.*\bwrote|am\b.*\bschrieb\b.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$", re.I)
-_SPLIT = re.compile(r"(?<=[.!?])\s+")
+_SPLIT = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
 _PLAIN = re.compile(r"\W+")
+_WIDE = "\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+_BETWEEN = re.compile(f"(?<=[{_WIDE}]) (?=[{_WIDE}])")  # a wrapped line adds no space there
+_LEAST = 8  # characters of what links across conversations, and of a quoted line that is less than its sentence
 
 
-def _hashes(line: str) -> list[int]:
-    """Hashes of the normalised sentences of a line."""
-    out = []
-    for part in _SPLIT.split(line):
-        plain = _PLAIN.sub(" ", part).strip().lower()
-        if len(plain) >= 8:
-            out.append(xxhash.xxh64_intdigest(plain.encode()) - (1 << 63))
-    return out
+def _plain(part: str) -> str:
+    return _BETWEEN.sub("", _PLAIN.sub(" ", part).strip().lower())
 
 
-def parse(text: str | None) -> tuple[str, list[int], list[dict]]:
-    """Body without quotations, hashes of its passages, quoted (level, hash)."""
-    body, own, quoted = [], [], []
+def _hash(plain: str) -> int:
+    return xxhash.xxh64_intdigest(plain.encode()) - (1 << 63)
+
+
+def _sentences(lines: list[str]) -> Iterator[tuple[str, list[str]]]:
+    """The normalised sentences of adjacent lines, and the lines of those that
+    run over several."""
+    for part in _SPLIT.split("\n".join(lines)):
+        if plain := _plain(part):
+            yield plain, [x for x in map(_plain, part.split("\n")) if x and x != plain] if "\n" in part else []
+
+
+def parse(text: str | None) -> tuple[str, list[int], list[dict], int]:
+    """Body without quotations, hashes of its sentences and their lines; forms
+    (level, sentence, h, whole, far) of the quoted sentences, and their number."""
+    body, own, quoted, n = [], [], [], 0
+    held: list[str] = []
+    held_level = 0
+
+    def end() -> None:
+        nonlocal n
+        for plain, lines in _sentences(held):
+            h = _hash(plain)
+            if not held_level:
+                own.extend((h, *map(_hash, lines)))
+                continue
+            n += 1
+            quoted.append({"level": held_level, "sentence": h, "h": h, "whole": True, "far": len(plain) >= _LEAST})
+            quoted.extend({"level": held_level, "sentence": h, "h": _hash(x), "whole": False, "far": True} for x in lines if len(x) >= _LEAST)
+        held.clear()
+
     lines = (text or "").split("\n")
     for i, line in enumerate(lines):
+        level = 0
         if m := _QUOTE.match(line):
-            level = m[1].count(">")
-            quoted += [{"level": level, "h": h} for h in _hashes(m[2])]
+            level, line = m[1].count(">"), m[2]
         elif _ANNOUNCE.match(line.strip()) and i + 1 < len(lines) and lines[i + 1].lstrip().startswith(">"):
+            end()
             continue
         else:
             body.append(line)
-            own += _hashes(line)
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(body)).strip(), own, quoted
+        if level != held_level or not line.strip():
+            end()
+            held_level = level
+        if line.strip():
+            held.append(line)
+    end()
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(body)).strip(), own, quoted, n
 
 
-_KIND = "conv_id long, turn long, role string, body string, own array<long>, quoted array<struct<level:int,h:long>>"
+_KIND = "conv_id long, turn long, role string, body string, own array<long>, quoted array<struct<level:int,sentence:long,h:long,whole:boolean,far:boolean>>, n_quoted long"
 
 
 def parsed(messages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("level", pa.int32()), ("h", pa.int64())]))
+        kind = pa.list_(pa.struct([("level", pa.int32()), ("sentence", pa.int64()), ("h", pa.int64()), ("whole", pa.bool_()), ("far", pa.bool_())]))
         for b in batches:
             out = [parse(x) for x in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("conv_id"), b.column("turn"), b.column("role"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], kind)], names=["conv_id", "turn", "role", "body", "own", "quoted"])
+            yield pa.record_batch([b.column("conv_id"), b.column("turn"), b.column("role"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], kind), pa.array([x[3] for x in out], pa.int64())], names=["conv_id", "turn", "role", "body", "own", "quoted", "n_quoted"])
 
     src = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     return src.mapInArrow(run, _KIND)
@@ -81,15 +114,17 @@ def parsed(messages: DataFrame) -> DataFrame:
 def reply_links(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, parent_conv, parent_turn, n_linked) of messages that quote another."""
     rows = rows.where("conv_id is not null and turn is not null")
-    asked = rows.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", "q.h").distinct()
+    asked = rows.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.*").distinct()
     owned = rows.select("conv_id", "turn", F.explode("own").alias("h")).distinct()
     wanted = owned.join(asked.select("h").distinct(), "h", "left_semi")
-    both = asked.withColumn("owner", F.lit(None).cast("long")).unionByName(wanted.select("conv_id", "turn", F.lit(0).alias("level"), "h", F.col("turn").alias("owner")))
+    both = asked.withColumn("owner", F.lit(None).cast("long")).unionByName(wanted.select("conv_id", "turn", "h", F.col("turn").alias("owner")), allowMissingColumns=True)
     before = Window.partitionBy("conv_id", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     near = both.withColumn("own_turn", F.max("owner").over(before)).where("owner is null")
     first = wanted.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    far = near.join(first, "h", "left").where(F.col("own_turn").isNotNull() | (F.col("first") < F.struct("conv_id", "turn")) & (F.col("first.conv_id") != F.col("conv_id")))
-    linked = far.select("conv_id", "turn", "level", F.when(F.col("own_turn").isNotNull(), F.struct("conv_id", F.col("own_turn").alias("turn"))).otherwise(F.col("first")).alias("to"))
+    far = near.join(first, "h", "left").where(F.col("own_turn").isNotNull() | F.col("far") & (F.col("first") < F.struct("conv_id", "turn")) & (F.col("first.conv_id") != F.col("conv_id")))
+    linked = far.select("conv_id", "turn", "level", "sentence", "whole", F.when(F.col("own_turn").isNotNull(), F.struct("conv_id", F.col("own_turn").alias("turn"))).otherwise(F.col("first")).alias("to"))
+    # a sentence has one vote: as a whole if it is found so, else by a line of it
+    linked = linked.groupBy("conv_id", "turn", "level", "sentence").agg(F.max(F.struct("whole", F.col("to.conv_id") == F.col("conv_id"), "to")).alias("m")).select("conv_id", "turn", "level", F.col("m.to").alias("to"))
     votes = linked.groupBy("conv_id", "turn", "level", "to").agg(F.count("*").alias("n"))
     best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "n", F.col("to.turn"), F.col("to.conv_id"))).alias("b"), F.sum("n").alias("n_linked"))
     return best.select("conv_id", "turn", F.col("b.conv_id").alias("parent_conv"), F.col("b.turn").alias("parent_turn"), "n_linked")
@@ -112,6 +147,6 @@ def link(messages: DataFrame) -> DataFrame:
     up = up.join(links, ["conv_id", "turn"])
     out = rows.join(up, ["conv_id", "turn"], "left")
     return out.select(
-        "conv_id", "turn", "role", "body", F.size("quoted").cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent_conv", "parent_turn",
+        "conv_id", "turn", "role", "body", "n_quoted", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "parent_conv", "parent_turn",
         F.coalesce("top_conv", "conv_id").alias("branch_conv"), F.coalesce("top_turn", "turn").alias("branch_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
     )

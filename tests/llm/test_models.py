@@ -164,6 +164,20 @@ def test_quotations_link_messages(spark):
     assert quotation.link(messages.unionByName(messages)).count() == 14
 
 
+def test_short_and_wrapped_quotations_link(spark):
+    data = [
+        (1, 0, "u", "Yes."), (1, 1, "a", "> Yes.\nFine then."),
+        (2, 0, "u", "Shall we go on with the plan of yesterday, or wait\nfor the others to come back?\n\nThanks!"),
+        (2, 1, "a", "> Shall we go on with the plan\n> of yesterday, or wait for the others\n> to come back?\nLet us wait."), (2, 2, "u", "> Thanks!\nWelcome."),
+        (3, 0, "u", "今日は。\n明日、会議が\nあります。"), (3, 1, "a", "> 今日は。\nはい"), (3, 2, "u", "> 明日、会議があります。\n了解"),
+        (4, 0, "u", "> Yes.\nNo such message in here."), (4, 1, "u", "first item of it\nsecond item of it\nthird item of it"), (4, 2, "u", "> first item of it\n> third item of it\nBoth."),
+    ]
+    got = {(r["conv_id"], r["turn"]): r for r in quotation.link(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()}
+    up = {k: (r["parent_conv"], r["parent_turn"]) for k, r in got.items() if r["parent_conv"]}
+    assert up == {(1, 1): (1, 0), (2, 1): (2, 0), (2, 2): (2, 0), (3, 1): (3, 0), (3, 2): (3, 0), (4, 2): (4, 1)}
+    assert got[2, 1]["n_quoted"] == got[2, 1]["n_linked"] == 1
+
+
 def test_long_chain_of_replies(spark):
     data = [(7, k, "u", (f"> passage of number {k - 1} stands here\n" if k else "") + f"passage of number {k} stands here") for k in range(40)]
     got = {r["turn"]: r for r in quotation.link(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()}
