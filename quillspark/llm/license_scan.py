@@ -14,10 +14,17 @@ Only DataFrame operations are used.
 Rows: a null or empty text, or one without such a line, has no licence of its
 own; a null path is in no directory; ties go to the better score, then to the
 template's name; an empty table gives no rows.
+
+Whole texts, and their heads of comments with the lines joined, are compared in
+the same way with full licence texts and notices.  A text that a full one fits,
+and a file that is named as one and has a licence, is a licence file; what a
+whole text or head is like goes before what its lines are like.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +49,13 @@ TEMPLATES = {
 }
 ABOUT = r"(?i)licen[cs]|rights reserved|public domain|redistribution and use|permission to use|SPDX-|source code form"
 
+#: Full licence texts, and the notices that stand at the head of files.
+FULL = {f.name.removesuffix(".txt"): f.read_text() for f in sorted((Path(__file__).parent / "licences").glob("*.txt"))}
+#: A word of these is in every one of them; a text without any is compared with none.
+MARK = r"(?i)licen[cs]|warrant|permission|copyright|redistribut|public domain"
+NAMED = r"(?i)(^|/)(un)?(licen[cs]e|copying)([.-][^/]*)?$"
+COMMENT = r"^\s*(#|//|/?\*|--|;|%|<!--|\(\*)"
+
 
 def _terms(line: str | Column) -> Column:
     """Lower-cased words of ASCII letters and digits."""
@@ -66,11 +80,34 @@ def match_lines(lines: DataFrame, spark: SparkSession, least: float = 0.6) -> Da
     return best.select("line", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
 
-def scan(files: DataFrame, file_id: str = "file_id", path: str = "path", text: str = "text", least: float = 0.6, mostly: float = 0.5) -> DataFrame:
+def match_texts(units: DataFrame, spark: SparkSession, least: float) -> DataFrame:
+    """(file_id, license, score) of the texts (file_id, part, text) that a full
+    text or a notice fits; term counts weigh by their logarithm, so that the
+    words of all prose don't make texts alike."""
+    count = lambda df, *keys: df.select(*keys, F.explode(_terms("text")).alias("term")).groupBy(*keys, "term").agg((1 + F.log(F.count("*"))).alias("tf"))
+    words = count(units, "file_id", "part")
+    held = count(spark.createDataFrame(list(FULL.items()), "full string, text string"), "full")  # a fixed table
+    total = units.count() + len(FULL)
+    seen = words.select("term").unionByName(held.select("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = seen.select("term", (F.log(F.lit(1.0 + total) / (1.0 + F.col("df"))) + 1).alias("idf"))
+    words = words.join(idf, "term").select("file_id", "part", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    held = held.join(idf, "term").select("full", "term", (F.col("tf") * F.col("idf")).alias("v"))
+    size = words.groupBy("file_id", "part").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("size"))
+    held_size = held.groupBy("full").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("held_size"))
+    rows = held.groupBy("term").agg(F.collect_list(F.struct("full", "v")).alias("in"))  # at most one for each text
+    dots = words.join(F.broadcast(rows), "term").select("file_id", "part", "w", F.explode("in").alias("i")).groupBy("file_id", "part", "i.full").agg(F.sum(F.col("w") * F.col("i.v")).alias("dot"))
+    score = dots.join(size, ["file_id", "part"]).join(F.broadcast(held_size), "full").select("file_id", "part", F.regexp_replace("full", r"\.header$", "").alias("license"), F.round(F.col("dot") / (F.col("size") * F.col("held_size")), 6).alias("score"), F.col("full").endswith(".header").alias("notice"))
+    fits = score.where(F.col("score") >= least)
+    best = fits.groupBy("file_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "license", (F.col("notice") | (F.col("part") == "head")).alias("head"))).alias("b"))
+    return best.select("file_id", F.col("b.license").alias("text_license"), (-F.col("b.s")).alias("text_score"), (~F.col("b.head")).alias("full"))
+
+
+def scan(files: DataFrame, file_id: str = "file_id", path: str = "path", text: str = "text", least: float = 0.6, mostly: float = 0.5, alike: float = 0.8) -> DataFrame:
     """(file_id, path, own_license, own_score, license, origin, from_dir) of each file.
 
     ``origin``: ``file`` (a licence file), ``header``, ``inherited`` or ``none``.
     ``mostly``: share of a file's words in matched lines from which it is a licence file.
+    ``alike``: least cosine of a whole text, or of its head of comments, to a full text.
     """
     spark = files.sparkSession
     src = files.select(F.col(file_id).alias("file_id"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
@@ -83,6 +120,20 @@ def scan(files: DataFrame, file_id: str = "file_id", path: str = "path", text: s
     found = held.join(match_lines(lines, spark, least), "line")
     own = found.groupBy("file_id", "dir", "n_words").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), F.sum(F.size(F.split("line", r"\s+"))).alias("n_about"))
     own = own.select("file_id", "dir", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"), (F.col("n_about") >= mostly * F.col("n_words")).alias("speaks"))
+    marked = files.select(F.col(file_id).alias("file_id"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike(MARK) & F.col("file_id").isNotNull()).distinct()
+    row = F.split("text", "\r?\n")
+    past = F.array_position(F.transform(row, lambda x: x.rlike(COMMENT)), False)
+    head = F.array_join(F.when(past > 0, F.slice(row, F.lit(1), (past - 1).cast("int"))).otherwise(row), "\n")
+    units = marked.select("file_id", F.explode(F.array(F.struct(F.lit("whole").alias("part"), "text"), F.struct(F.lit("head").alias("part"), head.alias("text")))).alias("u")).select("file_id", "u.part", "u.text").where("text <> ''")
+    texts = cut(match_texts(cut(units, "texts"), spark, alike), "alike")
+    where = src.select("file_id", "path", "dir").join(texts.select("file_id"), "file_id", "left_semi").select("file_id", "dir").distinct()
+    own = own.unionByName(where.join(own, "file_id", "left_anti"), allowMissingColumns=True)
+    own = own.join(texts, "file_id", "left")
+    named = src.where(F.col("path").rlike(NAMED)).select("file_id").distinct().withColumn("named", F.lit(True))
+    own = own.join(named, "file_id", "left").select(
+        "file_id", "dir", F.coalesce("text_license", "own_license").alias("own_license"), F.coalesce("text_score", "own_score").alias("own_score"),
+        (F.coalesce("speaks", F.lit(False)) | F.coalesce("full", F.lit(False)) | F.coalesce("named", F.lit(False))).alias("speaks"),
+    )
     spoken = own.where("speaks and dir is not null").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), "own_license")).alias("b")).select(F.col("dir").alias("from_dir"), F.col("b.own_license").alias("dir_license"))
     each = src.where("dir is not null").select("dir").distinct()
     parts = F.split("dir", "/")

@@ -1,5 +1,8 @@
 """Operators that fit a model, and the remaining ones."""
 
+import textwrap
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -184,6 +187,21 @@ def test_long_chain_of_replies(spark):
     assert all(r["depth"] == k and r["branch_turn"] == 0 for k, r in got.items())
 
 
+def test_full_licence_texts_and_wrapped_headers(spark):
+    full = lambda name: (Path(license_scan.__file__).parent / "licences" / f"{name}.txt").read_text()
+    head = "".join(f" * {x}\n" for x in textwrap.wrap(full("GPL-2.0.header"), 50))
+    files = [
+        (1, "m/LICENSE", "The MIT License\n\nCopyright (c) 2020 Some One\n\n" + full("MIT")), (2, "m/src/x.py", "print(1)"), (3, "g/COPYING", full("GPL-3.0")), (4, "g/a/y.c", "int x;"),
+        (5, "b/legal.txt", "Copyright 2019 Firm X\n" + full("BSD-3-Clause")), (6, "b/z.c", ""), (7, "h/w.c", "/*\n" + head + " */\n" + "int value = compute(value);\n" * 200),
+        (8, "p/prose.txt", "The permission of the owner is a thing of which we speak in this text, and for the sake of it. " * 20), (9, "a/LICENSE", full("Apache-2.0")), (10, "a/b/c/v.c", None),
+    ]
+    got = {r["file_id"]: (r["license"], r["origin"], r["from_dir"]) for r in license_scan.scan(spark.createDataFrame(files, "file_id long, path string, text string")).collect()}
+    assert got == {
+        1: ("MIT", "file", None), 2: ("MIT", "inherited", "m"), 3: ("GPL-3.0", "file", None), 4: ("GPL-3.0", "inherited", "g"), 5: ("BSD-3-Clause", "file", None), 6: ("BSD-3-Clause", "inherited", "b"),
+        7: ("GPL-2.0", "header", None), 8: (None, "none", None), 9: ("Apache-2.0", "file", None), 10: ("Apache-2.0", "inherited", "a"),
+    }
+
+
 def test_licences_are_inherited_by_path(spark):
     files = [
         (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.py", "print(1)"), (3, "a/b/y.py", "# Licensed under the Apache License, Version 2.0.\n" + "code\n" * 50),
