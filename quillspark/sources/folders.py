@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -10,12 +12,18 @@ _own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; where the session names none
-    (a local session), a temporary one."""
+    """The folder shared by driver and executors (``spark.checkpoint.dir``).  A
+    local session that names none gets a temporary one, which goes when Python
+    ends; on a cluster a folder has to be named, as one of this machine would
+    be out of reach of the executors."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     key = spark.sparkContext.applicationId
     if key not in _own:
-        _own[key] = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+        path = tempfile.mkdtemp(prefix="quillspark-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _own[key] = "file://" + path
     return _own[key]
