@@ -2,26 +2,34 @@
 batches, packed exchanges, tables cut from their lineage, and components.
 
 Tokens of a whole batch are hashed at once: each byte looks up a random word
-by (position in its token, value) and the words of a token are added, so no
-Python object is made for a token.  Everything is a pure function of the text;
-a task that is run again on another executor makes the same rows.
+by (position in its block of 64 bytes, value), the words of a block are added,
+and the blocks of a longer token are mixed with their number before they are
+added, so no Python object is made for a token.  Everything is a pure function
+of the text; a task that is run again on another executor makes the same rows.
+
+A row is known by (key, tie): its id, a null one as the largest, and a hash of
+its text.  So rows without an id, and rows that share an id but not the text,
+are rows of their own; rows equal in both are copies and get equal results.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillspark.sources.folders import scratch
 
 U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
-_own_folder: dict[str, str] = {}
+#: The key of a row without an id.
+NO_ID = (1 << 63) - 1
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -89,17 +97,39 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def runs(data: np.ndarray, at: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of texts of about ``most`` bytes (a longer text is a run of its own)."""
-    data, at = buffers(texts)
-    i = 0
-    while i < len(texts):
+    i, n = 0, len(at) - 1
+    while i < n:
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
         yield i, j, data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
 
 
-def tokens(data: np.ndarray, at: np.ndarray, letters: Alphabet) -> Tokens:
+def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    return runs(*buffers(texts))
+
+
+def tokens(data: np.ndarray, at: np.ndarray, letters: Alphabet, most: int = 1 << 22) -> Tokens:
+    """The tokens of texts; a run longer than ``most`` bytes is read in pieces
+    that end between tokens, so that what is held for each byte is bounded."""
+    if len(data) <= most:
+        return _tokens(data, at, letters)
+    parts, s = [], 0
+    while s < len(data):
+        e = min(len(data), s + most)
+        while e < len(data) and letters.inside[data[e - 1]]:  # to the end of the token
+            rest = np.flatnonzero(~letters.inside[data[e : e + most]])
+            e += int(rest[0]) + 1 if len(rest) else min(most, len(data) - e)
+        inner = at[(at > s) & (at < e)]
+        parts.append(_tokens(data[s:e], np.concatenate([[s], inner, [e]]) - s, letters))
+        parts[-1] = parts[-1]._replace(start=parts[-1].start + s, end=parts[-1].end + s)
+        s = e
+    h, start, end = (np.concatenate([x[k] for x in parts]) for k in range(3))
+    return Tokens(h, start, end, np.searchsorted(start, at))
+
+
+def _tokens(data: np.ndarray, at: np.ndarray, letters: Alphabet) -> Tokens:
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
@@ -118,12 +148,17 @@ def tokens(data: np.ndarray, at: np.ndarray, letters: Alphabet) -> Tokens:
     place = where - np.repeat(start, size)
     byte = data[where] if letters.read is None else letters.read[data[where]]
     part = _TABLE[((place & 63) << 8) | byte]
-    if len(size) and size.max() > 64:
-        part = part * (((place >> 6) << 1) | 1).astype(U)
-    if len(start):
+    if not len(start):
+        h = np.zeros(0, U)
+    elif size.max() <= 64:
         h = mix(np.add.reduceat(part, np.cumsum(size) - size))
     else:
-        h = np.zeros(0, U)
+        heads = np.flatnonzero((place & 63) == 0)
+        block = place[heads] >> 6
+        sums = np.add.reduceat(part, heads)
+        later = np.repeat(size > 64, (size + 63) >> 6)  # blocks of tokens that have several
+        sums[later] = mix(sums[later] + (block[later].astype(U) + U(1)) * U(_ODD))
+        h = mix(np.add.reduceat(sums, np.flatnonzero(block == 0)))
     return Tokens(h, start, end, np.searchsorted(start, at))
 
 
@@ -208,25 +243,65 @@ def packed_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     )
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own where the
-    session names none (a local session, as in tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    key = spark.sparkContext.applicationId
-    if key not in _own_folder:
-        _own_folder[key] = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-    return _own_folder[key]
+def identified(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, key, tie, text) of each row of ``df``; see the top of this module."""
+    src = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    return src.select("id", F.coalesce("id", F.lit(NO_ID)).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
+
+
+def wrapped(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(rest, key, tie): each row of ``df`` as a struct, whatever its columns
+    are called, and what it is known by."""
+    key, tie = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return df.select(F.struct("*").alias("rest"), key.alias("key"), tie.alias("tie"))
+
+
+def filtered(df: DataFrame, text: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of ``df`` for whose texts ``keep`` says so, as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.select(["rest"]).filter(pa.array(keep(b.column("text")), pa.bool_()))
+
+    src = df.select(F.struct("*").alias("rest"), F.col(text).cast("string").alias("text"))
+    return src.mapInArrow(run, T.StructType([src.schema["rest"]])).select("rest.*")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: what follows does
     not depend on the executors that made it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Remove what :func:`cut` wrote for ``df``, which nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def by_key(rows: DataFrame, found: DataFrame, key: str, many: str, total: int, how: str = "left", hot: int = 1000) -> DataFrame:
+    """``rows`` joined with ``found``, which has one row for each ``key`` and in
+    ``many`` how many of the ``total`` rows have it.  Keys of more than one
+    ``hot``-th of all rows are at most ``hot``, so these are broadcast and their
+    rows stay where they are; the others are shuffled."""
+    large = found.where(F.col(many) * hot > total)
+    small = found.where(F.col(many) * hot <= total)
+    near = rows.join(F.broadcast(large), key)  # at most ``hot`` rows
+    far = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(small, key, how)
+    return near.unionByName(far)
+
+
+def salted(rows: DataFrame, found: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
+    """``rows`` joined with ``found`` by ``keys``, of which one may be that of
+    very many rows: these are spread over ``salts`` partitions."""
+    spread = F.pmod(F.xxhash64(*[x for x in rows.columns if x not in keys]), F.lit(salts)).cast("int")
+    return rows.withColumn("salt", spread).join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "salt"]).drop("salt")
 
 
 def partitions(spark: SparkSession) -> int:
@@ -236,25 +311,26 @@ def partitions(spark: SparkSession) -> int:
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of ``edges`` (a long, b long): rows (id, root), the
     root being the least id of the component.  Large-star and small-star turns
-    alternate; each turn is a written table, and no vertex list is collected.
-    A hub's edges are reduced to stars before they are grouped again, and the
-    minimum over neighbours is a partial aggregate, so that a hub is not held
-    by one task as a list.
+    alternate; each turn is a written table that takes the place of the one
+    before, and no vertex list is collected.  The minimum over neighbours is a
+    partial aggregate, and the edges of a hub are not gathered to join it.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    last = None
+    pair = lambda a, b: F.struct(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    e = cut(edges.where("a <> b").select(pair("a", "b").alias("p")).select("p.*").distinct(), name)
+    n, last = e.count(), None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("many")).select("a", F.least("a", "m").alias("m"), "many")
         # large star: the larger neighbours of a point to its least neighbour
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = by_key(both.where("b > a"), low, "a", "many", 2 * n, "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: a and its smaller neighbours point to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        e = cut(small, name)
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("many"))
+        small = by_key(large, least, "a", "many", 2 * n, "inner").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        old, e = e, cut(small, name)
+        drop(old)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if now == last or now["n"] == 0:
             break
-        last = now
+        n, last = now["n"], now
     roots = e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("id"), "root")
     return roots.unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

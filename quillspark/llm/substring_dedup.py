@@ -1,27 +1,37 @@
 """Removal of long repeated word sequences (prefix-partitioned suffix trees).
 
-A suffix is the words of a document from one of its positions on.  Its place
-in the suffix tree down to depth ``window`` words decides whether it repeats:
-suffixes below one internal node of that depth share ``window`` words, and all
-but the earliest of them are repeats.  The tree is never built whole:
-
-* *Pruning.*  In each window the least of its ``anchor``-word hashes is kept
-  (so a repeated window always repeats its anchor); suffixes whose anchor is
-  unique in the corpus cannot lie below a deep node and are left out.
-* *Partitioning.*  A counting pass gives the number of suffixes below every
-  prefix of 1, 3 and 8 words (in a fixed table of hash slots).  A suffix goes
-  by the shortest prefix that is rare enough, else by all its words; so the
-  suffixes are dealt to groups that each fit in the memory of one task.
-* *Subtrees.*  Each group is sorted by path; its runs of equal paths are the
-  deep internal nodes, and joined runs in a document its maximal repeats.
-
-Before a shuffle each batch keeps the earliest suffix of a node only (the
-later ones repeat in any case), so that a passage held by a third of all
-documents reaches its group once a batch and not once a document.
+A suffix is the words of a document from one of its positions on.  Suffixes
+that share ``window`` words lie below one internal node of that depth or more
+of the suffix tree, and all but the earliest of them are repeats.  The tree of
+the corpus is never held whole:
+
+* *Anchors.*  In each window the least of its ``anchor``-word hashes is chosen,
+  so equal windows choose equal anchors.  A first pass finds the anchors that
+  the corpus repeats; no window of another can lie below a deep node.
+* *Partitioning.*  A slice is the words of neighbouring windows of one anchor.
+  Slices are dealt to groups by the words of the anchor, a prefix of
+  ``anchor`` words of the suffix that begins there.  Where the suffixes below
+  one prefix are too many for a group the prefix is lengthened to all words of
+  the window, and its windows are dealt one by one.  The groups grow in number
+  with the text, so that each fits in the memory of one task.
+* *Subtrees.*  Each group is a suffix array to the depth of its slices, made by
+  doubling ranks of words (ranks, not hashes, are compared), with the common
+  prefixes of neighbours.  Runs of neighbours that share ``window`` words or
+  more are the deep internal nodes; the windows that begin later in them join,
+  document by document, to the maximal repeats.
+
+Slices are sent as compressed bytes and read again in their group.  Before
+that each batch keeps the earliest suffix of a node only (word by word the
+same; the later ones repeat in any case), so that a passage held by a third of
+all documents reaches its group once a batch and not once a document.
 
 Rows: null and empty texts have no words and lose none; a document shorter
-than the window keeps all; equal texts keep one whole copy (the least id).
-Paths are compared as 64-bit hashes together with their group.
+than the window keeps all; equal texts keep one whole copy (the least id).  A
+null id comes after all others; rows of one id and different texts are
+documents of their own, in the order of a hash of the text; rows equal in id
+and text are copies of one row and lose the same words.  Further columns are
+not read, whatever they are called, and :func:`strip_documents` returns them.
+Two words are taken for equal if their 64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -35,84 +45,66 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm import common as c
 
-LEVELS = (1, 3, 8)
-SLOTS = 1 << 14
+ROOM = 1 << 19  # words that one group is meant for
+POOL = 1 << 25  # bytes of slices that a task holds before it sends them
+_HOT = -1 << 30  # the part of rows that name hot anchors
 
 
-def _counts(docs: DataFrame, window: int) -> tuple[np.ndarray, int]:
-    """Suffixes by hash slot of their prefix, one row for each of LEVELS."""
-    letters = c.spaced()
+class _Places:
+    """Rows (key, tie, value), one document after another."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.zeros((len(LEVELS), SLOTS), np.int64)
-        for b in batches:
-            for _, _, data, at in c.slices(b.column("text")):
-                t = c.tokens(data, at, letters)
-                ok = np.flatnonzero(t.whole(window, t.text_of()))
-                for row, k in enumerate(LEVELS):
-                    have[row] += np.bincount((c.grams(t.hashes, min(k, window))[ok] % c.U(SLOTS)).astype(np.int64), minlength=SLOTS)
-        yield pa.record_batch([pa.array(np.arange(have.size)), pa.array(have.ravel())], names=["slot", "n"])
+    def __init__(self, key: np.ndarray, tie: np.ndarray, value: np.ndarray):
+        self.key, self.tie, self.value = key, tie, value
 
-    rows = docs.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 0").collect()  # at most 3 * SLOTS rows
-    have = np.zeros(len(LEVELS) * SLOTS, np.int64)
-    for r in rows:
-        have[r["slot"]] = r["n"]
-    have = have.reshape(len(LEVELS), SLOTS)
-    return have, int(have[0].sum())
+    def rows(self, groups: int, sign: int = 1) -> Iterator[tuple[int, int, bytes]]:
+        """Packed rows for the gathering by document, dealt to ``groups`` parts."""
+        part = (c.mix(self.key.view(c.U) + self.tie.view(c.U) * c.U(3)) % c.U(groups)).astype(np.int64)
+        for p, x in c.by_part(part, self.key, self.tie, self.value):
+            yield (p if sign > 0 else -1 - p), len(x[0]), c.pack(*x)
 
 
-def _anchored(t: c.Tokens, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Whole windows, the text and anchor hash of every window, anchor-gram hashes."""
-    of = t.text_of()
-    g = c.grams(t.hashes, anchor)
-    m = c.lowest(g, window - anchor + 1)
-    return t.whole(window, of), of, m, g
-
-
-def _leaves(path: np.ndarray, d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of suffixes sorted by path and place: the first leaf below each deep
-    node, and the leaves at later places (a repeated row is the same place)."""
-    new = np.ones(len(path), bool)
-    new[1:] = path[1:] != path[:-1]
-    head = np.maximum.accumulate(np.where(new, np.arange(len(path)), 0))
-    return new, (d != d[head]) | (p != p[head])
-
-
-def _runs(doc: np.ndarray, value: np.ndarray, q: int) -> Iterator[tuple[int, int, bytes]]:
-    """Rows (doc, value) for the gathering by document, dealt to ``q`` parts."""
-    part = (c.mix(doc.view(c.U)) % c.U(q)).astype(np.int64)
-    for p, (d, v) in c.by_part(part, doc, value):
-        yield p, len(d), c.pack(d, v)
+def _frame(rows) -> pd.DataFrame:
+    return pd.DataFrame(list(rows), columns=["part", "n", "blob"])
 
 
 def _gather(packed: DataFrame, kind: type, name: str) -> DataFrame:
     """One row for each document: its values, sorted and distinct."""
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, value = c.unpack_all(pdf["blob"], pdf["n"], np.int64, kind)
-        order = np.lexsort((value, doc))
-        doc, value = doc[order], value[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-        doc, value = doc[new], value[new]
-        cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
-        ends = [*cuts[1:], len(doc)] if len(doc) else []
-        return pd.DataFrame({"key": doc[cuts], name: [value[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)]})
+        key, tie, value = c.unpack_all(pdf["blob"], pdf["n"], np.int64, np.int64, kind)
+        order = np.lexsort((value, tie, key))
+        key, tie, value = key[order], tie[order], value[order]
+        doc = np.ones(len(key), bool)
+        doc[1:] = (key[1:] != key[:-1]) | (tie[1:] != tie[:-1])
+        new = doc.copy()
+        new[1:] |= value[1:] != value[:-1]
+        key, tie, value, cuts = key[new], tie[new], value[new], np.flatnonzero(doc[new])
+        ends = np.append(cuts[1:], len(key))
+        return pd.DataFrame({"key": key[cuts], "tie": tie[cuts], name: [value[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)]})
+
+    return packed.groupBy("part").applyInPandas(gather, f"key long, tie long, {name} binary")
+
 
-    return packed.groupBy("part").applyInPandas(gather, f"key long, {name} binary")
+def _anchored(t: c.Tokens, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Whole windows, the text and anchor hash of every window, anchor-gram hashes."""
+    of = t.text_of()
+    g = c.grams(t.hashes, anchor)
+    return t.whole(window, of), of, c.lowest(g, window - anchor + 1), g
 
 
-def _repeated_anchors(docs: DataFrame, window: int, anchor: int, groups: int) -> DataFrame:
-    """(key, anchors): the anchors of each document that the corpus repeats."""
+def _repeated_anchors(docs: DataFrame, window: int, anchor: int, groups: int, hot: int) -> tuple[DataFrame, np.ndarray]:
+    """(key, tie, anchors): the anchors of each document that the corpus
+    repeats; and those that it has more than ``hot`` times."""
     letters = c.spaced()
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = np.asarray(b.column("key"))
-            hs, ds = [], []
+            key, tie = np.asarray(b.column("key")), np.asarray(b.column("tie"))
+            hs, rs = [], []
             for i, _, data, at in c.slices(b.column("text")):
                 t = c.tokens(data, at, letters)
                 ok, of, m, g = _anchored(t, window, anchor)
@@ -123,119 +115,211 @@ def _repeated_anchors(docs: DataFrame, window: int, anchor: int, groups: int) ->
                     chosen[d : d + len(m)] |= (g[d : d + len(m)] == m) & ok
                 at_ = np.flatnonzero(chosen)
                 hs.append(g[at_])
-                ds.append(ids[i + of[at_]])
+                rs.append(i + of[at_])
             if not hs:
                 continue
-            h, d = np.concatenate(hs), np.concatenate(ds)
-            order = np.lexsort((d, h))
-            h, d = h[order], d[order]
-            same = h[1:] == h[:-1]
-            again = np.zeros(len(h), bool)  # the batch itself repeats it
-            again[1:] |= same
-            again[:-1] |= same
+            h, row = np.concatenate(hs), np.concatenate(rs)
+            order = np.lexsort((row, h))
+            h, row = h[order], row[order]
             first = np.ones(len(h), bool)
-            first[1:] = ~same
-            rows = [(-1 - p, n, x) for p, n, x in _runs(d[again], h[again], groups)]
-            hh, flag, dd = h[first], again[first].astype(np.uint8), d[first]
-            for p, (x, y, z) in c.by_part((hh >> c.U(40)).astype(np.int64) % groups, hh, flag, dd):
-                rows.append((p, len(x), c.pack(x, y, z)))
-            yield c.packed_batch(rows)
-
-    def decide(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if key[0] < 0:
+            first[1:] = h[1:] != h[:-1]
+            many = np.diff(np.append(np.flatnonzero(first), len(h)))
+            again = np.repeat(many > 1, many)  # the batch itself repeats it
+            out = list(_Places(key[row[again]], tie[row[again]], h[again]).rows(groups, -1))
+            row = row[first]
+            for p, x in c.by_part((h[first] >> c.U(40)).astype(np.int64) % groups, h[first], many.astype(np.int32), key[row], tie[row]):
+                out.append((p, len(x[0]), c.pack(*x)))
+            yield c.packed_batch(out)
+
+    def decide(part: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if part[0] < 0:
             return pdf.assign(part=-1 - pdf["part"])
-        h, flag, d = c.unpack_all(pdf["blob"], pdf["n"], c.U, np.uint8, np.int64)
-        order = np.argsort(h, kind="stable")
-        h, flag, d = h[order], flag[order], d[order]
-        same = h[1:] == h[:-1]
-        again = np.zeros(len(h), bool)
-        again[1:] |= same
-        again[:-1] |= same
-        again &= flag == 0  # the others are on their way already
-        return pd.DataFrame(list(_runs(d[again], h[again], groups)), columns=["part", "n", "blob"])
-
-    packed = docs.select("key", "text").mapInArrow(collect, c.PACKED).groupBy("part").applyInPandas(decide, c.PACKED)
-    return _gather(packed, c.U, "anchors")
-
-
-def _repeats(docs: DataFrame, anchors: DataFrame, window: int, anchor: int, counts: np.ndarray, room: int, groups: int) -> DataFrame:
-    """(key, starts): starts of the windows of each document that begin earlier elsewhere."""
+        h, many, key, tie = c.unpack_all(pdf["blob"], pdf["n"], c.U, np.int32, np.int64, np.int64)
+        h, at = np.unique(h, return_inverse=True)
+        total = np.bincount(at, many)
+        again = (total[at] > 1) & (many == 1)  # the others are on their way already
+        over = np.flatnonzero(total > hot)
+        out = list(_Places(key[again], tie[again], h[at[again]]).rows(groups))
+        return _frame([*out, (_HOT, len(over), h[over].tobytes())] if len(over) else out)
+
+    decided = c.cut(docs.select("key", "tie", "text").mapInArrow(collect, c.PACKED).groupBy("part").applyInPandas(decide, c.PACKED), "anchors")
+    # an anchor that is hot fills a group, so there are fewer than groups
+    over = np.sort(np.frombuffer(b"".join(r["blob"] for r in decided.where(F.col("part") == _HOT).collect()), c.U))
+    return _gather(decided.where(F.col("part") >= 0), c.U, "anchors"), over
+
+
+def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _bytes(data: np.ndarray, start: np.ndarray, size: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """The bytes of ranges one after another, taken about ``most`` at a time."""
+    out, upto = [np.zeros(0, np.uint8)], np.append(0, np.cumsum(size))
+    i = 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + most, "right")) - 1)
+        out.append(data[np.repeat(start[i:j] - (upto[i:j] - upto[i]), size[i:j]) + np.arange(upto[j] - upto[i])])
+        i = j
+    return np.concatenate(out)
+
+
+class _Pool:
+    """Windows of a run of texts, and what is sent of them."""
+
+    def __init__(self, window: int, groups: int, over: np.ndarray):
+        self.window, self.groups, self.over = window, groups, over
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.data, self.windows, self.base, self.size = [], [], [], 0, 0
+
+    def add(self, t: c.Tokens, data: np.ndarray, at: np.ndarray, anchor: np.ndarray, key: np.ndarray, tie: np.ndarray, place: np.ndarray) -> None:
+        """The windows that begin at the tokens ``at``."""
+        path = c.grams(t.hashes, self.window)[at]
+        self.windows.append((at + self.base, path, anchor, key, tie, place.astype(np.int32), self.size + t.start[at], self.size + t.end[at + self.window - 1]))
+        self.hashes.append(t.hashes)
+        self.data.append(data)
+        self.base += len(t.hashes)
+        self.size += len(data)
+
+    def rows(self) -> Iterator[tuple[int, int, bytes]]:
+        if not self.windows:
+            return
+        word = np.concatenate(self.hashes)
+        at, path, anchor, key, tie, place, start, end = map(np.concatenate, zip(*self.windows, strict=True))
+        order = np.lexsort((place, tie, key, path))
+        head = np.append(True, path[order][1:] != path[order][:-1])
+        head = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+        first = np.empty(len(at), np.int64)
+        first[order] = head
+        same = first != np.arange(len(at))
+        for d in range(self.window):  # word by word
+            same &= word[at + d] == word[at[first] + d]
+        other = (key != key[first]) | (tie != tie[first]) | (place != place[first])
+        again = same & other
+        yield from _Places(key[again], tie[again], place[again]).rows(self.groups, -1)
+        keep = np.flatnonzero(~same)
+        at, path, anchor, key, tie, place, start, end = (x[keep] for x in (at, path, anchor, key, tie, place, start, end))
+        alone = _within(anchor, self.over)
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (anchor[1:] != anchor[:-1]) | alone[1:] | (place[1:] != place[:-1] + 1)
+        s = np.flatnonzero(new)
+        e = np.append(s[1:], len(at)) - 1
+        group = (c.mix(np.where(alone[s], path[s], anchor[s])) % c.U(self.groups)).astype(np.int64)
+        data = np.concatenate(self.data)
+        for g, (lo, hi) in c.by_part(group, s, e):
+            size = end[hi] - start[lo]
+            raw = c.pack(np.diff(key[lo], prepend=np.int64(0)), tie[lo], place[lo], size.astype(np.int32)) + _bytes(data, start[lo], size).tobytes()
+            yield g, len(lo), len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _slices(blobs, sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, tie and place of each slice; bytes and offsets of their words."""
+    parts, data = [], []
+    for blob, n in zip(blobs, sizes, strict=True):
+        raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+        step, tie, place, size = c.unpack(raw, n, np.int64, np.int64, np.int32, np.int32)
+        parts.append((np.cumsum(step), tie, place, size))
+        data.append(np.frombuffer(raw, np.uint8, offset=24 * n))
+    key, tie, place, size = map(np.concatenate, zip(*parts, strict=True))
+    return key, tie, place, np.concatenate(data), np.append(0, np.cumsum(size, dtype=np.int64))
+
+
+def suffix_array(word: np.ndarray, at: np.ndarray, end: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of the suffixes that begin at ``at`` by their first ``window``
+    words, and a function of neighbours: the words (up to twice as many less
+    one, and not beyond ``end``) that two of them share."""
+    levels = [np.unique(word, return_inverse=True)[1]]
+    k = 1
+    while 2 * k <= window:
+        r = levels[-1]
+        r2 = np.zeros(len(word), np.int64)
+        if len(word) > k:
+            r2[:-k] = np.unique(r[:-k] * np.int64(len(word) + 1) + r[k:], return_inverse=True)[1]
+        levels.append(r2)
+        k *= 2
+    rank = levels[-1][at] * np.int64(len(word) + 1) + levels[-1][at + window - k]
+
+    def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of suffixes number ``a`` and ``b``."""
+        n = np.zeros(len(a), np.int64)
+        for level in range(len(levels) - 1, -1, -1):
+            k = 1 << level
+            x, y = at[a] + n, at[b] + n
+            fits = np.flatnonzero((x + k <= end[a]) & (y + k <= end[b]))
+            n[fits[levels[level][x[fits]] == levels[level][y[fits]]]] += k
+        return n
+
+    return rank, shared
+
+
+def _repeats(docs: DataFrame, anchors: DataFrame, over: np.ndarray, window: int, anchor: int, groups: int) -> DataFrame:
+    """(key, tie, starts): starts of the windows of each document that begin earlier elsewhere."""
     letters = c.spaced()
-    rare = counts <= room
+    held = docs.sparkSession.sparkContext.broadcast(over)  # fewer than groups
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = _Pool(window, groups, held.value)
         for b in batches:
-            ids = np.asarray(b.column("key"))
-            known = b.column("anchors")
-            paths, groups_, ds, ps = [], [], [], []
+            key, tie, known = np.asarray(b.column("key")), np.asarray(b.column("tie")), b.column("anchors")
             for i, j, data, at in c.slices(b.column("text")):
                 t = c.tokens(data, at, letters)
                 ok, of, m, _ = _anchored(t, window, anchor)
                 for k in range(i, j):
                     lo, hi = t.first[k - i], min(t.first[k - i + 1], len(m))
                     blob = known[k].as_py() if ok[lo:hi].any() else None
-                    if not blob:
-                        ok[lo:hi] = False
-                        continue
-                    have = np.frombuffer(blob, c.U)
-                    spot = np.minimum(np.searchsorted(have, m[lo:hi]), len(have) - 1)
-                    ok[lo:hi] &= have[spot] == m[lo:hi]
+                    ok[lo:hi] &= _within(m[lo:hi], np.frombuffer(blob, c.U)) if blob else False
                 at_ = np.flatnonzero(ok)
-                if not len(at_):
-                    continue
-                path = c.grams(t.hashes, window)[at_]
-                by = path.copy()
-                for row, k in reversed(list(enumerate(LEVELS))):
-                    prefix = c.grams(t.hashes, min(k, window))[at_]
-                    short = rare[row][(prefix % c.U(SLOTS)).astype(np.int64)]
-                    by[short] = prefix[short]
-                paths.append(path)
-                groups_.append(((c.mix(by) >> c.U(33)) % c.U(groups)).astype(np.int32))
-                ds.append(ids[i + of[at_]])
-                ps.append((at_ - t.first[of[at_]]).astype(np.int32))
-            if not paths:
-                continue
-            path, group, d, p = map(np.concatenate, (paths, groups_, ds, ps))
-            order = np.lexsort((p, d, path))
-            path, group, d, p = path[order], group[order], d[order], p[order]
-            new, later = _leaves(path, d, p)
-            rows = [(-1 - q, n, x) for q, n, x in _runs(d[later], p[later], groups)]
-            keep = np.flatnonzero(new)
-            keep = keep[np.lexsort((p[keep], d[keep]))]  # neighbours shrink well
-            for g, (x, y, z) in c.by_part(group[keep], path[keep], d[keep], p[keep]):
-                step = np.diff(y, prepend=np.int64(0))
-                rows.append((g, len(x), c.pack(x, step, z)))
-            yield c.packed_batch(rows)
-
-    def subtree(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if key[0] < 0:
+                if len(at_):
+                    row = i + of[at_]
+                    pool.add(t, data, at_, m[at_], key[row], tie[row], at_ - t.first[of[at_]])
+                    if pool.size > POOL:
+                        yield c.packed_batch(list(pool.rows()))
+                        pool.clear()
+        yield c.packed_batch(list(pool.rows()))
+
+    def subtree(part: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if part[0] < 0:
             return pdf.assign(part=-1 - pdf["part"])
-        parts = [c.unpack(x, n, c.U, np.int64, np.int32) for x, n in zip(pdf["blob"], pdf["n"], strict=True)]
-        path = np.concatenate([x[0] for x in parts])
-        d = np.concatenate([np.cumsum(x[1]) for x in parts])
-        p = np.concatenate([x[2] for x in parts])
-        order = np.lexsort((p, d, path))
-        path, d, p = path[order], d[order], p[order]
-        _, later = _leaves(path, d, p)
-        return pd.DataFrame(list(_runs(d[later], p[later], groups)), columns=["part", "n", "blob"])
-
-    joined = docs.select("key", "text").join(anchors, "key", "left")
-    packed = joined.select("key", "text", "anchors").mapInArrow(emit, c.PACKED).groupBy("part").applyInPandas(subtree, c.PACKED)
+        key, tie, place, data, cut = _slices(pdf["blob"], pdf["n"])
+        del pdf
+        words, ofs = [], []
+        for i, _, some, at in c.runs(data, cut):
+            t = c.tokens(some, at, letters)
+            words.append(t.hashes)
+            ofs.append(i + t.text_of())
+        word, of = np.concatenate(words), np.concatenate(ofs)
+        first = np.searchsorted(of, np.arange(len(key) + 1))
+        at = np.arange(max(0, len(word) - window + 1))
+        at = at[at + window <= first[of[at] + 1]]
+        own = of[at]
+        place = place[own] + (at - first[own])
+        rank, shared = suffix_array(word, at, first[own + 1], window)
+        key, tie = key[own], tie[own]
+        order = np.lexsort((place, tie, key, rank))
+        depth = shared(order[:-1], order[1:])  # of the node above each two neighbours
+        head = np.maximum.accumulate(np.where(np.append(True, depth < window), np.arange(len(order)), 0))
+        key, tie, place = key[order], tie[order], place[order].astype(np.int32)
+        later = (key != key[head]) | (tie != tie[head]) | (place != place[head])
+        return _frame(_Places(key[later], tie[later], place[later]).rows(groups))
+
+    joined = docs.select("key", "tie", "text").join(anchors, ["key", "tie"], "left")
+    packed = joined.select("key", "tie", "text", "anchors").mapInArrow(emit, c.PACKED).groupBy("part").applyInPandas(subtree, c.PACKED)
     return _gather(packed, np.int32, "starts")
 
 
-def removed_windows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, room: int = 1 << 19) -> DataFrame:
-    """Rows (key, text, starts): every document, and as packed 32-bit integers
-    the starts (word indices) of its windows that begin earlier elsewhere;
-    null if there are none.  ``room``: suffixes that one task holds at once.
+def removed_windows(docs: DataFrame, window: int = 20, room: int = ROOM) -> DataFrame:
+    """(key, tie, starts) of identified documents (see common): as packed
+    32-bit integers the starts (word indices) of the windows that begin earlier
+    elsewhere; only documents that have some.  ``room``: words of a group.
     """
-    docs = df.select(F.col(doc_id).cast("long").alias("key"), F.col(text).cast("string").alias("text")).where("key is not null")
     anchor = max(1, window // 2)
-    counts, total = _counts(docs, window)
-    groups = int(max(c.partitions(df.sparkSession), -(-total // room)))
-    anchors = _repeated_anchors(docs, window, anchor, groups)
-    starts = _repeats(docs, anchors, window, anchor, counts, room // 4, groups)
-    return docs.join(starts, "key", "left").select("key", "text", "starts")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = int(max(c.partitions(docs.sparkSession), size // (8 * room)))
+    anchors, over = _repeated_anchors(docs, window, anchor, groups, max(1, room // 32))
+    return _repeats(docs, anchors, over, window, anchor, groups)
 
 
 def covered(n: int, starts: bytes | None, window: int) -> np.ndarray | None:
@@ -250,49 +334,66 @@ def covered(n: int, starts: bytes | None, window: int) -> np.ndarray | None:
     return np.cumsum(edge)[:n] > 0
 
 
-def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, room: int = 1 << 19) -> DataFrame:
+def _stripped(texts: pa.Array, starts: pa.Array, window: int) -> tuple[list, list[int], list[int]]:
+    """Texts without their repeated windows, words, and words taken out."""
+    letters = c.spaced()
+    out, n, gone = [], [], []
+    for raw, mine in zip(texts.cast(pa.binary()).to_pylist(), starts.to_pylist(), strict=True):
+        if mine is None:
+            out.append(raw)
+            n.append(len((raw or b"").split()))
+            gone.append(0)
+            continue
+        data = np.frombuffer(raw, np.uint8)
+        t = c.tokens(data, np.array([0, len(data)]), letters)
+        off = covered(len(t.start), mine, window)
+        nxt = np.append(t.start[1:], len(data))
+        out.append(b"".join(raw[s:e] for s, e in zip(t.start[~off], nxt[~off], strict=True)).rstrip(b" \t\n\x0b\x0c\r"))
+        n.append(len(off))
+        gone.append(int(off.sum()))
+    return out, n, gone
+
+
+def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, room: int = ROOM) -> DataFrame:
     """Each document without the words of repeated windows.
 
     Returns (doc_id, text, n_words, n_removed): the text has its own white
-    space where nothing is taken out; a null text stays null.  Rows with a
-    null id are left out, since no order says which copy comes first; rows that
-    share an id are taken for copies of one row.
+    space where nothing is taken out; a null text stays null.
     """
+    docs = c.identified(df, doc_id, text)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = c.spaced()
         for b in batches:
-            out, n, gone = [], [], []
-            for raw, starts in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("starts").to_pylist(), strict=True):
-                if starts is None:
-                    out.append(raw)
-                    n.append(len((raw or b"").split()))
-                    gone.append(0)
-                    continue
-                data = np.frombuffer(raw, np.uint8)
-                t = c.tokens(data, np.array([0, len(data)]), letters)
-                off = covered(len(t.start), starts, window)
-                nxt = np.append(t.start[1:], len(data))
-                out.append(b"".join(raw[s:e] for s, e in zip(t.start[~off], nxt[~off], strict=True)).rstrip(b" \t\n\x0b\x0c\r"))
-                n.append(len(off))
-                gone.append(int(off.sum()))
-            yield pa.record_batch([b.column("key"), pa.array(out, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=["doc_id", "text", "n_words", "n_removed"])
+            out, n, gone = _stripped(b.column("text"), b.column("starts"), window)
+            yield pa.record_batch([b.column("id"), pa.array(out, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=["doc_id", "text", "n_words", "n_removed"])
 
-    return removed_windows(df, doc_id, text, window, room).mapInArrow(strip, "doc_id long, text string, n_words long, n_removed long")
+    both = docs.join(removed_windows(docs, window, room), ["key", "tie"], "left")
+    return both.select("id", "text", "starts").mapInArrow(strip, "doc_id long, text string, n_words long, n_removed long")
 
 
-def strip_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", window: int = 20, room: int = 1 << 19) -> DataFrame:
+def strip_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", window: int = 20, room: int = ROOM) -> DataFrame:
     """``df`` with its repeated windows taken out of the texts and ``n_chars``
     counted anew; a document of which no word is left goes.  All columns and
     their order stay; rows that lose nothing stay as they are."""
-    lost = substring_dedup(df, doc_id, text, window, room).where("n_removed > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), (F.col("n_removed") == F.col("n_words")).alias("_all"))
-    both = df.join(lost, F.col(doc_id) == F.col("_id"), "left").where("not coalesce(_all, false)")
-    new = {text: F.coalesce("_text", F.col(text)), n_chars: F.when(F.col("_id").isNotNull(), F.length("_text")).otherwise(F.col(n_chars))}
-    return both.select(*[new[x].cast(df.schema[x].dataType).alias(x) if x in new else F.col(x) for x in df.columns])
+    docs = c.identified(df, doc_id, text)
+    src = c.wrapped(df, doc_id, text).withColumn("text", F.col(f"rest.`{text}`").cast("string")).withColumn("rest", F.col("rest").dropFields(f"`{text}`"))
+    both = src.join(removed_windows(docs, window, room), ["key", "tie"], "left").select("rest", "text", "starts")
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, n, gone = _stripped(b.column("text"), b.column("starts"), window)
+            part = pa.array([g > 0 for g in gone], pa.bool_())
+            left = pa.array([not g or g < k for g, k in zip(gone, n, strict=True)], pa.bool_())
+            yield pa.record_batch([b.column("rest"), pa.array(out, pa.binary()).cast(pa.string()), part], names=["rest", "text", "part"]).filter(left)
+
+    done = both.mapInArrow(strip, T.StructType([src.schema["rest"], T.StructField("text", T.StringType()), T.StructField("part", T.BooleanType())]))
+    new = {text: F.col("text"), n_chars: F.when(F.col("part"), F.length("text")).otherwise(F.col(f"rest.`{n_chars}`")) if n_chars in df.columns else None}
+    return done.select(*[(new[x] if x in new else F.col(f"rest.`{x}`")).cast(df.schema[x].dataType).alias(x) for x in df.columns])
 
 
-def digests(df: DataFrame, window: int = 20) -> DataFrame:
+def digests(df: DataFrame, window: int = 20, room: int = ROOM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
+    docs = c.identified(df, "doc_id", "text")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -303,9 +404,10 @@ def digests(df: DataFrame, window: int = 20) -> DataFrame:
                 n.append(len(words))
                 gone.append(0 if off is None else int(off.sum()))
                 sha.append(hashlib.sha256(b" ".join(words if off is None else compress(words, ~off))).hexdigest())
-            yield pa.record_batch([b.column("key"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.record_batch([b.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return removed_windows(df, window=window).mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    both = docs.join(removed_windows(docs, window, room), ["key", "tie"], "left")
+    return both.select("id", "text", "starts").mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 #: DuckDB's rows for :func:`digests` over ``documents``.

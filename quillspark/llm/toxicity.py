@@ -404,9 +404,4 @@ def keep_clean(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     scores and filters its rows, and nothing is shuffled for it."""
     docs = df.select(F.col(doc_id).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     held, near = df.sparkSession.sparkContext.broadcast(fit(docs, labels, sample)), _hash_words(ADDRESS)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(_scores(b.column(text), held.value, near) < least))
-
-    return df.mapInArrow(keep, df.schema)
+    return c.filtered(df, text, lambda texts: _scores(texts, held.value, near) < least)
