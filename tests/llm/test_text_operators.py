@@ -4,10 +4,12 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, mixing, ngram_join, substring_dedup
+from quillspark.llm import common, decontamination, mixing, ngram_join, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{(k * 7919) % 977}" for k in range(400)]
@@ -33,9 +35,36 @@ def plain_words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+A, B = "abcdefgh" * 8, "zyxwvuts" * 8  # tokens of several blocks of 64 bytes
+BLOCKS = [A + B + B + A, B + A + A + B, A + A, B + B, A + B, B + A, A, B, A + "x", "x" + A]
+#: Null ids, ids with several texts, repeated rows, and words whose blocks are alike.
+CLASHING = AWKWARD + [
+    (None, LONG, "en", "s", 0), (None, " ".join(WORDS[200:260]), "en", "s", 0), (None, " ".join(WORDS[210:270]), "en", None, 0), (None, None, "en", "s", 0), (None, "", "en", "s", 0),
+    (5, " ".join(WORDS[205:250]), "en", "s", 0), (5, LONG, "en", "s", 0), (7, None, "en", "s", 0), (70, " ".join(BLOCKS * 3), "en", "s", 0), (71, " ".join([*BLOCKS[1:], BLOCKS[0]] * 3), "en", "s", 0),
+]
+
+
+def test_tokens_of_long_words_and_texts():
+    texts = [" ".join(BLOCKS), "", "a" * 64, "a" * 65, " x" * 40_000, "é" * 5000, *BLOCKS]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.append(0, np.cumsum([len(x.encode()) for x in texts]))
+    words = [plain_words(x) for x in texts]
+    whole = common.tokens(data, at, common.spaced())
+    assert list(np.diff(whole.first)) == list(map(len, words))
+    assert len(set(whole.hashes.tolist())) == len({w for x in words for w in x})
+    for most in (1, 50, 1000):
+        assert all((x == y).all() for x, y in zip(whole, common.tokens(data, at, common.spaced(), most), strict=True))
+
+
+def ordered(row):
+    """The place of a row: its id, nulls last, then the hash of its text."""
+    return (row[0] is None, row[0] or 0, np.int64(np.uint64(xxhash.xxh64_intdigest((row[1] or "").encode(), 42))))
+
+
 def brute_dedup(data, window):
+    """By (id, text); rows equal in both are one."""
     seen, out = set(), {}
-    for i, text, *_ in sorted(data):
+    for i, text in sorted({x[:2] for x in data}, key=ordered):
         w = plain_words(text)
         off = [False] * len(w)
         for k in range(len(w) - window + 1):
@@ -44,28 +73,50 @@ def brute_dedup(data, window):
                 off[k : k + window] = [True] * window
             seen.add(key)
         kept = " ".join(a for a, o in zip(w, off, strict=True) if not o)
-        out[i] = (len(w), sum(off), hashlib.sha256(kept.encode()).hexdigest())
+        out[i, text] = (len(w), sum(off), hashlib.sha256(kept.encode()).hexdigest())
     return out
 
 
-@pytest.mark.parametrize("window", [2, 7, 20])
-def test_substring_dedup_is_brute_force(docs, window):
-    got = {r[0]: tuple(r[1:]) for r in substring_dedup.digests(docs, window=window).collect()}
-    assert got == brute_dedup(AWKWARD, window)
+def as_rows(found, data):
+    return sorted(((x[0], *found[x[:2]]) for x in data), key=str)
 
 
-def test_substring_dedup_small_groups_and_repeated_rows(spark, docs):
-    small = {r[0]: (r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(docs, room=16).collect()}
-    assert small == {k: v[:2] for k, v in brute_dedup(AWKWARD, 20).items()}
+@pytest.mark.parametrize("window,room", [(1, 1 << 19), (2, 1 << 19), (7, 64), (20, 1 << 19), (20, 1), (20, 64), (20, 400)])
+def test_substring_dedup_is_brute_force(spark, window, room):
+    docs = spark.createDataFrame(CLASHING, SCHEMA).withColumn("key", F.lit("clash")).withColumn("starts", F.lit("clash"))
+    got = sorted(map(tuple, substring_dedup.digests(docs, window=window, room=room).collect()), key=str)
+    assert got == as_rows(brute_dedup(CLASHING, window), CLASHING)
+
+
+def test_substring_dedup_of_repeated_and_no_rows(docs):
     twice = substring_dedup.substring_dedup(docs.unionByName(docs))
-    assert twice.count() == 2 * len(AWKWARD)
-    assert {(r["doc_id"], r["n_removed"]) for r in twice.collect()} == {(k, v[1]) for k, v in brute_dedup(AWKWARD, 20).items()}
-    assert substring_dedup.digests(docs.limit(0)).count() == 0
+    want = [(x[0], *found[:2]) for x, found in zip(AWKWARD, map(brute_dedup(AWKWARD, 20).get, [x[:2] for x in AWKWARD]), strict=True)]
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in twice.collect()) == sorted(2 * want)
+    assert substring_dedup.digests(docs.limit(0)).count() == 0 and substring_dedup.strip_documents(docs.limit(0)).count() == 0
+
+
+def test_suffix_array_gives_shared_words():
+    rng = np.random.default_rng(4)
+    word = rng.integers(0, 3, 300).astype(np.uint64)
+    first = np.array([0, 90, 120, 300])
+    for window in (1, 2, 5, 20):
+        at = np.concatenate([np.arange(s, e - window + 1) for s, e in zip(first[:-1], first[1:], strict=True)])
+        end = first[np.searchsorted(first, at, "right")]
+        rank, shared = substring_dedup.suffix_array(word, at, end, window)
+        order = np.argsort(rank, kind="stable")
+        cut = [tuple(word[k : k + window]) for k in at[order]]
+        assert cut == sorted(cut)
+        for a, b, n in zip(order[:-1], order[1:], shared(order[:-1], order[1:]), strict=True):
+            both = 0
+            while both < min(end[a] - at[a], end[b] - at[b], (2 << int(np.log2(window))) - 1) and word[at[a] + both] == word[at[b] + both]:
+                both += 1
+            assert n == both
 
 
 def test_strip_documents_keeps_columns_and_untouched_rows(docs):
-    out = substring_dedup.strip_documents(docs)
-    assert out.columns == docs.columns
+    clash = docs.withColumns({x: F.lit("clash") for x in ("_id", "_text", "_all", "rest", "key", "a.b", "part")})
+    out = substring_dedup.strip_documents(clash)
+    assert out.columns == clash.columns and {r["_text"] for r in out.collect()} == {r["a.b"] for r in out.collect()} == {"clash"}
     got = {r["doc_id"]: r["text"] for r in out.collect()}
     assert got[0] is None and got[2] == "  \t\n " and got[5] == LONG and 6 not in got and got[7] == "tail"
 
@@ -114,7 +165,10 @@ def test_least_matches_drop_less_than_tolerance():
     assert len(need) == 8 and list(need) == sorted(need) and 0 < need[0] < 13 and need[-1] < 0.8 * 128
 
 
-ITEMS = [(1, " ".join(WORDS[10:40])), (2, "W5 one"), (3, None), (4, ""), (5, "ONE"), (6, " ".join(WORDS[10:40])), (17, "É É é"), (18, " ".join(WORDS[300:310]).upper())]
+ITEMS = [
+    (1, " ".join(WORDS[10:40])), (2, "W5 one"), (3, None), (4, ""), (5, "ONE"), (6, " ".join(WORDS[10:40])), (17, "É É é"), (18, " ".join(WORDS[300:310]).upper()), (None, " ".join(WORDS[200:230])), (None, "two"),
+    (7, " ".join([A + B + B + A, "y"])), (7, "x " * 200), (8, "one two three one two three one two three one two three"),
+]
 
 
 def fold(text):
@@ -124,7 +178,7 @@ def fold(text):
 
 def brute_overlap(data, items):
     out = {}
-    for i, text, *_ in data:
+    for i, text in {x[:2] for x in data}:
         w, hit, met = fold(text), set(), set()
         for item, t in items:
             b = fold(t)
@@ -134,25 +188,31 @@ def brute_overlap(data, items):
                 if k and tuple(w[s : s + k]) in runs:
                     hit |= set(range(s, s + k))
                     met.add(item)
-        names = ",".join(sorted(map(str, met)))
-        out[i] = (len(w), len(hit), len(met), hashlib.sha256(names.encode()).hexdigest(), bool(hit))
+        names = ",".join(sorted(str(x) for x in met if x is not None))
+        out[i, text] = (len(w), len(hit), len(met), hashlib.sha256(names.encode()).hexdigest(), bool(hit))
     return out
 
 
 @pytest.mark.parametrize("most", [0, 1 << 20])
-def test_decontamination_is_brute_force(spark, docs, most):
-    data = AWKWARD + [(50, "é É É é ONE-two", "fr", None, 0), (51, "one." + " ".join(WORDS[295:315]), "en", "s", 0)]
-    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = {r[0]: tuple(r[1:]) for r in decontamination.report(spark.createDataFrame(data, SCHEMA), bench, broadcast_rows=most).collect()}
-    assert got == brute_overlap(data, ITEMS)
+def test_decontamination_is_brute_force(spark, most):
+    more = [(50, "é É É é ONE-two", "fr", None, 0), (51, "one." + " ".join(WORDS[295:315]), "en", "s", 0), (52, B + A + A + B + " y", "en", "s", 0), (53, "one two three " * 2000 + "x " * 30_000, "en", "s", 0)]
+    data = CLASHING + more
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string").withColumn("words", F.lit("clash"))
+    docs = spark.createDataFrame(data, SCHEMA).withColumn("key", F.lit("clash")).withColumn("item_id", F.lit("clash"))
+    got = sorted(map(tuple, decontamination.report(docs, bench, broadcast_rows=most).collect()), key=str)
+    assert got == as_rows(brute_overlap(data, ITEMS), data)
 
 
-def test_decontamination_edges(spark, docs):
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_decontamination_edges(spark, docs, most):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    assert decontamination.report(docs.limit(0), bench).count() == 0
-    assert not decontamination.report(docs, bench.limit(0)).where("contaminated").count()
-    clean = decontamination.decontaminate(docs.withColumn("key", F.lit("clash")), bench)
-    assert clean.columns == [*docs.columns, "key"] and 5 not in {r["doc_id"] for r in clean.collect()}
+    assert decontamination.report(docs.limit(0), bench, broadcast_rows=most).count() == 0
+    assert not decontamination.report(docs, bench.limit(0), broadcast_rows=most - 1).where("contaminated").count()
+    clash = spark.createDataFrame(CLASHING, SCHEMA).withColumns({x: F.lit("clash") for x in ("key", "tie", "a.b", "rest")})
+    clean = decontamination.decontaminate(clash, bench, broadcast_rows=most)
+    assert clean.columns == clash.columns
+    hit = {k for k, v in brute_overlap(CLASHING, ITEMS).items() if v[4]}
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=str) == sorted((x[:2] for x in CLASHING if x[:2] not in hit), key=str)
 
 
 def test_mixing_meets_targets(spark, docs):
