@@ -1,26 +1,32 @@
 """Nearest neighbours by an inverted file with product-quantised residuals.
 
-Coarse centroids and the codebooks of their residuals are fitted (k-means) on
-about ``sample`` vectors chosen by the hash of their ids; every vector is then
-indexed: its list, and one byte for each of ``PARTS`` parts of its residual.
-Lists are cut into blocks of at most ``block`` vectors and the blocks dealt to
-groups, so that a list holding a third of all vectors is many blocks.  A query
-goes to the groups that hold blocks of its ``probes`` nearest lists (by default three fifths of them: the test vectors are nearly
-random, and their neighbours lie in many lists; clustered vectors need a few);
-there the distances are read from tables of its residuals against the codebooks
-(asymmetric).  The best ``rerank`` of each group, all that tie with the last of
-them, and all that the error of their own code lets be nearer than the ``k``
-best so far are ranked by the exact cosine in double precision, summed in the
-order of the components; they are read in blocks, and the ``k`` best of each
-group come back as one packed row.  So within the probed lists nothing is lost
-to the codes.  Equal vectors are indexed once, with their ``k`` + 1 smallest ids.
+Coarse centroids, about the square root of the vectors in number, and the
+codebooks of their residuals are fitted (k-means) on about ``sample`` vectors
+chosen by the hash of their ids; every vector is then indexed: its list, and
+one byte for each of ``PARTS`` parts of its residual.  How many lists a query
+probes is measured, unless ``probes`` says it: on ``TRIED`` queries, whose
+neighbours are found by comparing them with all vectors, so many lists that
+they hold ``aim`` of these neighbours; lists within ``NEAR`` are always probed.  (Nearly random vectors need half of all
+lists, clustered ones a few.)
+
+Lists are dealt to bins of bounded size, short lists together and long ones in
+parts, and the queries that probe a bin to chunks of at most ``CHUNK``; a task
+takes a bin and a chunk.  It reads the distances of codes from tables of the
+queries against the codebooks (asymmetric), and ranks by the exact cosine the
+``rerank`` best by code, all that tie with the last of them, and all vectors
+of the ``CLOSE`` lists nearest to the query or within ``NEAR`` of it, as near
+copies share their lists but not always a code.  The cosine is in double precision, summed in the order of
+the components; the ``k`` best of each task come back as one packed row.  Equal
+vectors are indexed once, with their ``k`` + 1 smallest ids.
 
 Measured recall at 5 is in the README (at least 0.9 on every test table).
 
-Rows: vectors that are null, all zero, hold a null or a non-finite component,
-or have another length than most, take no part; equal vectors tie and the
-smaller id comes first; a repeated row counts once; fewer candidates give
-fewer ranks; an empty table gives no rows.
+Rows: vectors that are null, empty, all zero, or hold a null or a non-finite
+component, and those without an id, take no part; vectors of one length are
+compared with each other only; rows of one id with different vectors are all
+queries and candidates, a row repeated as a whole counts once; equal scores go
+to the smaller id; fewer candidates give fewer ranks; further columns are not
+read, whatever they are called; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,15 +37,20 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import common as c
 
 PARTS = 16
-BLOCK = 8192  # rows whose exact scores are held at once
-MARGIN = 3e-3  # for single precision, on distances read from codes
-ROUGH = 1e-4  # the same on cosines
+CLOSE = 4  # lists that are ranked exactly as a whole,
+NEAR = 0.3  # and so are those whose centroid is within this distance
+CHUNK = 4096  # queries of a task
+BIN = 1 << 16  # vectors of a task
+TRIED = 256  # queries on which the number of probes is measured
+CELLS = 1 << 22  # distances that are held at once
+ROUGH = 1e-4  # for single precision, on cosines
 
 
 class Index(NamedTuple):
@@ -50,8 +61,9 @@ class Index(NamedTuple):
 
 def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     out, half = np.empty(len(x), np.int64), (centers**2).sum(1) / 2
-    for k in range(0, len(x), 8192):
-        out[k : k + 8192] = (half - x[k : k + 8192] @ centers.T).argmin(1)
+    step = max(1, CELLS // len(centers))
+    for k in range(0, len(x), step):
+        out[k : k + step] = (half - x[k : k + step] @ centers.T).argmin(1)
     return out
 
 
@@ -66,16 +78,28 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, turns: int = 12) ->
     return centers.astype(np.float32)
 
 
-def _unit(column: pa.Array, width: int) -> np.ndarray:
-    flat = np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+def _scaled(flat: np.ndarray) -> np.ndarray:
+    """Rows in double precision, by a power of two (so exactly) brought to where
+    their squares neither vanish nor overflow."""
+    flat = flat.astype(np.float64)
+    return np.ldexp(flat, -np.frexp(np.abs(flat).max(1, keepdims=True, initial=0))[1])
+
+
+def _unit(flat: np.ndarray, width: int) -> np.ndarray:
+    flat = _scaled(flat)
     flat = flat / np.sqrt((flat**2).sum(1, keepdims=True))
     return np.pad(flat, ((0, 0), (0, width - flat.shape[1]))).astype(np.float32)
 
 
+def _flat(column: pa.Array, kind: type) -> np.ndarray:
+    return np.asarray(column.flatten()).astype(kind).reshape(len(column), -1)
+
+
 def train(x: np.ndarray, lists: int, seed: int = 7) -> Index:
     rng = np.random.default_rng(seed)
     coarse = _kmeans(x, lists, rng)
-    rest = (x - coarse[_nearest(x, coarse)]).reshape(len(x), PARTS, -1)
+    some = x if len(x) <= 1 << 16 else x[rng.choice(len(x), 1 << 16, replace=False)]
+    rest = (some - coarse[_nearest(some, coarse)]).reshape(len(some), PARTS, -1)
     books = []
     for p in range(PARTS):
         b = _kmeans(np.ascontiguousarray(rest[:, p]), 256, rng)
@@ -84,179 +108,240 @@ def train(x: np.ndarray, lists: int, seed: int = 7) -> Index:
 
 
 def valid_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, v) of the rows that take part, v as doubles."""
+    """(vec_id, v) of the rows that take part, v as doubles, each once."""
     v = F.col(embedding).cast("array<double>")
     src = df.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return src.where(finite & F.exists("v", lambda x: x != 0)).dropDuplicates(["vec_id"])
+    return src.where(finite & F.exists("v", lambda x: x != 0)).distinct()
 
 
 def collapsed(vectors: DataFrame, most: int) -> DataFrame:
-    """(vec_id, ids, v): equal vectors once, with their ``most`` smallest ids,
-    of which ``vec_id`` is the first.  The rank is limited before the shuffle,
-    so that a vector of very many rows sends few."""
+    """(vec_id, ids, v, tie): equal vectors once, with their ``most`` smallest
+    ids, of which ``vec_id`` is the first.  The rank is limited before the
+    shuffle, so that a vector of very many rows sends few."""
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     few = vectors.withColumn("place", place).where(F.col("place") <= most)
     ids = few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # at most ``most``
-    return ids.select(F.col("ids")[0].alias("vec_id"), "ids", "v")
+    return ids.select(F.col("ids")[0].alias("vec_id"), "ids", "v", F.xxhash64("v").alias("tie"))
 
 
 def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of each row of ``a`` with ``b``, summed in the order of the components."""
+    """Of each row of ``a`` with that of ``b``, summed in the order of the components."""
     out = np.zeros(len(a))
     for j in range(a.shape[1]):
-        out += a[:, j].astype(np.float64) * b[j]
+        out += a[:, j] * b[:, j]
     return out
 
 
-class _Held:
-    """The rows of a group, in the order of lists: ids, exact vectors, codes."""
-
-    def __init__(self, rows: pd.DataFrame, ix: Index, kind: type):
-        rows = rows.sort_values(["list", "vec_id"])
-        self.ids = np.frombuffer(b"".join(rows["ids"]), np.int64)
-        self.at = np.concatenate([[0], np.cumsum([len(x) // 8 for x in rows["ids"]])])
-        self.code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(-1, PARTS).astype(np.int64) + np.arange(PARTS) * 256
-        self.slack = rows["slack"].to_numpy()
-        self.cut = np.searchsorted(rows["list"].to_numpy(), np.arange(len(ix.lists) + 1))
-        self.x = np.frombuffer(b"".join(rows["x"]), kind).reshape(len(rows), -1)
-        self.unit = np.empty(self.x.shape, np.float32)
-        self.size = np.empty(len(rows))
-        for k in range(0, len(rows), BLOCK):
-            x = self.x[k : k + BLOCK].astype(np.float64)
-            self.size[k : k + BLOCK] = sum(x[:, j] * x[:, j] for j in range(x.shape[1]))
-            self.unit[k : k + BLOCK] = x / np.sqrt((x**2).sum(1, keepdims=True))
-
-    def better(self, best: tuple[np.ndarray, np.ndarray], at: np.ndarray, query: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` best (score, id) of ``best`` and the rows ``at``."""
-        rough = self.unit[at] @ (q / np.sqrt((q**2).sum())).astype(np.float32)
-        least = best[0][-1] if len(best[0]) == k else -np.inf
-        if len(at) > k + 1:  # a row may hold nothing but the query
-            least = max(least, np.partition(rough, -k - 1)[-k - 1])
-        at = at[rough >= least - ROUGH]
-        score = _dot(self.x[at], q) / np.sqrt(_dot(q[None], q)[0] * self.size[at])
-        if len(at) > k + 1:
-            top = score >= np.partition(score, -k - 1)[-k - 1]
-            at, score = at[top], score[top]
-        many = self.at[at + 1] - self.at[at]
-        spot = np.repeat(self.at[at] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(at) else at
-        score, ids = np.concatenate([best[0], np.repeat(score, many)]), np.concatenate([best[1], self.ids[spot]])
-        score, ids = score[ids != query], ids[ids != query]
-        top = np.lexsort((ids, -score))[:k]
-        return score[top], ids[top]
-
-
-def neighbours(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 50, k: int = 5, sample: int = 20_000, probes: int | None = None, rerank: int = 200, block: int = 1 << 16) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest of each row whose id
-    is divisible by ``every``, against all other rows."""
-    spark = df.sparkSession
-    single = df.schema[embedding].dataType.simpleString() == "array<float>"
-    kind = np.float32 if single else np.float64  # exact either way
-    vectors = valid_vectors(df, vec_id, embedding)
-    vectors = c.cut(vectors.withColumn("v", F.col("v").cast("array<float>")) if single else vectors, "vectors")
-    sizes = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d = sizes[0]["d"]
-    vectors = vectors.where(F.size("v") == d)
+def _best(query: np.ndarray, score: np.ndarray, ident: np.ndarray, k: int) -> np.ndarray:
+    """Rows of the ``k`` best of each query, nearest first."""
+    order = np.lexsort((ident, -score, query))
+    q = query[order]
+    head = np.maximum.accumulate(np.where(np.append(True, q[1:] != q[:-1]), np.arange(len(q)), 0)) if len(q) else q
+    return order[np.arange(len(q)) - head < k]
+
+
+def _probes(coded: DataFrame, asked: DataFrame, held: Broadcast, kind: type, k: int, aim: float) -> int:
+    """How many lists hold ``aim`` of the true neighbours of some queries."""
+    few = asked.orderBy(F.xxhash64("vec_id"), "vec_id", "tie").limit(TRIED).toArrow()
+    if not few.num_rows:
+        return 1
+    ix = held.value
+    q = _unit(_flat(few["v"].combine_chunks(), kind), ix.width)
+    tie = np.asarray(few["tie"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _unit(np.frombuffer(b"".join(b.column("x").to_pylist()), kind).reshape(b.num_rows, -1), ix.width) if b.num_rows else np.zeros((0, ix.width), np.float32)
+            s = q @ x.T
+            s[tie[:, None] == np.asarray(b.column("tie"))[None, :]] = -2
+            at = np.argpartition(-s, min(k, b.num_rows) - 1, 1)[:, :k] if b.num_rows else np.zeros((len(q), 0), int)
+            own = np.repeat(np.arange(len(q)), at.shape[1])
+            yield pa.record_batch([pa.array(own.astype(np.int32)), pa.array(s[own, at.ravel()].astype(np.float64)), b.column("list").take(pa.array(at.ravel()))], names=["q", "s", "list"])
+
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "list"))
+    rows = coded.select("tie", "list", "x").mapInArrow(near, "q int, s double, list int").where("s > -2").withColumn("rank", rank).where(F.col("rank") <= k).select("q", "list").toArrow()  # TRIED * k rows
+    if not rows.num_rows:
+        return 1
+    far = (ix.lists**2).sum(1) / 2 - q @ ix.lists.T
+    place = np.argsort(np.argsort(far, 1, kind="stable"), 1)[np.asarray(rows["q"]), np.asarray(rows["list"])]
+    return int(np.quantile(place, aim, method="higher")) + 1
+
+
+def _deal(count: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First bin of each list, and in how many bins it is."""
+    first, parts, at, filled = np.zeros(len(count), np.int64), np.maximum(1, -(-count // size)), 0, 0
+    for k in range(len(count)):
+        if filled and filled + count[k] > size:
+            at, filled = at + 1, 0
+        first[k] = at
+        if parts[k] > 1:
+            at, filled = at + int(parts[k]), 0
+        else:
+            filled += int(count[k])
+    return first, parts
+
+
+def _look_up(rows: pd.DataFrame, asked: pd.DataFrame, ix: Index, kind: type, k: int, rerank: int) -> pd.DataFrame:
+    """The ``k`` best of a bin for each query of a chunk."""
+    rows = rows.sort_values(["list", "vec_id", "tie"])
+    v = _scaled(np.frombuffer(b"".join(rows["x"]), kind).reshape(len(rows), -1))
+    code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(-1, PARTS)
+    tie, ids = rows["tie"].to_numpy(), np.frombuffer(b"".join(rows["ids"]), np.int64)
+    id_at = np.append(0, np.cumsum([len(x) // 8 for x in rows["ids"]]))
+    own, first = np.unique(rows["list"].to_numpy(), return_index=True)
+    cut = np.append(first, len(rows))
+    size = _dot(v, v)
+    unit = (v / np.sqrt((v**2).sum(1, keepdims=True))).astype(np.float32)
+    part = ix.books[np.arange(PARTS), code].reshape(len(rows), -1)  # what the codes stand for
+    whole = (part**2).sum(1) + 2 * np.einsum("ij,ij->i", part, np.repeat(ix.lists[own], np.diff(cut), 0))
+    out = []
+    step = max(1, CELLS // len(rows))
+    for s in range(0, len(asked), step):
+        some = asked.iloc[s : s + step]
+        q = _scaled(np.frombuffer(b"".join(some["q"]), kind).reshape(len(some), -1))
+        qu = np.pad(q / np.sqrt((q**2).sum(1, keepdims=True)), ((0, 0), (0, ix.width - q.shape[1]))).astype(np.float32)
+        table = np.ascontiguousarray(np.einsum("qpd,pkd->pqk", qu.reshape(len(q), PARTS, -1), ix.books, optimize=True))
+        lists = [np.frombuffer(x, np.int32) for x in some["lists"]]
+        of = np.repeat(np.arange(len(q)), [len(x) for x in lists])
+        flat = np.concatenate(lists)
+        dist = np.full((len(q), len(rows)), np.inf, np.float32)
+        sure = np.zeros(dist.shape, bool)
+        for j, one in enumerate(own):
+            mine = flat >> 1 == one
+            who, lo, hi = of[mine], cut[j], cut[j + 1]
+            sums = np.zeros((len(who), hi - lo), np.float32)
+            for p in range(PARTS):
+                sums += table[p][who][:, code[lo:hi, p]]
+            dist[who, lo:hi] = ((qu[who] - ix.lists[one]) ** 2).sum(1)[:, None] + whole[lo:hi] - 2 * sums
+            sure[of[mine & (flat & 1 == 1)], lo:hi] = True
+        last = np.partition(dist, rerank - 1, 1)[:, rerank - 1] if len(rows) > rerank else np.full(len(q), np.inf)
+        a, b = np.nonzero((sure | (dist <= last[:, None])) & (dist < np.inf))
+        rough = np.einsum("ij,ij->i", qu[a, : v.shape[1]], unit[b])
+        # a vector may hold nothing but the query, hence one more
+        order = np.lexsort((-rough, a))
+        head = np.maximum.accumulate(np.where(np.append(True, a[order][1:] != a[order][:-1]), np.arange(len(a)), 0)) if len(a) else order
+        nth = np.arange(len(a)) - head
+        least = np.full(len(q), -np.inf, np.float32)
+        least[a[order][nth == k]] = rough[order][nth == k]
+        keep = rough >= least[a] - ROUGH
+        a, b = a[keep], b[keep]
+        score = _dot(v[b], q[a]) / np.sqrt(_dot(q, q)[a] * size[b])
+        many = id_at[b + 1] - id_at[b]
+        spot = np.repeat(id_at[b] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum()) if len(b) else b
+        a, b, score, found = np.repeat(a, many), np.repeat(b, many), np.repeat(score, many), ids[spot]
+        query, mark = some["query_id"].to_numpy(), some["mark"].to_numpy()
+        other = (found != query[a]) | (tie[b] != mark[a])
+        a, score, found = a[other], score[other], found[other]
+        top = _best(a, score, found, k)
+        for i, (x, y) in c.by_part(a[top], found[top], score[top]):
+            out.append((query[i], mark[i], x.tobytes(), y.tobytes()))
+    return pd.DataFrame(out, columns=["query_id", "mark", "ids", "scores"])
+
+
+def _search(vectors: DataFrame, d: int, kind: type, every: int, k: int, sample: int | None, probes: int | None, aim: float, rerank: int, size: int) -> DataFrame:
+    """The rows of :func:`neighbours` among vectors (vec_id, v) of length ``d``."""
+    spark = vectors.sparkSession
     once = c.cut(collapsed(vectors, k + 1), "once")
     n = once.count()
     width = -(-d // PARTS) * PARTS
-    share = min(1.0, sample / n)
-    few = once.select("vec_id", "v")
-    few = few.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) <= int(share * (1 << 20))).toArrow().sort_by("vec_id")  # about ``sample`` rows
+    sample = sample or int(np.clip(8 * np.sqrt(n), 20_000, 1 << 18))
+    few = once.select("vec_id", "tie", "v")
+    few = few.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) <= int(min(1.0, sample / n) * (1 << 20))).toArrow().sort_by([("vec_id", "ascending"), ("tie", "ascending")])  # about ``sample`` rows
     few = few if few.num_rows else once.select("vec_id", "v").orderBy("vec_id").limit(1).toArrow()
-    lists = int(np.clip(round(np.sqrt(n)), 1, 4096))
-    index = train(_unit(few["v"].combine_chunks(), width), lists)
+    index = train(_unit(_flat(few["v"].combine_chunks(), kind), width), int(np.clip(round(np.sqrt(n)), 1, max(1, sample // 8))))
     lists = len(index.lists)
-    probes = min(lists, probes or max(32, -(-lists * 3 // 5)))
-    held = spark.sparkContext.broadcast(index)  # at most 4,096 centroids
+    held = spark.sparkContext.broadcast(index)  # an eighth of the sample, and the codebooks
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = held.value
         for b in batches:
-            x = _unit(b.column("v"), ix.width)
+            raw = _flat(b.column("v"), kind)
+            x = _unit(raw, ix.width)
             own = _nearest(x, ix.lists)
             rest = (x - ix.lists[own]).reshape(len(x), PARTS, -1)
             code = np.stack([_nearest(np.ascontiguousarray(rest[:, p]), ix.books[p]) for p in range(PARTS)], 1).astype(np.uint8)
-            slack = np.sqrt(((rest - ix.books[np.arange(PARTS), code]) ** 2).sum((1, 2)))
             ids = pa.array([np.array(r, np.int64).tobytes() for r in b.column("ids").to_pylist()], pa.binary())
-            raw = np.asarray(b.column("v").flatten()).astype(kind).reshape(len(x), -1)
-            yield pa.record_batch([b.column("vec_id"), ids, pa.array(own.astype(np.int32)), pa.array([r.tobytes() for r in code], pa.binary()), pa.array(slack.astype(np.float32)), pa.array([r.tobytes() for r in raw], pa.binary())], names=["vec_id", "ids", "list", "code", "slack", "x"])
+            yield pa.record_batch([b.column("vec_id"), b.column("tie"), ids, pa.array(own.astype(np.int32)), pa.array([r.tobytes() for r in code], pa.binary()), pa.array([r.tobytes() for r in raw], pa.binary())], names=["vec_id", "tie", "ids", "list", "code", "x"])
 
-    coded = c.cut(once.mapInArrow(encode, "vec_id long, ids binary, list int, code binary, slack float, x binary"), "codes")
+    coded = c.cut(once.mapInArrow(encode, "vec_id long, tie long, ids binary, list int, code binary, x binary"), "codes")
+    queries = vectors.where(F.col("vec_id") % every == 0).withColumn("tie", F.xxhash64("v"))
+    probes = min(lists, probes or max(2 * CLOSE, _probes(coded, queries, held, kind, k, aim)))
     count = np.zeros(lists, np.int64)
     for r in coded.groupBy("list").count().collect():  # a number for each list
         count[r["list"]] = r["count"]
-    blocks = np.maximum(1, -(-count // block))
-    before = np.concatenate([[0], np.cumsum(blocks)])
-    groups = int(max(1, min(before[-1], max(c.partitions(spark) // 2, -(-n // (4 * block))))))
-    where = spark.createDataFrame(pd.DataFrame({"list": np.arange(lists, dtype=np.int32), "n": blocks, "at": before[:-1]}))
-    dealt = coded.join(F.broadcast(where), "list").select(F.pmod(F.col("at") + F.pmod(F.xxhash64("vec_id"), "n"), F.lit(groups)).cast("int").alias("group"), "vec_id", "ids", "list", "code", "slack", "x")
+    tasks = 3 * c.partitions(spark)
+    first, parts = _deal(count, int(np.clip(-(-n // tasks), 1, size)))
+    bins = int((first + parts).max())
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = held.value
         for b in batches:
-            x = _unit(b.column("v"), ix.width)
-            raw = np.asarray(b.column("v").flatten()).astype(kind).reshape(len(x), -1)
-            far = (ix.lists**2).sum(1) / 2 - x @ ix.lists.T
-            near = np.sort(np.argpartition(far, probes - 1, 1)[:, :probes], 1)
-            ids, out = b.column("vec_id").to_pylist(), []
+            raw = _flat(b.column("v"), kind)
+            far = (ix.lists**2).sum(1) / 2 - _unit(raw, ix.width) @ ix.lists.T
+            near = np.argsort(far, 1, kind="stable")
+            close = 2 * np.take_along_axis(far, near, 1) + 1 < NEAR**2
+            reach = np.maximum(probes, close.sum(1))
+            close[:, :CLOSE] = True
+            ids, tie, out = b.column("vec_id").to_pylist(), b.column("tie").to_pylist(), []
             for i, mine in enumerate(near):
-                spots = {}
-                for one in mine.tolist():
-                    for g in {(before[one] + j) % groups for j in range(min(blocks[one], groups))}:
-                        spots.setdefault(int(g), []).append(one)
-                out += [(g, ids[i], np.array(v, np.int32).tobytes(), raw[i].tobytes()) for g, v in spots.items()]
-            yield pa.record_batch([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary()), pa.array([r[3] for r in out], pa.binary())], names=["group", "query_id", "lists", "q"])
-
-    asked = vectors.where(F.col("vec_id") % every == 0).mapInArrow(probe, "group int, query_id long, lists binary, q binary")
-
-    def look_up(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        ix = held.value
-        own = _Held(rows, ix, kind) if len(rows) and len(asked) else None
-        norm = (ix.books**2).sum(2)
-        for query, mine, raw in zip(asked["query_id"], asked["lists"], asked["q"], strict=True) if own else ():
-            mine, q = np.frombuffer(mine, np.int32), np.frombuffer(raw, kind).astype(np.float64)
-            unit = np.pad(q / np.sqrt((q**2).sum()), (0, ix.width - len(q))).astype(np.float32)
-            rest = (unit - ix.lists[mine]).reshape(len(mine), PARTS, -1)
-            table = (norm - 2 * np.einsum("lpd,pkd->lpk", rest, ix.books)).reshape(len(mine), -1)
-            base = (rest**2).sum((1, 2))
-            dist = np.concatenate([base[j] + table[j][own.code[own.cut[one] : own.cut[one + 1]]].sum(1) for j, one in enumerate(mine)])
-            at = np.concatenate([np.arange(own.cut[one], own.cut[one + 1]) for one in mine])
-            # the nearest by code and all that tie with the last of them
-            first = dist <= np.partition(dist, rerank - 1)[rerank - 1] if len(dist) > rerank else np.ones(len(dist), bool)
-            best = np.zeros(0), np.zeros(0, np.int64)
-            near = at[first]
-            for s in range(0, len(near), BLOCK):
-                best = own.better(best, near[s : s + BLOCK], query, q, k)
-            # then whatever its code's error lets be nearer than the last of the best
-            more = np.sqrt(np.maximum(dist[~first], 0)) - own.slack[at[~first]] - MARGIN
-            reach = lambda best: np.sqrt(max(0.0, 2 - 2 * best[0][-1])) if len(best[0]) == k else np.inf
-            able = np.flatnonzero(more <= reach(best))
-            able = able[np.argsort(more[able])]
-            for s in range(0, len(able), BLOCK):
-                if more[able[s]] > reach(best):
-                    break
-                best = own.better(best, at[~first][able[s : s + BLOCK]], query, q, k)
-            out.append((query, best[1].tobytes(), best[0].tobytes()))
-        return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
-
-    found = dealt.groupBy("group").cogroup(asked.groupBy("group")).applyInPandas(look_up, "query_id long, ids binary, scores binary")
+                spots: dict[int, list[int]] = {}
+                for one, sure in zip(mine[: reach[i]].tolist(), close[i, : reach[i]].tolist(), strict=True):
+                    for g in range(first[one], first[one] + parts[one]):
+                        spots.setdefault(g, []).append(2 * one + sure)
+                out += [(g, ids[i], tie[i], np.array(v, np.int32).tobytes(), raw[i].tobytes()) for g, v in spots.items()]
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.record_batch([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], names=["bin", "query_id", "mark", "lists", "q"])
+
+    asked = c.cut(queries.select("vec_id", "tie", "v").mapInArrow(probe, "bin int, query_id long, mark long, lists binary, q binary"), "asked")
+    chunks = np.ones(bins, np.int64)
+    for r in asked.groupBy("bin").count().collect():  # a number for each bin
+        chunks[r["bin"]] = -(-r["count"] // CHUNK)
+    table = pd.DataFrame({"list": np.arange(lists, dtype=np.int32), "first": first, "parts": parts})
+    where, many = spark.createDataFrame(table), spark.createDataFrame(pd.DataFrame({"bin": np.arange(bins, dtype=np.int32), "chunks": chunks}))
+    dealt = coded.join(F.broadcast(where), "list").withColumn("bin", (F.col("first") + F.pmod(F.xxhash64("vec_id", "tie"), "parts")).cast("int"))
+    dealt = dealt.join(F.broadcast(many), "bin").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    asked = asked.join(F.broadcast(many), "bin").withColumn("chunk", F.pmod(F.xxhash64("query_id", "mark"), "chunks"))
+    dealt = dealt.select("bin", "chunk", "vec_id", "tie", "ids", "list", "code", "x").repartition(tasks, "bin", "chunk")
+    asked = asked.select("bin", "chunk", "query_id", "mark", "lists", "q").repartition(tasks, "bin", "chunk")
+
+    def look_up(rows: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(some):
+            return pd.DataFrame({"query_id": [], "mark": [], "ids": [], "scores": []})
+        return _look_up(rows, some, held.value, kind, k, rerank)
+
+    found = dealt.groupBy("bin", "chunk").cogroup(asked.groupBy("bin", "chunk")).applyInPandas(look_up, "query_id long, mark long, ids binary, scores binary")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for query, rows in pdf.groupby("query_id", sort=True):
-            ids, scores = np.frombuffer(b"".join(rows["ids"]), np.int64), np.frombuffer(b"".join(rows["scores"]), np.float64)
-            top = np.lexsort((ids, -scores))[:k]
-            out += [(query, r + 1, i, x) for r, (i, x) in enumerate(zip(ids[top].tolist(), scores[top].tolist(), strict=True))]
-        return pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score"])
+        row = np.repeat(np.arange(len(pdf)), [len(x) // 8 for x in pdf["ids"]])
+        ids, score = np.frombuffer(b"".join(pdf["ids"]), np.int64), np.frombuffer(b"".join(pdf["scores"]), np.float64)
+        both = np.stack([pdf["query_id"].to_numpy(), pdf["mark"].to_numpy()], 1)
+        query = np.unique(both, axis=0, return_inverse=True)[1].reshape(-1)[row]
+        top = _best(query, score, ids, k)
+        q = query[top]
+        rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
+        return pd.DataFrame({"query_id": both[row[top], 0], "rank": rank, "vec_id": ids[top], "score": score[top]})
 
     task = F.pmod(F.xxhash64("query_id"), F.lit(2 * c.partitions(spark)))
     return found.withColumn("task", task).groupBy("task").applyInPandas(merge, "query_id long, rank int, vec_id long, score double")
 
 
+def neighbours(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 50, k: int = 5, sample: int | None = None, probes: int | None = None, aim: float = 0.96, rerank: int = 200, size: int = BIN) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest of each row whose id
+    is divisible by ``every``, against all other rows.  ``sample``: 8 times the
+    root of the vectors, but at least 20,000 and at most 2^18."""
+    spark = df.sparkSession
+    single = df.schema[embedding].dataType.simpleString() == "array<float>"
+    kind = np.float32 if single else np.float64  # exact either way
+    vectors = valid_vectors(df, vec_id, embedding)
+    vectors = c.cut(vectors.withColumn("v", F.col("v").cast("array<float>")) if single else vectors, "vectors")
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in vectors.groupBy(F.size("v").alias("d")).count().orderBy("d").collect():  # as a rule one length
+        part = _search(vectors.where(F.size("v") == r["d"]), r["d"], kind, every, k, sample, probes, aim, rerank, size)
+        out = out.unionByName(part)
+    return out
+
+
 #: DuckDB's rows where the index finds all (as on the small tables).
 SQL = """
 WITH e AS (

@@ -94,6 +94,41 @@ def test_ann_ranks_copies_and_near_copies_exactly(spark):
     assert min(asked.values()) > 5
 
 
+def brute_neighbours(x, ids, q, k=5):
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = unit @ unit[q]
+    return [int(ids[j]) for j in np.lexsort((ids, -s)) if j != q][:k]
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_ann_probes_some_lists_only(spark, clustered):
+    rng = np.random.default_rng(6)
+    n, d = 10_000, 32
+    x = rng.normal(size=(n, d)).astype(np.float32)
+    if clustered:
+        x = (0.25 * x + rng.normal(size=(200, d))[rng.integers(0, 200, n)]).astype(np.float32)
+    ids = rng.permutation(n)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    out = ann.neighbours(df, size=500, rerank=50).toPandas()
+    right = [len(set(out.vec_id[out.query_id == ids[q]]) & set(brute_neighbours(x, ids, q))) for q in np.flatnonzero(ids % 50 == 0)]
+    assert len(right) == 200 and sum(right) >= 0.9 * 5 * len(right) and (out.groupby("query_id").size() == 5).all()
+    if clustered:  # a few of the hundred lists do
+        few = ann.neighbours(df, probes=8).toPandas()
+        right = [len(set(few.vec_id[few.query_id == ids[q]]) & set(brute_neighbours(x, ids, q))) for q in np.flatnonzero(ids % 50 == 0)]
+        assert sum(right) >= 0.9 * 5 * len(right)
+
+
+def test_ann_awkward_rows(spark):
+    tiny = [2.0**-700 * k for k in range(1, 5)]
+    data = [(0, [1.0, 2.0, 3.0, 4.0]), (0, [4.0, 3.0, 2.0, 1.0]), (0, [1.0, 2.0, 3.0, 4.0]), (1, tiny), (2, [1e200, 0.0, 0.0, 0.0]), (50, [1.0, 1.0]), (3, [1.0, 0.9]), (None, [1.0, 1.0]), (4, []), (5, [1.0, 2.0, 3.0, 4.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("tie", F.lit("clash")).withColumn("list", F.lit("clash"))
+    got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.neighbours(df).collect()]
+    near, far, one = round(20 / 30, 9), round(1 / 30**0.5, 9), round(1.9 / (2 * 1.81) ** 0.5, 9)
+    assert sorted(got) == sorted(
+        [(0, 1, 1, 1.0), (0, 2, 5, 1.0), (0, 3, 0, near), (0, 4, 2, far)] + [(0, 1, 2, round(4 / 30**0.5, 9)), (0, 2, 0, near), (0, 3, 1, near), (0, 4, 5, near)] + [(50, 1, 3, one)]
+    )
+
+
 def test_resampling_prefers_the_target(spark):
     rng = np.random.default_rng(3)
     good, bad = [f"g{k}" for k in range(50)], [f"b{k}" for k in range(50)]
