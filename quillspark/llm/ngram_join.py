@@ -1,14 +1,14 @@
 """Jaccard similarity join of word n-grams with Bayesian candidate pruning.
 
 Every text is the set of its five-word shingles (a shorter text: one shingle
-of all its words).  Texts with equal sets are one class, kept by its least id.
-Representatives get ``BANDS * ROWS`` MinHash values; those equal in a whole
+of all its words).  Texts with equal sets are one class, and one point of the
+join.  Points get ``BANDS * ROWS`` MinHash values; those equal in a whole
 band become candidates.  A candidate pair is compared value by value in steps
 of 16: with a uniform prior on the similarity s, m agreements of n leave the
 posterior Beta(m + 1, n - m + 1), and the pair is dropped once
-P(s >= threshold) < ``tolerance``.  What is left links representatives to
-provisional groups, in which all pairs are verified on the shingle sets, so
-the links reported are exact.
+P(s >= threshold) < ``tolerance``.  The pairs that are left connect points to
+provisional groups, and are verified there on the shingle sets, so the links
+reported are exact.
 
 With 32 bands of 4 values a pair at 0.8 misses every band with probability
 5e-8, and pruning drops it with about ``tolerance``.
@@ -16,10 +16,16 @@ With 32 bands of 4 values a pair at 0.8 misses every band with probability
 No pair is ever a row.  Tasks take a bucket (or a group), cut into blocks of
 ``BLOCK`` members, and two blocks at a time: they return a spanning forest of
 the links and the number of links of each member, so a group of thousands of
-near copies costs a few rows for each member and tasks of bounded size.
+near copies costs a few rows for each member and tasks of bounded size.  A
+member of a group of m is sent once for each of the m / ``BLOCK`` blocks, the
+least that an exact count of links takes.
 
 Rows: null and empty texts (no words) are linked to nothing, each a class of
-its own; a null id is left out; repeated rows are copies of each other.
+its own; rows without an id, rows of one id, and repeated rows are rows of
+their own and linked as their texts are; a class without any id has a null
+class_id; equal similarities at the threshold link; further columns are not
+read, whatever they are called, and :func:`keep_one` returns them; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -67,12 +73,13 @@ def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray, np.n
 
 
 def signatures(docs: DataFrame, n: int = 5) -> DataFrame:
-    """(key, digest, bands, sig) for each text with words: digest of its set,
-    MinHash bands as longs, and the MinHash values, 16 bits each."""
+    """(id, key, tie, digest, sig) of each text: digest of its set of shingles
+    and the MinHash values of it, 16 bits each; null without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = np.asarray(b.column("key"))
+            digests: list[bytes | None] = [None] * b.num_rows
+            sigs: list[bytes | None] = [None] * b.num_rows
             for i, h, first in _sets(b, n):
                 full = np.flatnonzero(np.diff(first))
                 if not len(full):
@@ -82,14 +89,16 @@ def signatures(docs: DataFrame, n: int = 5) -> DataFrame:
                 for k in range(_N):
                     sig[:, k] = np.minimum.reduceat(low * _MUL[k] + _ADD[k], first[full])
                 sig = (sig ^ (sig >> np.uint32(16))).astype(np.uint16)
-                band = c.mix(np.ascontiguousarray(sig).view(c.U) + np.arange(BANDS, dtype=c.U) * c.U(0x9E3779B97F4A7C15))
-                digest = [hashlib.blake2b(h[first[k] : first[k + 1]].tobytes(), digest_size=16).digest() for k in full]
-                yield pa.record_batch(
-                    [pa.array(ids[i + full]), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(np.arange(0, len(full) * BANDS + 1, BANDS, dtype=np.int32), pa.array(band.view(np.int64).ravel())), pa.array([x.tobytes() for x in sig], pa.binary())],
-                    names=["key", "digest", "bands", "sig"],
-                )
+                for k, x in zip(full.tolist(), sig, strict=True):
+                    digests[i + k] = hashlib.blake2b(h[first[k] : first[k + 1]].tobytes(), digest_size=16).digest()
+                    sigs[i + k] = x.tobytes()
+            yield pa.record_batch([*(b.column(x) for x in ("id", "key", "tie")), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "key", "tie", "digest", "sig"])
 
-    return docs.mapInArrow(sign, "key long, digest binary, bands array<long>, sig binary")
+    return docs.mapInArrow(sign, "id long, key long, tie long, digest binary, sig binary")
+
+
+def _bands(sig: np.ndarray) -> np.ndarray:
+    return c.mix(np.ascontiguousarray(sig).view(c.U) + np.arange(BANDS, dtype=c.U) * c.U(0x9E3779B97F4A7C15))
 
 
 @lru_cache
@@ -164,15 +173,33 @@ def _parts(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
     return pdf, np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part))
 
 
-def candidates(reps: DataFrame, threshold: float, tolerance: float, groups: int, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that connect what pruning leaves of the band buckets."""
+def _left(sig: np.ndarray, a: np.ndarray, b: np.ndarray, need: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a, b) that no step of the comparison drops."""
+    same = np.zeros(len(a), np.int64)
+    for k, least in enumerate(need):
+        cols = slice(k * STEP, (k + 1) * STEP)
+        same += (sig[a, cols] == sig[b, cols]).sum(1)
+        live = same >= least
+        a, b, same = a[live], b[live], same[live]
+    return a, b
+
+
+def candidates(points: DataFrame, threshold: float, tolerance: float, groups: int, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that connect what pruning leaves of the band buckets of
+    points (key, sig)."""
     need = least_matches(threshold, tolerance)
-    rows = reps.select("key", F.explode("bands").alias("bucket"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, _N)
+            yield pa.record_batch([pa.array(np.repeat(np.asarray(b.column("key")), BANDS)), pa.array(_bands(sig).view(np.int64).ravel())], names=["key", "bucket"])
+
+    rows = points.mapInArrow(deal, "key long, bucket long")
     # buckets of the same members count once: their sums of two hashes agree
     size = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("low"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("s")).where("size > 1")
     size = size.groupBy("size", "low", "s").agg(F.min("bucket").alias("bucket"))
     members = rows.join(size.select("bucket", "size"), "bucket")
-    members = members.join(reps.select("key", "sig"), "key")
+    members = members.join(points.select("key", "sig"), "key")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, cuts = _parts(pdf)
@@ -181,12 +208,7 @@ def candidates(reps: DataFrame, threshold: float, tolerance: float, groups: int,
         two = (pdf["lo"] != pdf["hi"]).to_numpy()[cuts[:-1]]
         found = [(np.zeros(0, int), np.zeros(0, int))]
         for a, b in _pairs(cuts, (pdf["own"] == pdf["hi"]).to_numpy(), two):
-            same = np.zeros(len(a), np.int64)
-            for k, least in enumerate(need):
-                cols = slice(k * STEP, (k + 1) * STEP)
-                same += (sig[a, cols] == sig[b, cols]).sum(1)
-                live = same >= least
-                a, b, same = a[live], b[live], same[live]
+            a, b = _left(sig, a, b, need)
             found.append((point[a], point[b]))
         root = _forest(*map(np.concatenate, zip(*found, strict=True)), len(ids))
         tied = root != np.arange(len(ids))
@@ -213,70 +235,119 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray] | None, width: int =
     return out
 
 
-def verified(docs: DataFrame, groups_: DataFrame, threshold: float, n: int, groups: int, block: int = BLOCK) -> DataFrame:
+def _common(left: list[np.ndarray], right: list[np.ndarray] | None, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets left[a] and right[b] (or left[b])."""
+    if len(a) * 16 > len(left) * len(right or left):  # most of the pairs
+        return _shared(left, right)[a, b].astype(np.float64)
+    other = right or left
+    return np.array([len(np.intersect1d(left[x], other[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.float64)
+
+
+def verified(sets: DataFrame, threshold: float, tolerance: float, n: int, groups: int, block: int = BLOCK) -> DataFrame:
     """Rows (key, root, links, one) of members of provisional groups (key,
-    group, size, copies): its verified links (counted with the copies of what
-    it is linked to) and the least member it is joined to, for each two blocks
-    it stands in; ``one``: its group is a single block."""
+    group, size, copies, sig, text): its verified links (counted with the
+    copies of what it is linked to) and the least member it is joined to, for
+    each two blocks it stands in; ``one``: its group is a single block.  Only
+    pairs that are candidates and that pruning leaves are verified."""
+    need = least_matches(threshold, tolerance)
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets: list[bytes] = []
+            out: list[bytes] = []
             for _, h, first in _sets(b, n):
-                sets += [h[s:e].tobytes() for s, e in zip(first[:-1], first[1:], strict=True)]
-            yield pa.record_batch([*(b.column(x) for x in ("key", "group", "size", "copies")), pa.array(sets, pa.binary())], names=["key", "group", "size", "copies", "shingles"])
+                out += [h[s:e].tobytes() for s, e in zip(first[:-1], first[1:], strict=True)]
+            kept = ("key", "group", "size", "copies", "sig")
+            yield pa.record_batch([*(b.column(x) for x in kept), pa.array(out, pa.binary())], names=[*kept, "shingles"])
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, cuts = _parts(pdf)
         keys, many, shingles = pdf["key"].to_numpy(), pdf["copies"].to_numpy(), pdf["shingles"].tolist()
+        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, _N)
         right, two = (pdf["own"] == pdf["hi"]).to_numpy(), (pdf["lo"] != pdf["hi"]).to_numpy()
         root, links = keys.copy(), np.zeros(len(keys), np.int64)
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             sets = [np.frombuffer(x, c.U) for x in shingles[s:e]]
-            size, copies = np.array([len(x) for x in sets], np.float64), many[s:e]
+            size = np.array([len(x) for x in sets], np.float64)
             li = np.flatnonzero(~right[s:e]) if two[s] else np.arange(e - s)
             ri = np.flatnonzero(right[s:e]) if two[s] else li
             if not len(li) or not len(ri):
                 continue
-            both = _shared([sets[k] for k in li], [sets[k] for k in ri] if two[s] else None).astype(np.float64)
-            link = both >= threshold * (size[li][:, None] + size[ri][None, :] - both) - 1e-9
-            if two[s]:
-                links[s + ri] = link.T @ copies[li]
-            else:
-                np.fill_diagonal(link, False)
-            links[s + li] = link @ copies[ri]
-            x, y = np.nonzero(link)
-            root[s:e] = keys[s + _forest(li[x], ri[y], e - s)]
+            own = sig[s:e]
+            band = own.view(c.U).reshape(e - s, BANDS)
+            x, y = [], []
+            for k in range(0, len(li), 64):  # which pairs have a band in common
+                meet = np.zeros((len(li[k : k + 64]), len(ri)), bool)
+                for j in range(BANDS):
+                    meet |= band[li[k : k + 64], j][:, None] == band[ri, j][None, :]
+                p, q = np.nonzero(meet)
+                if not two[s]:
+                    p, q = p[p + k < q], q[p + k < q]
+                x.append(p + k)
+                y.append(q)
+            a, b = li[np.concatenate(x)], ri[np.concatenate(y)]
+            some = [_left(own, a[k : k + (1 << 18)], b[k : k + (1 << 18)], need) for k in range(0, len(a), 1 << 18)] or [(a, b)]
+            a, b = map(np.concatenate, zip(*some, strict=True))
+            at = np.zeros(e - s, np.int64)
+            at[li] = np.arange(len(li))
+            at[ri] = np.arange(len(ri))
+            both = _common([sets[k] for k in li], [sets[k] for k in ri] if two[s] else None, at[a], at[b])
+            link = both >= threshold * (size[a] + size[b] - both) - 1e-9
+            a, b = a[link], b[link]
+            np.add.at(links, s + a, many[s + b])
+            np.add.at(links, s + b, many[s + a])
+            root[s:e] = keys[s + _forest(a, b, e - s)]
         return pd.DataFrame({"key": keys, "root": root, "links": links, "one": pdf["size"].to_numpy() <= block})
 
-    sets = docs.join(groups_, "key").select("key", "group", "size", "copies", "text").mapInArrow(shingle, "key long, group long, size long, copies long, shingles binary")
-    dealt = _deal(_blocked(sets, "group", "size", block), groups).select("task", "part", "lo", "hi", "own", "key", "size", "copies", "shingles")
+    sets = sets.select("key", "group", "size", "copies", "sig", "text").mapInArrow(shingle, "key long, group long, size long, copies long, sig binary, shingles binary")
+    dealt = _deal(_blocked(sets, "group", "size", block), groups).select("task", "part", "lo", "hi", "own", "key", "size", "copies", "sig", "shingles")
     return dealt.groupBy("task").applyInPandas(verify, "key long, root long, links long, one boolean")
 
 
-def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block: int = BLOCK) -> DataFrame:
-    """(doc_id, class_id, n_links) of each row of ``df``: the least id it is
-    connected to by links of similarity at least ``threshold``, and how many
-    other rows it is linked to itself (copies included)."""
+def _classes(df: DataFrame, doc_id: str, text: str, n: int, threshold: float, tolerance: float, block: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (id, key, tie, digest, sig) of all texts; their classes (digest,
+    copies, point, first, class_id, least, links): ``first`` is the least (key,
+    tie) of the class, and ``class_id`` and ``least`` that of all it is joined
+    to; and the number of rows."""
     groups = max(64, 2 * c.partitions(df.sparkSession))
-    docs = df.select(F.col(doc_id).cast("long").alias("key"), F.col(text).cast("string").alias("text")).where("key is not null")
-    signed = c.cut(signatures(docs, n), "signatures")
-    classes = signed.groupBy("digest").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
-    reps = signed.join(classes, (signed["digest"] == classes["digest"]) & (signed["key"] == classes["rep"])).dropDuplicates(["key"]).select("key", "copies", "bands", "sig")
-    found = c.components(candidates(reps, threshold, tolerance, groups, block), "candidates")
+    docs = c.identified(df, doc_id, text)
+    signed = c.cut(signatures(docs.select("id", "key", "tie", "text"), n), "signatures")
+    first = F.min(F.struct("key", "tie"))
+    classes = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), first.alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    classes = c.cut(classes.withColumn("point", F.monotonically_increasing_id()), "classes")  # fixed by being written
+    points = classes.select(F.col("point").alias("key"), "sig")
+    found = c.components(candidates(points, threshold, tolerance, groups, block), "candidates")
     sizes = found.groupBy("root").agg(F.count("*").alias("size"))
-    member = found.join(sizes, "root").select(F.col("id").alias("key"), F.col("root").alias("group"), "size")
-    copies = classes.select(F.col("rep").alias("key"), "copies")
-    checked = c.cut(verified(docs, member.join(copies, "key"), threshold, n, groups, block), "verified")
+    member = c.by_key(found, sizes, "root", "size", classes.count(), "inner").select(F.col("id").alias("point"), F.col("root").alias("group"), "size")
+    member = member.join(classes.select("point", "first", "copies", "sig"), "point").select(F.col("point"), "group", "size", "copies", "sig", "first.*")
+    texts = docs.select("key", "tie", "text").join(member, ["key", "tie"]).dropDuplicates(["point"]).drop("key", "tie").withColumnRenamed("point", "key")
+    checked = c.cut(verified(texts, threshold, tolerance, n, groups, block), "verified")
     wide = c.components(checked.where("not one and key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")), "links")
-    near = checked.groupBy("key").agg(F.sum("links").alias("links"), F.min("root").alias("least"))
-    near = near.join(wide.withColumnRenamed("id", "key").withColumnRenamed("root", "wide"), "key", "left").select(F.col("key").alias("rep"), "links", F.coalesce("wide", "least").alias("class"))
-    by_class = signed.select("key", "digest").join(classes, "digest").join(near, "rep", "left")
-    own = by_class.select("key", F.coalesce("class", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")).dropDuplicates(["key"])
-    return docs.select("key").join(own, "key", "left").select(F.col("key").alias("doc_id"), F.coalesce("class_id", "key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    near = checked.groupBy("key").agg(F.sum("links").alias("links"), F.min("root").alias("joined"))
+    near = near.join(wide.select(F.col("id").alias("key"), F.col("root").alias("wide")), "key", "left").select(F.col("key").alias("point"), "links", F.coalesce("wide", "joined").alias("root"))
+    all_ = classes.join(near, "point", "left").withColumn("root", F.coalesce("root", "point"))
+    least = all_.groupBy("root").agg(F.min("id").alias("class_id"), F.min("first").alias("least"), F.count("*").alias("many"))
+    all_ = c.by_key(all_.select("digest", "copies", "first", "root", "links"), least, "root", "many", classes.count(), "inner")
+    return signed, c.cut(all_.select("digest", "copies", "first", "class_id", "least", F.coalesce("links", F.lit(0)).alias("links")), "joined"), signed.count()
 
 
-def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The row with the least id of every class; rows without an id stay."""
-    gone = similar(df, doc_id, text, **how).where("doc_id <> class_id").select(F.col("doc_id").alias("gone"))
-    return df.join(gone, df[doc_id] == gone["gone"], "left_anti")
+def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block: int = BLOCK) -> DataFrame:
+    """(doc_id, class_id, n_links) of each row of ``df``: the least id it is
+    connected to by links of similarity at least ``threshold``, and how many
+    other rows it is linked to itself (copies included)."""
+    signed, classes, total = _classes(df, doc_id, text, n, threshold, tolerance, block)
+    rows = c.by_key(signed.where("digest is not null").select("id", "digest"), classes.select("digest", "copies", "class_id", "links"), "digest", "copies", total, "inner")
+    full = rows.select(F.col("id").alias("doc_id"), "class_id", (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"))
+    return full.unionByName(signed.where("digest is null").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block: int = BLOCK) -> DataFrame:
+    """One row of every class: that with the least id, of rows without one or
+    with the same the one with the least hash of its text, and one of equal
+    rows.  Rows of texts without words stay."""
+    signed, classes, total = _classes(df, doc_id, text, n, threshold, tolerance, block)
+    rows = c.by_key(signed.where("digest is not null").select("key", "tie", "digest"), classes.select("digest", "copies", "least"), "digest", "copies", total, "inner")
+    gone = rows.where(F.struct("key", "tie") != F.col("least")).select("key", "tie")
+    kept = c.wrapped(df, doc_id, text).join(gone.distinct(), ["key", "tie"], "left_anti")
+    twice = rows.where(F.struct("key", "tie") == F.col("least")).groupBy("key", "tie").agg(F.count("*").alias("n")).where("n > 1").select("key", "tie")
+    some = kept.join(twice, ["key", "tie"], "left_semi").groupBy("key", "tie").agg(F.first("rest").alias("rest"))
+    return kept.join(twice, ["key", "tie"], "left_anti").select("rest.*").unionByName(some.select("rest.*"))

@@ -122,44 +122,57 @@ def test_strip_documents_keeps_columns_and_untouched_rows(docs):
 
 
 def brute_classes(data, n=5, threshold=0.8):
-    sets = {}
-    for i, text, *_ in data:
+    """Class id and links of each row, by its number."""
+    sets = []
+    for _, text, *_ in data:
         w = plain_words(text)
-        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
-    links, root = defaultdict(int), {i: i for i in sets}
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set()))
+    links, root = [0] * len(data), list(range(len(data)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
+    for a in range(len(data)):
+        for b in range(a + 1, len(data)):
+            if sets[a] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
                 links[a] += 1
                 links[b] += 1
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return {i: (find(i), links[i]) for i in sets}
+                root[find(b)] = find(a)
+    own = [find(k) for k in range(len(data))]
+    least = {r: min((data[k][0] for k in range(len(data)) if own[k] == r and data[k][0] is not None), default=None) for r in own}
+    return [(data[k][0], least[own[k]], links[k]) for k in range(len(data))], own
+
+
+NEAR = [(100 + k, " ".join(WORDS[k : k + 200]), "en", "s", 0) for k in range(9)] + [(None, " ".join(WORDS[4:205]), "en", "s", 0), (102, " ".join(WORDS[1:203]), "en", "s", 0), (None, " ".join([*BLOCKS, "x"]), "en", "s", 0), (None, " ".join([*BLOCKS[1:], "x"]), "en", "s", 0)]
 
 
 @pytest.mark.parametrize("block", [2, 512])
-def test_ngram_join_is_brute_force(spark, docs, block):
-    near = [(100 + k, " ".join(WORDS[k : k + 200]), "en", "s", 0) for k in range(9)]
-    data = AWKWARD + near
-    got = {r[0]: tuple(r[1:]) for r in ngram_join.similar(spark.createDataFrame(data, SCHEMA), block=block).collect()}
-    assert got == brute_classes(data)
+def test_ngram_join_is_brute_force(spark, block):
+    data = CLASHING + NEAR
+    docs = spark.createDataFrame(data, SCHEMA).withColumn("key", F.lit("clash")).withColumn("digest", F.lit("clash"))
+    got = sorted(map(tuple, ngram_join.similar(docs, block=block).collect()), key=str)
+    assert got == sorted(brute_classes(data)[0], key=str)
 
 
 def test_ngram_join_edges(spark, docs):
-    assert ngram_join.similar(docs.limit(0)).count() == 0
-    kept = ngram_join.keep_one(docs)
-    assert kept.columns == docs.columns
-    ids = {r["doc_id"] for r in kept.collect()}
-    assert {0, 1, 2, 3, 5} <= ids and 6 not in ids
+    assert ngram_join.similar(docs.limit(0)).count() == 0 and ngram_join.keep_one(docs.limit(0)).count() == 0
     assert ngram_join.similar(docs.unionByName(docs)).count() == 2 * len(AWKWARD)
 
 
+def test_one_row_of_each_class_stays(spark):
+    data = CLASHING + NEAR + AWKWARD[:9]
+    clash = spark.createDataFrame(data, SCHEMA).withColumns({x: F.lit("clash") for x in ("key", "a.b", "rest", "gone")})
+    kept = ngram_join.keep_one(clash)
+    assert kept.columns == clash.columns
+    groups = defaultdict(list)
+    for x, own in zip(data, brute_classes(data)[1], strict=True):
+        groups[own if plain_words(x[1]) else ordered(x) + (len(groups),)].append(x)
+    want = [min(v, key=ordered)[:2] for v in groups.values()]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_least_matches_drop_less_than_tolerance():
     need = ngram_join.least_matches(0.8, 1e-6)
     assert len(need) == 8 and list(need) == sorted(need) and 0 < need[0] < 13 and need[-1] < 0.8 * 128
