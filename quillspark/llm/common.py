@@ -162,17 +162,6 @@ def _tokens(data: np.ndarray, at: np.ndarray, letters: Alphabet) -> Tokens:
     return Tokens(h, start, end, np.searchsorted(start, at))
 
 
-def prefixes(data: np.ndarray, t: Tokens, letters: Alphabet, k: int) -> np.ndarray:
-    """Hashes of the first ``k`` bytes of each token, 0 for shorter ones."""
-    out = np.zeros(len(t.start), U)
-    long = np.flatnonzero(t.end - t.start >= k)
-    if len(long):
-        byte = data[t.start[long][:, None] + np.arange(k)]
-        byte = byte if letters.read is None else letters.read[byte]
-        out[long] = mix(_TABLE[(np.arange(k) << 8) | byte].sum(1, dtype=U) + U(k))
-    return out
-
-
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of ``k`` tokens, by doubling."""
     n, want, done, out, cur, width = len(h), k, 0, None, h, 1

@@ -2,25 +2,33 @@
 
 Voters (words of a lexicon, groups of words in other languages, patterns, and
 word beginnings) each fire on a document or abstain.  The word beginnings are
-found in labelled rows on which no other voter fires: those whose documents
+proposed by labelled rows on which no other voter fires: those whose documents
 are labelled toxic far more often than chance allows.  A generative label model
-explains how often voters fire and fire together: given the class they are
-independent but for some correlated pairs, so off the diagonal the covariance
-matrix is u u^T, with u_j the (scaled) difference of voter j's rates in the two
-classes.  u is fitted to the counts of all documents; pairs that stand off the
-fit are the correlated ones, are left out of the next fit, and share their
-weight in a posterior where both fire.  The rates of labelled rows, if there
-are any, refine those of the fit.  A logistic classifier over voters and hashed
-words is trained on the posterior labels and calibrated on labelled rows.
-
-The covariance is of all documents (one number for each pair of voters).  Word
-beginnings, classifier and calibration are fitted on about ``sample`` rows of
-the learning part each, chosen by the hash of their ids.  Labels are looked up
-for rows of the learning part only.  Language, source and id are no inputs.
-
-Rows: null and empty texts fire no voter and get the score of that; a null or
-absent label is no label; without labels the prior is ``PRIOR`` and the score
-is not calibrated; without documents there is no row.
+tells how good each voter is from how often voters fire and fire together,
+never from labels: given the class they are independent but for some correlated
+pairs, so off the diagonal the covariance matrix is u u^T, with u_j the (scaled)
+difference of voter j's rates in the two classes.  u is fitted to the counts of
+all documents; pairs that stand off the fit are the correlated ones, are left
+out of the next fit, and share their weight in a posterior where both fire;
+pairs that avoid each other (words of different languages), or whose meetings
+are too few to tell, say nothing.  A voter
+that has no other to be judged by keeps a weak prior: that it is right in
+``TRUST`` of its cases, or in ``DOUBT`` of them if it looks at signs only.  A logistic classifier over voters and hashed words is
+trained on the posterior labels; labels calibrate its scores.
+
+The covariance is of all documents (one number for each pair of voters that
+fire together).  Word beginnings, classifier and calibration are fitted on about
+``sample`` rows of the learning part each, chosen by the hash of their ids, and
+on fewer where these would have more than ``WORDS_HELD`` words.  Labels are
+looked up for rows of the learning part only.  Language, source and id are no
+inputs.  The texts are read for the sample, for the counts, and for the scores.
+
+Rows: null and empty texts fire no voter and get the score of that; rows of one
+id or of none are scored each by its own text, and repeated rows alike; a score
+equal to the threshold is predicted; a null, absent or other label is no label,
+of several of one id the largest counts; without labels the score is not
+calibrated; without documents there is no row.  Further columns are not read,
+whatever they are called, and :func:`keep_clean` returns them.
 """
 
 from __future__ import annotations
@@ -54,13 +62,26 @@ GROUPS = {
 }
 ADDRESS = "you your youre u du sie tu vous usted eres".split()
 PATTERNS = ("you_are", "shouting", "exclaiming", "masked")
-STEMS = 24  # word beginnings that may vote
 FIXED = (*WORDS, *GROUPS, *PATTERNS)
-VOTERS = (*FIXED, *(f"stem{k}" for k in range(STEMS)))
-SIZES = (4, 5, 6, 7)  # bytes of a word beginning
-Stems = dict[int, tuple[np.ndarray, np.ndarray]]  # by size: sorted hashes, their voters
-PRIOR = 0.1
+SIZES = (4, 5, 6, 7, 8)  # bytes of a word beginning; they fit into one number
+PRIOR = 0.1  # share of toxic documents that the label model assumes
+TRUST, DOUBT = 0.9, 0.2
 SLOTS = 1 << 16
+WORDS_HELD = 6_000_000
+
+
+class Stems(NamedTuple):
+    """Word beginnings: by size sorted numbers and the voter of each."""
+
+    by_size: dict[int, tuple[np.ndarray, np.ndarray]]
+    many: int
+
+    @property
+    def voters(self) -> int:
+        return len(FIXED) + self.many
+
+
+NO_STEMS = Stems({}, 0)
 
 
 class Model(NamedTuple):
@@ -85,17 +106,27 @@ def _lexicon() -> tuple[np.ndarray, np.ndarray]:
     return h, np.array(voter)[first]
 
 
+def _beginnings(data: np.ndarray, t: c.Tokens, size: int) -> np.ndarray:
+    """The first ``size`` bytes of each token, lower-cased, as a number; 0 for shorter ones."""
+    out = np.zeros(len(t.start), c.U)
+    long = np.flatnonzero(t.end - t.start >= size)
+    for k in range(size):
+        byte = data[t.start[long] + k]
+        out[long] |= (byte + np.uint8(32) * ((byte >= 65) & (byte <= 90))).astype(c.U) << c.U(8 * k)
+    return out
+
+
 def _read(data: np.ndarray, at: np.ndarray, lexicon: tuple[np.ndarray, np.ndarray], near: np.ndarray, stems: Stems) -> tuple[c.Tokens, np.ndarray, np.ndarray]:
     """Tokens of texts, the matrix (text, voter) of votes, and which tokens are in the lexicon."""
     t = c.tokens(data, at, c.folded())
     of, n = t.text_of(), len(at) - 1
-    votes = np.zeros((n, len(VOTERS)), bool)
+    votes = np.zeros((n, stems.voters), bool)
     known, voter = lexicon
     spot = np.minimum(np.searchsorted(known, t.hashes), len(known) - 1)
     hit = known[spot] == t.hashes
     votes[of[hit], voter[spot[hit]]] = True
-    for size, (begin, whose) in stems.items():
-        h = c.prefixes(data, t, c.folded(), size)
+    for size, (begin, whose) in stems.by_size.items():
+        h = _beginnings(data, t, size)
         spot = np.minimum(np.searchsorted(begin, h), len(begin) - 1)
         own = begin[spot] == h
         votes[of[own], whose[spot[own]]] = True
@@ -103,77 +134,89 @@ def _read(data: np.ndarray, at: np.ndarray, lexicon: tuple[np.ndarray, np.ndarra
     address = np.isin(t.hashes, near)
     for back in (1, 2, 3):
         pair = hit[back:] & address[:-back] & (of[back:] == of[:-back])
-        votes[of[back:][pair], VOTERS.index("you_are")] = True
-    count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[at])
+        votes[of[back:][pair], FIXED.index("you_are")] = True
+
+    def count(mask: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])[at])
+
     upper, lower = count((data >= 65) & (data <= 90)), count((data >= 97) & (data <= 122))
-    votes[:, VOTERS.index("shouting")] = upper > np.maximum(20, 2 * lower)
+    votes[:, FIXED.index("shouting")] = upper > np.maximum(20, 2 * lower)
     bang, star = data == 33, data == 42
-    votes[:, VOTERS.index("exclaiming")] = count(bang & np.append(False, bang[:-1])) >= 3
+    votes[:, FIXED.index("exclaiming")] = count(bang & np.append(False, bang[:-1])) >= 3
     letter = ((data | 32) >= 97) & ((data | 32) <= 122)
     masked = np.zeros(len(data), bool)
     masked[1:-1] = star[1:-1] & letter[:-2] & (letter[2:] | star[2:])
-    votes[:, VOTERS.index("masked")] = count(masked) >= 2
+    votes[:, FIXED.index("masked")] = count(masked) >= 2
     return t, votes, hit
 
 
-def _votes(docs: DataFrame, stems: Stems) -> DataFrame:
-    """(key, bits): the voters that fire on each document."""
-    near = _hash_words(ADDRESS)
-
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, power = _lexicon(), np.int64(1) << np.arange(len(VOTERS), dtype=np.int64)
-        for b in batches:
-            bits = [_read(data, at, lexicon, near, stems)[1] @ power for _, _, data, at in c.slices(b.column("text"))]
-            yield pa.record_batch([b.column("key"), pa.array(np.concatenate([np.zeros(0, np.int64), *bits]))], names=["key", "bits"])
-
-    return docs.mapInArrow(vote, "key long, bits long")
-
-
-def _once(docs: DataFrame) -> DataFrame:
-    """``docs`` (key, text, ...) without most near copies of one another: rows
-    that share the least hash of their three-word runs, under either of two
-    orders, are taken once, so that copies don't pass for evidence."""
+def _sketches(docs: DataFrame) -> DataFrame:
+    """(row, toxic, a, b, sketch) of documents (row, text, toxic): the least
+    hashes of their three-word runs under some orders."""
+    mul = c.mix(np.arange(1, 17, dtype=c.U)) | c.U(1)
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = np.zeros((2, b.num_rows), np.int64)
+            out = np.zeros((b.num_rows, 16), c.U)
             for i, _, data, at in c.slices(b.column("text")):
                 t = c.tokens(data, at, c.folded())
-                of = t.text_of()
+                of, size = t.text_of(), np.diff(t.first)
                 ok = np.flatnonzero(t.whole(3, of))
                 h, text = c.grams(t.hashes, 3)[ok], of[ok]
+                for k in (1, 2):  # texts of fewer words are one run
+                    short = np.flatnonzero(size == k)
+                    if len(short):
+                        h, text = np.append(h, c.grams(t.hashes, k)[t.first[short]]), np.append(text, short)
+                order = np.argsort(text, kind="stable")
+                h, text = h[order], text[order]
                 first = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else text
-                for k, x in enumerate((h, c.mix(h + c.U(1)))):
+                for k in range(16):
                     if len(first):
-                        out[k, i + text[first]] = np.minimum.reduceat(x, first).view(np.int64)
-            yield pa.record_batch([b.column("key"), pa.array(out[0]), pa.array(out[1])], names=["key", "a", "b"])
+                        out[i + text[first], k] = np.minimum.reduceat(c.mix(h * mul[k]), first)
+            sketch = pa.ListArray.from_arrays(np.arange(0, out.size + 1, 16, dtype=np.int32), pa.array(out.view(np.int64).ravel()))
+            yield pa.record_batch([b.column("row"), b.column("toxic"), pa.array(out[:, 0].view(np.int64)), pa.array(out[:, 1].view(np.int64)), sketch], names=["row", "toxic", "a", "b", "sketch"])
+
+    return docs.select("row", "text", "toxic").mapInArrow(least, "row long, toxic int, a long, b long, sketch array<long>")
+
 
-    marks = docs.select("key", "text").mapInArrow(least, "key long, a long, b long")
+def _once(docs: DataFrame) -> DataFrame:
+    """``docs`` (row, text, toxic) without most near copies of one another: rows
+    of one label that share a least hash, and half of a sketch, with the first
+    row that has it, so that copies don't pass for evidence."""
+    marks = _sketches(docs)
     for mark in ("a", "b"):
-        marks = marks.groupBy(mark).agg(F.min(F.struct("key", "a", "b")).alias("m")).select("m.*")
-    return docs.join(marks.select("key"), "key", "left_semi")
+        head = marks.groupBy(mark, "toxic").agg(F.min(F.struct("row", "sketch")).alias("h"))
+        agree = F.size(F.filter(F.arrays_zip(F.col("sketch").alias("x"), F.col("h.sketch").alias("y")), lambda z: z["x"] == z["y"]))
+        marks = marks.join(head, [mark, "toxic"]).where((F.col("row") == F.col("h.row")) | (agree < 8)).drop("h")
+    return docs.join(marks.select("row"), "row", "left_semi")
 
 
-def _together(votes: DataFrame) -> tuple[int, np.ndarray]:
-    """Documents, and how many of them each two voters fire on."""
-    m = len(VOTERS)
+def _together(docs: DataFrame, stems: Stems) -> tuple[int, int, np.ndarray]:
+    """Documents, their words, and on how many of them each two voters fire."""
+    m, near = stems.voters, _hash_words(ADDRESS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((m, m), np.int64), 0
+        lexicon = _lexicon()
+        total, n, words = np.zeros((m, m), np.int64), 0, 0
         for b in batches:
-            v = ((np.asarray(b.column("bits"))[:, None] >> np.arange(m)) & 1).astype(np.float32)
-            total += (v.T @ v).astype(np.int64)
-            n += len(v)
-        yield pa.record_batch([pa.array(np.arange(m * m + 1)), pa.array(np.append(total.ravel(), n))], names=["cell", "n"])
-
-    rows = votes.select("bits").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # m * m + 1 rows
-    flat = np.zeros(m * m + 1)
+            n += b.num_rows
+            for _, _, data, at in c.slices(b.column("text")):
+                t, v, _ = _read(data, at, lexicon, near, stems)
+                words += len(t.hashes)
+                v = v[v.any(1)].astype(np.float32)
+                total += (v.T @ v).astype(np.int64)
+        flat = np.append(total.ravel(), [n, words])
+        cell = np.flatnonzero(flat)
+        yield pa.record_batch([pa.array(cell), pa.array(flat[cell])], names=["cell", "n"])
+
+    rows = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # a row for each two voters
+    flat = np.zeros(m * m + 2)
     for r in rows:
         flat[r["cell"]] = r["n"]
-    return int(flat[-1]), flat[:-1].reshape(m, m)
+    return int(flat[-2]), int(flat[-1]), flat[:-2].reshape(m, m)
 
 
-def label_model(n: int, together: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(n: int, together: np.ndarray, prior: float = PRIOR, right: np.ndarray | float = TRUST, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rates of firing in the positive and the negative class, and which
     voters are correlated.  A voter that never fires has equal rates."""
     m = len(together)
@@ -181,24 +224,30 @@ def label_model(n: int, together: np.ndarray, prior: float, rounds: int = 30) ->
     cov = together / max(n, 1) - np.outer(mean, mean)
     live = (mean > 0) & (mean < 1)
     noise = np.sqrt(np.outer(mean * (1 - mean), mean * (1 - mean)) / max(n, 1)) + 1e-12
-    use = np.outer(live, live) & ~np.eye(m, dtype=bool)
-    sure = use & (cov > 4 * noise)
-    u = np.zeros(m)
+    s = np.sqrt(prior * (1 - prior))
+    believed = mean * (right / prior - (1 - right) / (1 - prior)) * s  # u of a voter that is ``right`` in such a share of its cases
+    by_chance = max(n, 1) * np.outer(mean, mean)  # how often two independent voters would fire together
+    pair = np.outer(live, live) & ~np.eye(m, dtype=bool)
+    sure = pair & (cov > 4 * noise)
+    use = sure | pair & (by_chance >= 5) & (together >= by_chance / 2)
+    u = np.where(live, believed, 0)
     for i in np.flatnonzero(live):  # of every three voters each product of two is known; a median bears tied pairs
         j, k = np.nonzero(np.triu(sure & sure[i][:, None] & sure[i][None, :]))
         if len(j):
             u[i] = np.sqrt(np.median(cov[i, j] * cov[i, k] / cov[j, k]))
     sd = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
     off = np.abs(cov - np.outer(u, u))
-    tied = use & (off > 8 * noise) & (off > 0.15 * np.outer(sd, sd))
-    use = use & ~tied
-    for _ in range(rounds):  # least squares on the pairs that are left
-        u = np.where(live, np.maximum(0, ((cov * use) @ u) / np.maximum((use * u**2).sum(1), 1e-12)), 0) if u.any() else u
-    s = np.sqrt(prior * (1 - prior))
-    p1 = np.clip(mean + u * (1 - prior) / s, 1e-4, 1 - 1e-4)
-    p0 = np.clip(mean - u * prior / s, 1e-4, 1 - 1e-4)
-    p1, p0 = np.where(live, p1, 0.5), np.where(live, p0, 0.5)
-    return p1, p0, tied
+    tied = sure & (off > 8 * noise) & (off > 0.15 * np.outer(sd, sd))
+    weight = np.where(use & ~tied, noise**-2.0, 0)
+    most = mean / prior * s  # u of a voter that is never wrong
+    trust = np.where(live, 1 / np.maximum(0.5 * believed, 1e-12) ** 2, 1)  # the prior's weight, which few counts outweigh
+    for _ in range(rounds):  # least squares on the pairs that are left, voter by voter
+        for i in np.flatnonzero(live):
+            u[i] = np.clip((weight[i] @ (cov[i] * u) + trust[i] * believed[i]) / (weight[i] @ u**2 + trust[i]), 0, most[i])
+    p1 = np.clip(mean + u * (1 - prior) / s, 1e-6, 1 - 1e-6)
+    p0 = np.clip(mean - u * prior / s, 1e-6, 1 - 1e-6)
+    p0 = np.maximum(p0, 0.005 * mean)  # no voter is taken for faultless
+    return np.where(live, p1, 0.5), np.where(live, p0, 0.5), tied
 
 
 def posterior(votes: np.ndarray, p1: np.ndarray, p0: np.ndarray, tied: np.ndarray, prior: float) -> np.ndarray:
@@ -215,52 +264,50 @@ def _tail(k: int, n: int, p: float) -> float:
 def find_stems(rows: DataFrame, prior: float, chance: float = 0.01, purity: float = 0.9) -> Stems:
     """Word beginnings of labelled documents (text, toxic) that tell a toxic
     one; ``purity``: least share of toxic ones among the documents that have
-    it; ``chance``: expected number of beginnings that get in by chance."""
+    it; ``chance``: expected number of beginnings that get in by chance.  One
+    that goes on where another stops adds no document, and is left out."""
     groups = 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             toxic = np.asarray(b.column("toxic")).astype(np.int64)
-            hs, ys, ss = [], [], []
+            hs, ys = [], []
             for i, _, data, at in c.slices(b.column("text")):
                 t = c.tokens(data, at, c.folded())
                 of = t.text_of()
                 for size in SIZES:
-                    h = c.prefixes(data, t, c.folded(), size)
+                    h = _beginnings(data, t, size)
                     order = np.lexsort((h, of))
                     o, h = of[order], h[order]
                     new = h != 0
                     new[1:] &= (h[1:] != h[:-1]) | (o[1:] != o[:-1])
                     hs.append(h[new])
                     ys.append(toxic[i + o[new]])
-                    ss.append(np.full(int(new.sum()), size, np.int8))
             if not hs:
                 continue
-            h, first, at_ = np.unique(np.concatenate(hs), return_index=True, return_inverse=True)
+            h, at_ = np.unique(np.concatenate(hs), return_inverse=True)
             n1, n = np.bincount(at_, np.concatenate(ys)).astype(np.int32), np.bincount(at_).astype(np.int32)
-            yield c.packed_batch([(p, len(x[0]), c.pack(*x)) for p, x in c.by_part((h % c.U(groups)).astype(np.int64), h, n1, n, np.concatenate(ss)[first])])
+            yield c.packed_batch([(p, len(x[0]), c.pack(*x)) for p, x in c.by_part((c.mix(h) % c.U(groups)).astype(np.int64), h, n1, n)])
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, n1, n, size = c.unpack_all(pdf["blob"], pdf["n"], c.U, np.int32, np.int32, np.int8)
-        h, first, at = np.unique(h, return_index=True, return_inverse=True)
+        h, n1, n = c.unpack_all(pdf["blob"], pdf["n"], c.U, np.int32, np.int32)
+        h, at = np.unique(h, return_inverse=True)
         n1, n = np.bincount(at, n1).astype(int), np.bincount(at, n).astype(int)
         keep = (n1 >= 4) & (n1 >= purity * n)
-        tested = int((n >= 4).sum())
-        out = pd.DataFrame({"h": h[keep].view(np.int64), "size": size[first][keep].astype(int), "n1": n1[keep], "n": n[keep]})
-        return pd.concat([out, pd.DataFrame({"h": [0], "size": [0], "n1": [0], "n": [tested]})])
-
-    found = rows.select("text", "toxic").mapInArrow(count, c.PACKED).groupBy("part").applyInPandas(choose, "h long, size int, n1 int, n int")
-    tested = max(1, int(found.where("size = 0").agg(F.sum("n")).first()[0] or 0))
-    best = found.where("size > 0").orderBy(F.desc("n1"), "size", "h").limit(40 * STEMS).collect()
-    good = [r for r in best if _tail(r["n1"], r["n"], prior) * tested < chance]
-    # the same documents name several sizes of one beginning: a count once
-    seen: dict[tuple[int, int], tuple] = {}
-    for r in sorted(good, key=lambda r: (-r["n1"], r["size"], r["h"])):
-        seen.setdefault((r["n1"], r["n"]), r)
-    out: dict[int, list[tuple[int, int]]] = {}
-    for k, r in enumerate(list(seen.values())[:STEMS]):
-        out.setdefault(r["size"], []).append((r["h"] & (2**64 - 1), len(FIXED) + k))
-    return {size: (np.array([x for x, _ in sorted(v)], c.U), np.array([k for _, k in sorted(v)])) for size, v in out.items()}
+        out = pd.DataFrame({"h": h[keep].view(np.int64), "n1": n1[keep], "n": n[keep]})
+        return pd.concat([out, pd.DataFrame({"h": [0], "n1": [0], "n": [int((n >= 4).sum())]})])
+
+    found = rows.select("text", "toxic").mapInArrow(count, c.PACKED).groupBy("part").applyInPandas(choose, "h long, n1 int, n int").collect()  # of a bounded sample
+    tested = max(1, sum(r["n"] for r in found if not r["h"]))
+    size_of = lambda h: (h.bit_length() + 7) // 8
+    good = [r for r in found if r["h"] and _tail(r["n1"], r["n"], prior) * tested < chance]
+    chosen: list[int] = []
+    for h in sorted((r["h"] & (2**64 - 1) for r in good), key=lambda h: (size_of(h), h)):
+        if not any(h & ((1 << 8 * size_of(x)) - 1) == x for x in chosen):
+            chosen.append(h)
+    by_size = {k: np.array(sorted(h for h in chosen if size_of(h) == k), c.U) for k in SIZES}
+    voter = {h: len(FIXED) + k for k, h in enumerate(sorted(chosen))}
+    return Stems({k: (v, np.array([voter[int(h)] for h in v])) for k, v in by_size.items() if len(v)}, len(chosen))
 
 
 def _bag(t: c.Tokens, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -273,24 +320,23 @@ def _bag(t: c.Tokens, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def train(votes: np.ndarray, first: np.ndarray, slot: np.ndarray, value: np.ndarray, target: np.ndarray, penalty: float = 2.0, steps: int = 150) -> tuple[np.ndarray, np.ndarray, float]:
     """Logistic weights of voters and word slots by accelerated gradient."""
-    n = len(target)
-    row = np.repeat(np.arange(n), np.diff(first))
-    w, b = np.zeros(votes.shape[1] + SLOTS), 0.0
+    n, m = votes.shape
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
+    w, b = np.zeros(m + SLOTS, np.float32), 0.0
     near, near_b, t = w.copy(), b, 1.0
     mean_sq = votes.sum(1).mean() + np.bincount(row, value**2, n).mean() + 1
-    rate = 4.0 / mean_sq
-    m = votes.shape[1]
+    rate = np.float32(4.0 / mean_sq)
     for _ in range(steps):
         z = votes @ near[:m] + np.bincount(row, value * near[m:][slot], n) + near_b
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / max(n, 1)
-        grad = np.concatenate([votes.T @ err, np.bincount(slot, value * err[row], SLOTS)])
-        grad[m:] += penalty / max(n, 1) * near[m:]
-        grad[:m] += 0.01 / max(n, 1) * near[:m]
-        w_new, b_new = near - rate * grad, near_b - rate * err.sum()
+        err = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / max(n, 1)).astype(np.float32)
+        grad = np.concatenate([votes.T @ err, np.bincount(slot, value * err[row], SLOTS)]).astype(np.float32)
+        grad[m:] += np.float32(penalty / max(n, 1)) * near[m:]
+        grad[:m] += np.float32(0.01 / max(n, 1)) * near[:m]
+        w_new, b_new = near - rate * grad, near_b - float(rate) * float(err.sum())
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        near, near_b = w_new + (t - 1) / t_new * (w_new - w), b_new + (t - 1) / t_new * (b_new - b)
+        near, near_b = w_new + np.float32((t - 1) / t_new) * (w_new - w), b_new + (t - 1) / t_new * (b_new - b)
         w, b, t = w_new, b_new, t_new
-    return w[:m], w[m:], b
+    return w[:m].astype(float), w[m:].astype(float), b
 
 
 def calibrate(z: np.ndarray, label: np.ndarray, steps: int = 60) -> tuple[float, float]:
@@ -316,58 +362,69 @@ def fold(doc_id: str | Column) -> Column:
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(3))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Model:
-    """The model of documents (key, text) and labels (doc_id, toxic)."""
-    learn = F.coalesce(fold("key") != 1, F.lit(False))
-    known = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("key"), F.col("toxic").cast("int").alias("toxic")).where(learn).groupBy("key").agg(F.max("toxic").alias("toxic"))
-    rate = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("s")).first()
-    prior = float(np.clip(rate["s"] / rate["n"], 0.005, 0.5)) if rate["n"] else PRIOR
-    stems: Stems = {}
-    spread = F.pmod(F.xxhash64("key"), F.lit(1 << 20))
-    if rate["n"]:
-        some = known.where(spread < int(min(1.0, sample / rate["n"]) * (1 << 20)))
-        quiet = _once(docs.join(some, "key")).join(_votes(docs.join(some, "key").select("key", "text"), {}).where("bits = 0").dropDuplicates(["key"]), "key").select("text", "toxic")
-        stems = find_stems(quiet, prior)
-    votes = c.cut(_votes(docs, stems), "votes")
-    n, together = _together(votes)
-    p1, p0, tied = label_model(n, together, prior)
-    if rate["n"]:
-        m = len(VOTERS)
-        bit = [F.sum(F.getbit("bits", F.lit(k))).alias(f"v{k}") for k in range(m)]
-        fires = {r["toxic"]: r for r in votes.join(known, "key").groupBy("toxic").agg(F.count("*").alias("n"), *bit).collect()}
-        for y, p in ((1, p1), (0, p0)):
-            if y in fires:
-                p[:] = (np.array([fires[y][f"v{k}"] for k in range(m)]) + 2 * p) / (fires[y]["n"] + 2)
-    share = min(1.0, sample / max(1, n))
-    chosen = spread < int(share * (1 << 20))
+def _features(few: DataFrame, stems: Stems) -> pa.Table:
+    """Of documents (row, text, toxic): votes, and words as slots and weights."""
+    near = _hash_words(ADDRESS)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _lexicon()
         for b in batches:
-            out = []
-            for _, j, data, at in c.slices(b.column("text")):
-                t, v, hit = _read(data, at, lexicon, np.zeros(0, c.U), stems)
+            bits, slots, weights = [], [], []
+            for _, _, data, at in c.slices(b.column("text")):
+                t, v, hit = _read(data, at, lexicon, near, stems)
                 text, slot, many, scale = _bag(t, hit)
                 cuts = np.searchsorted(text, np.arange(len(at)))
-                out += [(slot[s:e].astype(np.int32).tobytes(), (many[s:e] * scale[k]).astype(np.float32).tobytes()) for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-            yield pa.record_batch([b.column("key"), b.column("bits"), b.column("toxic"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["key", "bits", "toxic", "slots", "weights"])
+                bits += [x.tobytes() for x in np.packbits(v, axis=1)]
+                slots += [slot[s:e].astype(np.int32).tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+                weights += [(many[s:e] * scale[k]).astype(np.float32).tobytes() for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+            yield pa.record_batch([b.column("row"), b.column("toxic"), *(pa.array(x, pa.binary()) for x in (bits, slots, weights))], names=["row", "toxic", "bits", "slots", "weights"])
+
+    return few.select("row", "toxic", "text").mapInArrow(features, "row long, toxic int, bits binary, slots binary, weights binary").toArrow().sort_by("row")
+
+
+def _raw(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The bytes of a binary column, one after another."""
+    one = column.combine_chunks()
+    at = np.frombuffer(one.buffers()[1], np.int32)[one.offset : one.offset + len(one) + 1]
+    return np.frombuffer(one.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind) if len(one) and at[-1] > at[0] else np.zeros(0, kind)
+
 
-    few = docs.where(learn & chosen)
-    few = few.join(votes.where(learn & chosen).dropDuplicates(["key"]), "key").join(known.where(chosen), "key", "left")
-    rows = few.select("key", "text", "bits", "toxic").mapInArrow(features, "key long, bits long, toxic int, slots binary, weights binary").toArrow()  # about ``sample`` rows
-    m = len(VOTERS)
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model:
+    """The model of identified documents (see common) and labels (doc_id, toxic)."""
+    learn = F.coalesce(fold("key") != 1, F.lit(False)) & F.col("key").isNotNull()
+    known = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("key"), F.col("toxic").cast("int").alias("toxic")).where(learn).groupBy("key").agg(F.max("toxic").alias("toxic"))
+    rate = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("s")).first()
+    spread = F.pmod(F.xxhash64("key"), F.lit(1 << 20))
+    n = docs.count()
+    bound = lambda of: int(min(1.0, sample / max(1, of)) * (1 << 20))
+    few = docs.where(F.col("id").isNotNull() & learn & (spread < max(bound(n), bound(rate["n"] or n))))
+    few = c.cut(few.join(known, "key", "left").select(spread.alias("spread"), "toxic", "text", F.xxhash64("key", "tie").alias("row")), "sample")
+    stems = NO_STEMS
+    if rate["n"]:
+        labelled = few.where(F.col("toxic").isNotNull() & (F.col("spread") < bound(rate["n"])))
+        near = _hash_words(ADDRESS)
+
+        def quiet(texts: pa.Array) -> np.ndarray:
+            lexicon = _lexicon()
+            return np.concatenate([np.zeros(0, bool), *(~_read(data, at, lexicon, near, NO_STEMS)[1].any(1) for _, _, data, at in c.slices(texts))])
+
+        stems = find_stems(_once(c.filtered(labelled, "text", quiet)), float(np.clip(rate["s"] / rate["n"], 0.005, 0.5)))
+    n, words, together = _together(docs, stems)
+    right = np.full(stems.voters, TRUST)
+    right[[FIXED.index(x) for x in ("shouting", "exclaiming", "masked")]] = DOUBT
+    p1, p0, tied = label_model(n, together, right=right)
+    share = min(1.0, sample / max(1, n), WORDS_HELD / max(1, words))
+    rows = _features(few.where(F.col("spread") < int(share * (1 << 20))), stems)  # about ``sample`` rows, and WORDS_HELD words
+    m = stems.voters
     if not rows.num_rows:
-        return Model(np.zeros(m), np.zeros(SLOTS), float(np.log(prior / (1 - prior))), 1.0, 0.0, stems)
-    order = np.argsort(np.asarray(rows["key"]), kind="stable")
-    rows = rows.take(pa.array(order))
-    v = ((np.asarray(rows["bits"])[:, None] >> np.arange(m)) & 1).astype(float)
-    slots = [np.frombuffer(x, np.int32) for x in rows["slots"].to_pylist()]
-    first = np.concatenate([[0], np.cumsum([len(x) for x in slots])])
-    slot, value = np.concatenate(slots), np.concatenate([np.frombuffer(x, np.float32) for x in rows["weights"].to_pylist()])
-    wv, ww, bias = train(v, first, slot, value, posterior(v, p1, p0, tied, prior))
-    row = np.repeat(np.arange(len(v)), np.diff(first))
-    z = v @ wv + np.bincount(row, value * ww[slot], len(v)) + bias
+        return Model(np.zeros(m), np.zeros(SLOTS), float(np.log(PRIOR / (1 - PRIOR))), 1.0, 0.0, stems)
+    v = np.unpackbits(_raw(rows["bits"], np.uint8).reshape(rows.num_rows, -1), axis=1, count=m).astype(np.float32)
+    many = np.array([len(x) for x in rows["slots"].to_pylist()]) // 4
+    first, slot, value = np.append(0, np.cumsum(many)), _raw(rows["slots"], np.int32), _raw(rows["weights"], np.float32)
     label = np.array([-1 if x is None else x for x in rows["toxic"].to_pylist()])
+    del rows
+    wv, ww, bias = train(v, first, slot, value, posterior(v, p1, p0, tied, PRIOR))
+    z = v @ wv + np.bincount(np.repeat(np.arange(len(v)), many), value * ww[slot], len(v)) + bias
     return Model(wv, ww, bias, *calibrate(z[label >= 0], label[label >= 0].astype(float)), stems)
 
 
@@ -392,16 +449,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(rate, "key long, score double")
 
 
-def toxicity(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 12_000, least: float = 0.7) -> DataFrame:
+def toxicity(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 20_000, least: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of ``df``."""
-    docs = df.select(F.col(doc_id).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    out = score(docs, fit(docs, labels, sample))
+    docs = c.identified(df, doc_id, text)
+    out = score(docs.select(F.col("id").alias("key"), "text"), fit(docs, labels, sample))
     return out.select(F.col("key").alias("doc_id"), F.coalesce(fold("key") == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 
-def keep_clean(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 12_000, least: float = 0.7) -> DataFrame:
+def keep_clean(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 20_000, least: float = 0.7) -> DataFrame:
     """The rows of ``df`` that are not predicted toxic, as they are: each task
     scores and filters its rows, and nothing is shuffled for it."""
-    docs = df.select(F.col(doc_id).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    held, near = df.sparkSession.sparkContext.broadcast(fit(docs, labels, sample)), _hash_words(ADDRESS)
+    held, near = df.sparkSession.sparkContext.broadcast(fit(c.identified(df, doc_id, text), labels, sample)), _hash_words(ADDRESS)
     return c.filtered(df, text, lambda texts: _scores(texts, held.value, near) < least)
