@@ -12,8 +12,9 @@ The work is local to a page, so it is one map over Arrow batches with no
 shuffle; memory is that of a page and its blocks.
 
 Rows: null and empty pages, and pages without text, give an empty text;
-unclosed elements end where HTML says or at the end of the page; repeated rows
-give equal rows.
+unclosed elements end where HTML says or at the end of the page; of containers
+of equal score the first counts; repeated rows give equal rows; further columns
+are returned as they are, but for those named as the results.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Element and attribute names of HTML, and words that name parts of pages.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -38,6 +40,9 @@ BLOCK = frozenset(
 )
 PARAGRAPH = frozenset("p pre h1 h2 h3 h4 h5 h6 li dd dt td th blockquote figcaption caption summary".split())
 NEVER = frozenset("head nav footer aside form button dialog menu search fieldset".split())
+LISTS = frozenset("ul ol dl".split())
+#: Blocks beside the best container that need no score of their own to stay.
+BESIDE = frozenset("p pre blockquote h2 h3 h4 h5 h6 ul ol dl figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WHOLE = frozenset("html body article main".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
@@ -52,7 +57,13 @@ NEVER_NAMES = frozenset(
 #: These name what is left out only where no name of content stands beside them.
 WEAK_NAMES = frozenset("header widget widgets side popular tags follow legal feedback discussion".split())
 CONTENT_NAMES = frozenset("article content entry post story text body main title".split())
-#: A wrapper that says what a page has ("has-sidebar", "no-menu") is none itself.
+#: These name what is left out alone or beside names of such and of mere parts ("share-buttons", not "share-price").
+DOUBTFUL_NAMES = frozenset("share sharing notice notices alert banner rail skip related trending response responses respond reply replies teaser teasers promo copyright subscription".split())
+PART_NAMES = frozenset(
+    "bar bars box boxes block button buttons icon icons link links list lists item items area wrap wrapper container section group panel row column col inner outer top bottom left right "
+    "posts post articles article stories content here widget widgets site page small large this on via count form count toggle message messages text tools".split()
+)
+#: A name that says what a page has or lacks ("has-sidebar", "no-print") names no part.
 ABOUT_NAMES = frozenset("has with without no".split())
 #: Lists of links that belong to the article.
 SOURCE_NAMES = frozenset("references reference reflist bibliography footnotes endnotes citations sources".split())
@@ -82,9 +93,12 @@ def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
         return False
     if a.get("role", "").lower() in NEVER_ROLES or not HIDDEN_CLASSES.isdisjoint(a.get("class", "").split()):
         return True
-    names = {x.lower() for x in NAME.findall(f"{a.get('class', '')} {a.get('id', '')}")}
-    if not names or not ABOUT_NAMES.isdisjoint(names):
-        return False
+    names: set[str] = set()
+    for name in f"{a.get('class', '')} {a.get('id', '')}".split():
+        words = [x.lower() for x in NAME.findall(name)]
+        if words and words[0] not in ABOUT_NAMES:
+            plain = {x for x in words if x not in DOUBTFUL_NAMES}
+            names |= set(words) if plain <= NEVER_NAMES | WEAK_NAMES | PART_NAMES else plain
     return not NEVER_NAMES.isdisjoint(names) or not inside_article and CONTENT_NAMES.isdisjoint(names) and not WEAK_NAMES.isdisjoint(names)
 
 
@@ -101,6 +115,10 @@ class _Page:
         self.tag, self.parent, self.off, self.source = ["#"], [0], [False], [False]
         self.blocks: list[tuple[int, str, float, int]] = []  # element, text, share of link text, links
         self.stack = [0]
+        self.at: dict[str, list[int]] = {}  # depths at which elements of a name are open
+        self.block_depths = [0]
+        self.open_blocks = [0]  # blocks of the stack that are not left out
+        self.articles = 0  # how many articles are open
         self.pieces: list[str] = []
         self.linked = 0
         self.links = 0
@@ -112,8 +130,7 @@ class _Page:
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
             if text:
-                k = next(x for x in reversed(self.stack) if self.tag[x] in BLOCK and not self.off[x] or not x)
-                self.blocks.append((k, text, min(1.0, self.linked / len(text)), self.begun + (self.links > 0)))
+                self.blocks.append((self.open_blocks[-1], text, min(1.0, self.linked / len(text)), self.begun + (self.links > 0)))
             self.pieces, self.linked, self.begun = [], 0, 0
 
     def add(self, text: str) -> None:
@@ -125,24 +142,34 @@ class _Page:
 
     def close(self, depth: int) -> None:
         """Elements from ``depth`` of the stack on end here."""
-        for k in self.stack[depth:]:
-            if self.tag[k] == "a":
+        ended = self.stack[depth:]
+        for k in reversed(ended):
+            tag = self.tag[k]
+            self.at[tag].pop()
+            if tag == "a":
                 self.links -= 1
                 self.begun += not self.off[k]
-            elif self.tag[k] in FOREIGN:
+            elif tag in FOREIGN:
                 self.foreign -= 1
-        if any(self.tag[k] in BLOCK and not self.off[k] for k in self.stack[depth:]):
+            self.articles -= tag in ("article", "main")
+        if any(self.tag[k] in BLOCK and not self.off[k] for k in ended):
             self.flush()
+        for k in reversed(ended):
+            if self.tag[k] in BLOCK:
+                self.block_depths.pop()
+                if not self.off[k]:
+                    self.open_blocks.pop()
         del self.stack[depth:]
 
-    def depth_of(self, tag: str, until: set[str] | frozenset[str]) -> int:
-        for d in range(len(self.stack) - 1, 0, -1):
-            name = self.tag[self.stack[d]]
-            if name == tag:
-                return d
-            if name in until:
-                break
-        return 0
+    def depth_of(self, tag: str, until: frozenset[str] | set[str] = frozenset(), block: bool = False) -> int:
+        """Depth of the open element ``tag``, if no name of ``until`` (no block,
+        if so asked) was opened after it; else 0."""
+        if not self.at.get(tag):
+            return 0
+        d = self.at[tag][-1]
+        if block and self.block_depths[-1] > d:
+            return 0
+        return 0 if any(self.at[x][-1] > d for x in until if self.at.get(x)) else d
 
     def open(self, tag: str, attributes: str) -> None:
         if self.foreign and (tag in BLOCK or tag in INLINE) and (d := self.depth_of("svg", ISLANDS) or self.depth_of("math", ISLANDS)):
@@ -153,16 +180,22 @@ class _Page:
             self.close(d)
         if tag in ("dd", "dt") and (d := self.depth_of("dt" if tag == "dd" else "dd", {"dl"} | OFF)):
             self.close(d)
-        if tag == "a" and (d := self.depth_of("a", BLOCK | OFF)):
+        if tag == "a" and (d := self.depth_of("a", OFF, True)):
             self.close(d)
         up = self.stack[-1]
         if tag in BLOCK and not self.off[up]:
             self.flush()
         self.tag.append(tag)
         self.parent.append(up)
-        self.off.append(self.off[up] or tag == "head" or tag in OFF or self.strict and _unwanted(tag, attributes, any(self.tag[k] in ("article", "main") for k in self.stack)))
+        self.off.append(self.off[up] or tag == "head" or tag in OFF or self.strict and _unwanted(tag, attributes, self.articles > 0))
         self.source.append(self.source[up] or bool(attributes) and tag not in WHOLE and _sources(attributes))
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.block_depths.append(len(self.stack))
+            if not self.off[-1]:
+                self.open_blocks.append(len(self.tag) - 1)
         self.stack.append(len(self.tag) - 1)
+        self.articles += tag in ("article", "main")
         self.foreign += tag in FOREIGN
         self.links += tag == "a"
 
@@ -181,7 +214,7 @@ class _Page:
             if m[0][1] == "/":
                 if tag == "br":
                     self.add(" ")
-                elif d := self.depth_of(tag, frozenset() if tag in BLOCK or tag in OFF else BLOCK):
+                elif d := self.depth_of(tag, block=tag not in BLOCK and tag not in OFF):
                     self.close(d)
                 continue
             if (self.foreign or tag in FOREIGN) and SELF_CLOSED.search(m[2]) and tag not in BLOCK:
@@ -196,7 +229,7 @@ class _Page:
                 elif tag == "hr" and not self.off[self.stack[-1]]:
                     self.flush()
                 continue
-            if tag == "body" and (d := self.depth_of("head", frozenset())):
+            if tag == "body" and (d := self.depth_of("head")):
                 self.close(d)
             self.open(tag, m[2])
         self.add(html[at:])
@@ -229,8 +262,8 @@ def main_text(html: str | None) -> str:
         chars[parent[k]] += chars[k]
         linked[parent[k]] += linked[k]
         held[parent[k]] += held[k]
-    bonus = {"article": 25, "main": 15, "div": 5, "section": 5, "blockquote": 3, "td": 3, "li": -3, "ul": -3, "ol": -3, "address": -3, "dl": -3}
-    final = [(score[k] + bonus.get(tag[k], 0)) * (1 - linked[k] / max(1, chars[k])) if score[k] and tag[k] not in PARAGRAPH else 0.0 for k in range(n)]
+    bonus = {"article": 25, "main": 15, "div": 5, "section": 5, "blockquote": 3, "td": 3, "address": -3}
+    final = [(score[k] + bonus.get(tag[k], 0)) * (1 - linked[k] / max(1, chars[k])) if score[k] and tag[k] not in PARAGRAPH and tag[k] not in LISTS else 0.0 for k in range(n)]
     best = max(range(n), key=lambda k: (final[k], -k))
     if not final[best]:
         best = 0
@@ -247,7 +280,7 @@ def main_text(html: str | None) -> str:
         for k in range(1, n):
             if parent[k] == parent[best] and not page.off[k]:
                 share = linked[k] / max(1, chars[k])
-                chosen[k] = chosen[k] or final[k] >= enough or tag[k] == "h1" or tag[k] == "p" and share < 0.25 and (chars[k] > 80 or not share and chars[k] > 0)
+                chosen[k] = chosen[k] or final[k] >= enough or tag[k] == "h1" or tag[k] in BESIDE and share < 0.25 and (chars[k] > 80 or not share and chars[k] > 0)
     # a list of links in the container goes as a whole; a single link stays
     dropped = [False] * n
     for k in range(1, n):
@@ -261,12 +294,13 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """``pages`` without ``html``, with ``text`` and its code points ``n_chars``."""
     kept = [x for x in pages.columns if x not in (html, text, "n_chars")]
-    src = pages.select(*kept, F.col(html).cast("string").alias(html))
-    kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), f"`{text}` string", "n_chars long"])
+    rest = F.struct(F.lit(0), *[F.col(f"`{x}`").alias(f"r{k}") for k, x in enumerate(kept)])  # names may be any
+    src = pages.select(rest.alias("rest"), F.col(html).cast("string").alias("html"))
+    kind = T.StructType([src.schema["rest"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x) for x in b.column(html).to_pylist()]
-            yield pa.record_batch([*(b.column(x) for x in kept), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[*kept, text, "n_chars"])
+            texts = [main_text(x) for x in b.column("html").to_pylist()]
+            yield pa.record_batch([b.column("rest"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["rest", "text", "n_chars"])
 
-    return src.mapInArrow(run, kind)
+    return src.mapInArrow(run, kind).select(*[F.col(f"rest.r{k}").alias(x) for k, x in enumerate(kept)], F.col("text").alias(text), "n_chars")

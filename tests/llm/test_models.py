@@ -1,6 +1,7 @@
 """Operators that fit a model, and the remaining ones."""
 
 import textwrap
+import time
 from pathlib import Path
 
 import numpy as np
@@ -177,11 +178,68 @@ def test_page_goes_on_after_embedded_elements(odd):
     assert html_extraction.main_text(f"<article><div><object>No</div><p>{long}</p></article>") == long
 
 
+@pytest.mark.parametrize(
+    "box,stays",
+    [("advert no-print", False), ("sidebar with-border", False), ("has-sidebar", True), ("no-menu", True), ("share-price", True), ("share-buttons", False), ("social-share", False), ("notice", False), ("related-posts", False), ("related-work", True), ("response-rate", True), ("commentary", True), ("post-comments", False)],
+)
+def test_names_of_boxes(box, stays):
+    long = "Long, first, paragraph of the text, which goes on, and on, for a while."
+    page = f'<article><p>{long}</p><div class="{box}"><p>Box of some words.</p></div><p>{long}</p></article>'
+    assert main_text(page).split("\n\n") == ([long, "Box of some words.", long] if stays else [long, long])
+
+
+def main_text(page):
+    return html_extraction.main_text(page)
+
+
+def test_deep_pages_take_linear_time():
+    began = time.perf_counter()
+    for tag in ("div", "span", "b", "li", "svg", "p", "table", "section"):
+        assert "deep" in main_text(f"<{tag}>" * 100_000 + "deep, text" + "</i>" * 1000) or tag == "svg"
+    assert time.perf_counter() - began < 30
+
+
+def random_page(rng):
+    """A page and the blocks of its article."""
+    word = lambda: str(rng.choice("alpha beta gamma delta café naïve x&y <b> 1,000 end.".split()))
+    text = lambda n: " ".join(word() for _ in range(n))
+    written = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace("é", "&eacute;" if rng.random() < 0.5 else "é").replace(" ", str(rng.choice([" ", "\n", "  \t"])))
+    blocks, body = [], []
+    for _ in range(rng.integers(4, 12)):
+        kind = rng.choice(["p", "p", "p", "p", "h2", "li", "quote", "linked", "noise"])
+        if kind == "noise":
+            body.append(str(rng.choice(["<script>var a = '<p>no</p>';</script>", "<style>p{}</style>", "<!-- <p>no</p> -->", '<div class="advert"><p>Buy, this, now.</p></div>', "<form><p>Name</p><input></form>", "<noscript><p>no</p></noscript>", "<svg><path d='M0'/></svg>"])))
+            continue
+        made = [text(rng.integers(25, 60)) for _ in range(rng.integers(1, 3) if kind == "li" else 1)] if kind != "h2" else [text(4)]
+        blocks += made
+        inside = [written(x) for x in made]
+        if kind == "linked":
+            head, _, tail = inside[0].partition(" ")
+            inside = [f'<a href="/x">{head}</a> {tail}']
+        body.append({"p": "<p>%s</p>", "h2": "<h2>%s</h2>", "li": "<ul>%s</ul>", "quote": "<blockquote><p>%s</p></blockquote>", "linked": "<p>%s"}[kind] % ("".join(f"<li>{x}" for x in inside) if kind == "li" else inside[0]))
+    wrap = [("<article>", "</article>"), ('<div class="post"><div class="entry">', "</div></div>"), ("<main><section>", "</section></main>"), ('<table><tr><td class="c">', "</td></tr></table>")][rng.integers(4)]
+    menu = "<ul>" + "".join(f'<li><a href="/{k}">{text(2)}</a></li>' for k in range(6)) + "</ul>"
+    parts = [f"<header><h1>{text(2)}</h1></header>", f"<nav>{menu}</nav>", f'<div id="sidebar"><p>{text(30)}</p></div>', f'<div class="cookie-notice"><p>{text(12)}</p></div>']
+    after = [f'<section id="comments"><p>{text(20)}</p></section>', f"<footer><p>{text(10)}</p></footer>", f'<div class="widget menu">{menu}</div>']
+    some = lambda x: "".join(y for y in x if rng.random() < 0.7)
+    page = f"<!DOCTYPE html><html><head><title>{word()}</title></head><body>{some(parts)}{wrap[0]}{''.join(body)}{wrap[1]}{some(after)}</body></html>"
+    return page, "\n\n".join(" ".join(x.split()) for x in blocks)
+
+
+def test_articles_come_back_from_their_pages():
+    rng = np.random.default_rng(8)
+    pages = [random_page(rng) for _ in range(400)]
+    wrong = [(page, want, got) for page, want in pages if (got := main_text(page)) != want]
+    assert not wrong, wrong[0]
+
+
 def test_extract_keeps_other_columns(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "clash"), (2, None, None, None)], "page_id long, url string, html string, text string")
     got = {r["page_id"]: r for r in html_extraction.extract(pages).collect()}
     assert got[1]["n_chars"] == len(got[1]["text"]) and got[1]["text"].startswith("The évent") and got[2]["text"] == "" and got[2]["n_chars"] == 0
     assert html_extraction.extract(pages.limit(0)).count() == 0
+    twice = html_extraction.extract(pages.unionByName(pages).withColumn("a.b", F.lit(1)))
+    assert twice.count() == 4 and twice.distinct().count() == 2 and "a.b" in twice.columns
 
 
 def test_quotations_link_messages(spark):
