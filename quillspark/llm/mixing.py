@@ -1,27 +1,33 @@
 """Mixing sources to target weights, exact to the word.
 
-Every document gets a hash-random key.  Within its source the documents are
-dealt to key ranges (the leading digits of the key), the ranges are summed
-and prefix-summed, and a window inside each range adds the offset of the
-ranges before it: a distributed prefix sum of word counts in which no task
-holds more than one range of one source.  A source whose budget exceeds its
+Every document gets a hash-random key, of its id and text.  The texts are read
+once, for their sizes.  Within its source the documents are dealt to key ranges
+(the leading digits of the key, more of them the more rows there are), the
+ranges are summed and prefix-summed, and a window inside each range adds the
+offset of the ranges before it: a distributed prefix sum of word counts in which
+no task holds more than one range of one source.  A source whose budget exceeds its
 size goes through whole epochs first; the last, partial epoch is cut at the
 exact budget, so the document at the cut gives a part of its words.
 
 Rows: a null or empty text has size 0 and gives nothing; a null source is a
-source of its own, last in the order of the weights; a repeated row counts as
-often as it stands; an empty table gives an empty result.
+source of its own, last in the order of the weights; rows without an id, or of
+one id and other texts, have keys of their own; a repeated row counts as often
+as it stands (which of equal rows is cut makes no difference); further columns
+are not read, whatever they are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hex digits of the key that name its range: 4,096 ranges for each source.
-DIGITS = 3
+from quillspark.llm.common import cut
+
+#: Rows of a key range, about, if one source had them all.
+RANGE = 1 << 16
 
 
 def word_count(text: str | Column) -> Column:
@@ -59,16 +65,18 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     ``epochs``: whole passes over the document; ``taken``: words of the mix
     that are its, ``epochs * size`` and what the partial epoch takes.
     """
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), key.alias("key"))
-    docs = docs.withColumn("bin", F.substring("key", 1, DIGITS))
+    own = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), own))
+    docs = cut(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), key.alias("key")), "sizes")
+    digits = max(3, math.ceil(math.log(max(1, docs.count()) / RANGE, 16)) + 1)
+    docs = docs.withColumn("bin", F.substring("key", 1, digits))
     bins = docs.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     targets = source_targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, share)
     earlier = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("before", F.coalesce(F.sum("bin_size").over(earlier), F.lit(0)))
     budgets = bins.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.source", "b.bin", "b.before", "t.source_size", "t.target")
-    inside = Window.partitionBy("source", "bin").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = docs.withColumn("upto", F.sum("size").over(inside)).alias("d")
+    inside = Window.partitionBy("source", "bin").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = docs.where("size > 0").withColumn("upto", F.sum("size").over(inside)).unionByName(docs.where("size = 0").withColumn("upto", F.lit(0).cast("long"))).alias("d")
     out = run.join(budgets.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.bin") == F.col("b.bin")))
     budget = F.floor(F.col("target")).cast("long")
     some = F.col("source_size") > 0
@@ -82,7 +90,7 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS key
+         md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank
@@ -100,7 +108,7 @@ t AS (
          CASE WHEN full_up THEN 2.0::DOUBLE * source_size ELSE o.rest * weight / o.left_weight::DOUBLE END AS target
   FROM f LEFT JOIN o ON true),
 r AS (
-  SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM d),
+  SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY key ROWS UNBOUNDED PRECEDING) - size AS before FROM d),
 e AS (
   SELECT r.*, t.source_size, t.target, floor(t.target)::BIGINT AS budget,
          CASE WHEN t.source_size > 0 THEN floor(t.target)::BIGINT // t.source_size ELSE 0 END AS epochs
