@@ -5,21 +5,26 @@ begin with one or more ``>``, the number being the level; a line that announces
 a quotation goes with it).  Adjacent lines of one level are joined, so that it
 does not matter where they are wrapped, and split into sentences; a sentence
 over several lines also counts by its lines.  Passages are normalised (case,
-white space, punctuation) and hashed.  A quoted passage of any length belongs to the latest earlier
-message of its conversation that has it as its own, else, from eight characters on, to the first message
-of all conversations that has, if that comes before (by conversation and turn;
-so links never close a circle).  The message replied to is the one that most
-passages of the least linked level belong to.  Following these links gives
-the branch (first message) and the depth of every message; in the order
-(branch, turn) a reply stands after what it replies to.
+white space, punctuation) and hashed.  A quoted passage of any length belongs
+to the latest earlier message of its conversation that has it as its own, else,
+from eight characters on, to the first message of all conversations that has,
+if that comes before (by conversation and turn; so links never close a circle).
+The message replied to is the one that most passages of the least linked level
+belong to, of equal ones that of the latest turn.  Following these links gives
+the branch (its first message) and the depth of every message; in the order
+(branch_conv, branch_turn, depth, conv_id, turn) a reply stands after what it
+replies to.
 
 A conversation is never held by one task: links are joins and windows over
 (conversation, passage), ancestors are found by doubling the links, and the
-owner of a passage elsewhere is one aggregated row, so a passage that
-thousands of messages share costs one row for each of them.
-
-Rows: a null text is an empty body; null ids are left as they are and linked
-to nothing; repeated rows get equal results; an empty table gives no rows.
+owner of a passage elsewhere is one aggregated row.  A passage or a first
+message that very many messages link to is joined in several partitions.
+
+Rows: a null text is an empty body; rows with a null conv_id or turn are left as
+they are and linked to nothing; repeated rows get equal results, and rows of one
+conv_id and turn with other texts are one message that has all their passages;
+further columns are not read, whatever they are called; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -121,7 +126,7 @@ def reply_links(rows: DataFrame) -> DataFrame:
     before = Window.partitionBy("conv_id", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     near = both.withColumn("own_turn", F.max("owner").over(before)).where("owner is null")
     first = wanted.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    far = near.join(first, "h", "left").where(F.col("own_turn").isNotNull() | F.col("far") & (F.col("first") < F.struct("conv_id", "turn")) & (F.col("first.conv_id") != F.col("conv_id")))
+    far = c.salted(near, first, ["h"], "left").where(F.col("own_turn").isNotNull() | F.col("far") & (F.col("first") < F.struct("conv_id", "turn")) & (F.col("first.conv_id") != F.col("conv_id")))
     linked = far.select("conv_id", "turn", "level", "sentence", "whole", F.when(F.col("own_turn").isNotNull(), F.struct("conv_id", F.col("own_turn").alias("turn"))).otherwise(F.col("first")).alias("to"))
     # a sentence has one vote: as a whole if it is found so, else by a line of it
     linked = linked.groupBy("conv_id", "turn", "level", "sentence").agg(F.max(F.struct("whole", F.col("to.conv_id") == F.col("conv_id"), "to")).alias("m")).select("conv_id", "turn", "level", F.col("m.to").alias("to"))
@@ -132,15 +137,18 @@ def reply_links(rows: DataFrame) -> DataFrame:
 
 def link(messages: DataFrame) -> DataFrame:
     """One row for each message: its body without quotations, the message it
-    replies to, and its branch and depth; (branch_conv, branch_turn, turn) is
-    the reply order."""
+    replies to, and its branch and depth."""
     rows = c.cut(parsed(messages), "messages")
     links = c.cut(reply_links(rows), "links")
     up = links.select("conv_id", "turn", F.col("parent_conv").alias("top_conv"), F.col("parent_turn").alias("top_turn"), F.lit(1).alias("depth"))
+    last = None
     while True:  # what is reached from the top of each link is added to it
         up = c.cut(up, "ancestors")
+        if last is not None:
+            c.drop(last)
+        last = up
         more = up.select(F.col("conv_id").alias("top_conv"), F.col("turn").alias("top_turn"), F.col("top_conv").alias("next_conv"), F.col("top_turn").alias("next_turn"), F.col("depth").alias("more"))
-        moved = up.join(more, ["top_conv", "top_turn"], "left")
+        moved = c.salted(up, more, ["top_conv", "top_turn"], "left")
         if moved.where("more is not null").isEmpty():
             break
         up = moved.select("conv_id", "turn", F.coalesce("next_conv", "top_conv").alias("top_conv"), F.coalesce("next_turn", "top_turn").alias("top_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
