@@ -1,17 +1,20 @@
 """Quality selection by importance resampling of hashed n-grams.
 
-Two bags of tokens (words and runs of punctuation) and token pairs, hashed to ``SLOTS`` slots, are counted: one of
-the target texts (rows labelled of good quality) and one of all texts.  A
-document's log weight is the sum over its n-grams of log target probability
-minus log raw probability.  A Gumbel variate drawn from the hash of the id is
-added, and the k largest keys are the sample (without replacement, by weight).
+Two bags of tokens (words and runs of punctuation) and token pairs, hashed to
+``SLOTS`` slots, are counted: one of the target texts (rows labelled of good
+quality; all of them, or about ``sample``) and one of all texts.  A document's
+log weight is the sum over its n-grams of log target probability minus log raw
+probability.  A Gumbel variate drawn from the hash of the row is added, and the
+k largest keys are the sample (without replacement, by weight).
 
 Counting is a partial sum in every task (a fixed table of counts); the cut at
 rank k is found by refining a histogram of the keys, so no task sorts all rows.
 
-Rows: a null or empty text has log weight 0; rows sharing an id share the
-variate; without target rows all weights are 0 and the sample is uniform; an
-empty table gives no rows.
+Rows: a null or empty text has log weight 0; rows without an id, or of one id
+and other texts, have variates of their own, rows equal in both share one, and
+of those at the cut any are taken; without target rows all weights are 0 and
+the sample is uniform; further columns are not read, whatever they are called;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import common as c
@@ -48,28 +51,37 @@ def _slots(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([of, of[: len(pair)][pair]]), (h % c.U(SLOTS)).astype(np.int64)
 
 
-def log_ratios(docs: DataFrame, target: DataFrame, sample: int = 50_000) -> np.ndarray:
+def log_ratios(docs: DataFrame, target: DataFrame, sample: int | None = 50_000) -> np.ndarray:
     """Log target minus log raw probability of each slot; docs (key, text),
-    target (key).  The raw model counts all documents, the target model about
-    ``sample`` of the target rows, chosen by the hash of their ids."""
+    target (key).  The raw model counts all documents, the target model those
+    of the target, or about ``sample`` of them chosen by the hash of their ids
+    (whose ids are broadcast; without ``sample`` they are joined)."""
     ids = target.where("key is not null").distinct()
-    share = min(1.0, sample / max(1, ids.count()))
-    few = ids.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) <= int(share * (1 << 20))).toArrow()
-    held = docs.sparkSession.sparkContext.broadcast(np.sort(np.asarray(few["key"])))  # about ``sample`` ids
+    if sample is None:
+        docs = docs.join(ids.withColumn("good", F.lit(True)), "key", "left").withColumn("good", F.coalesce("good", F.lit(False)))
+        held = None
+    else:
+        share = min(1.0, sample / max(1, ids.count()))
+        few = ids.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20))).toArrow()
+        held = docs.sparkSession.sparkContext.broadcast(np.sort(np.asarray(few["key"])))  # about ``sample`` ids
+        docs = docs.withColumn("good", F.lit(False))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, SLOTS), np.int64)
         for b in batches:
-            key = np.asarray(b.column("key").fill_null(-1))
-            spot = np.minimum(np.searchsorted(held.value, key), max(0, len(held.value) - 1))
-            good = held.value[spot] == key if len(held.value) else np.zeros(len(key), bool)
+            if held is None:
+                good = b.column("good").to_numpy(zero_copy_only=False)
+            else:
+                key = np.asarray(b.column("key").fill_null(-1))
+                spot = np.minimum(np.searchsorted(held.value, key), max(0, len(held.value) - 1))
+                good = (held.value[spot] == key if len(held.value) else np.zeros(len(key), bool)) & b.column("key").is_valid().to_numpy(zero_copy_only=False)
             for i, _, data, at in c.slices(b.column("text")):
                 of, slot = _slots(data, at)
                 total[0] += np.bincount(slot, minlength=SLOTS)
                 total[1] += np.bincount(slot[good[i + of]], minlength=SLOTS)
         yield pa.record_batch([pa.array(np.arange(2 * SLOTS)), pa.array(total.ravel())], names=["cell", "n"])
 
-    rows = docs.select("key", "text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # 2 * SLOTS rows
+    rows = docs.select("key", "text", "good").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # 2 * SLOTS rows
     n = np.zeros(2 * SLOTS)
     for r in rows:
         n[r["cell"]] = r["n"]
@@ -77,34 +89,34 @@ def log_ratios(docs: DataFrame, target: DataFrame, sample: int = 50_000) -> np.n
     return np.zeros(SLOTS) if not n[SLOTS:].sum() else np.log(good / good.sum()) - np.log(raw / raw.sum())
 
 
-def rank_cut(keys: DataFrame, k: int, column: str = "key_value", room: int = 4096) -> tuple[float, int]:
-    """(v, m): the k largest of ``column`` are all above v and m of those equal or just
-    below it within the last bin; found by histograms of 1,024 bins."""
-    low, high = keys.agg(F.min(column), F.max(column)).first()
-    above = 0
-    while True:
-        inside = keys.where(F.col(column).between(low, high))
+def kth_largest(rows: DataFrame, column: str, k: int, room: int = 4096) -> float | int:
+    """The ``k``-th largest value of ``column``, by histograms of 1,024 bins that
+    are refined until at most ``room`` rows, or equal ones, are left."""
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    inside = rows
+    while low < high:
         step = (high - low) / 1024
-        if step <= 0 or low + step == low:
-            return low, k - above
-        bins = {r["b"]: r["n"] for r in inside.groupBy(F.least(F.lit(1023), F.floor((F.col(column) - low) / step)).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()}
-        for b in range(1023, -1, -1):
-            if above + bins.get(b, 0) >= k:
+        spot = F.least(F.lit(1023), F.floor((F.col(column) - F.lit(low)) / F.lit(step))).cast("int")
+        bins = {r["b"]: r for r in inside.groupBy(spot.alias("b")).agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).collect()}
+        for b in sorted(bins, reverse=True):
+            if bins[b]["n"] >= k:
                 break
-            above += bins.get(b, 0)
-        edges = inside.where(F.least(F.lit(1023), F.floor((F.col(column) - low) / step)).cast("int") == b).agg(F.min(column), F.max(column)).first()
-        low, high = edges
-        if bins.get(b, 0) <= room:
-            return low, k - above
+            k -= bins[b]["n"]
+        found = bins[b]
+        inside = inside.where(F.col(column).between(found["low"], found["high"]))
+        if found["n"] <= room:
+            return sorted((r[0] for r in inside.select(column).collect()), reverse=True)[k - 1]
+        low, high = found["low"], found["high"]
+    return low
 
 
-def resample(df: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", share: float = 0.85, seed: str = "gumbel") -> DataFrame:
+def resample(df: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", share: float = 0.85, sample: int | None = 50_000, seed: str = "gumbel") -> DataFrame:
     """(doc_id, log_weight, key_value, kept) of each row of ``df``: ``kept`` holds
     for the ``round(share * rows)`` largest keys.  ``target``: ids (doc_id) of
     target rows."""
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    ratio = spark.sparkContext.broadcast(log_ratios(docs, target.select(F.col("doc_id").cast("long").alias("key"))))
+    ratio = spark.sparkContext.broadcast(log_ratios(docs, target.select(F.col("doc_id").cast("long").alias("key")), sample))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -112,21 +124,18 @@ def resample(df: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str
             for _, _, data, at in c.slices(b.column("text")):
                 of, slot = _slots(data, at)
                 out.append(np.bincount(of, ratio.value[slot], len(at) - 1))
-            yield pa.record_batch([b.column("key"), pa.array(np.concatenate(out))], names=["key", "log_weight"])
-
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), F.coalesce("key", F.lit(-1))), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    scored = c.cut(docs.mapInArrow(weigh, "key long, log_weight double").withColumn("key_value", F.col("log_weight") - F.log(-F.log(uniform))), "weights")
-    n = scored.count()
-    k = round(share * n)
-    if not k:
-        return scored.select(F.col("key").alias("doc_id"), "log_weight", "key_value", F.lit(False).alias("kept"))
-    low, room = rank_cut(scored, k)
-    bins = scored.where(F.col("key_value") >= low)
-    # the last bin: ranks are given from below among its few rows
-    over = bins.count() - k
-    edge = bins.orderBy("key_value", F.desc("key")).limit(over + 1).agg(F.max("key_value")).first()[0] if over >= 0 else low
-    ties = scored.where(F.col("key_value") == edge).withColumn("nth", F.row_number().over(Window.orderBy("key")))
-    left = k - scored.where(F.col("key_value") > edge).count()
-    tied = ties.select("key", "log_weight", "key_value", (F.col("nth") <= left).alias("kept"))
-    rest = scored.where((F.col("key_value") != edge)).select("key", "log_weight", "key_value", (F.col("key_value") > edge).alias("kept"))
-    return rest.unionByName(tied).withColumnRenamed("key", "doc_id")
+            yield pa.record_batch([b.column("key"), b.column("uniform"), pa.array(np.concatenate(out))], names=["key", "uniform", "log_weight"])
+
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), "key", F.coalesce("text", F.lit(""))), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    weighed = docs.withColumn("uniform", uniform).mapInArrow(weigh, "key long, uniform double, log_weight double")
+    scored = weighed.select("key", "log_weight", (F.col("log_weight") - F.log(-F.log("uniform"))).alias("key_value"), F.monotonically_increasing_id().alias("row"))
+    scored = c.cut(scored, "weights")  # the numbers of rows are fixed by being written
+    k = round(share * scored.count())
+    kept = F.lit(False)
+    if k:
+        edge = kth_largest(scored, "key_value", k)
+        left = k - scored.where(F.col("key_value") > edge).count()
+        tied = scored.where(F.col("key_value") == edge)
+        last = kth_largest(tied, "row", left)
+        kept = (F.col("key_value") > edge) | (F.col("key_value") == edge) & (F.col("row") >= last)
+    return scored.select(F.col("key").alias("doc_id"), "log_weight", "key_value", kept.alias("kept"))
