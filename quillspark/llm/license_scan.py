@@ -13,7 +13,10 @@ Only DataFrame operations are used.
 
 Rows: a null or empty text, or one without such a line, has no licence of its
 own; a null path is in no directory; ties go to the better score, then to the
-template's name; an empty table gives no rows.
+template's name; a file is known by its id, path and text, so rows of one id or
+of none are files of their own, and repeated rows get equal results; further
+columns are not read, whatever they are called; an empty table gives no rows.
+A line is carried by its hash, so its length is of no account.
 
 Whole texts, and their heads of comments with the lines joined, are compared in
 the same way with full licence texts and notices.  A text that a full one fits,
@@ -28,7 +31,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut
+from quillspark.llm.common import by_key, cut, salted
 
 # Names and short texts of licences.
 TEMPLATES = {
@@ -63,43 +66,43 @@ def _terms(line: str | Column) -> Column:
 
 
 def match_lines(lines: DataFrame, spark: SparkSession, least: float = 0.6) -> DataFrame:
-    """(line, license, score) of the lines (line, n) that a template fits."""
+    """(h, license, score) of the lines (h, line, n) that a template fits."""
     templates = spark.createDataFrame(list(TEMPLATES.items()), "license string, line string")  # a fixed table
-    words = lines.select("line", "n", F.explode(_terms("line")).alias("term")).groupBy("line", "n", "term").agg(F.count("*").alias("tf"))
+    words = lines.select("h", "n", F.explode(_terms("line")).alias("term")).groupBy("h", "n", "term").agg(F.count("*").alias("tf"))
     held = templates.select("license", F.explode(_terms("line")).alias("term")).groupBy("license", "term").agg(F.count("*").alias("tf"))
     total = (lines.agg(F.sum("n")).first()[0] or 0) + len(TEMPLATES)
     seen = words.select("term", F.col("n").alias("m")).unionByName(held.select("term", F.lit(1).cast("long").alias("m"))).groupBy("term").agg(F.sum("m").alias("df"))
     idf = seen.select("term", (F.log(F.lit(1.0 + total) / (1.0 + F.col("df"))) + 1).alias("idf"))
-    words = words.join(idf, "term").select("line", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    words = words.join(idf, "term").select("h", "term", (F.col("tf") * F.col("idf")).alias("w"))
     held = held.join(idf, "term").select("license", "term", (F.col("tf") * F.col("idf")).alias("v"))
-    size = words.groupBy("line").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("size"))
+    size = words.groupBy("h").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("size"))
     held_size = held.groupBy("license").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("held_size"))
-    dots = words.join(F.broadcast(held), "term").groupBy("line", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    score = dots.join(size, "line").join(F.broadcast(held_size), "license").select("line", "license", F.round(F.col("dot") / (F.col("size") * F.col("held_size")), 6).alias("score"))
-    best = score.where(F.col("score") >= least).groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
-    return best.select("line", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
+    dots = words.join(F.broadcast(held), "term").groupBy("h", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    score = dots.join(size, "h").join(F.broadcast(held_size), "license").select("h", "license", F.round(F.col("dot") / (F.col("size") * F.col("held_size")), 6).alias("score"))
+    best = score.where(F.col("score") >= least).groupBy("h").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
+    return best.select("h", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
 
 def match_texts(units: DataFrame, spark: SparkSession, least: float) -> DataFrame:
-    """(file_id, license, score) of the texts (file_id, part, text) that a full
+    """(file, license, score) of the texts (file, part, text) that a full
     text or a notice fits; term counts weigh by their logarithm, so that the
     words of all prose don't make texts alike."""
     count = lambda df, *keys: df.select(*keys, F.explode(_terms("text")).alias("term")).groupBy(*keys, "term").agg((1 + F.log(F.count("*"))).alias("tf"))
-    words = count(units, "file_id", "part")
+    words = count(units, "file", "part")
     held = count(spark.createDataFrame(list(FULL.items()), "full string, text string"), "full")  # a fixed table
     total = units.count() + len(FULL)
     seen = words.select("term").unionByName(held.select("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = seen.select("term", (F.log(F.lit(1.0 + total) / (1.0 + F.col("df"))) + 1).alias("idf"))
-    words = words.join(idf, "term").select("file_id", "part", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    words = words.join(idf, "term").select("file", "part", "term", (F.col("tf") * F.col("idf")).alias("w"))
     held = held.join(idf, "term").select("full", "term", (F.col("tf") * F.col("idf")).alias("v"))
-    size = words.groupBy("file_id", "part").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("size"))
+    size = words.groupBy("file", "part").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("size"))
     held_size = held.groupBy("full").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("held_size"))
     rows = held.groupBy("term").agg(F.collect_list(F.struct("full", "v")).alias("in"))  # at most one for each text
-    dots = words.join(F.broadcast(rows), "term").select("file_id", "part", "w", F.explode("in").alias("i")).groupBy("file_id", "part", "i.full").agg(F.sum(F.col("w") * F.col("i.v")).alias("dot"))
-    score = dots.join(size, ["file_id", "part"]).join(F.broadcast(held_size), "full").select("file_id", "part", F.regexp_replace("full", r"\.header$", "").alias("license"), F.round(F.col("dot") / (F.col("size") * F.col("held_size")), 6).alias("score"), F.col("full").endswith(".header").alias("notice"))
+    dots = words.join(F.broadcast(rows), "term").select("file", "part", "w", F.explode("in").alias("i")).groupBy("file", "part", "i.full").agg(F.sum(F.col("w") * F.col("i.v")).alias("dot"))
+    score = dots.join(size, ["file", "part"]).join(F.broadcast(held_size), "full").select("file", "part", F.regexp_replace("full", r"\.header$", "").alias("license"), F.round(F.col("dot") / (F.col("size") * F.col("held_size")), 6).alias("score"), F.col("full").endswith(".header").alias("notice"))
     fits = score.where(F.col("score") >= least)
-    best = fits.groupBy("file_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "license", (F.col("notice") | (F.col("part") == "head")).alias("head"))).alias("b"))
-    return best.select("file_id", F.col("b.license").alias("text_license"), (-F.col("b.s")).alias("text_score"), (~F.col("b.head")).alias("full"))
+    best = fits.groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("s"), "license", (F.col("notice") | (F.col("part") == "head")).alias("head"))).alias("b"))
+    return best.select("file", F.col("b.license").alias("text_license"), (-F.col("b.s")).alias("text_score"), (~F.col("b.head")).alias("full"))
 
 
 def scan(files: DataFrame, file_id: str = "file_id", path: str = "path", text: str = "text", least: float = 0.6, mostly: float = 0.5, alike: float = 0.8) -> DataFrame:
@@ -111,35 +114,39 @@ def scan(files: DataFrame, file_id: str = "file_id", path: str = "path", text: s
     """
     spark = files.sparkSession
     src = files.select(F.col(file_id).alias("file_id"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
+    known = F.md5(F.to_json(F.struct("file_id", "path", F.md5("text").alias("text"))))
     about = F.filter(F.split("text", "\r?\n"), lambda x: x.rlike(ABOUT))
     dirs = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    src = src.select("file_id", "path", F.when(F.col("path").isNotNull(), dirs).alias("dir"), "text", F.transform(about, lambda x: F.trim(x)).alias("lines"))
-    held = src.where(F.size("lines") > 0).select("file_id", "dir", F.size(F.split("text", r"\s+")).alias("n_words"), F.explode("lines").alias("line"))
-    held = cut(held, "lines")  # the texts are read once
-    lines = held.groupBy("line").agg(F.count("*").alias("n"))
-    found = held.join(match_lines(lines, spark, least), "line")
-    own = found.groupBy("file_id", "dir", "n_words").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), F.sum(F.size(F.split("line", r"\s+"))).alias("n_about"))
-    own = own.select("file_id", "dir", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"), (F.col("n_about") >= mostly * F.col("n_words")).alias("speaks"))
-    marked = files.select(F.col(file_id).alias("file_id"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike(MARK) & F.col("file_id").isNotNull()).distinct()
+    src = src.select("file_id", "path", known.alias("file"), F.when(F.col("path").isNotNull(), dirs).alias("dir"), "text", F.transform(about, lambda x: F.trim(x)).alias("lines"))
+    held = src.where(F.size("lines") > 0).select("file", "dir", F.size(F.split("text", r"\s+")).alias("n_words"), F.explode("lines").alias("line"))
+    held = cut(held.withColumn("h", F.md5("line")), "lines")  # the texts are read once
+    lines = held.groupBy("h").agg(F.count("*").alias("n"), F.any_value("line").alias("line"))
+    found = held.select("file", "dir", "n_words", "h", F.size(F.split("line", r"\s+")).alias("n_line")).join(match_lines(lines, spark, least), "h")
+    own = found.groupBy("file", "dir", "n_words").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), F.sum("n_line").alias("n_about"))
+    own = own.select("file", "dir", F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score"), (F.col("n_about") >= mostly * F.col("n_words")).alias("speaks"))
+    marked = src.where(F.col("text").rlike(MARK)).select("file", "text").dropDuplicates(["file"])
     row = F.split("text", "\r?\n")
     past = F.array_position(F.transform(row, lambda x: x.rlike(COMMENT)), False)
     head = F.array_join(F.when(past > 0, F.slice(row, F.lit(1), (past - 1).cast("int"))).otherwise(row), "\n")
-    units = marked.select("file_id", F.explode(F.array(F.struct(F.lit("whole").alias("part"), "text"), F.struct(F.lit("head").alias("part"), head.alias("text")))).alias("u")).select("file_id", "u.part", "u.text").where("text <> ''")
-    texts = cut(match_texts(cut(units, "texts"), spark, alike), "alike")
-    where = src.select("file_id", "path", "dir").join(texts.select("file_id"), "file_id", "left_semi").select("file_id", "dir").distinct()
-    own = own.unionByName(where.join(own, "file_id", "left_anti"), allowMissingColumns=True)
-    own = own.join(texts, "file_id", "left")
-    named = src.where(F.col("path").rlike(NAMED)).select("file_id").distinct().withColumn("named", F.lit(True))
-    own = own.join(named, "file_id", "left").select(
-        "file_id", "dir", F.coalesce("text_license", "own_license").alias("own_license"), F.coalesce("text_score", "own_score").alias("own_score"),
+    units = marked.select("file", F.explode(F.array(F.struct(F.lit("whole").alias("part"), "text"), F.struct(F.lit("head").alias("part"), head.alias("text")))).alias("u")).select("file", "u.part", "u.text").where("text <> ''")
+    texts = cut(match_texts(units, spark, alike), "alike")
+    each = cut(src.select("file_id", "path", "file", "dir"), "files")
+    where = each.join(texts.select("file"), "file", "left_semi").select("file", "dir").distinct()
+    own = own.unionByName(where.join(own, "file", "left_anti"), allowMissingColumns=True)
+    own = own.join(texts, "file", "left")
+    named = each.where(F.col("path").rlike(NAMED)).select("file").distinct().withColumn("named", F.lit(True))
+    own = own.join(named, "file", "left").select(
+        "file", "dir", F.coalesce("text_license", "own_license").alias("own_license"), F.coalesce("text_score", "own_score").alias("own_score"),
         (F.coalesce("speaks", F.lit(False)) | F.coalesce("full", F.lit(False)) | F.coalesce("named", F.lit(False))).alias("speaks"),
     )
+    own = cut(own, "own")
     spoken = own.where("speaks and dir is not null").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), "own_license")).alias("b")).select(F.col("dir").alias("from_dir"), F.col("b.own_license").alias("dir_license"))
-    each = src.where("dir is not null").select("dir").distinct()
+    dirs_ = each.where("dir is not null").groupBy("dir").agg(F.count("*").alias("many"))
     parts = F.split("dir", "/")
-    up = each.select("dir", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("k")).select("dir", "k", F.array_join(F.slice(parts, F.lit(1), F.col("k")), "/").alias("from_dir"))
-    nearest = up.join(spoken, "from_dir").groupBy("dir").agg(F.max(F.struct("k", "from_dir", "dir_license")).alias("b")).select("dir", F.col("b.from_dir").alias("from_dir"), F.col("b.dir_license").alias("dir_license"))
-    out = src.select("file_id", "path", "dir").join(own.select("file_id", "own_license", "own_score", "speaks").dropDuplicates(["file_id"]), "file_id", "left").join(nearest, "dir", "left")
+    up = dirs_.select("dir", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("k")).select("dir", "k", F.array_join(F.slice(parts, F.lit(1), F.col("k")), "/").alias("from_dir"))
+    nearest = salted(up, spoken, ["from_dir"]).groupBy("dir").agg(F.max(F.struct("k", "from_dir", "dir_license")).alias("b")).select("dir", F.col("b.from_dir").alias("from_dir"), F.col("b.dir_license").alias("dir_license"))
+    out = each.join(own.select("file", "own_license", "own_score", "speaks"), "file", "left")
+    out = by_key(out, nearest.join(dirs_, "dir"), "dir", "many", each.count())
     origin = F.when(F.col("speaks"), "file").when(F.col("own_license").isNotNull(), "header").when(F.col("dir_license").isNotNull(), "inherited").otherwise("none")
     return out.select("file_id", "path", "own_license", "own_score", F.coalesce("own_license", "dir_license").alias("license"), origin.alias("origin"), F.when(origin == "inherited", F.col("from_dir")).alias("from_dir"))
 
