@@ -6,7 +6,7 @@ chosen by the hash of their ids; every vector is then indexed: its list, and
 one byte for each of ``PARTS`` parts of its residual.  How many lists a query
 probes is measured, unless ``probes`` says it: on ``TRIED`` queries, whose
 neighbours are found by comparing them with all vectors, so many lists that
-they hold ``aim`` of these neighbours; lists within ``NEAR`` are always probed.  (Nearly random vectors need half of all
+they hold ``aim`` of these neighbours, and at least ``FEWEST``; lists within ``NEAR`` are always probed.  (Nearly random vectors need half of all
 lists, clustered ones a few.)
 
 Lists are dealt to bins of bounded size, short lists together and long ones in
@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import common as c
 
 PARTS = 16
+FEWEST = 32  # lists that are probed at least, unless asked otherwise
 CLOSE = 4  # lists that are ranked exactly as a whole,
 NEAR = 0.3  # and so are those whose centroid is within this distance
 CHUNK = 4096  # queries of a task
@@ -266,7 +267,7 @@ def _search(vectors: DataFrame, d: int, kind: type, every: int, k: int, sample:
 
     coded = c.cut(once.mapInArrow(encode, "vec_id long, tie long, ids binary, list int, code binary, x binary"), "codes")
     queries = vectors.where(F.col("vec_id") % every == 0).withColumn("tie", F.xxhash64("v"))
-    probes = min(lists, probes or max(2 * CLOSE, _probes(coded, queries, held, kind, k, aim)))
+    probes = min(lists, probes or max(FEWEST, _probes(coded, queries, held, kind, k, aim)))
     count = np.zeros(lists, np.int64)
     for r in coded.groupBy("list").count().collect():  # a number for each list
         count[r["list"]] = r["count"]
