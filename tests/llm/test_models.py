@@ -1,7 +1,9 @@
 """Operators that fit a model, and the remaining ones."""
 
+import re
 import textwrap
 import time
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
@@ -41,6 +43,39 @@ def test_toxicity_without_labels_or_rows(spark):
     assert kept.columns == [*docs.columns, "key"] and 7 not in {r["doc_id"] for r in kept.collect()}
 
 
+def test_flipped_labels_change_no_accuracy(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    data = [(i, " ".join(rng.choice([f"wort{k}" for k in range(50)], 20)) + (" idiot moron" if i % 9 == 0 else " stupid idiot scum" if i % 9 == 1 else "")) for i in range(600)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    seen = []
+    plain = toxicity.label_model
+
+    def spy(*args, **how):
+        seen.append(plain(*args, **how))
+        return seen[-1]
+
+    monkeypatch.setattr(toxicity, "label_model", spy)
+    for share in (0.0, 0.05):
+        flip = np.random.default_rng(1).random(600) < share
+        toxicity.toxicity(docs, spark.createDataFrame([(i, int((i % 9 < 2) != flip[i])) for i in range(600)], "doc_id long, toxic int"))
+    n = len(toxicity.FIXED)
+    assert all(np.array_equal(x[:n], y[:n]) for x, y in zip(seen[0][:2], seen[1][:2], strict=True))
+
+
+def test_toxicity_awkward_rows(spark):
+    texts = [(1, "you stupid idiot"), (1, "fine words here"), (1, "you stupid idiot"), (None, "you stupid idiot"), (None, None), (2, ""), (3, "idiot " * 50_000)] + [(k, f"fine text number {k}") for k in range(10, 60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumns({x: F.lit("clash") for x in ("key", "tie", "row", "toxic", "score", "a.b")})
+    labels = spark.createDataFrame([(1, 1), (1, 0), (10, 0), (11, None), (None, 1), (12, 7)], "doc_id long, toxic int")
+    out = toxicity.toxicity(docs, labels).collect()
+    assert len(out) == len(texts) and all(0 <= r["score"] <= 1 for r in out)
+    by = defaultdict(set)
+    for r in out:
+        by[r["doc_id"]].add(round(r["score"], 12))
+    assert len(by[1]) == 2 and max(by[1]) in by[None] and by[2] <= by[None]
+    kept = toxicity.keep_clean(docs, labels, least=min(by[1]))
+    assert kept.columns == docs.columns and kept.where("score = 'clash'").count() == kept.count() < len(texts)
+
+
 def test_label_model_finds_correlated_voters():
     rng = np.random.default_rng(0)
     y = rng.random(200_000) < 0.2
@@ -144,6 +179,43 @@ def test_resampling_prefers_the_target(spark):
     assert importance_resampling.resample(docs.limit(0), target).count() == 0
 
 
+@pytest.mark.parametrize("sample", [None, 10_000])
+def test_resampling_is_brute_force(spark, sample):
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(60)] + ["!!", "...", "a,b", "(é)"]
+    data = [(i, " ".join(rng.choice(words, int(rng.integers(1, 40))))) for i in range(200)] + [(200, None), (200, "w1 w2"), (None, "w1 w2"), (None, None), (None, "w1 w2"), (201, "w5 " * 60_000), (202, "")]
+    good = {i for i in range(0, 200, 3)} | {200}
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("key", F.lit("clash")).withColumn("good", F.lit("clash"))
+    target = spark.createDataFrame([(i,) for i in good] + [(None,)], "doc_id long")
+    out = importance_resampling.resample(docs, target, share=0.5, sample=sample).collect()
+
+    def grams(text):
+        t = [x.encode() for x in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+", (text or "").lower())]
+        return t + list(zip(t, t[1:], strict=False))
+
+    slot = {g: None for _, text in data for g in grams(text)}
+    for g in slot:  # of a text that is the gram alone
+        raw = (g if isinstance(g, bytes) else b" ".join(g))
+        slot[g] = int(importance_resampling._slots(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[1][-1])
+    raw, own = np.ones(importance_resampling.SLOTS), np.ones(importance_resampling.SLOTS)
+    for i, text in data:
+        for g in grams(text):
+            raw[slot[g]] += 1
+            own[slot[g]] += i in good
+    ratio = np.log(own / own.sum()) - np.log(raw / raw.sum())
+    want = sorted(((i, round(float(sum(ratio[slot[g]] for g in grams(text))), 5)) for i, text in data), key=str)
+    assert sorted(((r["doc_id"], round(r["log_weight"], 5)) for r in out), key=str) == want
+    assert sum(r["kept"] for r in out) == round(0.5 * len(data))
+    assert min(r["key_value"] for r in out if r["kept"]) >= max(r["key_value"] for r in out if not r["kept"])
+
+
+def test_kth_largest_among_ties(spark):
+    rows = spark.createDataFrame([(float(k // 10),) for k in range(500)] + [(7.0,)] * 300, "x double")
+    values = sorted((r[0] for r in rows.collect()), reverse=True)
+    for k in (1, 9, 400, 500, 800):
+        assert importance_resampling.kth_largest(rows, "x", k, room=5) == values[k - 1]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">Menu</a></ul></nav><!-- note --><div id=page><h1>The &eacute;vent</h1>
 <div class="content"><p>First, a long paragraph, with some commas,
@@ -274,6 +346,62 @@ def test_short_and_wrapped_quotations_link(spark):
     assert got[2, 1]["n_quoted"] == got[2, 1]["n_linked"] == 1
 
 
+def brute_links(messages):
+    """Parent, branch and depth of each (conversation, turn), by the definition."""
+    own, quoted = defaultdict(set), defaultdict(set)
+    for conv, turn, _, text in messages:
+        _, mine, asked, _ = quotation.parse(text)
+        own[conv, turn] |= set(mine)
+        quoted[conv, turn] |= {tuple(q.values()) for q in asked}
+    up = {}
+    for at in sorted(own):
+        to = defaultdict(set)
+        for level, sentence, h, whole, far in quoted[at]:
+            near = [x for x in own if x[0] == at[0] and x[1] < at[1] and h in own[x]]
+            first = min((x for x in own if h in own[x]), default=None)
+            if near:
+                to[level, sentence].add((whole, True, max(near)))
+            elif far and first and first < at and first[0] != at[0]:
+                to[level, sentence].add((whole, False, first))
+        votes = Counter((level, max(x)[2]) for (level, _), x in to.items())
+        if votes:
+            up[at] = min(votes, key=lambda v: (v[0], -votes[v], -v[1][1], -v[1][0]))[1]
+    out = {}
+    for at in own:
+        top, depth = at, 0
+        while top in up:
+            top, depth = up[top], depth + 1
+        out[at] = (up.get(at), top, depth)
+    return out
+
+
+def test_links_are_brute_force(spark):
+    rng = np.random.default_rng(9)
+    said = [f"{a} {b} {k}." for k, (a, b) in enumerate(zip(rng.choice("Yes No Perhaps We should go on with that".split(), 40), rng.choice("then now indeed as a matter of fact".split(), 40), strict=True))] + ["Yes.", "No!", "A very common first line of all."]
+    messages = []
+    for conv in range(30):
+        lines = []
+        for turn in range(int(rng.integers(1, 8))):
+            quote = [">" * int(rng.integers(1, 3)) + " " + x for x in rng.choice(said, int(rng.integers(0, 4)))]
+            body = ["A very common first line of all."] * (turn == 0) + list(rng.choice(said, int(rng.integers(1, 4))))
+            lines = quote + body if rng.random() < 0.8 else body + quote
+            messages.append((conv, turn, "u", "\n".join(lines)))
+    messages += [(31, 0, "u", "word " * 100_000 + "end."), (31, 1, "a", "> " + "word " * 100_000 + "end.\nLong."), (None, 1, "u", "> Yes."), (3, None, "u", "> Yes.")]
+    got = quotation.link(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string").withColumn("h", F.lit("clash")).withColumn("own", F.lit("clash"))).collect()
+    assert len(got) == len(messages)
+    want = brute_links([m for m in messages if None not in m[:2]])
+    assert sum(x[0] is not None for x in want.values()) > 50
+    place = lambda conv, turn: None if conv is None else (conv, turn)
+    for r in got:
+        if None not in (r["conv_id"], r["turn"]):
+            assert (place(r["parent_conv"], r["parent_turn"]), (r["branch_conv"], r["branch_turn"]), r["depth"]) == want[r["conv_id"], r["turn"]]
+    order = sorted((r for r in got if None not in (r["conv_id"], r["turn"])), key=lambda r: (r["branch_conv"], r["branch_turn"], r["depth"], r["conv_id"], r["turn"]))
+    seen = set()
+    for r in order:
+        assert r["parent_conv"] is None or (r["parent_conv"], r["parent_turn"]) in seen
+        seen.add((r["conv_id"], r["turn"]))
+
+
 def test_long_chain_of_replies(spark):
     data = [(7, k, "u", (f"> passage of number {k - 1} stands here\n" if k else "") + f"passage of number {k} stands here") for k in range(40)]
     got = {r["turn"]: r for r in quotation.link(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()}
@@ -307,4 +435,7 @@ def test_licences_are_inherited_by_path(spark):
         5: (None, "none", None), 6: ("Proprietary", "file", None), 7: (None, "none", None), 8: ("MIT", "inherited", "a"),
     }
     assert license_scan.scan(df.limit(0)).count() == 0
+    more = [(1, "x/y.py", "code"), (1, "w/z.py", "Released under the MIT License."), (None, "w/q.py", None), (None, "v/LICENSE", "license " + "word " * 100_000), (9, "m/long.py", "Released under the MIT License. " + "permission " * 50_000)]
+    wide = license_scan.scan(spark.createDataFrame(more, "file_id long, path string, text string").withColumn("h", F.lit("clash")).withColumn("file", F.lit("clash")))
+    assert sorted((r["path"], r["license"], r["origin"]) for r in wide.collect() if r["path"] != "v/LICENSE") == [("m/long.py", None, "none"), ("w/q.py", "MIT", "inherited"), ("w/z.py", "MIT", "file"), ("x/y.py", None, "none")]
     assert license_scan.scan(df.unionByName(df)).count() == 16

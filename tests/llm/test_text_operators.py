@@ -243,6 +243,19 @@ def test_mixing_meets_targets(spark, docs):
     assert mixing.mix(docs.where("text is null")).collect()[0]["taken"] == 0
 
 
+def test_mixing_of_null_and_repeated_ids(spark):
+    data = CLASHING + [(90, "w " * 200_000, "en", "t", 0), (90, "w x", "en", "t", 0)]
+    docs = spark.createDataFrame(data, SCHEMA).withColumns({x: F.lit("clash") for x in ("size", "key", "bin", "target")})
+    out = mixing.mix(docs).collect()
+    assert sorted((str(r["doc_id"]), r["size"]) for r in out) == sorted((str(x[0]), len(plain_words(x[1]))) for x in data)
+    by = defaultdict(list)
+    for r in out:
+        by[r["source"]].append(r)
+    assert all(sum(r["taken"] for r in v) == int(v[0]["target"]) for v in by.values())
+    again = mixing.mix(docs.orderBy(F.rand(3)).repartition(3)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
+
+
 def test_targets_are_reshared_until_none_is_above(spark):
     sizes = {"a": 10, "b": 1000, "c": 500, "d": 5, None: 800, "f": 3000}
     got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
