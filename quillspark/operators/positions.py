@@ -25,6 +25,11 @@ def is_heading() -> Column:
     return F.col("element_type") == "heading"
 
 
+def n_chars() -> Column:
+    """Length of an element, which needs no text."""
+    return F.col("char_end") - F.col("char_start")
+
+
 def nearest_heading(e: DataFrame, only: str | None = None) -> DataFrame:
     """Paragraphs with the start and type of the nearest typed heading before
     them.  With ``only`` headings of other types are not seen at all (filter
@@ -62,29 +67,53 @@ def runs(df: DataFrame, key: str, by: str, value: Column) -> DataFrame:
     return df.withColumn("_c", change).withColumn("run", F.sum("_c").over(upto(w))).drop("_c")
 
 
-def numbering(e: DataFrame, deepest: int = 3) -> DataFrame:
-    """Headings with their outline number: at each level the count of headings
-    since the last one of a smaller level; skipped levels read 0."""
-    out = e.where(is_heading())
-    w = order()
-    for level in range(1, deepest + 1):
-        out = out.withColumn(f"_g{level}", F.sum((F.col("level") < level).cast("int")).over(upto(w)))
-        inside = Window.partitionBy("document_id", f"_g{level}").orderBy("char_start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = out.withColumn(f"_n{level}", F.sum((F.col("level") == level).cast("int")).over(inside))
-    parts = F.array(*[F.col(f"_n{k}").cast("string") for k in range(1, deepest + 1)])
-    out = out.withColumn("numbering", F.array_join(F.slice(parts, F.lit(1), F.col("level")), "."))
-    return out.drop(*[f"_{a}{k}" for k in range(1, deepest + 1) for a in "gn"])
+def numbering(e: DataFrame) -> DataFrame:
+    """Headings with their outline number, to any depth: at each level the count
+    of headings since the last one of a smaller level; skipped levels read 0.
+    Headings that are ``excluded`` (a column that may be there) have none and
+    count for nothing.
+
+    The counters are a fold over the headings of a document, in its order: one
+    array for each document, of headings only.
+    """
+    counted = ~F.coalesce(F.col("excluded"), F.lit(False)) if "excluded" in e.columns else F.lit(True)
+    out = e.where(is_heading()).withColumn("_counted", counted)
+    levels = F.array_sort(F.collect_list(F.when(F.col("_counted"), F.struct("char_start", "level"))))
+    zero = F.array().cast("array<int>")
+
+    def step(acc: Column, h: Column) -> Column:
+        now = acc["now"]
+        last = F.element_at(F.concat(now, F.array_repeat(F.lit(0), h["level"])), h["level"])
+        kept = F.slice(F.concat(now, F.array_repeat(F.lit(0), h["level"])), F.lit(1), h["level"] - 1)
+        new = F.array_append(kept, last + 1)
+        return F.struct(new.alias("now"), F.array_append(acc["all"], F.struct(h["char_start"].alias("char_start"), F.array_join(new.cast("array<string>"), ".").alias("numbering"))).alias("all"))
+
+    start = F.struct(zero.alias("now"), F.array().cast("array<struct<char_start:bigint,numbering:string>>").alias("all"))
+    numbers = out.groupBy("document_id").agg(levels.alias("l")).select("document_id", F.explode(F.aggregate("l", start, step, lambda a: a["all"])).alias("n")).select("document_id", "n.*")
+    return out.join(numbers, ["document_id", "char_start"], "left").withColumn("numbering", F.when(F.col("_counted"), F.col("numbering"))).drop("_counted")
 
 
 def unit_ends(e: DataFrame) -> DataFrame:
     """Headings with the start of the next heading of the same or a smaller
-    level, or the end of the document.  One pass for each level instead of a
-    self-join: the least later start among headings of a level up to it."""
+    level, or the end of the document, to any depth.
+
+    A heading's unit ends where the least level of what follows first falls to
+    its own.  Going backwards that is a stack of open levels; it is folded here
+    as a map from level to the next start, of which those above the level of
+    the heading at hand go: one array for each document, of headings only.
+    """
     end = F.max("char_end").over(Window.partitionBy("document_id"))
     out = e.withColumn("text_end", end).where(is_heading())
-    w = after(order())
-    ends = F.coalesce(*[F.when(F.col("level") == k, F.min(F.when(F.col("level") <= k, F.col("char_start"))).over(w)) for k in (1, 2, 3)], F.col("text_end"))
-    return out.withColumn("unit_end", ends)
+    back = F.reverse(F.array_sort(F.collect_list(F.struct("char_start", "level"))))
+
+    def step(acc: Column, h: Column) -> Column:
+        open_ = F.filter(acc["open"], lambda o: o["level"] <= h["level"])  # nearest last
+        ended = F.when(F.size(open_) > 0, F.element_at(open_, -1)["char_start"])
+        return F.struct(F.array_append(open_, F.struct(h["char_start"].alias("char_start"), h["level"].alias("level"))).alias("open"), F.array_append(acc["all"], F.struct(h["char_start"].alias("char_start"), ended.alias("ended"))).alias("all"))
+
+    start = F.struct(F.array().cast("array<struct<char_start:bigint,level:int>>").alias("open"), F.array().cast("array<struct<char_start:bigint,ended:bigint>>").alias("all"))
+    ends = out.groupBy("document_id").agg(back.alias("l")).select("document_id", F.explode(F.aggregate("l", start, step, lambda a: a["all"])).alias("n")).select("document_id", "n.*")
+    return out.join(ends, ["document_id", "char_start"]).withColumn("unit_end", F.coalesce("ended", "text_end")).drop("ended")
 
 
 def complexes(e: DataFrame) -> DataFrame:

@@ -20,10 +20,10 @@ SELECT document_id, block::BIGINT AS block, min(char_start) AS block_start, coun
 FROM b GROUP BY document_id, block""")
 def elements_by_document(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks between headings: paragraphs, characters and lines with digits."""
-    b = pos.blocks(document_elements(spark, folder))
+    b = pos.blocks(document_elements(spark, folder).withColumn("numeric", F.col("content").rlike(r"\d")).drop("content"))
     return b.groupBy("document_id", "block").agg(
         F.min("char_start").alias("block_start"), F.count_if(~pos.is_heading()).alias("n_paragraphs"),
-        F.sum(F.length("content")).cast("long").alias("n_chars"), F.count_if(F.col("content").rlike(r"\d")).alias("n_numeric"),
+        F.sum(pos.n_chars()).cast("long").alias("n_chars"), F.count_if("numeric").alias("n_numeric"),
     )
 
 
@@ -82,7 +82,7 @@ def chapter_units(spark: SparkSession, folder: str) -> DataFrame:
     e = e.withColumn("unit_start", F.last(F.when(F.col("level") == 1, F.col("char_start")), ignorenulls=True).over(pos.upto(pos.order())))
     e = e.withColumn("unit_end", F.coalesce(F.min(F.when(F.col("level") == 1, F.col("char_start"))).over(pos.after(pos.order())), F.col("text_end"))).where("unit_start is not null")
     para = F.col("element_type") == "paragraph"
-    return e.groupBy("document_id", "unit_start").agg(F.max("unit_end").cast("long").alias("unit_end"), F.count_if(para).alias("n_paragraphs"), F.coalesce(F.sum(F.when(para, F.length("content"))), F.lit(0)).cast("long").alias("n_chars"))
+    return e.groupBy("document_id", "unit_start").agg(F.max("unit_end").cast("long").alias("unit_end"), F.count_if(para).alias("n_paragraphs"), F.coalesce(F.sum(F.when(para, pos.n_chars())), F.lit(0)).cast("long").alias("n_chars"))
 
 
 @query(f"""{E}, h AS (SELECT *, sum((level < 2)::INT) OVER ({W}) AS g2, sum((level < 3)::INT) OVER ({W}) AS g3 FROM e WHERE element_type = 'heading'),
@@ -112,7 +112,7 @@ def prior_in_unit(spark: SparkSession, folder: str) -> DataFrame:
     w = Window.partitionBy("document_id", "block").orderBy("char_start")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     n = F.row_number().over(w).cast("long")
-    return p.select("document_id", "char_start", "block", n.alias("n_in_block"), (n - 1).alias("n_prior"), F.coalesce(F.sum(F.length("content")).over(before), F.lit(0)).cast("long").alias("prior_chars"))
+    return p.select("document_id", "char_start", "block", n.alias("n_in_block"), (n - 1).alias("n_prior"), F.coalesce(F.sum(pos.n_chars()).over(before), F.lit(0)).cast("long").alias("prior_chars"))
 
 
 @query(f"""{E}, d AS (
@@ -167,7 +167,7 @@ def chosen_level(spark: SparkSession, folder: str) -> DataFrame:
 SELECT document_id, seq, first_value(page IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS page_to FROM m""")
 def page_backfill(spark: SparkSession, folder: str) -> DataFrame:
     """Elements get the page of the next marker."""
-    e = document_elements(spark, folder).withColumn("page", F.when(F.col("content").rlike(r"\d{3}"), F.length("content") % 100))
+    e = document_elements(spark, folder).withColumn("page", F.when(F.col("content").rlike(r"\d{3}"), (pos.n_chars() % 100).cast("int")))
     w = Window.partitionBy("document_id").orderBy("seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     return e.select("document_id", "seq", F.first("page", ignorenulls=True).over(w).alias("page_to"))
 
@@ -177,11 +177,10 @@ def page_backfill(spark: SparkSession, folder: str) -> DataFrame:
 FROM e JOIN documents d ON d.doc_id = e.document_id""")
 def standoff_projection(spark: SparkSession, folder: str) -> DataFrame:
     """Texts by offsets, and snippets of at most 140 characters."""
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), "text")
-    j = document_elements(spark, folder).join(docs, "document_id")
-    span = F.substring("text", (F.col("char_start") + 1).cast("int"), (F.col("char_end") - F.col("char_start")).cast("int"))
-    snippet = F.when(F.length("content") <= 140, F.col("content")).otherwise(F.concat(F.rtrim(F.substring("content", 1, 139)), F.lit("…")))
-    return j.select("document_id", "seq", (span == F.col("content")).alias("exact"), snippet.alias("snippet"))
+    e = document_elements(spark, folder, keep=("text",))  # the text goes with its row, it is not joined
+    span = F.substring("text", (F.col("char_start") + 1).cast("int"), pos.n_chars().cast("int"))
+    snippet = F.when(pos.n_chars() <= 140, F.col("content")).otherwise(F.concat(F.rtrim(F.substring("content", 1, 139)), F.lit("…")))
+    return e.select("document_id", "seq", (span == F.col("content")).alias("exact"), snippet.alias("snippet"))
 
 
 _KINDS = ", ".join(f"('{x}')" for x in FUNCTION_TYPES if x)

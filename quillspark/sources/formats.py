@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import german_sentences
-from quillspark.sources.tables import lines
+from quillspark.sources.tables import lines, offsets
 
 # The summary's first line and its entries.
 SUMMARY = r"^Zusammenfassung der Anmerkungen in (.+?)\.(pdf|PDF)\.?\s*$"
@@ -24,12 +24,11 @@ def paragraphs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """(document_id, seq, char_start, char_end, content): chunks between blank
     lines, white space and all; blank ones are left out."""
     gap = r"\n\s*\n"
-    chunks = df.select(F.col(doc_id).alias("document_id"), F.posexplode(F.arrays_zip(F.split(text, gap).alias("c"), F.concat(F.regexp_extract_all(text, F.lit(gap), F.lit(0)), F.array(F.lit(""))).alias("g"))).alias("seq", "p"))
-    chunks = chunks.select("document_id", "seq", F.col("p.c").alias("content"), F.coalesce("p.g", F.lit("")).alias("gap"))
-    before = Window.partitionBy("document_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("content") + F.length("gap")).over(before), F.lit(0)).cast("long")
-    out = chunks.withColumn("char_start", start).withColumn("char_end", F.col("char_start") + F.length("content"))
-    return out.where(F.trim(F.regexp_replace("content", r"\s+", " ")) != "").drop("gap")
+    rows = df.select(F.col(doc_id).alias("document_id"), F.split(text, gap).alias("c"), F.concat(F.regexp_extract_all(text, F.lit(gap), F.lit(0)), F.array(F.lit(""))).alias("g"))
+    rows = rows.withColumn("s", offsets(F.zip_with("c", "g", lambda c, g: F.length(c) + F.length(F.coalesce(g, F.lit(""))))))
+    out = rows.select("document_id", F.posexplode(F.arrays_zip("c", "s")).alias("seq", "p"))
+    out = out.select("document_id", "seq", F.col("p.c").alias("content"), F.col("p.s").alias("char_start"), (F.col("p.s") + F.length("p.c")).alias("char_end"))
+    return out.where(F.trim(F.regexp_replace("content", r"\s+", " ")) != "")
 
 
 def sentence_elements(p: DataFrame) -> DataFrame:

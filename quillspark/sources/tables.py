@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOCUMENT_ORDER = ("char_start", "seq")
@@ -13,27 +13,42 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+_BLOCK = 256  # lines whose offsets are added at once, so that no long array grows line by line
+
+
+def offsets(sizes: Column) -> Column:
+    """array<bigint>: the sum of what stands before each of the ``sizes``."""
+    last = lambda a: F.element_at(a, -1)
+    running = lambda xs, base: F.aggregate(xs, F.array(base).cast("array<bigint>"), lambda acc, x: F.array_append(acc, last(acc) + x))
+    many = F.size(sizes)
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(many / _BLOCK).cast("int") - 1)), lambda b: F.slice(sizes, b * _BLOCK + 1, F.lit(_BLOCK)))
+    sums = F.transform(cut, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda acc, x: acc + x))
+    both = F.arrays_zip(cut.alias("c"), F.slice(running(sums, F.lit(0).cast("bigint")), F.lit(1), F.size(sums)).alias("s"))
+    return F.flatten(F.transform(both, lambda z: F.slice(running(z["c"], z["s"]), F.lit(1), F.size(z["c"]))))
+
+
+def lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One element for each line: (document_id, seq, content, char_start, char_end).
 
     A leaf's text and its line end advance the offset, so that
     ``substring(text, char_start + 1, char_end - char_start)`` is the content.
+    The offsets are summed within the row of the text: nothing is shuffled.
     """
-    each = df.select(F.col(doc_id).alias("document_id"), F.posexplode(F.split(text, "\n")).alias("seq", "content"))
-    before = Window.partitionBy("document_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("content") + 1).over(before), F.lit(0))
-    return each.withColumn("char_start", start.cast("long")).withColumn("char_end", (F.col("char_start") + F.length("content")).cast("long"))
+    parts = df.select(F.col(doc_id).alias("document_id"), *keep, F.split(text, "\n").alias("parts"))
+    parts = parts.withColumn("starts", offsets(F.transform("parts", lambda x: F.length(x) + 1)))
+    each = parts.select("document_id", *keep, F.posexplode(F.arrays_zip("parts", "starts")).alias("seq", "p"))
+    return each.select("document_id", *keep, "seq", F.col("p.parts").alias("content"), F.col("p.starts").alias("char_start"), (F.col("p.starts") + F.length("p.parts")).alias("char_end"))
 
 
-def elements(df: DataFrame, longest_heading: int = 40) -> DataFrame:
+def elements(df: DataFrame, longest_heading: int = 40, keep: tuple[str, ...] = ()) -> DataFrame:
     """Lines typed as headings (short lines, with a level and sometimes a
     function) and paragraphs; empty lines are no elements."""
-    e = lines(df).where("content <> ''")
-    size = F.length("content")
+    e = lines(df, keep=keep).where("content <> ''")
+    size = (F.col("char_end") - F.col("char_start")).cast("int")
     heading = size <= longest_heading
     kinds = F.element_at(F.array(*[F.lit(x) for x in FUNCTION_TYPES]), size % 5 + 1)
     return e.select(
-        "document_id", "seq", "content", "char_start", "char_end",
+        "document_id", *keep, "seq", "content", "char_start", "char_end",
         F.when(heading, "heading").otherwise("paragraph").alias("element_type"),
         F.when(heading, size % 3 + 1).cast("int").alias("level"),
         F.when(heading, kinds).alias("function_type"),
@@ -55,5 +70,5 @@ e AS (
 """
 
 
-def document_elements(spark: SparkSession, folder: str) -> DataFrame:
-    return elements(table(spark, folder, "documents"))
+def document_elements(spark: SparkSession, folder: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return elements(table(spark, folder, "documents"), keep=keep)
