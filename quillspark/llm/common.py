@@ -20,7 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -235,14 +235,23 @@ def packed_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 def identified(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(id, key, tie, text) of each row of ``df``; see the top of this module."""
     src = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return src.select("id", F.coalesce("id", F.lit(NO_ID)).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
+    return src.select("id", F.coalesce("id", F.lit(NO_ID)).alias("key"), _tie("text").alias("tie"), "text")
+
+
+def _tie(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def plain(df: DataFrame, doc_id: str) -> bool:
+    """Has every row of ``df`` an id of its own?  Then no tie is needed."""
+    ids = df.select(F.col(doc_id).cast("long").alias("id"))
+    return ids.groupBy("id").count().where("count > 1 or id is null").isEmpty()
 
 
 def wrapped(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(rest, key, tie): each row of ``df`` as a struct, whatever its columns
     are called, and what it is known by."""
-    key, tie = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    return df.select(F.struct("*").alias("rest"), key.alias("key"), tie.alias("tie"))
+    return df.select(F.struct("*").alias("rest"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("key"), _tie(text).alias("tie"))
 
 
 def filtered(df: DataFrame, text: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
@@ -286,11 +295,11 @@ def by_key(rows: DataFrame, found: DataFrame, key: str, many: str, total: int, h
     return near.unionByName(far)
 
 
-def salted(rows: DataFrame, found: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
+def salted(rows: DataFrame, found: DataFrame, keys: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
     """``rows`` joined with ``found`` by ``keys``, of which one may be that of
     very many rows: these are spread over ``salts`` partitions."""
     spread = F.pmod(F.xxhash64(*[x for x in rows.columns if x not in keys]), F.lit(salts)).cast("int")
-    return rows.withColumn("salt", spread).join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "salt"]).drop("salt")
+    return rows.withColumn("salt", spread).join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "salt"], how).drop("salt")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -71,24 +71,36 @@ def _frame(rows) -> pd.DataFrame:
     return pd.DataFrame(list(rows), columns=["part", "n", "blob"])
 
 
-def _gather(packed: DataFrame, kind: type, name: str) -> DataFrame:
-    """One row for each document: its values, sorted and distinct."""
+def _gather(packed: DataFrame, name: str, runs: bool = False) -> DataFrame:
+    """One row for each document: its 32-bit values, sorted and distinct, or as
+    runs of following ones (the first of each and how many)."""
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, tie, value = c.unpack_all(pdf["blob"], pdf["n"], np.int64, np.int64, kind)
+        key, tie, value = c.unpack_all(pdf["blob"], pdf["n"], np.int64, np.int64, np.uint32)
         order = np.lexsort((value, tie, key))
         key, tie, value = key[order], tie[order], value[order]
         doc = np.ones(len(key), bool)
         doc[1:] = (key[1:] != key[:-1]) | (tie[1:] != tie[:-1])
         new = doc.copy()
         new[1:] |= value[1:] != value[:-1]
-        key, tie, value, cuts = key[new], tie[new], value[new], np.flatnonzero(doc[new])
+        key, tie, value, doc = key[new], tie[new], value[new], doc[new]
+        if runs:
+            head = doc.copy()
+            head[1:] |= value[1:] != value[:-1] + np.uint32(1)
+            at = np.flatnonzero(head)
+            value = np.stack([value[at], np.diff(np.append(at, len(value))).astype(np.uint32)], 1)
+            key, tie, doc = key[at], tie[at], doc[at]
+        cuts = np.flatnonzero(doc)
         ends = np.append(cuts[1:], len(key))
         return pd.DataFrame({"key": key[cuts], "tie": tie[cuts], name: [value[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)]})
 
     return packed.groupBy("part").applyInPandas(gather, f"key long, tie long, {name} binary")
 
 
+def _half(h: np.ndarray) -> np.ndarray:
+    return (h >> c.U(32)).astype(np.uint32)
+
+
 def _anchored(t: c.Tokens, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Whole windows, the text and anchor hash of every window, anchor-gram hashes."""
     of = t.text_of()
@@ -97,8 +109,9 @@ def _anchored(t: c.Tokens, window: int, anchor: int) -> tuple[np.ndarray, np.nda
 
 
 def _repeated_anchors(docs: DataFrame, window: int, anchor: int, groups: int, hot: int) -> tuple[DataFrame, np.ndarray]:
-    """(key, tie, anchors): the anchors of each document that the corpus
-    repeats; and those that it has more than ``hot`` times."""
+    """(key, tie, anchors): half of the hash of each anchor of a document that
+    the corpus repeats (one kept for nothing does no harm); and the anchors that
+    it has more than ``hot`` times."""
     letters = c.spaced()
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +138,7 @@ def _repeated_anchors(docs: DataFrame, window: int, anchor: int, groups: int, ho
             first[1:] = h[1:] != h[:-1]
             many = np.diff(np.append(np.flatnonzero(first), len(h)))
             again = np.repeat(many > 1, many)  # the batch itself repeats it
-            out = list(_Places(key[row[again]], tie[row[again]], h[again]).rows(groups, -1))
+            out = list(_Places(key[row[again]], tie[row[again]], _half(h[again])).rows(groups, -1))
             row = row[first]
             for p, x in c.by_part((h[first] >> c.U(40)).astype(np.int64) % groups, h[first], many.astype(np.int32), key[row], tie[row]):
                 out.append((p, len(x[0]), c.pack(*x)))
@@ -139,13 +152,13 @@ def _repeated_anchors(docs: DataFrame, window: int, anchor: int, groups: int, ho
         total = np.bincount(at, many)
         again = (total[at] > 1) & (many == 1)  # the others are on their way already
         over = np.flatnonzero(total > hot)
-        out = list(_Places(key[again], tie[again], h[at[again]]).rows(groups))
+        out = list(_Places(key[again], tie[again], _half(h[at[again]])).rows(groups))
         return _frame([*out, (_HOT, len(over), h[over].tobytes())] if len(over) else out)
 
     decided = c.cut(docs.select("key", "tie", "text").mapInArrow(collect, c.PACKED).groupBy("part").applyInPandas(decide, c.PACKED), "anchors")
     # an anchor that is hot fills a group, so there are fewer than groups
     over = np.sort(np.frombuffer(b"".join(r["blob"] for r in decided.where(F.col("part") == _HOT).collect()), c.U))
-    return _gather(decided.where(F.col("part") >= 0), c.U, "anchors"), over
+    return _gather(decided.where(F.col("part") >= 0), "anchors"), over
 
 
 def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -178,7 +191,7 @@ class _Pool:
     def add(self, t: c.Tokens, data: np.ndarray, at: np.ndarray, anchor: np.ndarray, key: np.ndarray, tie: np.ndarray, place: np.ndarray) -> None:
         """The windows that begin at the tokens ``at``."""
         path = c.grams(t.hashes, self.window)[at]
-        self.windows.append((at + self.base, path, anchor, key, tie, place.astype(np.int32), self.size + t.start[at], self.size + t.end[at + self.window - 1]))
+        self.windows.append((at + self.base, path, anchor, key, tie, place.astype(np.uint32), self.size + t.start[at], self.size + t.end[at + self.window - 1]))
         self.hashes.append(t.hashes)
         self.data.append(data)
         self.base += len(t.hashes)
@@ -204,7 +217,7 @@ class _Pool:
         at, path, anchor, key, tie, place, start, end = (x[keep] for x in (at, path, anchor, key, tie, place, start, end))
         alone = _within(anchor, self.over)
         new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1] + 1) | (anchor[1:] != anchor[:-1]) | alone[1:] | (place[1:] != place[:-1] + 1)
+        new[1:] = (at[1:] != at[:-1] + 1) | (anchor[1:] != anchor[:-1]) | alone[1:] | (place[1:] != place[:-1] + np.uint32(1))
         s = np.flatnonzero(new)
         e = np.append(s[1:], len(at)) - 1
         group = (c.mix(np.where(alone[s], path[s], anchor[s])) % c.U(self.groups)).astype(np.int64)
@@ -220,7 +233,7 @@ def _slices(blobs, sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     parts, data = [], []
     for blob, n in zip(blobs, sizes, strict=True):
         raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
-        step, tie, place, size = c.unpack(raw, n, np.int64, np.int64, np.int32, np.int32)
+        step, tie, place, size = c.unpack(raw, n, np.int64, np.int64, np.uint32, np.int32)
         parts.append((np.cumsum(step), tie, place, size))
         data.append(np.frombuffer(raw, np.uint8, offset=24 * n))
     key, tie, place, size = map(np.concatenate, zip(*parts, strict=True))
@@ -270,7 +283,7 @@ def _repeats(docs: DataFrame, anchors: DataFrame, over: np.ndarray, window: int,
                 for k in range(i, j):
                     lo, hi = t.first[k - i], min(t.first[k - i + 1], len(m))
                     blob = known[k].as_py() if ok[lo:hi].any() else None
-                    ok[lo:hi] &= _within(m[lo:hi], np.frombuffer(blob, c.U)) if blob else False
+                    ok[lo:hi] &= _within(_half(m[lo:hi]), np.frombuffer(blob, np.uint32)) if blob else False
                 at_ = np.flatnonzero(ok)
                 if len(at_):
                     row = i + of[at_]
@@ -295,25 +308,26 @@ def _repeats(docs: DataFrame, anchors: DataFrame, over: np.ndarray, window: int,
         at = np.arange(max(0, len(word) - window + 1))
         at = at[at + window <= first[of[at] + 1]]
         own = of[at]
-        place = place[own] + (at - first[own])
+        place = place[own] + (at - first[own]).astype(np.uint32)
         rank, shared = suffix_array(word, at, first[own + 1], window)
         key, tie = key[own], tie[own]
         order = np.lexsort((place, tie, key, rank))
         depth = shared(order[:-1], order[1:])  # of the node above each two neighbours
         head = np.maximum.accumulate(np.where(np.append(True, depth < window), np.arange(len(order)), 0))
-        key, tie, place = key[order], tie[order], place[order].astype(np.int32)
+        key, tie, place = key[order], tie[order], place[order]
         later = (key != key[head]) | (tie != tie[head]) | (place != place[head])
         return _frame(_Places(key[later], tie[later], place[later]).rows(groups))
 
     joined = docs.select("key", "tie", "text").join(anchors, ["key", "tie"], "left")
     packed = joined.select("key", "tie", "text", "anchors").mapInArrow(emit, c.PACKED).groupBy("part").applyInPandas(subtree, c.PACKED)
-    return _gather(packed, np.int32, "starts")
+    return _gather(packed, "starts", runs=True)
 
 
 def removed_windows(docs: DataFrame, window: int = 20, room: int = ROOM) -> DataFrame:
     """(key, tie, starts) of identified documents (see common): as packed
-    32-bit integers the starts (word indices) of the windows that begin earlier
-    elsewhere; only documents that have some.  ``room``: words of a group.
+    32-bit integers the runs of the windows that begin earlier elsewhere (the
+    word at which the first begins, and their number); only documents that have
+    some.  ``room``: words of a group.
     """
     anchor = max(1, window // 2)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -326,11 +340,10 @@ def covered(n: int, starts: bytes | None, window: int) -> np.ndarray | None:
     """Which of ``n`` words a removed window covers; None if no one does."""
     if not starts:
         return None
-    s = np.frombuffer(starts, np.int32)
-    s = s[s + window <= n]
+    first, many = np.frombuffer(starts, np.uint32).reshape(-1, 2).astype(np.int64).T
     edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, s, 1)
-    np.add.at(edge, s + window, -1)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, first + many - 1 + window, -1)
     return np.cumsum(edge)[:n] > 0
 
 
@@ -354,13 +367,18 @@ def _stripped(texts: pa.Array, starts: pa.Array, window: int) -> tuple[list, lis
     return out, n, gone
 
 
+def _documents(df: DataFrame, doc_id: str, text: str, plain: bool | None = None) -> DataFrame:
+    docs = c.identified(df, doc_id, text)
+    return docs.withColumn("tie", F.lit(0).cast("long")) if plain or plain is None and c.plain(df, doc_id) else docs
+
+
 def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, room: int = ROOM) -> DataFrame:
     """Each document without the words of repeated windows.
 
     Returns (doc_id, text, n_words, n_removed): the text has its own white
     space where nothing is taken out; a null text stays null.
     """
-    docs = c.identified(df, doc_id, text)
+    docs = _documents(df, doc_id, text)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -375,8 +393,10 @@ def strip_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     """``df`` with its repeated windows taken out of the texts and ``n_chars``
     counted anew; a document of which no word is left goes.  All columns and
     their order stay; rows that lose nothing stay as they are."""
-    docs = c.identified(df, doc_id, text)
-    src = c.wrapped(df, doc_id, text).withColumn("text", F.col(f"rest.`{text}`").cast("string")).withColumn("rest", F.col("rest").dropFields(f"`{text}`"))
+    plain = c.plain(df, doc_id)
+    docs = _documents(df, doc_id, text, plain)
+    src = c.wrapped(df, doc_id, text)
+    src = (src.withColumn("tie", F.lit(0).cast("long")) if plain else src).withColumn("text", F.col(f"rest.`{text}`").cast("string")).withColumn("rest", F.col("rest").dropFields(f"`{text}`"))
     both = src.join(removed_windows(docs, window, room), ["key", "tie"], "left").select("rest", "text", "starts")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +413,7 @@ def strip_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
 
 def digests(df: DataFrame, window: int = 20, room: int = ROOM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
-    docs = c.identified(df, "doc_id", "text")
+    docs = _documents(df, "doc_id", "text")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
