@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from quillspark.functions.arrays import offsets
 
 # Patterns of names and years.
 ET_AL = r"(?:et\.?\s+al\.?|u\.?\s*a\.|e\.?\s*a\.)"
@@ -23,43 +21,76 @@ NO_AUTHORS = frozenset(
     "Der Die Das Den Dem Des Ein Eine Einer Eines Einem Einen Diese Dieser Dieses Diesen Diesem Jene Jener Jenes Jenen Jenem "
     "Im Am Um In An Auf Über Unter Vor Nach Neben Bei Mit Aus Ohne Durch Für Wegen Und Oder Aber Wenn Weil".split()
 )
-_NARRATIVE = re.compile(rf"\b({AUTHORS})\s*\(\s*{YEAR}\s*\)", re.A)
-_INSIDE = re.compile(rf"\b({AUTHORS}),?\s+{YEAR}", re.A)
-_BLOCK = re.compile(r"\(([^()]+)\)")
-_MORE = re.compile(rf"\s+{ET_AL}", re.I)
-_BETWEEN = re.compile(r"\s*(?:[/&]|\bund\b)\s*")
-_S = T.StringType()
-CITATIONS = T.ArrayType(
-    T.StructType([T.StructField("offset", T.IntegerType()), T.StructField("raw", _S), T.StructField("authors", T.ArrayType(_S)), T.StructField("year", _S), T.StructField("suffix", _S), T.StructField("page", _S)])
-)
+COUNTED = r"\(([A-ZÄÖÜ][^()]{0,80}?\b\d{4})"
+_JOINED = r"\s*(?:[/&]|\bund\b)\s*"
+CITATION = "struct<offset:int,raw:string,authors:array<string>,year:string,suffix:string,page:string>"
+
+
+def n_inline(text: str | Column) -> Column:
+    """How many brackets with a name and a year a text has."""
+    return F.regexp_count(text, F.lit(COUNTED))
+
+
+def _read(raw: Column, at: Column, form: str) -> Column:
+    """A citation from its words; null if its first author is none."""
+    part = lambda k: F.nullif(F.trim(F.regexp_extract(raw, form, k)), F.lit(""))
+    names = F.split(F.regexp_replace(part(1), rf"(?i)\s+{ET_AL}", ""), _JOINED)
+    authors = F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x != "")
+    odd = F.exists(F.split(F.get(authors, F.lit(0)), r"\s+"), lambda x: x.isin(*sorted(NO_AUTHORS)))
+    one = F.struct(at.cast("int").alias("offset"), raw.alias("raw"), authors.alias("authors"), part(2).alias("year"), part(3).alias("suffix"), part(4).alias("page"))
+    return F.when(~odd, one)
 
 
-def citations_in(text: str) -> list[dict]:
-    """Citations of a paragraph by offset; the narrative form goes before one
-    in brackets at the same place."""
-    found: dict[int, dict] = {}
-    places = [(0, m) for m in _NARRATIVE.finditer(text)]
-    for block in _BLOCK.finditer(text):
-        places += [(block.start(1), m) for m in _INSIDE.finditer(block[1])]
-    for base, m in places:
-        authors = [a for a in (x.strip() for x in _BETWEEN.split(_MORE.sub("", m[1]))) if a]
-        if authors and not NO_AUTHORS & set(authors[0].split()):
-            page = (m[4] or "").strip() or None
-            found.setdefault(base + m.start(), {"offset": base + m.start(), "raw": m[0], "authors": authors, "year": m[2], "suffix": m[3], "page": page})
-    return [found[k] for k in sorted(found)]
+def _places(text: Column, form: str) -> Column:
+    """array<struct<raw, at>>: the matches of ``form`` in a text and their places."""
+    raws = F.regexp_extract_all(text, F.lit(form), F.lit(0))
+    gaps = F.split(text, form, -1)
+    starts = offsets(F.zip_with(gaps, F.concat(raws, F.array(F.lit(""))), lambda g, r: F.length(g) + F.length(F.coalesce(r, F.lit("")))))
+    return F.zip_with(raws, F.zip_with(F.slice(starts, F.lit(1), F.size(raws)), F.slice(gaps, F.lit(1), F.size(raws)), lambda s, g: s + F.length(g)), lambda r, a: F.struct(r.alias("raw"), a.alias("at")))
 
 
-@F.pandas_udf(CITATIONS)
-def extract_citations(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: citations_in(x or ""))
+_NARRATIVE = rf"\b({AUTHORS})\s*\(\s*{YEAR}\s*\)"
+_INSIDE = rf"\b({AUTHORS}),?\s+{YEAR}"
+_BRACKETS = r"\([^()]+\)"
+
+
+def citations_of(text: str | Column) -> Column:
+    """array<struct<offset, raw, authors, year, suffix, page>> of a paragraph,
+    by offset; the narrative form goes before one in brackets at its place."""
+    col = F.col(text) if isinstance(text, str) else text
+    told = F.transform(_places(col, _NARRATIVE), lambda p: _read(p["raw"], p["at"], _NARRATIVE))
+    inside = F.flatten(F.transform(_places(col, _BRACKETS), lambda b: F.transform(_places(F.substring(b["raw"], F.lit(2), F.length(b["raw"]) - 2), _INSIDE), lambda p: _read(p["raw"], b["at"] + 1 + p["at"], _INSIDE))))
+    told, inside = (F.filter(x, lambda c: c.isNotNull()) for x in (told, inside))
+    fresh = F.filter(inside, lambda c, i: ~F.exists(told, lambda d: d["offset"] == c["offset"]))
+    return F.array_sort(F.concat(told, fresh))
 
 
 def mentions(paragraphs: DataFrame, text: str = "text") -> DataFrame:
     """One row for each author of each citation of the paragraphs."""
-    c = paragraphs.withColumn("c", F.explode(extract_citations(text))).drop(text)
+    c = paragraphs.withColumn("c", F.explode(citations_of(text))).drop(text)
     return c.select("*", "c.offset", "c.year", "c.suffix", F.explode("c.authors").alias("author")).drop("c")
 
 
+# Headings of bibliographies.
+BIBLIOGRAPHY = r"(?iu)^\s*(literaturverzeichnis|literatur(?:\s+und\s+quellen)?|bibliographie|bibliografie|quellenverzeichnis|quellen|referenzen|references)\s*$"
+
+
+def bibliography_paragraphs(e: DataFrame) -> DataFrame:
+    """Entries (document_id, char_start, content) among elements (document_id,
+    char_start, element_type, section_kind, content): the paragraphs of sections
+    of that kind; in a document without any, those from the first heading that
+    says so to the next heading.  Entries of fewer than five characters go."""
+    w = Window.partitionBy("document_id").orderBy("char_start")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    main = (F.col("element_type") == "heading") & (F.col("section_kind") == "main")
+    said = main & F.col("content").rlike(BIBLIOGRAPHY)
+    own = (F.col("section_kind") == "bibliography") & (F.col("element_type") == "paragraph")
+    x = e.withColumn("_own", F.max(own).over(Window.partitionBy("document_id"))).withColumn("_nth", F.sum(said.cast("int")).over(upto))
+    x = x.withColumn("_open", F.last(F.when(main, said & (F.col("_nth") == 1)), ignorenulls=True).over(upto))
+    keep = F.when(F.col("_own"), own).otherwise(F.coalesce("_open", F.lit(False)) & (F.col("element_type") == "paragraph"))
+    return x.where(keep & (F.length(F.trim("content")) >= 5)).select("document_id", "char_start", F.trim("content").alias("content"))
+
+
 def bibliography_keys(entries: DataFrame, raw: str = "raw_text") -> DataFrame:
     """Entries with first author's last name, year and suffix (null if none)."""
     at = lambda p, k: F.nullif(F.regexp_extract(raw, p, k), F.lit(""))

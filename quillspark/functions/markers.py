@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Heading rules in order; the first that matches gives type and confidence.
@@ -31,65 +31,73 @@ GRANULARITY = {
 }
 # Markers of findings, with their names.
 FINDINGS = (
-    ("zeigt_sich", r"(?i)\b(zeigt(e)?\s+sich|zeigen\s+sich|gezeigt\s+(werden|wurde|wird))\b"),
+    ("zeigt_sich", r"(?iu)\b(zeigt(e)?\s+sich|zeigen\s+sich|gezeigt\s+(werden|wurde|wird))\b"),
     ("befund_lemma", r"\b(Befund(e|s|en)?|Ergebnis(se|ses|sen)?|Resultat(e|s|en)?)\b"),
-    ("ergibt_sich", r"(?i)\b(ergibt|ergab)\s+sich\b"),
-    ("feststellen", r"(?i)\b(fest(gestellt|zuhalten|halten|stellen|stellt))\b"),
-    ("lassen_sich", r"(?i)\b(lässt|läßt|lassen)\s+(sich\s+)?(erkennen|konstatieren|festhalten|ableiten|schließen|resümieren|zeigen)\b"),
-    ("hervorgehen", r"(?i)\b(hervor(zugehen|geht|gehen|gegangen|gehend))\b"),
-    ("deutlich_werden", r"(?i)\bdeutlich\s+(wird|werden|geworden|wurde)\b"),
-    ("weist_hin", r"(?i)\b(weist|weisen)\s+darauf\s+hin\b"),
-    ("deutet_hin", r"(?i)\bdeutet\s+(darauf\s+hin|sich\s+an)\b"),
-    ("macht_deutlich", r"(?i)\b(macht|machen)\s+(deutlich|sichtbar|erkennbar)\b"),
-    ("dokumentiert_sich", r"(?i)\bdokumentier(t|en)\s+sich\b"),
-    ("rekonstruiert_sich", r"(?i)\brekonstruier(t|en)\s+sich\b"),
-    ("kommt_zum_ausdruck", r"(?i)\bkommt\s+zum\s+Ausdruck\b"),
-    ("tritt_hervor", r"(?i)\btritt(\s+(deutlich|klar))?\s+hervor\b"),
-    ("zusammenfassend", r"(?i)\b(zusammenfassend|abschließend|resümierend)\b"),
+    ("ergibt_sich", r"(?iu)\b(ergibt|ergab)\s+sich\b"),
+    ("feststellen", r"(?iu)\b(fest(gestellt|zuhalten|halten|stellen|stellt))\b"),
+    ("lassen_sich", r"(?iu)\b(lässt|läßt|lassen)\s+(sich\s+)?(erkennen|konstatieren|festhalten|ableiten|schließen|resümieren|zeigen)\b"),
+    ("hervorgehen", r"(?iu)\b(hervor(zugehen|geht|gehen|gegangen|gehend))\b"),
+    ("deutlich_werden", r"(?iu)\bdeutlich\s+(wird|werden|geworden|wurde)\b"),
+    ("weist_hin", r"(?iu)\b(weist|weisen)\s+darauf\s+hin\b"),
+    ("deutet_hin", r"(?iu)\bdeutet\s+(darauf\s+hin|sich\s+an)\b"),
+    ("macht_deutlich", r"(?iu)\b(macht|machen)\s+(deutlich|sichtbar|erkennbar)\b"),
+    ("dokumentiert_sich", r"(?iu)\bdokumentier(t|en)\s+sich\b"),
+    ("rekonstruiert_sich", r"(?iu)\brekonstruier(t|en)\s+sich\b"),
+    ("kommt_zum_ausdruck", r"(?iu)\bkommt\s+zum\s+Ausdruck\b"),
+    ("tritt_hervor", r"(?iu)\btritt(\s+(deutlich|klar))?\s+hervor\b"),
+    ("zusammenfassend", r"(?iu)\b(zusammenfassend|abschließend|resümierend)\b"),
     ("material_referenz", r"\bim\s+(Sample|Material|Korpus|Datenmaterial|Fall|Beispiel)\b"),
-    ("wird_ersichtlich", r"(?i)\bwird\s+(ersichtlich|sichtbar|erkennbar)\b"),
+    ("wird_ersichtlich", r"(?iu)\bwird\s+(ersichtlich|sichtbar|erkennbar)\b"),
 )
 # Markers of research questions.
 QUESTIONS = (
     r"\?",
-    r"(?i)\b(forschungs|untersuchungs|leit|haupt)?frage(stellung)?\b",
-    r"(?i)\blautet\s*[:„\"]",
-    r"(?i)\b(diese|vorliegende)\s+(arbeit|studie|untersuchung|beitrag|aufsatz)\s+(untersucht|fragt|prüft|zeigt|analysiert|geht|widmet|setzt|ist)",
-    r"(?i)\b(im|zu(m)?)\s+(mittelpunkt|zentrum)\s+(steht|stehen)\b",
-    r"(?i)\b(soll|sollen|wird|werden)\s+\S+(\s+\S+){0,8}\s+(untersucht|geprüft|gezeigt|gefragt|analysiert|beantwortet)",
-    r"(?i)\b(erkenntnisinteresse|forschungsinteresse|untersuchungsgegenstand)\b",
+    r"(?iu)\b(forschungs|untersuchungs|leit|haupt)?frage(stellung)?\b",
+    r"(?iu)\blautet\s*[:„\"]",
+    r"(?iu)\b(diese|vorliegende)\s+(arbeit|studie|untersuchung|beitrag|aufsatz)\s+(untersucht|fragt|prüft|zeigt|analysiert|geht|widmet|setzt|ist)",
+    r"(?iu)\b(im|zu(m)?)\s+(mittelpunkt|zentrum)\s+(steht|stehen)\b",
+    r"(?iu)\b(soll|sollen|wird|werden)\s+\S+(\s+\S+){0,8}\s+(untersucht|geprüft|gezeigt|gefragt|analysiert|beantwortet)",
+    r"(?iu)\b(erkenntnisinteresse|forschungsinteresse|untersuchungsgegenstand)\b",
 )
 # Markers of methods.
 METHODS = (
-    r"(?i)\b(methodisch|methode(n|nlehre|nwahl)?|methodologie|methodologisch)\b",
-    r"(?i)\b(vorgehen|vorgehensweise|verfahren|untersuchungsdesign|forschungsdesign)\b",
-    r"(?i)\b(qualitativ|quantitativ|hermeneutisch|interpretativ|rekonstruktiv)\b",
-    r"(?i)\b(diskursanalys|inhaltsanalys|sequenzanalys|sequentiell|grounded\s+theory|phänomenolog)",
-    r"(?i)\b(vergleich(en|end)?|kontrast|gegenüberstellung|fallstudie|fallanalys|fallvergleich)",
-    r"(?i)\b(korpus|erhebung|stichprobe|sample|feld(forschung)?|interview|fragebogen|teilnehmend)",
-    r"(?i)\b(auswertung(s)?|kategorienbasiert|kodier|kodieren|gütekriteri)",
-    r"(?i)\b(triangulation|theoretical\s+sampling|inhaltsanalytisch)",
+    r"(?iu)\b(methodisch|methode(n|nlehre|nwahl)?|methodologie|methodologisch)\b",
+    r"(?iu)\b(vorgehen|vorgehensweise|verfahren|untersuchungsdesign|forschungsdesign)\b",
+    r"(?iu)\b(qualitativ|quantitativ|hermeneutisch|interpretativ|rekonstruktiv)\b",
+    r"(?iu)\b(diskursanalys|inhaltsanalys|sequenzanalys|sequentiell|grounded\s+theory|phänomenolog)",
+    r"(?iu)\b(vergleich(en|end)?|kontrast|gegenüberstellung|fallstudie|fallanalys|fallvergleich)",
+    r"(?iu)\b(korpus|erhebung|stichprobe|sample|feld(forschung)?|interview|fragebogen|teilnehmend)",
+    r"(?iu)\b(auswertung(s)?|kategorienbasiert|kodier|kodieren|gütekriteri)",
+    r"(?iu)\b(triangulation|theoretical\s+sampling|inhaltsanalytisch)",
 )
 # Markers of a plan in sequence, each with what a hit counts (the match and its groups).
 SEQUENCE = (
-    (r"(?i)\bim\s+(ersten|zweiten|dritten|vierten|letzten)\s+(teil|kapitel|abschnitt|schritt)\b", 3),
-    (r"(?i)\b(zunächst|zuerst|anschließend|danach|abschließend|schließlich|im\s+folgenden|sodann|sodass)\b", 2),
-    (r"(?i)\bdarauf(hin|\s+aufbauend)?\b", 2),
-    (r"(?i)\b(zum\s+abschluss|am\s+ende\s+der\s+arbeit|im\s+letzten)\b", 2),
+    (r"(?iu)\bim\s+(ersten|zweiten|dritten|vierten|letzten)\s+(teil|kapitel|abschnitt|schritt)\b", 3),
+    (r"(?iu)\b(zunächst|zuerst|anschließend|danach|abschließend|schließlich|im\s+folgenden|sodann|sodass)\b", 2),
+    (r"(?iu)\bdarauf(hin|\s+aufbauend)?\b", 2),
+    (r"(?iu)\b(zum\s+abschluss|am\s+ende\s+der\s+arbeit|im\s+letzten)\b", 2),
 )
 # Markers of a plan's structure.
 STRUCTURE = (
-    r"(?i)\bdie\s+arbeit\s+(gliedert\s+sich|ist\s+gegliedert|besteht\s+aus|umfasst|setzt\s+sich\s+zusammen)\b",
-    r"(?i)\b(aufbau|gliederung|struktur)\s+(dieser|der\s+vorliegenden)\s+arbeit\b",
-    r"(?i)\bim\s+folgenden\s+wird\b",
-    r"(?i)\b(in\s+kapitel|im\s+kapitel)\s+\d+\b",
+    r"(?iu)\bdie\s+arbeit\s+(gliedert\s+sich|ist\s+gegliedert|besteht\s+aus|umfasst|setzt\s+sich\s+zusammen)\b",
+    r"(?iu)\b(aufbau|gliederung|struktur)\s+(dieser|der\s+vorliegenden)\s+arbeit\b",
+    r"(?iu)\bim\s+folgenden\s+wird\b",
+    r"(?iu)\b(in\s+kapitel|im\s+kapitel)\s+\d+\b",
 )
 
 
+#: A word's edge among ASCII letters, digits and low lines, which ``\\b`` of Java is not.
+_EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def _form(pattern: str) -> str:
+    return pattern.replace(r"\b", _EDGE)
+
+
 def _any(text: Column, patterns: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for p in patterns:
-        out = out | text.rlike(p)
+        out = out | text.rlike(_form(p))
     return out
 
 
@@ -97,13 +105,28 @@ def heading_type(text: Column) -> Column:
     """struct(type, granularity, confidence) of a heading, null if no rule matches."""
     out = F.lit(None).cast("struct<type:string,granularity:string,confidence:double>")
     for pattern, kind, confidence in reversed(HEADING_RULES):
-        out = F.when(text.rlike(f"(?i){pattern}"), F.struct(F.lit(kind).alias("type"), F.lit(GRANULARITY[kind]).alias("granularity"), F.lit(confidence).alias("confidence"))).otherwise(out)
+        out = F.when(text.rlike(_form(f"(?iu){pattern}")), F.struct(F.lit(kind).alias("type"), F.lit(GRANULARITY[kind]).alias("granularity"), F.lit(confidence).alias("confidence"))).otherwise(out)
     return out
 
 
+def granularity(kind: Column, level: Column) -> Column:
+    """How much of a work a heading of a type and level stands for."""
+    own = F.element_at(F.create_map(*[F.lit(x) for kv in GRANULARITY.items() for x in kv]), kind)
+    other = F.when(own == "UNTERKAPITEL", "UNTERKAPITEL").otherwise("KAPITEL")
+    return F.when(own.isNotNull() & (kind != "WERK_STRUKTUR"), F.when(level <= 3, other).otherwise("ABSCHNITT"))
+
+
+def hotspots(paragraphs: DataFrame, container: str = "container", text: str = "content") -> DataFrame:
+    """Paragraphs with markers of findings, their number, and ``ratio``: the
+    share of such paragraphs in their container."""
+    p = paragraphs.withColumn("n_markers", F.size(findings(F.col(text)))).drop(text)
+    share = p.groupBy(container).agg((F.count_if(F.col("n_markers") > 0) / F.count("*")).alias("ratio"))
+    return p.where("n_markers > 0").join(share, container)
+
+
 def findings(text: Column) -> Column:
     """array<struct<name, matched>> of the markers that a text has."""
-    hits = F.array(*[F.struct(F.lit(n).alias("name"), F.regexp_extract(text, p, 0).alias("matched")) for n, p in FINDINGS])
+    hits = F.array(*[F.struct(F.lit(n).alias("name"), F.regexp_extract(text, _form(p), 0).alias("matched")) for n, p in FINDINGS])
     return F.filter(hits, lambda h: h.matched != "")
 
 
@@ -119,6 +142,6 @@ def plan(text: Column) -> Column:
     """struct(hits, is_plan): three counted hits in sequence, or one with structure."""
     hits = F.lit(0)
     for p, n in SEQUENCE:
-        hits = hits + F.when(text.rlike(p), n).otherwise(0)
+        hits = hits + F.when(text.rlike(_form(p)), n).otherwise(0)
     built = _any(text, STRUCTURE)
     return F.struct((hits + built.cast("int")).alias("hits"), ((hits >= 3) | built & (hits >= 1)).alias("is_plan"))

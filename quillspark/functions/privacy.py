@@ -12,19 +12,19 @@ from pyspark.sql import types as T
 # Patterns of e-mails, student numbers and phones.
 EMAIL = r"(?<![@.])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 STUDENT = (
-    r"(?i)\b(?:matrikel(?:nummer|nr\.?)?|student(?:en)?(?:nummer|id|number)|registration\s*number|n[uú]mero\s*de\s*matr[íi]cula|n[ºo°]?\s*matr[ií]cul[oa]|registrazione)"
+    r"(?iu)\b(?:matrikel(?:nummer|nr\.?)?|student(?:en)?(?:nummer|id|number)|registration\s*number|n[uú]mero\s*de\s*matr[íi]cula|n[ºo°]?\s*matr[ií]cul[oa]|registrazione)"
     r"\s*[:#-]?\s*([A-Z]?\d[\d\s./-]{3,}\d)"
 )
-PHONE_LABELLED = r"(?i)\b(?:tel(?:\.|efon)?|mobil(?:funk)?|handy|phone|fax|t\.|tel\s*nr\.?)\s*[:.]?\s*([+]?[\d\s./()-]{7,20}\d)"
+PHONE_LABELLED = r"(?iu)\b(?:tel(?:\.|efon)?|mobil(?:funk)?|handy|phone|fax|t\.|tel\s*nr\.?)\s*[:.]?\s*([+]?[\d\s./()-]{7,20}\d)"
 PHONE_ABROAD = r"(?<![\d])\+\d{1,3}[\s./()-]*(?:\d[\s./()-]*){6,15}\d"
-DATE_LIKE = r"^\d{1,2}[./-]\d{1,2}[./-]\d{2,4}$|^\d{4}-\d{2}-\d{2}$"
+DATE_LIKE = r"^\d{1,2}[./-]\d{1,2}[./-]\d{2,4}$|^\d{4}-\d{2}-\d{2}$|^\d{2}\.\d{2}\.\d{4}$"
 TITLES = re.compile(r"\b(?:prof(?:essor)?|dr|ph\.?\s*d|m\.?\s*a|b\.?\s*a|m\.?\s*sc|b\.?\s*sc|hon|sir|mr|mrs|ms|mme|sra|sr|dipl[.-]?ing|mag|doc|phil|theol|med|iur|nat|h\.\s*c)\.?(?=\W|$)", re.I)
 
 
 def front_matter(text: Column, most: int = 10_000) -> Column:
     """The first characters, cut before the first chapter's heading."""
     head = F.substring(text, 1, most)
-    at = F.regexp_instr(head, F.lit(r"(?im)^\s*(?:\d+(?:\.\d+)*\s+)?(?:einleitung|einführung|introduction|introducción|kapitel 1|chapter 1|chapitre 1)\b"))
+    at = F.regexp_instr(head, F.lit(r"(?imu)^\s*(?:\d+(?:\.\d+)*\s+)?(?:einleitung|einführung|introduction|introducción|kapitel 1|chapter 1|chapitre 1)\b"))
     return F.when(at > 201, F.substring(head, F.lit(1), at - 1)).otherwise(head)
 
 
@@ -48,16 +48,27 @@ def phones(text: str | Column) -> Column:
     return F.array_distinct(F.concat(near, far))
 
 
+SEED = "struct<category:string,value:string,replacement:string>"
+
+
+def contact_seeds_of(text: str | Column) -> Column:
+    """array<struct<category, value, replacement>> of the contact data of a
+    text; the first of equal values (whatever the case) counts, and each
+    category is numbered.  It is all within the row."""
+    col = F.col(text) if isinstance(text, str) else text
+    norm = lambda x: F.lower(F.regexp_replace(x, r"\s+", " "))
+
+    def numbered(kind: str, values: Column) -> Column:
+        first = F.filter(values, lambda x, i: ~F.exists(F.slice(values, F.lit(1), i), lambda y: norm(y) == norm(x)))
+        return F.transform(first, lambda x, i: F.struct(F.lit(kind).alias("category"), x.alias("value"), F.format_string(f"[{kind.upper()}_%03d]", i + 1).alias("replacement")))
+
+    parts = [numbered("email", emails(col)), numbered("student_id", student_ids(col)), numbered("phone", phones(front_matter(col)))]
+    return F.coalesce(F.concat(*[F.coalesce(x, F.array().cast(f"array<{SEED}>")) for x in parts]), F.array().cast(f"array<{SEED}>"))
+
+
 def contact_seeds(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(document_id, category, value, replacement) of contact data; the first of
-    equal values (whatever the case) counts, and each category is numbered."""
-    kinds = (("email", emails(text), text), ("student_id", student_ids(text), text), ("phone", phones(front_matter(F.col(text))), text))
-    each = [docs.select(F.col(doc_id).alias("document_id"), F.lit(k).alias("category"), F.posexplode(v).alias("pos", "value")) for k, v, _ in kinds]
-    out = each[0].unionByName(each[1]).unionByName(each[2]).withColumn("norm", F.lower(F.regexp_replace("value", r"\s+", " ")))
-    first = Window.partitionBy("document_id", "category", "norm").orderBy("pos")
-    out = out.withColumn("k", F.row_number().over(first)).where("k = 1")
-    number = F.row_number().over(Window.partitionBy("document_id", "category").orderBy("pos"))
-    return out.select("document_id", "category", "value", F.format_string("[%s_%03d]", F.upper("category"), number).alias("replacement"))
+    """(document_id, category, value, replacement), a row for each seed."""
+    return docs.select(F.col(doc_id).alias("document_id"), F.explode(contact_seeds_of(text)).alias("s")).select("document_id", "s.*")
 
 
 def name_variants(name: str) -> list[str]:
@@ -121,21 +132,33 @@ def moved(start: Column, end: Column, edits: Column) -> Column:
 
 def leaks(texts: DataFrame, seeds: DataFrame, context: int = 40) -> DataFrame:
     """First candidate of each seed that a text still holds: texts (document_id,
-    text), seeds (document_id, seed_id, variants); short ones need word edges."""
-    c = seeds.select("document_id", "seed_id", F.posexplode("variants").alias("pos", "candidate")).join(texts, "document_id")
-    plain = F.expr("instr(lower(text), lower(candidate))")
-    edge = F.regexp_instr("text", F.concat(F.lit(r"(?i)(?<!\w)\Q"), F.col("candidate"), F.lit(r"\E(?!\w)")))
-    c = c.withColumn("at", F.when(F.length("candidate") <= 3, edge).otherwise(plain)).where("at > 0")
-    near = F.substring("text", F.greatest(F.lit(1), F.col("at") - context), F.length("candidate") + 2 * context)
-    best = c.withColumn("near", near).groupBy("document_id", "seed_id").agg(F.min(F.struct("pos", "candidate", "at", "near")).alias("b"))
-    return best.select("document_id", "seed_id", "b.candidate", (F.col("b.at") - 1).alias("start"), F.col("b.near").alias("context"))
+    text), seeds (document_id, seed_id, variants); short ones need word edges.
+    The seeds of a document come to its text as one array."""
+    held = seeds.groupBy("document_id").agg(F.collect_list(F.struct("seed_id", "variants")).alias("seeds"))  # of one document
+    plain = lambda v: F.instr(F.lower("text"), F.lower(v))
+    edge = lambda v: F.regexp_instr("text", F.concat(F.lit(r"(?iu)(?<!\w)\Q"), v, F.lit(r"\E(?!\w)")))
+    hit = lambda v, pos: F.struct(pos.alias("pos"), v.alias("candidate"), F.when(F.length(v) <= 3, edge(v)).otherwise(plain(v)).alias("at"))
+    hits = lambda s: F.filter(F.transform(s["variants"], hit), lambda h: h["at"] > 0)
+    found = F.filter(F.transform("seeds", lambda s: F.struct(s["seed_id"].alias("seed_id"), F.get(hits(s), F.lit(0)).alias("b"))), lambda x: x["b"].isNotNull())
+    near = lambda b: F.substring("text", F.greatest(F.lit(1), b["at"] - context), F.length(b["candidate"]) + 2 * context)
+    out = F.transform(found, lambda x: F.struct(x["seed_id"].alias("seed_id"), x["b"]["candidate"].alias("candidate"), (x["b"]["at"] - 1).alias("start"), near(x["b"]).alias("context")))
+    return texts.join(held, "document_id").select("document_id", F.explode(out).alias("l")).select("document_id", "l.*")
 
 
 # Labels that give a person near them a role.
 ROLE_LABELS = (
-    ("author", r"(?i)\b(?:vorgelegt|eingereicht|verfasst|abgegeben|presented|submitted|prepared|written)\s+(?:von|by)\b"),
-    ("author", r"(?i)\b(?:autor(?:in)?|author|verfasser(?:in)?|bearbeiter(?:in)?|kandidat(?:in)?|name)\b"),
-    ("supervisor", r"(?i)\b(?:betreuer(?:in)?|(?:erst|zweit|dritt)?gutachter(?:in)?|prüfer(?:in)?|mentor(?:in)?|supervisor|advisor|examiner)\b"),
+    (
+        "author",
+        r"(?iu)\b(?:vorgelegt|eingereicht|verfasst|abgegeben|presented|submitted|prepared|written|presentado|presentata|apresentado|przedstawion[aey]|ingeleverd|inskickad|indleveret|innlevert|esitetty)"
+        r"\s+(?:von|by|par|de|por|da|door|przez|av|af|tarafından|представлена)\b",
+    ),
+    ("author", r"(?iu)\b(?:autor(?:in)?|author|verfasser(?:in)?|bearbeiter(?:in)?|kandidat(?:in)?|name|verfasst\s+von)\b"),
+    (
+        "supervisor",
+        r"(?iu)\b(?:betreuer(?:in)?|erstgutachter(?:in)?|zweitgutachter(?:in)?|drittgutachter(?:in)?|pr(?:ue|ü)fer(?:in)?|gutachter(?:in)?|mentorat|mentor(?:in)?|doktorvater|doktormutter|promotionskommission"
+        r"|pr(?:ue|ü)fungskommission|promotionsausschuss|supervisor|advisor|examiner|director\s+of\s+studies|directeur(?:\s+de\s+th[èe]se)?|relatore|orientador(?:a)?|begeleider|promotor|opiekun|veiledere?"
+        r"|handledare|ohjaaja|jury)\b",
+    ),
 )
 
 
@@ -179,10 +202,52 @@ def split_persons(persons: DataFrame) -> DataFrame:
     return out.select("document_id", F.col("name").alias("text"), (F.col("start") + F.expr("instr(text, name)") - 1).alias("start"))
 
 
+# Marks of what is blacked out, and labels of authors.
+GLYPHS = r"[█▓▒░■▄▀▌▐]{3,}|[X]{4,}|[x]{4,}|[*]{4,}|_{4,}"
+BRACKETED = r"(?iu)\[\s*(?:anonymisiert|anonymized|redacted|name|n\.n\.|nn|xxx+|geschw[aä]rzt|caviardé|censurado|oscurato|verwijderd|usuni[eę]ty|cenzurov[áa]no)\s*\]"
+WORDED = r"(?iu)\b(?:anonymisiert|anonymized|redacted|geschw[aä]rzt|caviardé|censurado|oscurato|usuni[eę]ty|n\.\s*n\.|XXXX+|xxxx+)\b"
+AUTHOR_LABEL = (
+    r"\b(?:vorgelegt\s+von|eingereicht\s+von|verfasst\s+von|submitted\s+by|presented\s+by|written\s+by|autor(?:in)?|author|verfasser(?:in)?|name|nom|nombre|nome|naam|tekijä|szerző|αυτή|yazar|автор)\s*[:.]?\s*"
+)
+
+
+def author_state(text: Column) -> Column:
+    """``redacted``, ``name_present`` or ``no_author_label``: what stands after
+    the first label of an author in the front matter that tells (on its line,
+    else on the next one)."""
+    lines = F.transform(F.split(front_matter(text), r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+
+    def state(line: Column, i: Column) -> Column:
+        tail = F.trim(F.regexp_extract(line, rf"(?iu)^.*?{AUTHOR_LABEL}(.*)$", 1))
+        said = F.when(tail != "", tail).otherwise(F.coalesce(F.get(lines, i + 1), F.lit("")))
+        names = F.size(F.regexp_extract_all(said, F.lit(r"\p{Lu}[\p{L}\p{M}.'’-]{1,}|\p{Lu}\."), F.lit(0)))
+        bare = F.trim(F.regexp_replace(said, r"\([^)]*\)", ""))
+        named = (F.length(bare) >= 5) & names.between(2, 5)
+        out = F.when(said.rlike(GLYPHS) | said.rlike(BRACKETED) | said.rlike(WORDED), "redacted").when(named, "name_present")
+        return F.when(line.rlike(rf"(?iu){AUTHOR_LABEL}"), out)
+
+    told = F.filter(F.transform(lines, state), lambda x: x.isNotNull())
+    return F.coalesce(F.get(told, F.lit(0)), F.lit("no_author_label"))
+
+
+def redaction_state(text: Column, seeds: Column) -> Column:
+    """What is to be done with a document: ``skipped_already_redacted`` if its
+    author is blacked out, ``no_candidates`` without seeds, else ``applied``."""
+    return F.when(author_state(text) == "redacted", "skipped_already_redacted").when(F.size(seeds) == 0, "no_candidates").otherwise("applied")
+
+
+def redact_again(docs: DataFrame, done: DataFrame, seeds: str = "seeds") -> DataFrame:
+    """Documents redacted anew from their originals (document_id, text, seeds);
+    ``done`` (document_id, outline_status) keeps what a user has confirmed."""
+    e = docs.withColumn("edits", edits("text", seeds))
+    new = e.select("document_id", redacted(F.col("text"), F.col("edits")).alias("text"), F.size("edits").alias("n_edits"))
+    return new.join(done.select("document_id", "outline_status"), "document_id", "left")
+
+
 def title_hint(text: Column, misc: Column) -> Column:
     """A work's title: what follows its label, else the first name of a work
     (``misc``: array of strings) of 12 to 200 characters."""
-    label = r"(?i)\b(?:titel|title|titre|título|titolo)\s*[:.]?\s*([^.\n]{8,200})"
+    label = r"(?iu)\b(?:titel|title|titre|título|titolo)\s*[:.]?\s*([^.\n]{8,200})"
     named = F.trim(F.regexp_replace(F.regexp_extract(front_matter(text), label, 1), r"\s+", " "))
     fit = F.filter(misc, lambda x: F.length(x).between(12, 200))
     return F.when(F.length(named) >= 8, named).otherwise(F.trim(F.get(fit, F.lit(0))))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from quillspark.functions.arrays import offsets
 
 # MIME types by file extension.
 MIME = {
@@ -90,6 +88,40 @@ def file_stem(name: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 
 
+# Words that say nothing of a work, and titles of persons.
+NO_TITLE_WORDS = (
+    "der die das den dem des eine einen einem einer eines the and for with from into onto upon le la les un une des aux el los las unos unas il lo gli "
+    "zur zum beim vom als sind werden wird wurde kann soll über unter zwischen gegen trotz wegen on in of to a an is are was were be been "
+    "inhaltsverzeichnis abkürzungsverzeichnis abkuerzungsverzeichnis abbildungsverzeichnis tabellenverzeichnis symbolverzeichnis literaturverzeichnis literatur quellenverzeichnis "
+    "anhang anhänge anhange einleitung fazit zusammenfassung abstract vorwort danksagung erklärung erklaerung eidesstattliche selbstständigkeitserklärung selbststaendigkeitserklaerung "
+    "einverständniserklärung einverstaendniserklaerung lebenslauf introduction conclusion appendix appendices bibliography references acknowledgements preface foreword glossary kapitel chapter chapitre"
+).split()
+_TITLES = r"(?i)\b(?:prof(?:essor)?|dr|ph\.?\s*d|m\.?\s*a|b\.?\s*a|m\.?\s*sc|b\.?\s*sc|hon|priv[.-]?doz|sir|mr|mrs|ms|mme|sra|sr|dipl[.-]?ing|mag|doc|kand|ass|phil|theol|med|iur|nat|h\.\s*c|h\.c)\.?(?=\b)"
+
+
+def title_word(title: Column) -> Column:
+    """The first word of a title that says something: of four letters or more,
+    no function word, capitalised if there is such a one."""
+    plain = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(title, _TITLES, ""), r"\s+", " ")), "^[ ,;:.-]+|[ ,;:.-]+$", ""), r"[^\p{L}\p{N}\s-]", " ")
+    words = F.filter(F.split(plain, r"\s+"), lambda x: F.length(x) >= 4)
+    telling = F.filter(words, lambda x: ~F.lower(x).isin(NO_TITLE_WORDS))
+    large = F.filter(telling, lambda x: x.rlike("^[A-ZÄÖÜÅÆØÀ-ɏ]"))
+    return F.coalesce(F.get(large, F.lit(0)), F.get(telling, F.lit(0)), F.get(words, F.lit(0)), F.lit("anonym"))
+
+
+def synthetic_name(kind: Column, day: Column, title: Column, extension: Column) -> Column:
+    """A file name that tells a document's kind, date and one word of its title."""
+
+    def token(x: Column, most: int) -> Column:
+        for a, b in zip("äöüÄÖÜß", ("ae", "oe", "ue", "Ae", "Oe", "Ue", "ss"), strict=True):
+            x = F.replace(x, F.lit(a), F.lit(b))
+        x = F.substring(F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+", " ")), "[^a-zA-Z0-9À-ɏ_-]", ""), 1, most)
+        return F.when(x == "", "anonym").otherwise(x)
+
+    word = F.when(F.coalesce(title, F.lit("")) == "", "anonym").otherwise(token(title_word(title), 24))
+    return F.concat(token(kind, 16), F.lit("_"), F.date_format(day, "yyyy-MM-dd"), F.lit("_"), word, F.lit("."), F.regexp_replace(extension, r"^\.", ""))
+
+
 def straight_quotes(text: str | Column) -> Column:
     """Typographic quotation marks as plain ones."""
     return F.regexp_replace(F.regexp_replace(text, "[„“”«»]", '"'), "[‚‘’]", "'")
@@ -101,35 +133,37 @@ ABBREVIATIONS = (
     r"S Bd Nr Abs Art Aufl Hrsg Jg Kap Anh Abschn Abb Tab Fig Bsp Mio Mrd Mill "
     r"e\.g i\.e cf vol pp fig ed eds ibid Prof Dr Dipl Mag PhD"
 ).split() + [r"et al", r"op\. cit", r"vgl\.\s+a"]
-_HELD = re.compile(rf"\b(?:{'|'.join(ABBREVIATIONS)})\.", re.I | re.A)
-_INITIAL = re.compile("\\b[A-ZÄÖÜ]\\.(?=[\\s ]?[A-ZÄÖÜ-])", re.A)
-_END = re.compile(r"[.?!…][)\]\"'»”]*(?=\s+[\"'»„“A-ZÄÖÜ0-9])")
-_PLAIN_END = re.compile(r"[.?!][)\]\"'»]*(?=\s+[A-ZÄÖÜ])")
-SENTENCES = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-
-
-def split_sentences(text: str, german: bool) -> list[tuple[str, int, int]]:
-    """Sentences with their places.  In German the full stops of abbreviations
-    and of initials end none."""
-    held: set[int] = set()
-    if german:
-        held = {m.end() - 1 for r in (_HELD, _INITIAL) for m in r.finditer(text)}
-    cuts = [m.end() for m in (_END if german else _PLAIN_END).finditer(text) if m.start() not in held]
-    out = []
-    for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True):
-        part = text[a:b]
-        body = part.strip()
-        if body:
-            start = a + len(part) - len(part.lstrip())
-            out.append((body, start, start + len(body)))
-    return out
-
-
-@F.pandas_udf(SENTENCES)
-def sentences(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: split_sentences(x or "", german=False))
-
-
-@F.pandas_udf(SENTENCES)
-def german_sentences(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: split_sentences(x or "", german=True))
+_MARK, _CUT = "\ufdd0", "\ufdd1"  # no characters of any text
+SENTENCE = "struct<text:string,start:int,end:int>"
+
+
+def _held(text: Column) -> Column:
+    """Full stops of abbreviations and initials as marks of the same length."""
+    out = F.regexp_replace(text, rf"(?i)(?<![A-Za-z0-9_])({'|'.join(ABBREVIATIONS)})\.", f"$1{_MARK}")
+    return F.regexp_replace(out, r"(?<![A-Za-z0-9_])([A-ZÄÖÜ])\.(?=[\s\u00A0]?[A-ZÄÖÜ-])", f"$1{_MARK}")
+
+
+def _sentences(text: Column, ends: str) -> Column:
+    parts = F.split(F.regexp_replace(text, ends, f"$1{_CUT}"), _CUT)
+    starts = offsets(F.transform(parts, lambda x: F.length(x)))
+
+    def one(part: Column, start: Column) -> Column:
+        front = F.length(part) - F.length(F.regexp_replace(part, r"^\s+", ""))
+        body = F.replace(F.regexp_replace(part, r"^\s+|\s+$", ""), F.lit(_MARK), F.lit("."))
+        at = (start + front).cast("int")
+        return F.struct(body.alias("text"), at.alias("start"), (at + F.length(body)).alias("end"))
+
+    return F.filter(F.zip_with(parts, starts, one), lambda s: s["text"] != "")
+
+
+def sentences(text: str | Column) -> Column:
+    """array<struct<text, start, end>>: ends are ``.?!`` before a capital."""
+    col = F.col(text) if isinstance(text, str) else text
+    return _sentences(col, "([.?!][)\\]\"'»]*)(?=\\s+[A-ZÄÖÜ])")
+
+
+def german_sentences(text: str | Column) -> Column:
+    """The same for German: full stops of abbreviations and of initials end
+    none, and a sentence may begin with a quotation or a number."""
+    col = F.col(text) if isinstance(text, str) else text
+    return _sentences(_held(col), "([.?!…][)\\]\"'»”]*)(?=\\s+[\"'»„“A-ZÄÖÜ0-9])")

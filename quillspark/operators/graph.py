@@ -45,3 +45,35 @@ def anchor_spans(nodes: DataFrame) -> DataFrame:
     start = F.when(found, F.col("char_start") + at - 1).otherwise(F.col("char_start"))
     size = F.when(found, F.length("phrase")).otherwise(F.length("text"))
     return nodes.withColumn("anchor_start", start).withColumn("anchor_end", F.col("anchor_start") + size)
+
+
+def anchor_labels(anchors: DataFrame) -> DataFrame:
+    """Anchors (unit, position, local_id, at) with their ``label``: the local id,
+    with the paragraph's number before it if that is another one (``at``)."""
+    other = F.col("at").isNotNull() & (F.col("at") != F.col("position"))
+    return anchors.withColumn("label", F.when(other, F.concat(F.lit("§"), F.col("at").cast("string"), F.lit(":"), F.col("local_id"))).otherwise(F.col("local_id")))
+
+
+def stored_graph(tables: dict[str, DataFrame], paragraphs: DataFrame) -> dict[str, DataFrame]:
+    """Rows to store of an argument graph (the tables of ``prose.argument_graph``)
+    for paragraphs (atom_id, unit, position, text, char_start): ``nodes`` with
+    ids and anchors, ``edges`` between node ids, ``anchors`` of scaffolding, and
+    ``errors``: references that lead nowhere, and paragraphs with nothing."""
+    node_id = lambda unit, at, local: F.concat_ws("/", unit, at.cast("string"), local)
+    a = tables["arguments"].withColumnRenamed("anchor_phrase", "phrase").join(paragraphs, "atom_id")
+    nodes = anchor_spans(a).select(node_id(F.col("unit"), F.col("position"), F.col("local_id")).alias("node_id"), "atom_id", "unit", "position", "local_id", "claim", "grounding", "anchor_start", "anchor_end")
+    known = nodes.select("unit", "position", "local_id", "node_id")
+    places = paragraphs.select("atom_id", "unit", "position")
+    e = tables["edges"].join(places, "atom_id").withColumn("from_node", node_id(F.col("unit"), F.col("position"), F.col("from_id")))
+    e = e.join(known.select(F.col("node_id").alias("from_node")), "from_node", "left_semi")
+    to = resolve_references(e.select("unit", "position", F.col("to_id").alias("ref")).distinct(), known)
+    e = e.join(to.withColumnRenamed("ref", "to_id"), ["unit", "position", "to_id"])
+    sc = tables["scaffolding"].join(places, "atom_id").select("atom_id", "unit", "position", F.col("local_id").alias("scaffold"), F.explode("anchored_to").alias("ref"))
+    s = sc.join(resolve_references(sc.select("unit", "position", "ref").distinct(), known), ["unit", "position", "ref"])
+    has = nodes.select("atom_id").unionByName(tables["scaffolding"].select("atom_id")).distinct()
+    lost = e.where("node_id is null").select("atom_id", F.col("to_id").alias("at"), "reason").unionByName(s.where("node_id is null").select("atom_id", F.col("ref").alias("at"), "reason"))
+    bare = places.join(has, "atom_id", "left_anti").select("atom_id", F.lit(None).cast("string").alias("at"), F.lit("nothing found").alias("reason"))
+    return {
+        "nodes": nodes, "edges": e.where("node_id is not null").select("from_node", F.col("node_id").alias("to_node"), "kind", "scope"),
+        "anchors": s.where("node_id is not null").select("atom_id", "scaffold", "node_id"), "errors": lost.unionByName(bare),
+    }

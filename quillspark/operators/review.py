@@ -102,11 +102,6 @@ def replace_partitions(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> D
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
 
 
-def redaction_state(seeds: Column, hits: Column, marked: Column) -> Column:
-    """What is to be done with a document's personal data."""
-    return F.when(seeds == 0, "no_candidates").when(marked & (hits == 0), "skipped_already_redacted").otherwise("applied")
-
-
 def gated_steps(walk: DataFrame, gates: Sequence[tuple[str, Sequence[str]]], own: Sequence[str], once: dict[str, str], last: Sequence[str]) -> DataFrame:
     """Steps (document_id, step, kind, at) of a walk (document_id, at, type).
 
@@ -148,3 +143,22 @@ def format_blocks(memos: DataFrame, key: str, title: str, body: str, order: str)
     """(key, block): memos one under another, each under its title."""
     part = F.struct(F.col(order).alias("o"), F.concat(F.lit("## "), F.col(title), F.lit("\n"), F.col(body)).alias("t"))
     return memos.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x.t), "\n\n").alias("block"))
+
+
+def call_log(calls: DataFrame) -> DataFrame:
+    """Rows for the log of model calls: tokens as JSON, messages of at most
+    2,000 characters; a call without a module can't be logged and is left out."""
+    tokens = F.to_json(F.struct(*[F.col(c).alias(n) for c, n in (("input", "input"), ("output", "output"), ("cache_read", "cacheRead"))]))
+    log = calls.where("module is not null").withColumn("tokens", tokens).withColumn("error_message", F.substring("error_message", 1, 2000))
+    return log.select("module", "model_key", F.coalesce("provider", F.lit("unknown")).alias("provider"), F.coalesce("retries", F.lit(0)).alias("retries"), F.coalesce("success", F.lit(False)).alias("success"), "tokens", "error_message")
+
+
+def progress(steps: DataFrame, done: DataFrame) -> DataFrame:
+    """Progress messages of runs: steps (run, step, kind) with those done (run,
+    step, ok): (run, step, message), the message with what is done so far."""
+    w = Window.partitionBy("run").orderBy("step")
+    j = steps.join(done, ["run", "step"], "left")
+    n = F.count("ok").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    all_ = F.count("*").over(Window.partitionBy("run"))
+    j = j.withColumn("n", n).withColumn("all", all_).where("ok is not null")
+    return j.select("run", "step", F.format_string("%s %s (%d/%d)", F.when(F.col("ok"), "done").otherwise("failed"), "kind", "n", "all").alias("message"))

@@ -88,24 +88,24 @@ def latest_active(spark: SparkSession, folder: str) -> DataFrame:
     return state.newest(events(spark, folder), ["user_id"], [(F.col("event_type") == "view").desc(), F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
 
 
-@query("""SELECT json_extract_string(props, '$.k')::INTEGER AS k, count(*) AS n FROM events WHERE json_exists(props, '$.k') AND json_extract_string(props, '$.k')::INTEGER % 2 = 0 GROUP BY 1""")
+@query("""SELECT json_extract_string(props, '$.k')::INTEGER AS k, count(*) AS n FROM events WHERE json_exists(props, '$.k') GROUP BY 1""")
 def json_properties(spark: SparkSession, folder: str) -> DataFrame:
     """Rows by a property, for those that have the key."""
     has = F.array_contains(F.json_object_keys("props"), "k")
     k = F.get_json_object("props", "$.k").cast("int")
-    return events(spark, folder).where(has & (k % 2 == 0)).groupBy(k.alias("k")).agg(F.count("*").alias("n"))
+    return events(spark, folder).where(has).groupBy(k.alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH o AS (SELECT user_id, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS event_type FROM events WHERE event_id % 2 = 0 GROUP BY user_id),
-n AS (SELECT user_id, arg_max(value, event_id) FILTER (WHERE event_type <> 'view') AS value, max(event_type) AS event_type FROM events WHERE event_id % 3 = 0 GROUP BY user_id)
+@query("""WITH o AS (SELECT user_id, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS event_type FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id),
+n AS (SELECT user_id, arg_max(value, event_id) FILTER (WHERE event_type <> 'view') AS value, max(event_type) AS event_type FROM events WHERE event_type NOT IN ('view', 'click') GROUP BY user_id)
 SELECT user_id, CASE WHEN o.event_type = 'click' THEN o.value ELSE coalesce(n.value, o.value) END AS value, CASE WHEN o.event_type = 'click' THEN o.event_type ELSE coalesce(n.event_type, o.event_type) END AS event_type,
   CASE WHEN o.event_type IS NULL THEN 'created' WHEN n.event_type IS NULL THEN 'unchanged' WHEN o.event_type = 'click' THEN 'skipped' ELSE 'updated' END AS outcome
 FROM o FULL JOIN n USING (user_id)""")
 def conditional_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """New values over old ones, but for rows that a user has set."""
     e = events(spark, folder)
-    old = e.where("event_id % 2 = 0").groupBy("user_id").agg(F.max_by("value", "event_id").alias("value"), F.max_by("event_type", "event_id").alias("event_type"))
-    new = e.where("event_id % 3 = 0").groupBy("user_id").agg(F.max(F.when(F.col("event_type") != "view", F.struct("event_id", "value"))).getField("value").alias("value"), F.max("event_type").alias("event_type"))
+    old = e.where("event_type in ('view', 'click')").groupBy("user_id").agg(F.max_by("value", "event_id").alias("value"), F.max_by("event_type", "event_id").alias("event_type"))
+    new = e.where("event_type not in ('view', 'click')").groupBy("user_id").agg(F.max(F.when(F.col("event_type") != "view", F.struct("event_id", "value"))).getField("value").alias("value"), F.max("event_type").alias("event_type"))
     return state.upsert(old, new, ["user_id"], keep=F.col("o.event_type") == "click")
 
 

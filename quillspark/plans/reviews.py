@@ -82,14 +82,14 @@ def signal_histograms(spark: SparkSession, folder: str) -> DataFrame:
     return review.signal_histogram(b, "container", ["depth", "breadth"])
 
 
-@query("""WITH t AS (SELECT CASE WHEN p_partkey % 3 <> 0 THEN p_partkey END AS id, p_brand, p_size, p_partkey AS level FROM part WHERE p_partkey % 2 = 0),
+@query("""WITH t AS (SELECT CASE WHEN p_partkey % 3 <> 0 THEN p_partkey END AS id, p_brand, p_size, p_partkey AS level FROM part),
 a AS (SELECT id, max(level) AS v FROM t WHERE id IS NOT NULL GROUP BY id), b AS (SELECT p_brand, p_size, max(level) AS v FROM t WHERE id IS NULL GROUP BY ALL)
 SELECT p_partkey AS id, coalesce(a.v, b.v) AS level FROM part LEFT JOIN a ON a.id = p_partkey LEFT JOIN b ON b.p_brand = part.p_brand AND b.p_size = part.p_size""")
 def outline_overrides(spark: SparkSession, folder: str) -> DataFrame:
     """Overrides by id, else by what they say."""
     p = table(spark, folder, "part")
     k = F.col("p_partkey")
-    t = p.where(k % 2 == 0).select(F.when(k % 3 != 0, k).alias("id"), "p_brand", "p_size", k.alias("level"))
+    t = p.select(F.when(k % 3 != 0, k).alias("id"), "p_brand", "p_size", k.alias("level"))
     return review.two_key_lookup(p.select(k.alias("id"), "p_brand", "p_size"), t, ["id"], ["p_brand", "p_size"], "level").select("id", "level")
 
 
@@ -139,15 +139,6 @@ def model_costs(spark: SparkSession, folder: str) -> DataFrame:
     return calls.join(F.broadcast(price), "model", "left").select("model", "calls", F.round("t", 4).alias("tokens"), F.round(F.col("t") * F.coalesce("price", F.lit(0.0)) / 1_000_000, 8).alias("cost"))
 
 
-@query("""SELECT d.doc_id, CASE WHEN n = 0 THEN 'no_candidates' WHEN regexp_matches(text, '\\[(NAME|EMAIL)_') AND n = 0 THEN 'skipped_already_redacted' ELSE 'applied' END AS state
-FROM (SELECT *, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS n FROM documents) d""")
-def redaction_states(spark: SparkSession, folder: str) -> DataFrame:
-    from quillspark.functions import privacy
-
-    n = F.size(privacy.emails("text"))
-    return table(spark, folder, "documents").select("doc_id", review.redaction_state(n, n, F.col("text").rlike(r"\[(NAME|EMAIL)_")).alias("state"))
-
-
 _OWN, _GATE = "('EXPOSITION', 'THEORY')", "('METHOD', 'SYNTHESIS')"
 
 

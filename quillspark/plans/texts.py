@@ -53,9 +53,31 @@ def exported_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return export.markdown(document_elements(spark, folder))
 
 
-@query()
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _rewritten(value: str, pattern: str, new: str, times: int = 1) -> str:
+    for _ in range(times):  # what a look-around sees is taken here, so that hits side by side need another turn
+        value = f"regexp_replace({value}, {_quoted(pattern)}, {_quoted(new)}, 'g')"
+    return value
+
+
+_HELD = _rewritten("content", rf"(?i)(^|[^A-Za-z0-9_])({'|'.join(text.ABBREVIATIONS)})\.", r"\1\2" + text._MARK, 2)
+_HELD = _rewritten(_HELD, "(^|[^A-Za-z0-9_])([A-ZÄÖÜ])\\.([\\s\u00a0]?[A-ZÄÖÜ-])", r"\1\2" + text._MARK + r"\3", 3)
+_CUT = _rewritten(_HELD, "([.?!…][)\\]\"'»”]*)(\\s+[\"'»„“A-ZÄÖÜ0-9])", r"\1" + text._CUT + r"\2", 2)
+
+
+@query(f"""WITH a AS (SELECT doc_id, regexp_split_to_array(text, '\\n\\s*\\n') AS c, list_append(regexp_extract_all(text, '\\n\\s*\\n'), '') AS g FROM documents),
+b AS (SELECT doc_id, unnest(c) AS content, unnest(g) AS gap, unnest(range(len(c))) AS paragraph FROM a),
+p AS (SELECT *, coalesce(sum(length(content) + length(gap)) OVER (PARTITION BY doc_id ORDER BY paragraph ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM b),
+s AS (SELECT doc_id, paragraph, base, string_split({_CUT}, '{text._CUT}') AS parts FROM p WHERE trim(regexp_replace(content, '\\s+', ' ', 'g')) <> ''),
+u AS (SELECT doc_id, paragraph, base, unnest(parts) AS part, unnest(range(len(parts))) AS k FROM s),
+o AS (SELECT *, base + coalesce(sum(length(part)) OVER (PARTITION BY doc_id, paragraph ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(part) - length(regexp_replace(part, '^\\s+', '')) AS place,
+      replace(regexp_replace(part, '^\\s+|\\s+$', '', 'g'), '{text._MARK}', '.') AS content FROM u)
+SELECT doc_id AS document_id, paragraph::INTEGER AS paragraph, (row_number() OVER (PARTITION BY doc_id, paragraph ORDER BY k) - 1)::INTEGER AS n, content, place::BIGINT AS char_start, (place + length(content))::BIGINT AS char_end FROM o WHERE content <> ''""")
 def sentence_elements(spark: SparkSession, folder: str) -> DataFrame:
-    """Sentences with offsets; checked against the texts in the tests."""
+    """Sentences with their places in the document."""
     return formats.sentence_elements(formats.paragraphs(table(spark, folder, "documents")))
 
 
@@ -63,13 +85,25 @@ def sentence_elements(spark: SparkSession, folder: str) -> DataFrame:
 def redacted_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with contact data replaced, and how many places of each kind."""
     d = table(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), "text")
-    seeds = privacy.contact_seeds(d, "document_id").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("category", F.array("value").alias("variants"), "replacement"))).alias("seeds"))
-    e = d.join(seeds, "document_id").withColumn("edits", privacy.edits("text", "seeds"))
+    seeds = F.transform(privacy.contact_seeds_of("text"), lambda s: F.struct(s["category"].alias("category"), F.array(s["value"]).alias("variants"), s["replacement"].alias("replacement")))
+    e = d.withColumn("seeds", seeds).withColumn("edits", F.when(F.size("seeds") > 0, privacy.edits("text", "seeds")))
+    e = e.withColumn("edits", F.coalesce("edits", F.array().cast(privacy.EDITS)))
     n = lambda k: F.size(F.filter("edits", lambda x: x.category == k)).alias(f"n_{k}")
     return e.select("document_id", privacy.redacted(F.col("text"), F.col("edits")).alias("text"), n("email"), n("phone"), n("student_id"))
 
 
-@query()
+def _hits(patterns) -> str:
+    return " OR ".join(f"regexp_matches(content, {_quoted(p.replace('(?iu)', '(?i)'))})" for p in patterns)
+
+
+_IN_SEQUENCE = " + ".join(f"{n} * regexp_matches(content, {_quoted(p.replace('(?iu)', '(?i)'))})::INT" for p, n in markers.SEQUENCE)
+_FOUND = " + ".join(f"regexp_matches(content, {_quoted(p.replace('(?iu)', '(?i)'))})::INT" for _, p in markers.FINDINGS)
+
+
+@query(f"""WITH {ELEMENTS_SQL}, m AS (SELECT document_id, char_start, ({_FOUND})::INTEGER AS n_findings, {_hits(markers.QUESTIONS)} AS question, {_hits(markers.METHODS)} AS method,
+  ({_IN_SEQUENCE}) AS hits, ({_hits(markers.STRUCTURE)}) AS built FROM e WHERE element_type = 'paragraph'),
+p AS (SELECT *, hits >= 3 OR (built AND hits >= 1) AS is_plan FROM m)
+SELECT document_id, char_start, n_findings, question, method, is_plan FROM p WHERE n_findings > 0 OR question OR method OR is_plan""")
 def marked_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     """Paragraphs with markers of findings, questions, methods or plans."""
     p = document_elements(spark, folder).where("element_type = 'paragraph'")
@@ -85,7 +119,11 @@ def cited_authors(spark: SparkSession, folder: str) -> DataFrame:
     return citations.mentions(p)
 
 
-@query()
+_RULES = " ".join(f"WHEN regexp_matches(content, {_quoted('(?i)' + p)}) THEN {{'type': '{kind}', 'granularity': '{markers.GRANULARITY[kind]}', 'confidence': {confidence}::DOUBLE}}" for p, kind, confidence in markers.HEADING_RULES)
+
+
+@query(f"""WITH {ELEMENTS_SQL}, h AS (SELECT document_id, char_start, CASE {_RULES} END AS t FROM e WHERE element_type = 'heading')
+SELECT document_id, char_start, t.type AS type, t.granularity AS granularity, t.confidence AS confidence FROM h""")
 def typed_headings(spark: SparkSession, folder: str) -> DataFrame:
     """Headings with the type that their words name."""
     h = document_elements(spark, folder).where("element_type = 'heading'")

@@ -26,18 +26,43 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 V = "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 
 
-def similar_to(e: DataFrame, vec_id: int, k: int = 10) -> DataFrame:
-    """The ``k`` nearest to a stored vector, itself excluded: one row is
-    broadcast, the rest is a top-k."""
-    source = e.where(F.col("vec_id") == vec_id).select(F.col("v").alias("q")).limit(1)
-    return e.where(F.col("vec_id") != vec_id).join(F.broadcast(source)).select("vec_id", F.round(cosine("v", "q"), 6).alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(k)
+def nearest_to(e: DataFrame, query: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` vectors nearest to the one vector (q) of ``query``, which is
+    broadcast: ranked by the exact similarity, which is rounded in the end."""
+    near = e.join(F.broadcast(query.select("q").limit(1))).withColumn("_s", cosine("v", "q"))
+    return near.orderBy(F.desc("_s"), "vec_id").limit(k).select("vec_id", F.round("_s", 6).alias("similarity"))
 
 
-@query(f"{V} SELECT v.vec_id, round(list_cosine_similarity(v.v, q.v), 6) AS similarity FROM v JOIN v q ON q.vec_id = 7 AND v.vec_id <> 7 ORDER BY similarity DESC, vec_id LIMIT 10")
+def similar_to(e: DataFrame, vec_id: int, k: int = 10, same_label: bool = False) -> DataFrame:
+    """The ``k`` nearest to a stored vector, itself excluded; among those of its
+    label (its document) only, if so asked."""
+    source = e.where(F.col("vec_id") == vec_id).select(F.col("v").alias("q"), F.col("label").alias("q_label")).limit(1)
+    others = e.where(F.col("vec_id") != vec_id)
+    return nearest_to(others.join(F.broadcast(source.select("q_label")), F.col("label") == F.col("q_label"), "left_semi") if same_label else others, source, k)
+
+
+_SIMILAR = V + " SELECT v.vec_id, round(list_cosine_similarity(v.v, q.v), 6) AS similarity FROM v JOIN v q ON q.vec_id = 7 AND v.vec_id <> 7{more} ORDER BY list_cosine_similarity(v.v, q.v) DESC, vec_id LIMIT 10"
+
+
+@query(_SIMILAR.format(more=""))
 def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return similar_to(vectors(spark, folder), 7)
 
 
+@query(_SIMILAR.format(more=" AND v.label = q.label"))
+def nearest_in_document(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_to(vectors(spark, folder), 7, same_label=True)
+
+
+_ASKED = [1.0, -1.0, 0.5, 0.25] * 16  # what an encoder would make of a text
+
+
+@query(f"{V}, q AS (SELECT {_ASKED}::DOUBLE[] AS q) SELECT vec_id, round(list_cosine_similarity(v, q), 6) AS similarity FROM v, q ORDER BY list_cosine_similarity(v, q) DESC, vec_id LIMIT 10")
+def nearest_to_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors nearest to that of a text (from an encoder, here given)."""
+    return nearest_to(vectors(spark, folder), spark.createDataFrame([(_ASKED,)], "q array<double>"))
+
+
 def centroids(e: DataFrame) -> DataFrame:
     """(label, c): means by component."""
     p = e.select("label", F.posexplode("v").alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("x"))
@@ -52,28 +77,30 @@ def centroid_lengths(spark: SparkSession, folder: str) -> DataFrame:
     return centroids(vectors(spark, folder)).select("label", F.size("c").alias("width"), F.round(F.sqrt(dot("c", "c")), 5).alias("length"))
 
 
-@query(f"""{C}, s AS (SELECT v.label, v.vec_id, round(list_cosine_similarity(v.v, c.c), 6) AS similarity FROM v JOIN c USING (label))
-SELECT label, vec_id, similarity FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY similarity, vec_id) <= 5""")
+@query(f"""{C}, s AS (SELECT v.label, v.vec_id, list_cosine_similarity(v.v, c.c) AS similarity FROM v JOIN c USING (label))
+SELECT label, vec_id, round(similarity, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY similarity, vec_id) <= 5""")
 def outliers(spark: SparkSession, folder: str) -> DataFrame:
     """The five vectors of each label farthest from its centroid."""
     e = vectors(spark, folder)
-    s = e.join(centroids(e), "label").select("label", "vec_id", F.round(cosine("v", "c"), 6).alias("similarity"))
-    return s.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("similarity", "vec_id"))).where("n <= 5").drop("n")
+    s = e.join(centroids(e), "label").select("label", "vec_id", cosine("v", "c").alias("similarity"))
+    s = s.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("similarity", "vec_id"))).where("n <= 5")
+    return s.select("label", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
-def nearest_pairs(a: DataFrame, b: DataFrame, limit: int) -> DataFrame:
-    """For each vector of document ``a`` its nearest of ``b``, in the order of
-    a's ids.  Both are single documents, so ``b`` goes with each row of the first
-    ``limit`` of a."""
-    first = a.orderBy("vec_id").limit(limit).select(F.col("vec_id").alias("a_id"), F.col("v").alias("q"))
-    j = b.join(F.broadcast(first)).select("a_id", "vec_id", F.round(cosine("v", "q"), 6).alias("similarity"))
-    best = j.groupBy("a_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "vec_id")).alias("m"))
-    return best.select("a_id", F.col("m.vec_id").alias("b_id"), (-F.col("m.s")).alias("similarity"))
+def nearest_pairs(a: DataFrame, b: DataFrame, limit: int, block: int = 256) -> DataFrame:
+    """The ``limit`` most similar of the pairs that each vector of ``a`` makes
+    with its nearest of ``b``.  The vectors of ``a`` are taken in blocks, the
+    vectors of ``b`` are spread; each task keeps one nearest of its part of
+    ``b`` for each vector of a block."""
+    sets = a.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(block))).groupBy("_block").agg(F.collect_list(F.struct(F.col("vec_id").alias("a_id"), F.col("v").alias("q"))).alias("_set"))
+    each = b.join(sets).select("vec_id", F.explode(F.transform("_set", lambda s: F.struct(s["a_id"].alias("a_id"), cosine("v", s["q"]).alias("s")))).alias("p"))
+    best = each.groupBy(F.col("p.a_id").alias("a_id")).agg(F.min(F.struct((-F.col("p.s")).alias("s"), "vec_id")).alias("m"))
+    return best.orderBy("m.s", "a_id").limit(limit).select("a_id", F.col("m.vec_id").alias("b_id"), F.round(-F.col("m.s"), 6).alias("similarity"))
 
 
-@query(f"""{V}, a AS (SELECT * FROM v WHERE label = 1 ORDER BY vec_id LIMIT 20)
-SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM a JOIN v b ON b.label = 2
-QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY similarity DESC, b.vec_id) = 1""")
+@query(f"""{V}, s AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, list_cosine_similarity(a.v, b.v) AS similarity FROM v a JOIN v b ON a.label = 1 AND b.label = 2),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY similarity DESC, b_id) = 1)
+SELECT a_id, b_id, round(similarity, 6) AS similarity FROM m ORDER BY m.similarity DESC, a_id LIMIT 20""")
 def cross_document_pairs(spark: SparkSession, folder: str) -> DataFrame:
     e = vectors(spark, folder)
     return nearest_pairs(e.where("label = 1"), e.where("label = 2"), 20)

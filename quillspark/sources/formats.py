@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.arrays import offsets
 from quillspark.functions.text import german_sentences
-from quillspark.sources.tables import lines, offsets
+from quillspark.sources.tables import lines
 
 # The summary's first line and its entries.
 SUMMARY = r"^Zusammenfassung der Anmerkungen in (.+?)\.(pdf|PDF)\.?\s*$"

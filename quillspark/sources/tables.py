@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions.arrays import offsets
+
 DOCUMENT_ORDER = ("char_start", "seq")
 FUNCTION_TYPES = ("EXPOSITION", "THEORY", "METHOD", None, "SYNTHESIS")
 
@@ -13,20 +15,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-_BLOCK = 256  # lines whose offsets are added at once, so that no long array grows line by line
-
-
-def offsets(sizes: Column) -> Column:
-    """array<bigint>: the sum of what stands before each of the ``sizes``."""
-    last = lambda a: F.element_at(a, -1)
-    running = lambda xs, base: F.aggregate(xs, F.array(base).cast("array<bigint>"), lambda acc, x: F.array_append(acc, last(acc) + x))
-    many = F.size(sizes)
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(many / _BLOCK).cast("int") - 1)), lambda b: F.slice(sizes, b * _BLOCK + 1, F.lit(_BLOCK)))
-    sums = F.transform(cut, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda acc, x: acc + x))
-    both = F.arrays_zip(cut.alias("c"), F.slice(running(sums, F.lit(0).cast("bigint")), F.lit(1), F.size(sums)).alias("s"))
-    return F.flatten(F.transform(both, lambda z: F.slice(running(z["c"], z["s"]), F.lit(1), F.size(z["c"]))))
-
-
 def lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One element for each line: (document_id, seq, content, char_start, char_end).
 

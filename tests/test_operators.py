@@ -107,11 +107,6 @@ def test_text_functions(spark):
     assert [r[0] for r in df.select(text.html_to_text("h")).collect()] == ["A&B\n\nC", ""]
     assert [r[0] for r in df.select(text.mime_type("n")).collect()] == ["text/html", "application/octet-stream"]
     assert spark.range(1).select(text.file_stem(F.lit("Größe & Maß: Über")), text.heading_label(F.lit("  A \n B ")), text.span(F.lit("abcdef"), F.lit(2), F.lit(4)), text.straight_quotes(F.lit("„a“"))).first()[:] == ("groesse-mass-ueber", "a b", "cd", '"a"')
-    s = "Vgl. Müller (S. 3). H. Meier sagt z.B. nichts. Das Kapitel? „Ja!“ Ende"
-    parts = text.split_sentences(s, german=True)
-    assert [s[a:b] for _, a, b in parts] == [x for x, _, _ in parts]
-    assert [x for x, _, _ in parts] == ["Vgl. Müller (S. 3).", "H. Meier sagt z.B. nichts.", "Das Kapitel?", "„Ja!“ Ende"]
-    assert [x for x, _, _ in text.split_sentences("One. Two! three? Four", german=False)] == ["One.", "Two! three?", "Four"]
 
 
 def test_markers(spark):
@@ -124,7 +119,7 @@ def test_markers(spark):
 
 
 def test_citations(spark):
-    got = citations.citations_in("Klafki (2007) und von Saldern et al. (2012a, S. 3) zeigen (vgl. Bohnsack, 2010; Cramer & Drahmann 2019), Anfang 2022 (Jahr 2022).")
+    got = spark.range(1).select(citations.citations_of(F.lit("Klafki (2007) und von Saldern et al. (2012a, S. 3) zeigen (vgl. Bohnsack, 2010; Cramer & Drahmann 2019), Anfang 2022 (Jahr 2022).")).alias("c")).first()["c"]
     assert [(c["authors"], c["year"], c["suffix"]) for c in got] == [(["Klafki"], "2007", None), (["von Saldern"], "2012", "a"), (["Bohnsack"], "2010", None), (["Cramer", "Drahmann"], "2019", None)]
     bib = spark.createDataFrame([("1", "d", "Klein, P. (2012a). X."), ("2", "d", "Klein, P. (2012b). Y.")], "entry_id string, document_id string, raw_text string")
     keys = citations.bibliography_keys(bib)
@@ -238,7 +233,7 @@ def test_roles_of_persons(spark):
 
 def test_tables_of_contents(spark):
     rows = [("d", 0, "1 Start .... 3", None, 1, None, "b1"), ("d", 1, "1.1 Next 4", None, 2, "", "b2"), ("d", 2, "1 Start", 3, None, "b1", None), ("d", 3, "1.2 Next", None, None, "b2", None), ("d", 4, "again", None, None, "b2", None), ("d", 5, "Literatur", 1, None, None, None), ("d", 6, "Klein", None, None, None, None), ("d", 7, "Groß", None, None, None, None)]
-    p = spark.createDataFrame([(*r, None, [], False, None, None) for r in rows], "document_id string, idx int, text string, level int, toc int, anchor string, link string, ilvl int, notes array<int>, drawing boolean, note_text string, error string")
+    p = spark.createDataFrame([(*r, None, [], False, None, None, None) for r in rows], "document_id string, idx int, text string, level int, toc int, anchor string, link string, ilvl int, notes array<int>, drawing boolean, note_text string, error string, style_id string")
     got = sorted((r["toc_idx"], r["title"], r["level"], r["heading_idx"], r["mismatch"]) for r in docx.toc_references(p).collect())
     assert got == [(0, "1 Start", 1, 2, False), (1, "1.1 Next", 2, 3, True)]
     e = docx.document_elements(p).orderBy("seq").collect()
