@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.arrays import offsets
+from quillspark.functions.arrays import let, offsets
 
 # Patterns of names and years.
 ET_AL = r"(?:et\.?\s+al\.?|u\.?\s*a\.|e\.?\s*a\.)"
@@ -35,22 +35,30 @@ def _read(raw: Column, at: Column, form: str) -> Column:
     """A citation from its words; null if its first author is none."""
     part = lambda k: F.nullif(F.trim(F.regexp_extract(raw, form, k)), F.lit(""))
     names = F.split(F.regexp_replace(part(1), rf"(?i)\s+{ET_AL}", ""), _JOINED)
-    authors = F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x != "")
-    odd = F.exists(F.split(F.get(authors, F.lit(0)), r"\s+"), lambda x: x.isin(*sorted(NO_AUTHORS)))
-    one = F.struct(at.cast("int").alias("offset"), raw.alias("raw"), authors.alias("authors"), part(2).alias("year"), part(3).alias("suffix"), part(4).alias("page"))
-    return F.when(~odd, one)
+
+    def made(authors: Column) -> Column:
+        odd = F.exists(F.split(F.get(authors, F.lit(0)), r"\s+"), lambda x: x.isin(*sorted(NO_AUTHORS)))
+        return F.when(~odd, F.struct(at.cast("int").alias("offset"), raw.alias("raw"), authors.alias("authors"), part(2).alias("year"), part(3).alias("suffix"), part(4).alias("page")))
+
+    return let(F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x != ""), made)
 
 
 def _places(text: Column, form: str) -> Column:
     """array<struct<raw, at>>: the matches of ``form`` in a text and their places."""
-    raws = F.regexp_extract_all(text, F.lit(form), F.lit(0))
-    gaps = F.split(text, form, -1)
-    starts = offsets(F.zip_with(gaps, F.concat(raws, F.array(F.lit(""))), lambda g, r: F.length(g) + F.length(F.coalesce(r, F.lit("")))))
-    return F.zip_with(raws, F.zip_with(F.slice(starts, F.lit(1), F.size(raws)), F.slice(gaps, F.lit(1), F.size(raws)), lambda s, g: s + F.length(g)), lambda r, a: F.struct(r.alias("raw"), a.alias("at")))
+
+    def placed(raws: Column) -> Column:
+        def at(gaps: Column) -> Column:
+            starts = offsets(F.zip_with(gaps, raws, lambda g, r: F.length(g) + F.coalesce(F.length(r), F.lit(0))))
+            return let(starts, lambda s: F.transform(raws, lambda r, k: F.struct(r.alias("raw"), (F.get(s, k) + F.length(F.get(gaps, k))).alias("at"))))
+
+        return F.when(F.size(raws) > 0, let(F.split(text, form, -1), at)).otherwise(F.array().cast("array<struct<raw:string,at:bigint>>"))
+
+    return let(F.regexp_extract_all(text, F.lit(form), F.lit(0)), placed)
 
 
 _NARRATIVE = rf"\b({AUTHORS})\s*\(\s*{YEAR}\s*\)"
 _INSIDE = rf"\b({AUTHORS}),?\s+{YEAR}"
+_YEARS = r"(?:18|19|20)\d{2}"  # a text without one cites nothing
 _BRACKETS = r"\([^()]+\)"
 
 
@@ -58,11 +66,12 @@ def citations_of(text: str | Column) -> Column:
     """array<struct<offset, raw, authors, year, suffix, page>> of a paragraph,
     by offset; the narrative form goes before one in brackets at its place."""
     col = F.col(text) if isinstance(text, str) else text
+    known = lambda x: F.filter(x, lambda c: c.isNotNull())
     told = F.transform(_places(col, _NARRATIVE), lambda p: _read(p["raw"], p["at"], _NARRATIVE))
-    inside = F.flatten(F.transform(_places(col, _BRACKETS), lambda b: F.transform(_places(F.substring(b["raw"], F.lit(2), F.length(b["raw"]) - 2), _INSIDE), lambda p: _read(p["raw"], b["at"] + 1 + p["at"], _INSIDE))))
-    told, inside = (F.filter(x, lambda c: c.isNotNull()) for x in (told, inside))
-    fresh = F.filter(inside, lambda c, i: ~F.exists(told, lambda d: d["offset"] == c["offset"]))
-    return F.array_sort(F.concat(told, fresh))
+    block = lambda b: F.transform(_places(F.substring(b["raw"], F.lit(2), F.length(b["raw"]) - 2), _INSIDE), lambda p: _read(p["raw"], b["at"] + 1 + p["at"], _INSIDE))
+    inside = F.flatten(F.transform(F.filter(_places(col, _BRACKETS), lambda b: b["raw"].rlike(_YEARS)), block))
+    both = let(known(told), lambda t: F.array_sort(F.concat(t, F.filter(known(inside), lambda c: ~F.exists(t, lambda d: d["offset"] == c["offset"])))))
+    return F.when(col.rlike(_YEARS), both).otherwise(F.array().cast(f"array<{CITATION}>"))
 
 
 def mentions(paragraphs: DataFrame, text: str = "text") -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.arrays import let
+
 # Heading rules in order; the first that matches gives type and confidence.
 HEADING_RULES = (
     (r"\bexkurs(e|us)?\b", "EXKURS", 0.95),
@@ -86,27 +92,69 @@ STRUCTURE = (
 )
 
 
-#: A word's edge among ASCII letters, digits and low lines, which ``\\b`` of Java is not.
-_EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
-
-
 def _form(pattern: str) -> str:
-    return pattern.replace(r"\b", _EDGE)
+    """Edges of words among ASCII letters, digits and low lines, which ``\\b`` of
+    Java is not; every pattern here begins and ends words with such letters."""
+    opens = re.sub(r"(^|\(\?iu\)|\s)\\b", r"\1(?<![A-Za-z0-9_])", pattern)
+    return opens.replace(r"\b", "(?![A-Za-z0-9_])")
+
+
+def _literals(parsed) -> list[str] | None:
+    """Words of which every match of a parsed pattern has one; None if there is no telling."""
+    best, run = None, ""
+
+    def better(found: list[str] | None) -> None:
+        nonlocal best
+        if found and min(map(len, found)) >= 2 and (best is None or min(map(len, found)) > min(map(len, best))):
+            best = found
+
+    for op, value in [*parsed, (None, None)]:
+        if str(op) == "LITERAL":
+            run += chr(value)
+            continue
+        better([run])
+        run = ""
+        if str(op) == "SUBPATTERN":
+            better(_literals(value[3]))
+        elif str(op) == "BRANCH":
+            each = [_literals(x) for x in value[1]]
+            better([x for y in each for x in y] if all(each) else None)
+        elif str(op) == "MAX_REPEAT" and value[0] > 0:
+            better(_literals(value[2]))
+    return best
+
+
+def _hit(text: Column, low: Column, pattern: str) -> Column:
+    """Is there a match?  Where case does not matter the text is read in lower
+    case (``low``), which is much faster than to fold it letter by letter; and
+    a pattern is only tried where one of the words is that each match has."""
+    if pattern.startswith("(?iu)"):
+        text, pattern = low, re.sub(r"(?<!\\)[A-ZÄÖÜ]", lambda m: m[0].lower(), pattern.removeprefix("(?iu)"))
+    strict = text.rlike(_form(pattern))
+    words = _literals(re._parser.parse(pattern))
+    return reduce(or_, [text.contains(x) for x in dict.fromkeys(words)]) & strict if words else strict
 
 
 def _any(text: Column, patterns: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out = out | text.rlike(_form(p))
-    return out
+    def some(low: Column) -> Column:
+        out = F.lit(False)
+        for p in patterns:
+            out = out | _hit(text, low, p)
+        return out
+
+    return let(F.lower(text), some)
 
 
 def heading_type(text: Column) -> Column:
     """struct(type, granularity, confidence) of a heading, null if no rule matches."""
-    out = F.lit(None).cast("struct<type:string,granularity:string,confidence:double>")
-    for pattern, kind, confidence in reversed(HEADING_RULES):
-        out = F.when(text.rlike(_form(f"(?iu){pattern}")), F.struct(F.lit(kind).alias("type"), F.lit(GRANULARITY[kind]).alias("granularity"), F.lit(confidence).alias("confidence"))).otherwise(out)
-    return out
+
+    def first(low: Column) -> Column:
+        out = F.lit(None).cast("struct<type:string,granularity:string,confidence:double>")
+        for pattern, kind, confidence in reversed(HEADING_RULES):
+            out = F.when(_hit(text, low, f"(?iu){pattern}"), F.struct(F.lit(kind).alias("type"), F.lit(GRANULARITY[kind]).alias("granularity"), F.lit(confidence).alias("confidence"))).otherwise(out)
+        return out
+
+    return let(F.lower(text), first)
 
 
 def granularity(kind: Column, level: Column) -> Column:
@@ -126,8 +174,8 @@ def hotspots(paragraphs: DataFrame, container: str = "container", text: str = "c
 
 def findings(text: Column) -> Column:
     """array<struct<name, matched>> of the markers that a text has."""
-    hits = F.array(*[F.struct(F.lit(n).alias("name"), F.regexp_extract(text, _form(p), 0).alias("matched")) for n, p in FINDINGS])
-    return F.filter(hits, lambda h: h.matched != "")
+    one = lambda low, n, p: F.when(_hit(text, low, p), F.struct(F.lit(n).alias("name"), F.regexp_extract(text, _form(p), 0).alias("matched")))
+    return F.filter(let(F.lower(text), lambda low: F.array(*[one(low, n, p) for n, p in FINDINGS])), lambda h: h.isNotNull())
 
 
 def is_question(text: Column) -> Column:
@@ -140,8 +188,12 @@ def is_method(text: Column) -> Column:
 
 def plan(text: Column) -> Column:
     """struct(hits, is_plan): three counted hits in sequence, or one with structure."""
-    hits = F.lit(0)
-    for p, n in SEQUENCE:
-        hits = hits + F.when(text.rlike(_form(p)), n).otherwise(0)
-    built = _any(text, STRUCTURE)
+
+    def counted(low: Column) -> Column:
+        hits = F.lit(0)
+        for p, n in SEQUENCE:
+            hits = hits + F.when(_hit(text, low, p), n).otherwise(0)
+        return hits
+
+    hits, built = let(F.lower(text), counted), _any(text, STRUCTURE)
     return F.struct((hits + built.cast("int")).alias("hits"), ((hits >= 3) | built & (hits >= 1)).alias("is_plan"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.functions.arrays import let
+
 # Patterns of e-mails, student numbers and phones.
 EMAIL = r"(?<![@.])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 STUDENT = (
@@ -59,7 +61,7 @@ def contact_seeds_of(text: str | Column) -> Column:
     norm = lambda x: F.lower(F.regexp_replace(x, r"\s+", " "))
 
     def numbered(kind: str, values: Column) -> Column:
-        first = F.filter(values, lambda x, i: ~F.exists(F.slice(values, F.lit(1), i), lambda y: norm(y) == norm(x)))
+        first = let(values, lambda v: F.filter(v, lambda x, i: ~F.exists(F.slice(v, F.lit(1), i), lambda y: norm(y) == norm(x))))
         return F.transform(first, lambda x, i: F.struct(F.lit(kind).alias("category"), x.alias("value"), F.format_string(f"[{kind.upper()}_%03d]", i + 1).alias("replacement")))
 
     parts = [numbered("email", emails(col)), numbered("student_id", student_ids(col)), numbered("phone", phones(front_matter(col)))]
@@ -217,7 +219,7 @@ def author_state(text: Column) -> Column:
     else on the next one)."""
     lines = F.transform(F.split(front_matter(text), r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
 
-    def state(line: Column, i: Column) -> Column:
+    def state(lines: Column, line: Column, i: Column) -> Column:
         tail = F.trim(F.regexp_extract(line, rf"(?iu)^.*?{AUTHOR_LABEL}(.*)$", 1))
         said = F.when(tail != "", tail).otherwise(F.coalesce(F.get(lines, i + 1), F.lit("")))
         names = F.size(F.regexp_extract_all(said, F.lit(r"\p{Lu}[\p{L}\p{M}.'’-]{1,}|\p{Lu}\."), F.lit(0)))
@@ -226,7 +228,7 @@ def author_state(text: Column) -> Column:
         out = F.when(said.rlike(GLYPHS) | said.rlike(BRACKETED) | said.rlike(WORDED), "redacted").when(named, "name_present")
         return F.when(line.rlike(rf"(?iu){AUTHOR_LABEL}"), out)
 
-    told = F.filter(F.transform(lines, state), lambda x: x.isNotNull())
+    told = F.filter(let(lines, lambda own: F.transform(own, lambda x, i: state(own, x, i))), lambda x: x.isNotNull())
     return F.coalesce(F.get(told, F.lit(0)), F.lit("no_author_label"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions.arrays import offsets
+from quillspark.functions.arrays import let, offsets
 
 # MIME types by file extension.
 MIME = {
@@ -138,22 +138,23 @@ SENTENCE = "struct<text:string,start:int,end:int>"
 
 
 def _held(text: Column) -> Column:
-    """Full stops of abbreviations and initials as marks of the same length."""
-    out = F.regexp_replace(text, rf"(?i)(?<![A-Za-z0-9_])({'|'.join(ABBREVIATIONS)})\.", f"$1{_MARK}")
-    return F.regexp_replace(out, r"(?<![A-Za-z0-9_])([A-ZÄÖÜ])\.(?=[\s\u00A0]?[A-ZÄÖÜ-])", f"$1{_MARK}")
+    """Full stops of abbreviations and initials as marks of the same length; what
+    stands before a full stop is looked at only where there is one."""
+    before = "|".join(x.replace(r"\s+", r"\s{1,8}") for x in ABBREVIATIONS)
+    out = F.regexp_replace(text, rf"\.(?<=(?<![A-Za-z0-9_])(?i:{before})\.)", _MARK)
+    return F.regexp_replace(out, r"\.(?<=(?<![A-Za-z0-9_])[A-ZÄÖÜ]\.)(?=[\s\u00A0]?[A-ZÄÖÜ-])", _MARK)
 
 
 def _sentences(text: Column, ends: str) -> Column:
-    parts = F.split(F.regexp_replace(text, ends, f"$1{_CUT}"), _CUT)
-    starts = offsets(F.transform(parts, lambda x: F.length(x)))
-
     def one(part: Column, start: Column) -> Column:
         front = F.length(part) - F.length(F.regexp_replace(part, r"^\s+", ""))
         body = F.replace(F.regexp_replace(part, r"^\s+|\s+$", ""), F.lit(_MARK), F.lit("."))
-        at = (start + front).cast("int")
-        return F.struct(body.alias("text"), at.alias("start"), (at + F.length(body)).alias("end"))
+        return let(body, lambda b: F.struct(b.alias("text"), (start + front).cast("int").alias("start"), (start + front + F.length(b)).cast("int").alias("end")))
+
+    def placed(parts: Column) -> Column:
+        return F.filter(F.zip_with(parts, offsets(F.transform(parts, lambda x: F.length(x))), one), lambda s: s["text"] != "")
 
-    return F.filter(F.zip_with(parts, starts, one), lambda s: s["text"] != "")
+    return let(F.split(F.regexp_replace(text, ends, f"$1{_CUT}"), _CUT), placed)
 
 
 def sentences(text: str | Column) -> Column:
