@@ -237,3 +237,33 @@ def counts_after_typed(spark: SparkSession, folder: str) -> DataFrame:
     seen = F.max(F.col("function_type").isNotNull()).over(pos.upto(pos.order()))
     para = ~pos.is_heading()
     return e.withColumn("seen", seen).groupBy("document_id").agg(F.count_if(para).alias("n_all"), F.count_if(para & F.col("seen")).alias("n_after"))
+
+
+@query(f"""{E}, c AS (SELECT *, max(CASE WHEN level = 1 THEN char_start END) OVER (PARTITION BY document_id) AS last_start FROM e),
+p AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY char_start DESC) AS back, count(*) OVER (PARTITION BY document_id) AS n FROM c WHERE element_type = 'paragraph' AND char_start >= last_start)
+SELECT document_id, last_start, char_start, back <= greatest(1, ceil(n / 3.0)) AS in_last_third FROM p""")
+def last_chapter(spark: SparkSession, folder: str) -> DataFrame:
+    """Paragraphs of the last chapter, and which are of its last third."""
+    w = Window.partitionBy("document_id")
+    c = document_elements(spark, folder).drop("content").withColumn("last_start", F.max(F.when(F.col("level") == 1, F.col("char_start"))).over(w))
+    p = c.where("element_type = 'paragraph' and char_start >= last_start")
+    back, n = F.row_number().over(w.orderBy(F.desc("char_start"))), F.count("*").over(w)
+    return p.select("document_id", "last_start", "char_start", (back <= F.greatest(F.lit(1), F.ceil(n / 3))).alias("in_last_third"))
+
+
+@query(f"""{E}, x AS (SELECT *, sum((element_type = 'heading')::INT) OVER ({W}) AS block, sum((element_type = 'paragraph')::INT) OVER ({W}) AS n,
+  last_value(CASE WHEN element_type = 'heading' THEN char_start END IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING) AS heading_start, last_value(function_type IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING) AS container_type FROM e)
+SELECT x.document_id, x.char_start, x.n::BIGINT AS paragraph_number, x.block::BIGINT AS block, (row_number() OVER (PARTITION BY x.document_id, x.block ORDER BY x.char_start))::BIGINT AS number_in_block, x.heading_start, x.container_type,
+  l.quality, CASE WHEN length(content) <= 140 THEN content ELSE rtrim(substring(content, 1, 139)) || '…' END AS snippet
+FROM x LEFT JOIN labels l ON l.doc_id = x.document_id WHERE element_type = 'paragraph'""")
+def reader_payload(spark: SparkSession, folder: str) -> DataFrame:
+    """What a reader of documents is shown of each paragraph: its numbers, its
+    heading and container, the document's assessment, and a snippet."""
+    w = pos.upto(pos.order())
+    snippet = F.when(pos.n_chars() <= 140, F.col("content")).otherwise(F.concat(F.rtrim(F.substring("content", 1, 139)), F.lit("…")))
+    e = pos.blocks(document_elements(spark, folder).withColumn("snippet", snippet).drop("content"))  # at most 140 characters go through the windows
+    e = e.withColumn("paragraph_number", F.sum((~pos.is_heading()).cast("long")).over(w)).withColumn("heading_start", F.last(F.when(pos.is_heading(), F.col("char_start")), ignorenulls=True).over(w))
+    e = e.withColumn("container_type", F.last("function_type", ignorenulls=True).over(w)).where(~pos.is_heading())
+    e = e.withColumn("number_in_block", F.row_number().over(Window.partitionBy("document_id", "block").orderBy("char_start")).cast("long"))
+    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("document_id"), "quality")
+    return e.join(labels, "document_id", "left").select("document_id", "char_start", "paragraph_number", "block", "number_in_block", "heading_start", "container_type", "quality", "snippet")
