@@ -311,24 +311,24 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     root being the least id of the component.  Large-star and small-star turns
     alternate; each turn is a written table that takes the place of the one
     before, and no vertex list is collected.  The minimum over neighbours is a
-    partial aggregate, and the edges of a hub are not gathered to join it.
+    partial aggregate, and the edges of a hub are spread when it is joined.
     """
     pair = lambda a, b: F.struct(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     e = cut(edges.where("a <> b").select(pair("a", "b").alias("p")).select("p.*").distinct(), name)
-    n, last = e.count(), None
+    last = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("many")).select("a", F.least("a", "m").alias("m"), "many")
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: the larger neighbours of a point to its least neighbour
-        large = by_key(both.where("b > a"), low, "a", "many", 2 * n, "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = salted(both.where("b > a"), low, ["a"], salts=4).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: a and its smaller neighbours point to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("many"))
-        small = by_key(large, least, "a", "many", 2 * n, "inner").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = salted(large, least, ["a"], salts=4).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         old, e = e, cut(small, name)
         drop(old)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if now == last or now["n"] == 0:
             break
-        n, last = now["n"], now
+        last = now
     roots = e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("id"), "root")
     return roots.unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

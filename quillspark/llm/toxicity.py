@@ -187,7 +187,7 @@ def _once(docs: DataFrame) -> DataFrame:
     for mark in ("a", "b"):
         head = marks.groupBy(mark, "toxic").agg(F.min(F.struct("row", "sketch")).alias("h"))
         agree = F.size(F.filter(F.arrays_zip(F.col("sketch").alias("x"), F.col("h.sketch").alias("y")), lambda z: z["x"] == z["y"]))
-        marks = marks.join(head, [mark, "toxic"]).where((F.col("row") == F.col("h.row")) | (agree < 8)).drop("h")
+        marks = c.salted(marks, head, [mark, "toxic"]).where((F.col("row") == F.col("h.row")) | (agree < 8)).drop("h")
     return docs.join(marks.select("row"), "row", "left_semi")
 
 
@@ -423,6 +423,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model:
     first, slot, value = np.append(0, np.cumsum(many)), _raw(rows["slots"], np.int32), _raw(rows["weights"], np.float32)
     label = np.array([-1 if x is None else x for x in rows["toxic"].to_pylist()])
     del rows
+    pa.default_memory_pool().release_unused()  # the driver goes on with other work
     wv, ww, bias = train(v, first, slot, value, posterior(v, p1, p0, tied, PRIOR))
     z = v @ wv + np.bincount(np.repeat(np.arange(len(v)), many), value * ww[slot], len(v)) + bias
     return Model(wv, ww, bias, *calibrate(z[label >= 0], label[label >= 0].astype(float)), stems)
