@@ -255,14 +255,18 @@ def wrapped(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def filtered(df: DataFrame, text: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
-    """The rows of ``df`` for whose texts ``keep`` says so, as they are."""
+    """The rows of ``df`` for whose texts ``keep`` says so, as they are.  The rows
+    go through the tasks as structs, so that their names may be any, and the
+    text is read from there, so that it goes once."""
+    at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.select(["rest"]).filter(pa.array(keep(b.column("text")), pa.bool_()))
+            texts = b.column(0).field(at)
+            yield b.filter(pa.array(keep(texts if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type) else texts.cast(pa.string())), pa.bool_()))
 
-    src = df.select(F.struct("*").alias("rest"), F.col(text).cast("string").alias("text"))
-    return src.mapInArrow(run, T.StructType([src.schema["rest"]])).select("rest.*")
+    src = df.select(F.struct("*").alias("rest"))
+    return src.mapInArrow(run, src.schema).select("rest.*")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
