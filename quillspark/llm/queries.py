@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import ann, decontamination, html_extraction, importance_resampling, license_scan, mixing, ngram_join, quotation, substring_dedup, toxicity
+from quillspark.llm import ann, decontamination, hard_negatives, html_extraction, importance_resampling, lexical_search, license_scan, mixing, ngram_join, quotation, sharding, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,10 +58,23 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_html_extraction, op2_toxicity, op3_decontamination, op4_importance_resampling, op5_ann,
         op6_substring_dedup, op7_quotation, op8_mixing, op9_license_scan, op10_ngram_join,
+        op11_lexical_search, op12_hard_negatives, op13_sharding,
     )
     return {f.__name__: f for f in own}
 
@@ -73,4 +86,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_substring_dedup": substring_dedup.SQL,
         "op8_mixing": mixing.SQL,
         "op9_license_scan": license_scan.SQL,
+        "op11_lexical_search": lexical_search.SQL,
+        "op12_hard_negatives": hard_negatives.SQL,
     }
