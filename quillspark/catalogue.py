@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quillspark import registry
-from quillspark.plans import cases, documents, logs, namings, projects, reviews, texts, vectors  # noqa: F401  they register their queries
+from quillspark.plans import cases, changes, documents, logs, namings, projects, ranges, reviews, texts, trees, vectors  # noqa: F401  they register their queries
 from quillspark.streaming import folds  # noqa: F401
 
 

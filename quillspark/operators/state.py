@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import json_values
+
 
 def latest(df: DataFrame, keys: Sequence[str], by: Sequence[str], *columns: str) -> DataFrame:
     """Latest non-null value of each column; a partial aggregate, no sort."""
@@ -30,16 +32,18 @@ def newest(df: DataFrame, keys: Sequence[str], by: Sequence[Column]) -> DataFram
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Column | None = None) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Column | None = None, merged: Sequence[str] = ()) -> DataFrame:
     """``old`` with rows of ``new`` written over it column by column where they
-    are not null; ``keep`` (over columns of old) protects rows from change.
+    are not null; ``keep`` (over columns of old) protects rows from change, and
+    JSON values of the columns ``merged`` are merged with those they meet.
     Adds ``outcome``: created, updated, skipped or unchanged."""
     o, n = old.alias("o"), new.alias("n")
     same = [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys]
     j = o.withColumn("_o", F.lit(True)).alias("o").join(n.withColumn("_n", F.lit(True)).alias("n"), same, "full_outer")
     there, asked = F.col("o._o").isNotNull(), F.col("n._n").isNotNull()
     held = there & F.coalesce(keep, F.lit(False)) if keep is not None else F.lit(False)
-    values = [F.when(held, F.col(f"o.{c}")).otherwise(F.coalesce(f"n.{c}", f"o.{c}")).alias(c) for c in old.columns]
+    new_value = lambda c: F.coalesce(json_values.merge(F.col(f"o.{c}"), F.col(f"n.{c}")), f"n.{c}", f"o.{c}") if c in merged else F.coalesce(f"n.{c}", f"o.{c}")
+    values = [F.when(held, F.col(f"o.{c}")).otherwise(new_value(c)).alias(c) for c in old.columns]
     outcome = F.when(~there, "created").when(~asked, "unchanged").when(held, "skipped").otherwise("updated")
     return j.select(*values, outcome.alias("outcome"))
 
