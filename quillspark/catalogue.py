@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from quillspark import registry
-from quillspark.plans import cases, changes, documents, logs, namings, projects, ranges, reviews, texts, trees, vectors  # noqa: F401  they register their queries
-from quillspark.streaming import folds  # noqa: F401
+from quillspark.plans import cases, changes, documents, logs, namings, projects, ranges, reviews, scans, texts, trees, vectors, work  # noqa: F401  they register their queries
+from quillspark.streaming import folds, runs  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
