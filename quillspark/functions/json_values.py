@@ -30,7 +30,14 @@ def canonical(json: Column) -> Column:
 
 def members(json: Column) -> Column:
     """map<string, string>: the members of an object as JSON texts, else null."""
-    return F.when(_starts(json, "{"), F.transform_values(F.from_json(json, _OBJECT), lambda _, v: F.to_json(v)))
+    found = F.transform_values(F.from_json(json, _OBJECT), lambda _, v: F.to_json(v))
+
+    def once(m: Column) -> Column:
+        keys, entries = F.map_keys(m), F.map_entries(m)
+        last = lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"])
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), m).otherwise(F.map_from_entries(F.filter(entries, last)))
+
+    return F.when(_starts(json, "{"), let(found, once))
 
 
 def items(json: Column) -> Column:
@@ -73,7 +80,7 @@ def merge(left: Column, right: Column) -> Column:
         a, b = both["a"], both["b"]
         one = lambda x: F.coalesce(items(x), F.array(canonical(x)))
         objects = let(F.struct(members(a).alias("a"), members(b).alias("b")), lambda m: _of_map(F.map_concat(F.map_filter(m["a"], lambda k, _: ~F.map_contains_key(m["b"], k)), m["b"])))
-        known = canonical(a).isNotNull() & canonical(b).isNotNull()
+        known = F.coalesce(members(a).isNotNull() | canonical(a).isNotNull(), F.lit(False)) & F.coalesce(members(b).isNotNull() | canonical(b).isNotNull(), F.lit(False))
         return F.when(known & _starts(a, "{") & _starts(b, "{"), objects).when(known, array_text(F.concat(one(a), one(b))))
 
     return let(F.struct(left.alias("a"), right.alias("b")), joined)

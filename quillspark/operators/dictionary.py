@@ -64,7 +64,7 @@ def _is_word(c: str) -> bool:
 
 def _edge(text: str, at: int) -> bool:
     """Does a word begin or end before the character ``at``?"""
-    before = at > 0 and _is_word(text[at - 1])
+    before = 0 < at <= len(text) and _is_word(text[at - 1])
     return before != (at < len(text) and _is_word(text[at]))
 
 
