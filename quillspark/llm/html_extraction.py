@@ -5,8 +5,15 @@ points for its length and its commas to its ancestors, fewer with distance and
 fewer the more of it is link text.  The best container is kept, with those of
 its siblings that score enough, and without what is never article text (menus,
 forms, notices, comments and the like, by element, role, class or id) and
-without lists of three links or more in it that are little but links (lists of
-sources stay, by class, id or role); headings and single links stay.
+without boxes in it of three links or more that are little but links (lists of
+sources stay, by class, id or role); lists of links that stand in the article
+itself, headings and single links stay.
+
+A name only casts doubt.  What is doubted (by a word of its class or id, or as a
+form) is left out, unless the page has next to nothing outside: a wrapper that
+holds nearly all plain text, or the ``main`` element, or the article with most of
+the text, is a box like others, whatever it is called, and so are the boxes
+around it.
 
 The work is local to a page, so it is one map over Arrow batches with no
 shuffle; memory is that of a page and its blocks.
@@ -39,7 +46,10 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
 PARAGRAPH = frozenset("p pre h1 h2 h3 h4 h5 h6 li dd dt td th blockquote figcaption caption summary".split())
-NEVER = frozenset("head nav footer aside form button dialog menu search fieldset".split())
+NEVER = frozenset("head nav footer aside button dialog menu search fieldset".split())
+#: Plain characters outside what is doubted, above which it is left out: where its
+#: names say nothing else, and where they do.
+OUTSIDE = 80, 300
 LISTS = frozenset("ul ol dl".split())
 #: Blocks beside the best container that need no score of their own to stay.
 BESIDE = frozenset("p pre blockquote h2 h3 h4 h5 h6 ul ol dl figcaption".split())
@@ -81,25 +91,33 @@ SELF_CLOSED = re.compile(r"(?<!=)(?:^|[\s\"'])/$|(?:^|\s)[^\s\"'=]+/$")
 _raw_end: dict[str, re.Pattern] = {}
 
 
-def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
+def _unwanted(tag: str, attributes: str, inside_article: bool) -> int:
+    """2 for what is left out in any case; for what is doubted 1 and, as a negative
+    number, -1 where all its names speak against it; else 0."""
     if tag in NEVER or tag == "header" and not inside_article:
-        return True
+        return 2
     if not attributes:
-        return False
+        return int(tag == "form")
     a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")):
-        return True
+        return 2
     if tag in WHOLE and tag != "article":
-        return False
-    if a.get("role", "").lower() in NEVER_ROLES or not HIDDEN_CLASSES.isdisjoint(a.get("class", "").split()):
-        return True
+        return 0
+    role = a.get("role", "").lower()
+    if role in NEVER_ROLES or not HIDDEN_CLASSES.isdisjoint(a.get("class", "").split()):
+        return 1 if role == "form" and tag == "form" else 2
     names: set[str] = set()
+    pure = True
     for name in f"{a.get('class', '')} {a.get('id', '')}".split():
         words = [x.lower() for x in NAME.findall(name)]
         if words and words[0] not in ABOUT_NAMES:
             plain = {x for x in words if x not in DOUBTFUL_NAMES}
-            names |= set(words) if plain <= NEVER_NAMES | WEAK_NAMES | PART_NAMES else plain
-    return not NEVER_NAMES.isdisjoint(names) or not inside_article and CONTENT_NAMES.isdisjoint(names) and not WEAK_NAMES.isdisjoint(names)
+            named = plain <= NEVER_NAMES | WEAK_NAMES | PART_NAMES
+            names |= set(words) if named else plain
+            pure = pure and named and not CONTENT_NAMES & set(words)
+    if not NEVER_NAMES.isdisjoint(names) or not inside_article and CONTENT_NAMES.isdisjoint(names) and not WEAK_NAMES.isdisjoint(names):
+        return -1 if pure else 1
+    return int(tag == "form")
 
 
 def _sources(attributes: str) -> bool:
@@ -108,11 +126,11 @@ def _sources(attributes: str) -> bool:
 
 
 class _Page:
-    """Elements and blocks of a page, in page order."""
+    """Elements and blocks of a page, in page order; ``doubt`` is the nearest
+    element around each one, itself included, that is doubted, or 0."""
 
-    def __init__(self, html: str, strict: bool = True):
-        self.strict = strict
-        self.tag, self.parent, self.off, self.source = ["#"], [0], [False], [False]
+    def __init__(self, html: str):
+        self.tag, self.parent, self.off, self.source, self.doubt, self.pure = ["#"], [0], [False], [False], [0], [False]
         self.blocks: list[tuple[int, str, float, int]] = []  # element, text, share of link text, links
         self.stack = [0]
         self.at: dict[str, list[int]] = {}  # depths at which elements of a name are open
@@ -187,7 +205,10 @@ class _Page:
             self.flush()
         self.tag.append(tag)
         self.parent.append(up)
-        self.off.append(self.off[up] or tag == "head" or tag in OFF or self.strict and _unwanted(tag, attributes, self.articles > 0))
+        judged = 0 if self.off[up] else _unwanted(tag, attributes, self.articles > 0)
+        self.off.append(self.off[up] or tag in OFF or judged == 2)
+        self.doubt.append(len(self.tag) - 1 if judged in (1, -1) else self.doubt[up])
+        self.pure.append(judged < 0)
         self.source.append(self.source[up] or bool(attributes) and tag not in WHOLE and _sources(attributes))
         self.at.setdefault(tag, []).append(len(self.stack))
         if tag in BLOCK:
@@ -237,13 +258,49 @@ class _Page:
         self.flush()
 
 
+def _left_out(page: _Page) -> list[bool]:
+    """Which elements are left out: those that are in any case, and the doubted
+    ones that are no wrapper of the text."""
+    n, doubt, parent = len(page.tag), page.doubt, page.parent
+    plain = [0.0] * n  # of the doubted element nearest to a block; 0 is outside
+    for k, text, share, _ in page.blocks:
+        plain[doubt[k]] += (1 - share) * len(text)
+    cleared = [False] * n
+    cleared[0] = True
+    total = sum(plain)
+
+    def clear(k: int) -> None:
+        while k:
+            if not cleared[k]:
+                cleared[k] = True
+                plain[0] += plain[k]
+            k = doubt[parent[k]]
+
+    text_of = [0.0] * n
+    for k, text, share, _ in page.blocks:
+        text_of[k] += (1 - share) * len(text)
+    for k in range(n - 1, 0, -1):
+        text_of[parent[k]] += text_of[k]
+    for k in range(1, n):
+        around = doubt[parent[k]] if doubt[k] == k else doubt[k]
+        if around and not page.off[k] and (page.tag[k] == "main" or page.tag[k] == "article" and doubt[k] != k and not page.pure[around] and 2 * text_of[k] > total):
+            clear(around)
+    for k in sorted((k for k in range(1, n) if doubt[k] == k and plain[k]), key=lambda k: (-plain[k], k)):
+        if not cleared[k] and plain[k] > 4 * plain[0] and plain[0] < OUTSIDE[not page.pure[k]]:
+            clear(k)
+    out = page.off[:]
+    for k in range(1, n):
+        out[k] = out[k] or out[parent[k]] or doubt[k] == k and not cleared[k]
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The article of a page, its blocks joined by two line ends."""
     if not html:
         return ""
     page = _Page(html)
-    if not page.blocks:  # all of it stands in a form or under a name of what is left out
-        page = _Page(html, strict=False)
+    page.off = _left_out(page)
+    page.blocks = [x for x in page.blocks if not page.off[x[0]]]
     tag, parent = page.tag, page.parent
     n = len(tag)
     score, chars, linked, held = [0.0] * n, [0] * n, [0.0] * n, [0] * n
@@ -281,13 +338,14 @@ def main_text(html: str | None) -> str:
             if parent[k] == parent[best] and not page.off[k]:
                 share = linked[k] / max(1, chars[k])
                 chosen[k] = chosen[k] or final[k] >= enough or tag[k] == "h1" or tag[k] in BESIDE and share < 0.25 and (chars[k] > 80 or not share and chars[k] > 0)
-    # a list of links in the container goes as a whole; a single link stays
+    # a box of links in the container goes as a whole; lists, headings and single links stay
     dropped = [False] * n
     for k in range(1, n):
         inside = chosen[parent[k]]
         chosen[k] = chosen[k] or inside
-        dropped[k] = inside and (dropped[parent[k]] or held[k] > 2 and linked[k] >= 0.7 * chars[k] and not page.source[k])
-    gone = lambda k, share, links: share >= 0.7 and tag[k] not in HEADINGS and (dropped[k] or links > 2 and tag[k] not in PARAGRAPH and not page.source[k])
+        box = tag[k] in BLOCK and tag[k] not in LISTS and tag[k] not in PARAGRAPH and not page.source[k]
+        dropped[k] = inside and (dropped[parent[k]] or box and held[k] > 2 and linked[k] >= 0.7 * chars[k])
+    gone = lambda k, share, links: dropped[k] or share >= 0.7 and links > 2 and tag[k] not in PARAGRAPH and not page.source[k]
     return "\n\n".join(text for k, text, share, links in page.blocks if chosen[k] and not gone(k, share, links))
 
 

@@ -235,10 +235,11 @@ def test_main_text():
 def test_linked_headings_and_paragraphs_stay():
     long = "Long, first, paragraph of the text, which goes on, and on, for a while."
     page = f'''<article><h1><a href=x>Linked headline</a></h1><p>{long}</p><h2><a href=y>Linked section</a></h2><p><a href=z>One link alone</a></p>
-<ul><li><a href=1>Menu one</a><li><a href=2>Menu two</a><li><a href=3>Menu three</a></ul>
+<ul><li><a href=1>List one</a><li><a href=2>List two</a><li><a href=3>List three</a></ul>
+<div class="x"><h3>More</h3><ul><li><a href=1>Menu one of links</a><li><a href=2>Menu two of links</a><li><a href=3>Menu three of links</a></ul></div>
 <ol class="references"><li><a href=4>Source one</a><li><a href=5>Source two</a><li><a href=6>Source three</a></ol>
 <ul><li>A longer item of the list, in words, and <a href=7>its link</a><li><a href=8>Link only</a><li>Another item of words without a link in it</ul></article>'''
-    want = ["Linked headline", long, "Linked section", "One link alone", "Source one", "Source two", "Source three", "A longer item of the list, in words, and its link", "Link only", "Another item of words without a link in it"]
+    want = ["Linked headline", long, "Linked section", "One link alone", "List one", "List two", "List three", "Source one", "Source two", "Source three", "A longer item of the list, in words, and its link", "Link only", "Another item of words without a link in it"]
     assert html_extraction.main_text(page).split("\n\n") == want
 
 
@@ -264,6 +265,126 @@ def main_text(page):
     return html_extraction.main_text(page)
 
 
+ARTICLE = "<h1>Head</h1><p>Long, first, paragraph of the text, which goes on, and on, for a while, and says things.</p><p>Second, long, paragraph of the text, with many words in it, and some commas.</p>"
+READ = "Head\n\nLong, first, paragraph of the text, which goes on, and on, for a while, and says things.\n\nSecond, long, paragraph of the text, with many words in it, and some commas."
+AROUND = '<div class="sidebar"><p>Side text, of some words, here.</p></div><div class="entry">%s</div><div id="comments"><p>Nice, post, thanks, a lot of it.</p></div>'
+
+
+@pytest.mark.parametrize("inner", ["%s", "<article>%s</article>", "<main>%s</main>", AROUND])
+@pytest.mark.parametrize(
+    "name",
+    ["content-sidebar-wrap", "site sidebar-right", "layout-with-sidebar", "page-with-sidebar", "post-container promo", "comments-enabled", "ad-free", "menu-open", "modal-open", "newsletter-article", "story-body popup", "single-post cookie-consent-given", "breadcrumb-page", "wrapper footer-fixed"],
+)
+def test_names_of_wrappers_hide_no_article(name, inner):
+    for tag in ("div", "section"):
+        assert main_text(f'<html><body><div>Site name</div><{tag} class="{name}">{inner % ARTICLE}</{tag}><footer>x</footer></body></html>') == READ
+        assert main_text(f'<body><div>Site name</div><{tag} id="outer"><{tag} class="{name}"><div class="modal menu">{inner % ARTICLE}</div></{tag}></{tag}>') == READ
+
+
+def test_forms_around_pages_and_comments_longer_than_articles():
+    links = "<ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a></ul>"
+    assert main_text(f"<body><div>Site name</div><form id=aspnetForm><div>{ARTICLE}</div></form>") == READ
+    assert main_text(f"<body><article>{ARTICLE}<form><p>{'Search, for, it, ' * 30}</p></form><h2>See also</h2>{links}</article>") == READ + "\n\nSee also\n\none\n\ntwo\n\nthree"
+    talk = "".join(f"<li><p>{'Nice, post, thanks, a lot. ' * 20}</p>" for _ in range(20))
+    assert main_text(f'<body><div class="entry">{ARTICLE}</div><ol class="commentlist">{talk}</ol>') == READ
+    assert main_text(f'<body><div class="entry">{ARTICLE}</div><section id="comments"><article><p>{"Nice, post. " * 90}</p></article></section>') == READ
+    assert main_text("") == main_text('<div class="ad"></div>') == ""
+
+
+class Node:
+    def __init__(self, tag, up):
+        self.tag, self.up, self.parts = tag, up, []
+
+
+def plain_main_text(html):
+    """A slow, plain scorer for well-formed pages without doubted wrappers."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.at = self.root = Node("#", None)
+
+        def handle_starttag(self, tag, attrs):
+            node = Node(tag, self.at)
+            node.named = " ".join(v or "" for k, v in attrs if k in ("class", "id"))
+            self.at.parts.append(node)
+            if tag not in html_extraction.VOID:
+                self.at = node
+
+        def handle_endtag(self, tag):
+            self.at = self.at.up
+
+        def handle_data(self, data):
+            self.at.parts.append(data)
+
+    reader = Reader()
+    reader.feed(html)
+    skip = {"script", "style", "title", "noscript", "svg", "form", "nav", "footer", "head"}
+    noise = {"advert", "sidebar", "cookie-notice", "comments", "widget menu"}
+    blocks = []  # (node, text, linked share)
+
+    def read(node, pieces):
+        def flush():
+            text = " ".join("".join(t for t, _ in pieces).split())
+            if text:
+                blocks.append((node, text, min(1.0, sum(len(t.strip()) for t, linked in pieces if linked) / len(text))))
+            pieces.clear()
+
+        for part in node.parts:
+            if isinstance(part, str):
+                pieces.append((part, False))
+            elif part.tag in skip or part.tag == "header" or part.named in noise:
+                flush() if part.tag in html_extraction.BLOCK and part.tag not in skip else None
+            elif part.tag == "a":
+                pieces.append(("".join(x for x in part.parts), True))
+            else:
+                flush()
+                read(part, [])
+        flush()
+
+    read(reader.root, [])
+    up = lambda n, k: n if k == 0 or n is None else up(n.up, k - 1)
+    score, size, linked = {}, {}, {}
+    for node, text, share in blocks:
+        points = (1 + text.count(",") + min(3.0, len(text) / 100)) * (1 - share)
+        first = node.up if node.tag in html_extraction.PARAGRAPH else node
+        for level, weight in enumerate((1, 1 / 2, 1 / 3, 1 / 6, 1 / 9)):
+            if up(first, level) is not None:
+                score[up(first, level)] = score.get(up(first, level), 0) + points * weight
+        while node is not None:
+            size[node], linked[node] = size.get(node, 0) + len(text), linked.get(node, 0) + share * len(text)
+            node = node.up
+    bonus = {"article": 25, "main": 15, "div": 5, "section": 5, "td": 3}
+    final = {n: (s + bonus.get(n.tag, 0)) * (1 - linked[n] / size[n]) for n, s in score.items() if n.tag not in html_extraction.PARAGRAPH | html_extraction.LISTS}
+    best = max(final, key=final.get)
+    for n in iter(lambda n=[best]: n.__setitem__(0, n[0].up) or n[0], None):
+        if n.tag in ("article", "main"):
+            best = n
+            break
+    kept = {best}
+    if best.tag not in ("article", "main", "body", "html", "#"):
+        for n in size:
+            if n.up is best.up:
+                share = linked[n] / size[n]
+                if final.get(n, 0) >= max(10, 0.2 * final[best]) or n.tag in html_extraction.BESIDE and share < 0.25 and (size[n] > 80 or not share):
+                    kept.add(n)
+    inside = lambda n: n is not None and (n in kept or inside(n.up))
+    return "\n\n".join(text for n, text, _ in blocks if inside(n))
+
+
+def test_scores_are_those_of_a_plain_scorer():
+    """Articles in ``div``, ``main``, ``article`` and tables, beside menus and boxes."""
+    rng, word = np.random.default_rng(5), "alpha beta gamma, delta end.".split()
+    text = lambda n: " ".join(rng.choice(word, n))
+    for _ in range(300):
+        body = "".join(f"<p>{text(rng.integers(20, 60))} <a href='x'>{text(2)}</a></p>" if rng.random() < 0.5 else f"<div><p>{text(rng.integers(20, 60))}</p></div>" for _ in range(rng.integers(3, 8)))
+        wrap = [("<article>", "</article>"), ("<div class='post'>", "</div>"), ("<main>", "</main>"), ("<table><tr><td>", "</td></tr></table>")][rng.integers(4)]
+        other = "".join(f"<div class='{rng.choice(['sidebar', 'advert', 'cookie-notice'])}'><p>{text(20)}</p></div>" for _ in range(rng.integers(3)))
+        page = f"<html><body><nav><ul><li><a href='y'>{text(3)}</a></li></ul></nav>{other}{wrap[0]}{body}{wrap[1]}<footer><p>{text(9)}</p></footer></body></html>"
+        assert main_text(page) == plain_main_text(page), page
+
+
 def test_deep_pages_take_linear_time():
     began = time.perf_counter()
     for tag in ("div", "span", "b", "li", "svg", "p", "table", "section"):
