@@ -2,7 +2,7 @@
 
 Coarse centroids, about the square root of the vectors in number, and the
 codebooks of their residuals are fitted (k-means) on about ``sample`` vectors
-chosen by the hash of their ids; every vector is then indexed: its list, and
+chosen by the hash of their ids and values; every vector is then indexed: its list, and
 one byte for each of ``PARTS`` parts of its residual.  How many lists a query
 probes is measured, unless ``probes`` says it: on ``TRIED`` queries, whose
 neighbours are found by comparing them with all vectors, so many lists that
@@ -248,7 +248,7 @@ def _search(vectors: DataFrame, d: int, kind: type, every: int, k: int, sample:
     width = -(-d // PARTS) * PARTS
     sample = sample or int(np.clip(8 * np.sqrt(n), 20_000, 1 << 18))
     few = once.select("vec_id", "tie", "v")
-    few = few.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) <= int(min(1.0, sample / n) * (1 << 20))).toArrow().sort_by([("vec_id", "ascending"), ("tie", "ascending")])  # about ``sample`` rows
+    few = few.where(F.pmod(F.xxhash64("vec_id", "tie"), F.lit(1 << 20)) <= int(min(1.0, sample / n) * (1 << 20))).toArrow().sort_by([("vec_id", "ascending"), ("tie", "ascending")])  # about ``sample`` rows
     few = few if few.num_rows else once.select("vec_id", "v").orderBy("vec_id").limit(1).toArrow()
     index = train(_unit(_flat(few["v"].combine_chunks(), kind), width), int(np.clip(round(np.sqrt(n)), 1, max(1, sample // 8))))
     lists = len(index.lists)

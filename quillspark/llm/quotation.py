@@ -6,9 +6,13 @@ a quotation goes with it).  Adjacent lines of one level are joined, so that it
 does not matter where they are wrapped, and split into sentences; a sentence
 over several lines also counts by its lines.  Passages are normalised (case,
 white space, punctuation) and hashed.  A quoted passage of any length belongs
-to the latest earlier message of its conversation that has it as its own, else,
-from eight characters on, to the first message of all conversations that has,
-if that comes before (by conversation and turn; so links never close a circle).
+to the latest earlier message of its conversation that has it as its own, else
+to the first message of all conversations that has, if that comes before (by
+conversation and turn; so links never close a circle).  As unrelated
+conversations share phrases, a passage links to another conversation alone only
+if it is long (``ALONE`` words, or letters of scripts without spaces) and at most
+``RARE`` conversations have it as their own; shorter or commoner ones, from
+``_LEAST`` characters on, link if two of the message agree on the same message.
 The message replied to is the one that most passages of the least linked level
 belong to, of equal ones that of the latest turn.  Following these links gives
 the branch (its first message) and the depth of every message; in the order
@@ -31,9 +35,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +50,9 @@ _PLAIN = re.compile(r"\W+")
 _WIDE = "\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
 _BETWEEN = re.compile(f"(?<=[{_WIDE}]) (?=[{_WIDE}])")  # a wrapped line adds no space there
 _LEAST = 8  # characters of what links across conversations, and of a quoted line that is less than its sentence
+_LETTERS = re.compile(f"[{_WIDE}]")
+ALONE = 5  # words, or twice as many letters of scripts without spaces, of a passage that links across conversations alone
+RARE = 3  # conversations that have such a passage at most
 
 
 def _plain(part: str) -> str:
@@ -53,7 +60,14 @@ def _plain(part: str) -> str:
 
 
 def _hash(plain: str) -> int:
-    return xxhash.xxh64_intdigest(plain.encode()) - (1 << 63)
+    return int.from_bytes(blake2b(plain.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _far(plain: str) -> int:
+    """0: links within its conversation only, 1: across with others, 2: also alone."""
+    if len(plain) < _LEAST:
+        return 0
+    return 1 + (len(plain.split()) >= ALONE or len(_LETTERS.findall(plain)) >= 2 * ALONE)
 
 
 def _sentences(lines: list[str]) -> Iterator[tuple[str, list[str]]]:
@@ -79,8 +93,8 @@ def parse(text: str | None) -> tuple[str, list[int], list[dict], int]:
                 own.extend((h, *map(_hash, lines)))
                 continue
             n += 1
-            quoted.append({"level": held_level, "sentence": h, "h": h, "whole": True, "far": len(plain) >= _LEAST})
-            quoted.extend({"level": held_level, "sentence": h, "h": _hash(x), "whole": False, "far": True} for x in lines if len(x) >= _LEAST)
+            quoted.append({"level": held_level, "sentence": h, "h": h, "whole": True, "far": _far(plain)})
+            quoted.extend({"level": held_level, "sentence": h, "h": _hash(x), "whole": False, "far": _far(x)} for x in lines if len(x) >= _LEAST)
         held.clear()
 
     lines = (text or "").split("\n")
@@ -102,12 +116,12 @@ def parse(text: str | None) -> tuple[str, list[int], list[dict], int]:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(body)).strip(), own, quoted, n
 
 
-_KIND = "conv_id long, turn long, role string, body string, own array<long>, quoted array<struct<level:int,sentence:long,h:long,whole:boolean,far:boolean>>, n_quoted long"
+_KIND = "conv_id long, turn long, role string, body string, own array<long>, quoted array<struct<level:int,sentence:long,h:long,whole:boolean,far:int>>, n_quoted long"
 
 
 def parsed(messages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("level", pa.int32()), ("sentence", pa.int64()), ("h", pa.int64()), ("whole", pa.bool_()), ("far", pa.bool_())]))
+        kind = pa.list_(pa.struct([("level", pa.int32()), ("sentence", pa.int64()), ("h", pa.int64()), ("whole", pa.bool_()), ("far", pa.int32())]))
         for b in batches:
             out = [parse(x) for x in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("conv_id"), b.column("turn"), b.column("role"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], kind), pa.array([x[3] for x in out], pa.int64())], names=["conv_id", "turn", "role", "body", "own", "quoted", "n_quoted"])
@@ -125,8 +139,13 @@ def reply_links(rows: DataFrame) -> DataFrame:
     both = asked.withColumn("owner", F.lit(None).cast("long")).unionByName(wanted.select("conv_id", "turn", "h", F.col("turn").alias("owner")), allowMissingColumns=True)
     before = Window.partitionBy("conv_id", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     near = both.withColumn("own_turn", F.max("owner").over(before)).where("owner is null")
-    first = wanted.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    far = c.salted(near, first, ["h"], "left").where(F.col("own_turn").isNotNull() | F.col("far") & (F.col("first") < F.struct("conv_id", "turn")) & (F.col("first.conv_id") != F.col("conv_id")))
+    each = wanted.groupBy("h", "conv_id").agg(F.min("turn").alias("turn"))
+    first = each.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("first"), F.count("*").alias("owners"))
+    found = c.salted(near, first, ["h"], "left")
+    across = (F.col("far") > 0) & (F.col("first") < F.struct("conv_id", "turn")) & (F.col("first.conv_id") != F.col("conv_id"))
+    found = found.where(F.col("own_turn").isNotNull() | across)
+    agree = found.where("own_turn is null").groupBy("conv_id", "turn", "first").agg(F.size(F.collect_set("sentence")).alias("n_agree"))  # sentences of one message
+    far = found.join(agree, ["conv_id", "turn", "first"], "left").where(F.col("own_turn").isNotNull() | (F.col("far") == 2) & (F.col("owners") <= RARE) | (F.col("n_agree") >= 2))
     linked = far.select("conv_id", "turn", "level", "sentence", "whole", F.when(F.col("own_turn").isNotNull(), F.struct("conv_id", F.col("own_turn").alias("turn"))).otherwise(F.col("first")).alias("to"))
     # a sentence has one vote: as a whole if it is found so, else by a line of it
     linked = linked.groupBy("conv_id", "turn", "level", "sentence").agg(F.max(F.struct("whole", F.col("to.conv_id") == F.col("conv_id"), "to")).alias("m")).select("conv_id", "turn", "level", F.col("m.to").alias("to"))

@@ -394,14 +394,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model:
     learn = F.coalesce(fold("key") != 1, F.lit(False)) & F.col("key").isNotNull()
     known = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("key"), F.col("toxic").cast("int").alias("toxic")).where(learn).groupBy("key").agg(F.max("toxic").alias("toxic"))
     rate = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("s")).first()
-    spread = F.pmod(F.xxhash64("key"), F.lit(1 << 20))
+    spread = F.pmod(F.xxhash64("key", "tie"), F.lit(1 << 20))  # rows of one id are drawn each by its own text, copies once
     n = docs.count()
     bound = lambda of: int(min(1.0, sample / max(1, of)) * (1 << 20))
-    few = docs.where(F.col("id").isNotNull() & learn & (spread < max(bound(n), bound(rate["n"] or n))))
+    few = docs.where(F.col("id").isNotNull() & learn & (spread < max(bound(n), bound(rate["n"] or n)))).dropDuplicates(["key", "tie"])
     few = c.cut(few.join(known, "key", "left").select(spread.alias("spread"), "toxic", "text", F.xxhash64("key", "tie").alias("row")), "sample")
     stems = NO_STEMS
     if rate["n"]:
-        labelled = few.where(F.col("toxic").isNotNull() & (F.col("spread") < bound(rate["n"])))
+        drawn = F.col("toxic").isNotNull() & (F.col("spread") < bound(rate["n"]))
+        over = few.where(drawn).count() / (2 * sample)  # above 1 where some labelled ids have very many texts
+        labelled = few.where(drawn & (F.col("spread") < int(bound(rate["n"]) / max(1.0, over))))
         near = _hash_words(ADDRESS)
 
         def quiet(texts: pa.Array) -> np.ndarray:

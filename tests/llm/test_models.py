@@ -62,6 +62,24 @@ def test_flipped_labels_change_no_accuracy(spark, monkeypatch):
     assert all(np.array_equal(x[:n], y[:n]) for x, y in zip(seen[0][:2], seen[1][:2], strict=True))
 
 
+def test_samples_are_bounded_by_rows(spark, monkeypatch):
+    """One id has nearly all rows, with a text each, and a label."""
+    rows = spark.range(30_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("you stupid idiot number "), "id", F.lit(" goes on and on")).alias("text"))
+    rows = rows.unionByName(spark.range(2000).select((F.col("id") + 100).alias("doc_id"), F.concat(F.lit("a clean text of a day "), "id").alias("text"))).unionByName(spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text").alias("text")))
+    labels = spark.createDataFrame([(1, 1), (7, 0), *[(100 + k, 0) for k in range(50)]], "doc_id long, toxic int")
+    seen, features, stems = {}, toxicity._features, toxicity.find_stems
+    monkeypatch.setattr(toxicity, "_features", lambda few, s: (seen.update(rows=few.count()), features(few, s))[1])
+    monkeypatch.setattr(toxicity, "find_stems", lambda few, rate: (seen.update(stems=few.count()), stems(few, rate))[1])
+    toxicity.fit(toxicity.c.identified(rows, "doc_id", "text"), labels, sample=500)
+    assert 100 < seen["rows"] <= 1000 and 0 < seen["stems"] <= 1500
+    vectors = spark.range(20_000).select(F.lit(50).cast("long").alias("vec_id"), F.array(*[F.rand(k).cast("float") for k in range(4)]).alias("embedding"))
+    kept = {}
+    train = ann.train
+    monkeypatch.setattr(ann, "train", lambda x, lists, seed=7: (kept.update(n=len(x)), train(x, lists, seed))[1])
+    ann.neighbours(vectors, every=7, sample=300)
+    assert 100 < kept["n"] <= 600
+
+
 def test_toxicity_awkward_rows(spark):
     texts = [(1, "you stupid idiot"), (1, "fine words here"), (1, "you stupid idiot"), (None, "you stupid idiot"), (None, None), (2, ""), (3, "idiot " * 50_000)] + [(k, f"fine text number {k}") for k in range(10, 60)]
     docs = spark.createDataFrame(texts, "doc_id long, text string").withColumns({x: F.lit("clash") for x in ("key", "tie", "row", "toxic", "score", "a.b")})
@@ -467,6 +485,16 @@ def test_short_and_wrapped_quotations_link(spark):
     assert got[2, 1]["n_quoted"] == got[2, 1]["n_linked"] == 1
 
 
+def test_common_phrases_link_no_other_conversation(spark):
+    long = "The build of the second branch fails since the parser was moved."
+    data = [
+        (1, 0, "u", "Thanks a lot!\nSee you then.\nOr on Monday."), (9, 1, "a", "> Thanks a lot!\nYou are welcome."), (10, 1, "a", "> Thanks a lot!\n> See you then.\nFine."), (11, 1, "a", "> Thanks a lot!\n> Thanks a lot!\nFine."),
+        (2, 0, "u", long), (12, 0, "a", f"> {long}\nI see."), *[(20 + k, 0, "u", "We look forward to hearing from you again soon.") for k in range(5)], (30, 0, "a", "> We look forward to hearing from you again soon.\nHm."),
+    ]
+    got = {(r["conv_id"], r["turn"]): (r["parent_conv"], r["parent_turn"]) for r in quotation.link(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect() if r["parent_conv"]}
+    assert got == {(10, 1): (1, 0), (12, 0): (2, 0)}
+
+
 def brute_links(messages):
     """Parent, branch and depth of each (conversation, turn), by the definition."""
     own, quoted = defaultdict(set), defaultdict(set)
@@ -476,13 +504,17 @@ def brute_links(messages):
         quoted[conv, turn] |= {tuple(q.values()) for q in asked}
     up = {}
     for at in sorted(own):
-        to = defaultdict(set)
+        to, others = defaultdict(set), []
         for level, sentence, h, whole, far in quoted[at]:
             near = [x for x in own if x[0] == at[0] and x[1] < at[1] and h in own[x]]
-            first = min((x for x in own if h in own[x]), default=None)
+            owners = [x for x in own if h in own[x]]
+            first = min(owners, default=None)
             if near:
                 to[level, sentence].add((whole, True, max(near)))
             elif far and first and first < at and first[0] != at[0]:
+                others.append((level, sentence, whole, first, far == 2 and len({x[0] for x in owners}) <= quotation.RARE))
+        for level, sentence, whole, first, alone in others:
+            if alone or len({x[1] for x in others if x[3] == first}) > 1:
                 to[level, sentence].add((whole, False, first))
         votes = Counter((level, max(x)[2]) for (level, _), x in to.items())
         if votes:
@@ -498,16 +530,16 @@ def brute_links(messages):
 
 def test_links_are_brute_force(spark):
     rng = np.random.default_rng(9)
-    said = [f"{a} {b} {k}." for k, (a, b) in enumerate(zip(rng.choice("Yes No Perhaps We should go on with that".split(), 40), rng.choice("then now indeed as a matter of fact".split(), 40), strict=True))] + ["Yes.", "No!", "A very common first line of all."]
+    said = [f"{a} {b}{' and so on we go' * (k % 2)} {k}." for k, (a, b) in enumerate(zip(rng.choice("Yes No Perhaps We should go on with that".split(), 100), rng.choice("then now indeed as a matter of fact".split(), 100), strict=True))] + ["Yes.", "No!", "A very common first line of all."]
     messages = []
-    for conv in range(30):
+    for conv in range(45):
         lines = []
         for turn in range(int(rng.integers(1, 8))):
-            quote = [">" * int(rng.integers(1, 3)) + " " + x for x in rng.choice(said, int(rng.integers(0, 4)))]
+            quote = [">" * int(rng.integers(1, 3)) + " " + x for x in rng.choice(said, int(rng.integers(0, 6)))]
             body = ["A very common first line of all."] * (turn == 0) + list(rng.choice(said, int(rng.integers(1, 4))))
             lines = quote + body if rng.random() < 0.8 else body + quote
             messages.append((conv, turn, "u", "\n".join(lines)))
-    messages += [(31, 0, "u", "word " * 100_000 + "end."), (31, 1, "a", "> " + "word " * 100_000 + "end.\nLong."), (None, 1, "u", "> Yes."), (3, None, "u", "> Yes.")]
+    messages += [(131, 0, "u", "word " * 100_000 + "end."), (131, 1, "a", "> " + "word " * 100_000 + "end.\nLong."), (None, 1, "u", "> Yes."), (3, None, "u", "> Yes.")]
     got = quotation.link(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string").withColumn("h", F.lit("clash")).withColumn("own", F.lit("clash"))).collect()
     assert len(got) == len(messages)
     want = brute_links([m for m in messages if None not in m[:2]])
