@@ -1,6 +1,6 @@
-"""Queries over small tables made here, for what no test table holds: formats,
-personal data, citations, answers of models, outlines of any depth.  The SQL
-states the rows that come out, worked out by hand."""
+"""Operators over small tables made here, for what no test table holds: formats,
+personal data, citations, answers of models, outlines of any depth.  The rows that
+come out are stated, worked out by hand."""
 
 from __future__ import annotations
 
@@ -8,29 +8,25 @@ import io
 import zipfile
 from collections.abc import Callable
 
+import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark import registry
 from quillspark.functions import citations, markers, privacy, prose, text
 from quillspark.operators import graph, positions, review
 from quillspark.sources import docx, formats
 
+CASES: dict[str, tuple[Callable, list[str], list[tuple]]] = {}
 
-def _sql(value) -> str:
-    if isinstance(value, str):
-        return "'" + value.replace("'", "''") + "'"
-    if isinstance(value, list):
-        return "[" + ", ".join(map(_sql, value)) + "]"
-    return "NULL" if value is None else str(value).upper() if isinstance(value, bool) else f"{value}::DOUBLE" if isinstance(value, float) else str(value)
 
+def case(columns: str, *rows: tuple) -> Callable:
+    """State that a function returns ``rows`` of ``columns`` (names and types)."""
 
-def case(columns: str, *rows: tuple) -> Callable[[registry.Query], registry.Query]:
-    """Register a query that returns ``rows`` of ``columns`` (names and SQL types)."""
-    names = [c.split()[0] for c in columns.split(", ")]
-    cast = ", ".join('"{0}"::{1} AS "{0}"'.format(*c.split()) for c in columns.split(", "))
-    values = ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in rows)
-    return registry.query(f"SELECT {cast} FROM (VALUES {values}) t({', '.join(f'"{n}"' for n in names)})")
+    def note(f: Callable) -> Callable:
+        CASES[f.__name__] = f, [c.split()[0] for c in columns.split(", ")], list(rows)
+        return f
+
+    return note
 
 
 # outlines ---------------------------------------------------------------------------
@@ -520,3 +516,11 @@ def case_docx_contents(spark: SparkSession, folder: str) -> DataFrame:
 @case("idx INTEGER, note_text VARCHAR", (5, "Note"))
 def case_docx_footnotes(spark: SparkSession, folder: str) -> DataFrame:
     return docx.footnotes(_paragraphs(spark)).select("idx", "note_text")
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_case(spark, name):
+    f, columns, rows = CASES[name]
+    df = f(spark, "")
+    assert sorted(df.columns) == sorted(columns)
+    assert sorted((tuple(r) for r in df.select(*columns).collect()), key=repr) == sorted(rows, key=repr)
