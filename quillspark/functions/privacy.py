@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.functions import text as text_forms
 from quillspark.functions.arrays import let
 
 # Patterns of e-mails, student numbers and phones.
@@ -20,13 +21,20 @@ STUDENT = (
 PHONE_LABELLED = r"(?iu)\b(?:tel(?:\.|efon)?|mobil(?:funk)?|handy|phone|fax|t\.|tel\s*nr\.?)\s*[:.]?\s*([+]?[\d\s./()-]{7,20}\d)"
 PHONE_ABROAD = r"(?<![\d])\+\d{1,3}[\s./()-]*(?:\d[\s./()-]*){6,15}\d"
 DATE_LIKE = r"^\d{1,2}[./-]\d{1,2}[./-]\d{2,4}$|^\d{4}-\d{2}-\d{2}$|^\d{2}\.\d{2}\.\d{4}$"
-TITLES = re.compile(r"\b(?:prof(?:essor)?|dr|ph\.?\s*d|m\.?\s*a|b\.?\s*a|m\.?\s*sc|b\.?\s*sc|hon|sir|mr|mrs|ms|mme|sra|sr|dipl[.-]?ing|mag|doc|phil|theol|med|iur|nat|h\.\s*c)\.?(?=\W|$)", re.I)
+TITLES = re.compile(text_forms.TITLES, re.ASCII)
+
+
+# Headings of first chapters, which end the front matter.
+FIRST_CHAPTERS = (
+    "einleitung|einf(?:ue|ü)hrung|introduction|introduzione|introducci[oó]n|introdu[cç][aã]o|inleiding|wst[eę]p|[uú]vod|inledning|indledning|innledning|johdanto|εισαγωγή|giri[şs]|введение|"
+    "序論|序章|引言|前言|序|chapter\\s+1|chapitre\\s+1|kapitel\\s+1|cap[ií]tulo\\s+1|capitolo\\s+1|hoofdstuk\\s+1|rozdzia[lł]\\s+1|kapitola\\s+1|kapitel\\s+ett|αʹ\\s*κεφάλαιο|глава\\s+1|第一章|الفصل\\s+الأول|المقدمة|مقدمة"
+)
 
 
 def front_matter(text: Column, most: int = 10_000) -> Column:
     """The first characters, cut before the first chapter's heading."""
     head = F.substring(text, 1, most)
-    at = F.regexp_instr(head, F.lit(r"(?imu)^\s*(?:\d+(?:\.\d+)*\s+)?(?:einleitung|einführung|introduction|introducción|kapitel 1|chapter 1|chapitre 1)\b"))
+    at = F.regexp_instr(head, F.lit(rf"(?imu)^\s*(?:\d+(?:\.\d+)*\s+)?(?:{FIRST_CHAPTERS})\b"))
     return F.when(at > 201, F.substring(head, F.lit(1), at - 1)).otherwise(head)
 
 
@@ -73,6 +81,12 @@ def contact_seeds(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return docs.select(F.col(doc_id).alias("document_id"), F.explode(contact_seeds_of(text)).alias("s")).select("document_id", "s.*")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def variants_of(names: pd.Series) -> pd.Series:
+    """``name_variants`` of a column."""
+    return names.map(lambda x: name_variants(x) if x else [])
+
+
 def name_variants(name: str) -> list[str]:
     """Forms a person's name may have in a text, the longest first."""
     plain = re.sub(r"^[ ,;:.-]+|[ ,;:.-]+$", "", " ".join(TITLES.sub("", name).split()))
@@ -246,10 +260,16 @@ def redact_again(docs: DataFrame, done: DataFrame, seeds: str = "seeds") -> Data
     return new.join(done.select("document_id", "outline_status"), "document_id", "left")
 
 
+# Labels of a work's title.
+TITLE_LABELS = "titel|title|titre|t[íi]tulo|titolo|onderwerp|otsikko|tittel|nadpis|başlık|название|θέμα|عنوان|主題|题目|제목"
+
+
 def title_hint(text: Column, misc: Column) -> Column:
-    """A work's title: what follows its label, else the first name of a work
-    (``misc``: array of strings) of 12 to 200 characters."""
-    label = r"(?iu)\b(?:titel|title|titre|título|titolo)\s*[:.]?\s*([^.\n]{8,200})"
-    named = F.trim(F.regexp_replace(F.regexp_extract(front_matter(text), label, 1), r"\s+", " "))
+    """A work's title: what follows its first label up to the end of the sentence
+    or line (else 200 characters) if that is eight characters or more, else the
+    first name of a work (``misc``: array of strings) of 12 to 200 characters."""
+    tail = F.regexp_extract(front_matter(text), rf"(?isu)\b(?:{TITLE_LABELS})\s*[:.]?\s*(.*)$", 1)
+    ended = F.regexp_extract(tail, r"^([^.\n]+(?:\.[^.\n]*)*?)(?:[.!?](?=\s+\p{Lu}|\s*$|\s*\n)|\n)", 1)
+    named = F.trim(F.regexp_replace(F.when(ended != "", ended).otherwise(F.substring(tail, 1, 200)), r"\s+", " "))
     fit = F.filter(misc, lambda x: F.length(x).between(12, 200))
     return F.when(F.length(named) >= 8, named).otherwise(F.trim(F.get(fit, F.lit(0))))

@@ -96,13 +96,13 @@ NO_TITLE_WORDS = (
     "anhang anhänge anhange einleitung fazit zusammenfassung abstract vorwort danksagung erklärung erklaerung eidesstattliche selbstständigkeitserklärung selbststaendigkeitserklaerung "
     "einverständniserklärung einverstaendniserklaerung lebenslauf introduction conclusion appendix appendices bibliography references acknowledgements preface foreword glossary kapitel chapter chapitre"
 ).split()
-_TITLES = r"(?i)\b(?:prof(?:essor)?|dr|ph\.?\s*d|m\.?\s*a|b\.?\s*a|m\.?\s*sc|b\.?\s*sc|hon|priv[.-]?doz|sir|mr|mrs|ms|mme|sra|sr|dipl[.-]?ing|mag|doc|kand|ass|phil|theol|med|iur|nat|h\.\s*c|h\.c)\.?(?=\b)"
+TITLES = r"(?i)\b(?:prof(?:essor)?|dr|ph\.?\s*d|m\.?\s*a|b\.?\s*a|m\.?\s*sc|b\.?\s*sc|hon|priv[.-]?doz|sir|mr|mrs|ms|mme|sra|sr|dipl[.-]?ing|mag|doc|kand|ass|phil|theol|med|iur|nat|h\.\s*c|h\.c)\.?(?=\b)"
 
 
 def title_word(title: Column) -> Column:
     """The first word of a title that says something: of four letters or more,
     no function word, capitalised if there is such a one."""
-    plain = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(title, _TITLES, ""), r"\s+", " ")), "^[ ,;:.-]+|[ ,;:.-]+$", ""), r"[^\p{L}\p{N}\s-]", " ")
+    plain = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(title, TITLES, ""), r"\s+", " ")), "^[ ,;:.-]+|[ ,;:.-]+$", ""), r"[^\p{L}\p{N}\s-]", " ")
     words = F.filter(F.split(plain, r"\s+"), lambda x: F.length(x) >= 4)
     telling = F.filter(words, lambda x: ~F.lower(x).isin(NO_TITLE_WORDS))
     large = F.filter(telling, lambda x: x.rlike("^[A-ZÄÖÜÅÆØÀ-ɏ]"))

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.arrays import let
+from quillspark.functions.citations import citations_of
+
 
 def has_entry(stack: str, **wanted) -> Column:
     """Does an array of structs hold one with all these fields (containment)?"""
@@ -20,23 +23,46 @@ def has_entry(stack: str, **wanted) -> Column:
     return F.coalesce(F.exists(stack, same), F.lit(False))
 
 
-def distinctive_tokens(text: Column, stop: Sequence[str], least: int = 4) -> Column:
-    """Capitalised words of at least ``least`` letters, without stop words."""
-    found = F.regexp_extract_all(text, F.lit(rf"(?<!\p{{L}})(\p{{Lu}}[\p{{L}}-]{{{least - 1},}})"), F.lit(1))
-    return F.array_sort(F.array_distinct(F.array_except(found, F.array(*[F.lit(x) for x in stop]))))
+# Capitalised words that tell nothing of what a paragraph stands on.
+COMMON_WORDS = (
+    "Der Die Das Den Dem Des Ein Eine Einer Eines Einem Einen Diese Dieser Dieses Diesen Diesem Jene Jener Jenes Jenen Jenem Welcher Welche Welches "
+    "Aber Doch Denn Daher Dabei Dadurch Damit Daran Darin Darüber Darum Darauf Davon Demnach Dennoch Deshalb Deswegen Hierbei Hierfür Hierzu Hingegen Insgesamt Ferner Schließlich Zudem Zugleich "
+    "Im Am Um In An Auf Über Unter Vor Nach Neben Bei Mit Aus Ohne Durch Für Wegen Beim Vom Zum Zur Ans Aufs Und Oder Sowie Wenn Weil Wobei Während Obwohl Sodass Dass "
+    "Studie Untersuchung Forschung Analyse Befund Befunde Ergebnis Ergebnisse Beispiel Beispiele Kapitel Abschnitt Punkt Teil Tabelle Abbildung Diagramm Daten Material Sample Korpus Fall Falls Fälle "
+    "Anfang Beginn Ende Mitte Schluss Stand Jahr Tag Monat Woche Stunde Phase Stufe Etappe Periode Zeitraum "
+    "Januar Februar März April Mai Juni Juli August September Oktober November Dezember Vgl Siehe Ebd Hrsg Hg Etc Bzw "
+    "Werk Werke Text Texte Aussage Aussagen Frage Fragen Antwort Antworten Begriff Begriffe Thema Themen Sache Sachen Form Formen Ebene Ebenen Aspekt Aspekte Punkt Punkte"
+).split()
+# A word that may be distinctive, four letters or more.
+PROPER = r"\b([A-ZÄÖÜ][A-Za-zÄÖÜäöüß'-]{3,})\b"
+
+
+def distinctive_tokens(text: Column) -> Column:
+    """array<struct<token, kind>>: last names of cited first authors
+    (``citation``), and other capitalised words (``proper_noun``), without
+    common ones, each once."""
+    common = F.array(*[F.lit(x) for x in dict.fromkeys(COMMON_WORDS)])
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit(PROPER.replace(r"\b(", "(?<![A-Za-z0-9_])(").replace(r")\b", ")(?![A-Za-z0-9_])")), F.lit(1)))
+    stems = F.array_distinct(F.transform(citations_of(text), lambda c: F.element_at(F.split(F.get(c["authors"], F.lit(0)), r"\s+"), -1)))
+
+    def told(both: Column) -> Column:
+        kind = lambda x: F.when(F.array_contains(both["stems"], x), "citation").otherwise("proper_noun")
+        return F.transform(F.array_except(F.array_union(both["words"], both["stems"]), common), lambda x: F.struct(x.alias("token"), kind(x).alias("kind")))
+
+    return let(F.struct(words.alias("words"), stems.alias("stems")), told)
 
 
 def grounding(paragraphs: DataFrame, tokens: Column) -> DataFrame:
-    """For each token of each paragraph where its container used it before:
-    (document_id, container, char_start, token, n_prior, nearest, first).
+    """For each token (token, kind) of each paragraph where its container used it
+    before: (document_id, container, char_start, token, kind, n_prior, nearest, first).
 
     Paragraphs have (document_id, container, char_start, content).  A window
     over (container, token) replaces the join of every paragraph with all
     before it, so the cost is one row for each token used.
     """
-    t = paragraphs.select("document_id", "container", "char_start", F.explode(tokens).alias("token"))
+    t = paragraphs.select("document_id", "container", "char_start", F.explode(tokens).alias("t")).select("document_id", "container", "char_start", "t.token", "t.kind")
     w = Window.partitionBy("document_id", "container", "token").orderBy("char_start").rowsBetween(Window.unboundedPreceding, -1)
-    return t.select("document_id", "container", "char_start", "token", F.count("*").over(w).alias("n_prior"), F.max("char_start").over(w).alias("nearest"), F.min("char_start").over(w).alias("first"))
+    return t.select("document_id", "container", "char_start", "token", "kind", F.count("*").over(w).alias("n_prior"), F.max("char_start").over(w).alias("nearest"), F.min("char_start").over(w).alias("first"))
 
 
 def plan_order(e: DataFrame) -> DataFrame:

@@ -25,17 +25,20 @@ def plan_steps(spark: SparkSession, folder: str) -> DataFrame:
     return review.plan_order(document_elements(spark, folder))
 
 
-_STOP = ("That", "This", "With", "From")
+_WORD = "(?:^|[^A-Za-z0-9_])([A-ZÄÖÜ][A-Za-zÄÖÜäöüß'-]{3,})"
 
 
 @query(f"""{E}, b AS (SELECT *, sum((element_type = 'heading')::INT) OVER ({W}) AS container FROM e),
-t AS (SELECT DISTINCT document_id, container::BIGINT AS container, char_start, unnest(regexp_extract_all(content, '(?:^|[^\\p{{L}}])(\\p{{Lu}}[\\p{{L}}-]{{3,}})', 1)) AS token FROM b WHERE element_type = 'paragraph')
-SELECT *, count(*) OVER w AS n_prior, max(char_start) OVER w AS nearest, min(char_start) OVER w AS first FROM t WHERE token NOT IN {_STOP}
-WINDOW w AS (PARTITION BY document_id, container, token ORDER BY char_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+c AS (SELECT document_id, container::BIGINT AS container, char_start, unnest(regexp_extract_all(content, {_WORD!r}, 1)) AS token FROM (SELECT * REPLACE (content || CASE WHEN char_start % 3 = 0 THEN ' Quell (2012)' ELSE '' END AS content) FROM b WHERE element_type = 'paragraph')),
+t AS (SELECT DISTINCT document_id, container, char_start, regexp_replace(token, '[''-]+$', '') AS token FROM c)
+SELECT *, CASE WHEN token = 'Quell' THEN 'citation' ELSE 'proper_noun' END AS kind, count(*) OVER w AS n_prior, max(char_start) OVER w AS nearest, min(char_start) OVER w AS first FROM t WHERE length(token) >= 4 AND token NOT IN ({', '.join(repr(x) for x in review.COMMON_WORDS)})
+WINDOW w AS (PARTITION BY document_id, container, token ORDER BY char_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""".replace('"(?:^', "'(?:^").replace('{3,})"', "{3,})'").replace("üß'-]{3", "üß''-]{3"))
 def grounded_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinctive words of paragraphs and where their unit used them before."""
+    """Distinctive words and cited authors of paragraphs, and where their unit
+    used them before; every third paragraph is given a citation."""
     b = pos.blocks(document_elements(spark, folder)).where("element_type = 'paragraph'").withColumnRenamed("block", "container")
-    return review.grounding(b, review.distinctive_tokens(F.col("content"), _STOP))
+    cited = F.concat("content", F.when(F.col("char_start") % 3 == 0, " Quell (2012)").otherwise(""))
+    return review.grounding(b, review.distinctive_tokens(cited))
 
 
 @query(f"""{E}, d AS (SELECT *, last_value(function_type IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING) AS t FROM e), p AS (SELECT * FROM d WHERE element_type = 'paragraph'),

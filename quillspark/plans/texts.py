@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import citations, markers, privacy, text
+from quillspark.functions import markers, privacy, text
 from quillspark.registry import query
 from quillspark.sources import export, formats
 from quillspark.sources.tables import ELEMENTS_SQL, document_elements, table
@@ -112,13 +112,6 @@ def marked_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return out.where("size(findings) > 0 or question or method or plan.is_plan").select("document_id", "char_start", F.size("findings").alias("n_findings"), "question", "method", "plan.is_plan")
 
 
-@query()
-def cited_authors(spark: SparkSession, folder: str) -> DataFrame:
-    """Mentions of authors in paragraphs."""
-    p = document_elements(spark, folder).where("element_type = 'paragraph'").select("document_id", "char_start", F.col("content").alias("text"))
-    return citations.mentions(p)
-
-
 _RULES = " ".join(f"WHEN regexp_matches(content, {_quoted('(?i)' + p)}) THEN {{'type': '{kind}', 'granularity': '{markers.GRANULARITY[kind]}', 'confidence': {confidence}::DOUBLE}}" for p, kind, confidence in markers.HEADING_RULES)
 
 

@@ -147,7 +147,7 @@ def paragraphs(files: DataFrame) -> DataFrame:
                     rows.append({"document_id": key, "idx": -1, "error": f"{type(e).__name__}: {e}"})
             yield pa.RecordBatch.from_pylist(rows, SCHEMA)
 
-    return files.select("document_id", "content").mapInArrow(read, ROWS)
+    return files.select(F.col("document_id").cast("string").alias("document_id"), "content").mapInArrow(read, ROWS)
 
 
 def _is_caption() -> Column:
