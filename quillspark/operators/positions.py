@@ -5,8 +5,12 @@ All windows are partitioned by document; the sort they share is done once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def order(key: str = "document_id", by: str = "char_start"):
@@ -67,53 +71,72 @@ def runs(df: DataFrame, key: str, by: str, value: Column) -> DataFrame:
     return df.withColumn("_c", change).withColumn("run", F.sum("_c").over(upto(w))).drop("_c")
 
 
+def _folded(rows: DataFrame, start, step, add: str, kind: pa.DataType) -> DataFrame:
+    """``rows``, which hold whole documents in order, with the column ``add``: what
+    ``step(state, row)`` returns, the state beginning anew with each document.
+    A task goes through its rows once; nothing but the state is kept."""
+    src = rows.select(F.struct("*").alias("row"))
+    schema = T.StructType([src.schema["row"], T.StructField("_new", T.StringType() if kind == pa.string() else T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document, state = object(), None
+        for b in batches:
+            out, row = [], b.column(0)
+            names = [row.type.field(k).name for k in range(row.type.num_fields)]
+            columns = {c: row.field(names.index(c)).to_pylist() for c in ("document_id", "char_start", "level", *(x for x in ("_counted",) if x in names))}
+            for k, own in enumerate(columns["document_id"]):
+                if own != document:
+                    document, state = own, start()
+                out.append(step(state, {c: v[k] for c, v in columns.items()}))
+            yield pa.record_batch([row, pa.array(out, kind)], names=["row", "_new"])
+
+    return src.mapInArrow(run, schema).select("row.*", F.col("_new").alias(add))
+
+
 def numbering(e: DataFrame) -> DataFrame:
     """Headings with their outline number, to any depth: at each level the count
     of headings since the last one of a smaller level; skipped levels read 0.
-    Headings that are ``excluded`` (a column that may be there) have none and
-    count for nothing.
+    Headings that are ``excluded`` (a column that may be there) and those without
+    a level have none and count for nothing.
 
-    The counters are a fold over the headings of a document, in its order: one
-    array for each document, of headings only.
+    The counters go along the headings of a document, in its order.
     """
     counted = ~F.coalesce(F.col("excluded"), F.lit(False)) if "excluded" in e.columns else F.lit(True)
-    out = e.where(is_heading()).withColumn("_counted", counted)
-    levels = F.array_sort(F.collect_list(F.when(F.col("_counted"), F.struct("char_start", "level"))))
-    zero = F.array().cast("array<int>")
+    rows = e.where(is_heading()).withColumn("_counted", counted & F.col("level").isNotNull()).repartition("document_id").sortWithinPartitions("document_id", "char_start")
 
-    def step(acc: Column, h: Column) -> Column:
-        now = acc["now"]
-        last = F.element_at(F.concat(now, F.array_repeat(F.lit(0), h["level"])), h["level"])
-        kept = F.slice(F.concat(now, F.array_repeat(F.lit(0), h["level"])), F.lit(1), h["level"] - 1)
-        new = F.array_append(kept, last + 1)
-        return F.struct(new.alias("now"), F.array_append(acc["all"], F.struct(h["char_start"].alias("char_start"), F.array_join(new.cast("array<string>"), ".").alias("numbering"))).alias("all"))
+    def step(now: list[int], h: dict) -> str | None:
+        if not h["_counted"]:
+            return None
+        now.extend([0] * (h["level"] - len(now)))
+        now[h["level"] - 1] += 1
+        del now[h["level"] :]
+        return ".".join(map(str, now))
 
-    start = F.struct(zero.alias("now"), F.array().cast("array<struct<char_start:bigint,numbering:string>>").alias("all"))
-    numbers = out.groupBy("document_id").agg(levels.alias("l")).select("document_id", F.explode(F.aggregate("l", start, step, lambda a: a["all"])).alias("n")).select("document_id", "n.*")
-    return out.join(numbers, ["document_id", "char_start"], "left").withColumn("numbering", F.when(F.col("_counted"), F.col("numbering"))).drop("_counted")
+    return _folded(rows, list, step, "numbering", pa.string()).drop("_counted")
 
 
 def unit_ends(e: DataFrame) -> DataFrame:
     """Headings with the start of the next heading of the same or a smaller
-    level, or the end of the document, to any depth.
+    level, or the end of the document, to any depth; a heading without a level
+    ends with the document and ends no other.
 
-    A heading's unit ends where the least level of what follows first falls to
-    its own.  Going backwards that is a stack of open levels; it is folded here
-    as a map from level to the next start, of which those above the level of
-    the heading at hand go: one array for each document, of headings only.
+    Going backwards the open headings are a stack, of which those above the level
+    of the heading at hand go: each comes and goes once.
     """
     end = F.max("char_end").over(Window.partitionBy("document_id"))
-    out = e.withColumn("text_end", end).where(is_heading())
-    back = F.reverse(F.array_sort(F.collect_list(F.struct("char_start", "level"))))
-
-    def step(acc: Column, h: Column) -> Column:
-        open_ = F.filter(acc["open"], lambda o: o["level"] <= h["level"])  # nearest last
-        ended = F.when(F.size(open_) > 0, F.element_at(open_, -1)["char_start"])
-        return F.struct(F.array_append(open_, F.struct(h["char_start"].alias("char_start"), h["level"].alias("level"))).alias("open"), F.array_append(acc["all"], F.struct(h["char_start"].alias("char_start"), ended.alias("ended"))).alias("all"))
-
-    start = F.struct(F.array().cast("array<struct<char_start:bigint,level:int>>").alias("open"), F.array().cast("array<struct<char_start:bigint,ended:bigint>>").alias("all"))
-    ends = out.groupBy("document_id").agg(back.alias("l")).select("document_id", F.explode(F.aggregate("l", start, step, lambda a: a["all"])).alias("n")).select("document_id", "n.*")
-    return out.join(ends, ["document_id", "char_start"]).withColumn("unit_end", F.coalesce("ended", "text_end")).drop("ended")
+    rows = e.withColumn("text_end", end).where(is_heading()).sortWithinPartitions("document_id", F.desc("char_start"))  # the window keeps documents together
+
+    def step(above: list[tuple[int, int]], h: dict) -> int | None:
+        if h["level"] is None:
+            return None
+        while above and above[-1][0] > h["level"]:
+            above.pop()
+        ended = above[-1][1] if above else None
+        above.append((h["level"], h["char_start"]))
+        return ended
+
+    out = _folded(rows, list, step, "_ended", pa.int64())
+    return out.withColumn("unit_end", F.coalesce("_ended", "text_end")).drop("_ended")
 
 
 def complexes(e: DataFrame) -> DataFrame:

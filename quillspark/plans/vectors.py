@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,15 +89,39 @@ def outliers(spark: SparkSession, folder: str) -> DataFrame:
     return s.select("label", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
-def nearest_pairs(a: DataFrame, b: DataFrame, limit: int, block: int = 256) -> DataFrame:
+def _nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """For each vector of ``a`` its nearest of ``b``; sums in the order of the
+    components, so that equal vectors are equally near."""
+    x, y = np.stack(a["v"]), np.stack(b["v"])
+    dots, nx, ny = np.zeros((len(x), len(y))), np.zeros(len(x)), np.zeros(len(y))
+    for k in range(x.shape[1]):
+        dots += x[:, k, None] * y[None, :, k]
+        nx += x[:, k] ** 2
+        ny += y[:, k] ** 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s = np.where((nx[:, None] > 0) & (ny > 0), dots / np.sqrt(nx[:, None] * ny), -np.inf)
+    at = s.argmax(1)  # the first of equals
+    near = pd.DataFrame({"a_id": a["vec_id"].to_numpy(), "b_id": b["vec_id"].to_numpy()[at], "s": s[np.arange(len(x)), at]})
+    return near[np.isfinite(near["s"])]
+
+
+def nearest_pairs(a: DataFrame, b: DataFrame, limit: int, block: int = 2048) -> DataFrame:
     """The ``limit`` most similar of the pairs that each vector of ``a`` makes
-    with its nearest of ``b``.  The vectors of ``a`` are taken in blocks, the
-    vectors of ``b`` are spread; each task keeps one nearest of its part of
-    ``b`` for each vector of a block."""
-    sets = a.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(block))).groupBy("_block").agg(F.collect_list(F.struct(F.col("vec_id").alias("a_id"), F.col("v").alias("q"))).alias("_set"))
-    each = b.join(sets).select("vec_id", F.explode(F.transform("_set", lambda s: F.struct(s["a_id"].alias("a_id"), cosine("v", s["q"]).alias("s")))).alias("p"))
-    best = each.groupBy(F.col("p.a_id").alias("a_id")).agg(F.min(F.struct((-F.col("p.s")).alias("s"), "vec_id")).alias("m"))
-    return best.orderBy("m.s", "a_id").limit(limit).select("a_id", F.col("m.vec_id").alias("b_id"), F.round(-F.col("m.s"), 6).alias("similarity"))
+    with its nearest of ``b``.  Both sides are dealt to blocks of about ``block``
+    vectors; a task compares a block of each and returns one row for each vector
+    of ``a``, so no row or task grows with the tables.  Vectors are of one length."""
+    blocks = lambda df: max(1, -(-df.count() // block))
+    na, nb = blocks(a), blocks(b)
+    dealt = lambda df, n: df.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("own"))
+    every = lambda df, n, own, other: df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumnRenamed("own", own)
+    left, right = every(dealt(a, na), nb, "x", "y"), every(dealt(b, nb), na, "y", "x")
+
+    def near(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        return _nearest(p, q.sort_values("vec_id")) if len(p) and len(q) else pd.DataFrame({"a_id": [], "b_id": [], "s": []})
+
+    each = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(near, "a_id long, b_id long, s double")
+    best = each.groupBy("a_id").agg(F.min(F.struct((-F.col("s")).alias("s"), "b_id")).alias("m"))
+    return best.orderBy("m.s", "a_id").limit(limit).select("a_id", "m.b_id", F.round(-F.col("m.s"), 6).alias("similarity"))
 
 
 @query(f"""{V}, s AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, list_cosine_similarity(a.v, b.v) AS similarity FROM v a JOIN v b ON a.label = 1 AND b.label = 2),

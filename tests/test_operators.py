@@ -238,3 +238,39 @@ def test_tables_of_contents(spark):
     assert got == [(0, "1 Start", 1, 2, False), (1, "1.1 Next", 2, 3, True)]
     e = docx.document_elements(p).orderBy("seq").collect()
     assert [(r["element_type"], r["content"], r["level"]) for r in e] == [("toc_entry", "1 Start .... 3", None), ("toc_entry", "1.1 Next 4", None), ("heading", "1 Start", 1), ("heading", "1.2 Next", 2), ("paragraph", "again", None), ("heading", "Literatur", 1), ("paragraph", "Klein", None), ("paragraph", "Groß", None)]
+
+
+def test_outlines_of_many_headings_take_linear_time(spark):
+    """One document of a hundred thousand headings, and some of one."""
+    import time
+
+    e = spark.range(100_000).select(F.lit("d").alias("document_id"), (F.col("id") * 10).alias("char_start"), (F.col("id") * 10 + 5).alias("char_end"), F.lit("heading").alias("element_type"), (F.xxhash64("id") % 5 + 6).cast("int").alias("level"))
+    e = e.unionByName(spark.createDataFrame([("x", 0, 4, "heading", None), ("y", 0, 4, "heading", 3), ("y", 9, 12, "heading", None)], "document_id string, char_start long, char_end long, element_type string, level int"))
+    began = time.perf_counter()
+    numbers, ends = positions.numbering(e).collect(), positions.unit_ends(e).collect()
+    assert time.perf_counter() - began < 30 and len(numbers) == len(ends) == 100_003
+    level = {(r["document_id"], r["char_start"]): r["level"] for r in ends}
+    for r in ends[:2000]:
+        if r["level"] is not None and r["document_id"] == "d":
+            later = (at for at in range(r["char_start"] + 10, 1_000_000, 10) if level["d", at] <= r["level"])
+            assert r["unit_end"] == next(later, 999_995)
+    got = {(r["document_id"], r["char_start"]): r["numbering"] for r in numbers if r["document_id"] != "d"}
+    assert got == {("x", 0): None, ("y", 0): "0.0.1", ("y", 9): None}
+
+
+def test_nearest_pairs_are_brute_force(spark):
+    import numpy as np
+
+    from quillspark.plans import vectors
+
+    rng = np.random.default_rng(2)
+    rows = [(k, [float(x) for x in rng.integers(-3, 4, 4)]) for k in range(160)] + [(200, [0.0] * 4), (300, [0.0] * 4)]
+    a, b = rows[::2], rows[1::2]
+    cos = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True)) / np.sqrt(sum(p * p for p in x) * sum(q * q for q in y))
+    best = [min((-cos(v, w), j, i) for j, w in b if any(w)) for i, v in a if any(v)]
+    want = sorted((round(s, 6), i, j) for s, j, i in best)[:25]
+    frame = lambda x: spark.createDataFrame(x, "vec_id long, v array<double>")
+    for block in (7, 2048):
+        got = [(-r["similarity"], r["a_id"], r["b_id"]) for r in vectors.nearest_pairs(frame(a), frame(b), 25, block).collect()]
+        assert [x[0] for x in got] == [x[0] for x in want] and {x[1]: x[2] for x in got}.items() <= {i: j for _, j, i in best}.items()
+    assert vectors.nearest_pairs(frame(a).limit(0), frame(b), 5).count() == 0
