@@ -375,3 +375,46 @@ def test_arrivals_are_all_rows_once(spark, sf):
         a.add(part)
     assert sorted(map(tuple, spark.read.parquet(a.folder).collect())) == sorted(map(tuple, e.collect()))
     assert Arrivals(e.limit(0), "event_id", 2).stream().isStreaming
+
+
+def test_redacted_documents_are_a_plain_replacement(spark):
+    """Contact data of texts found and replaced by plain Python."""
+    from quillspark.functions import privacy
+    from quillspark.plans import texts
+
+    rng = random.Random(9)
+    words = ["a.b@c.org", "12x@y.de,", "X@y.de", "Tel: 0911 123456", "Matrikel: 1234 5678", "+49 911 1234567", "word", "noch ein Wort.", "Fax: 01.02.2024", "(a.b@c.org)", "1234 5678"]
+    docs = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(14)))) for k in range(80)] + [(90, "")]
+
+    def seeds(t):
+        mail = [re.sub(r"^\d+(?=[A-Za-z][^@]*@)", "", x) for x in re.findall(privacy.EMAIL, t)]
+        student = [x for x in (re.sub(r"[\s./-]+", "", y) for y in re.findall(privacy.STUDENT.replace("(?iu)", "(?i)"), t)) if len(x) >= 4]
+        digits = lambda x: 7 <= len(re.sub(r"\D", "", x)) <= 16
+        near = [x.strip() for x in re.findall(privacy.PHONE_LABELLED.replace("(?iu)", "(?i)"), t)]
+        phone = [x for x in near if digits(x) and not re.search(privacy.DATE_LIKE, x)] + [x for x in (y.strip() for y in re.findall(privacy.PHONE_ABROAD, t)) if digits(x)]
+        for kind, values in (("email", mail), ("student_id", student), ("phone", phone)):
+            first = {}
+            for v in values:
+                first.setdefault(" ".join(v.split()).lower(), v)
+            yield from ((kind, v, f"[{kind.upper()}_{n + 1:03d}]") for n, v in enumerate(first.values()))
+
+    def plain(t):
+        found = sorted(seeds(t), key=lambda s: -len(s[1]))
+        taken, edits = set(), []
+        for kind, v, new in found:
+            left, right = privacy._EDGES[kind]
+            for m in re.finditer(left + r"\s+".join(map(re.escape, v.split())) + right, t, re.I):
+                if not taken & set(range(m.start(), m.end())):
+                    taken |= set(range(m.start(), m.end()))
+                    edits.append((m.start(), m.end(), new, kind))
+        out = t
+        for a, b, new, _ in sorted(edits, reverse=True):
+            out = out[:a] + new + out[b:]
+        return out, *(sum(e[3] == k for e in edits) for k in ("email", "phone", "student_id"))
+
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+        got = {r["document_id"]: (r["text"], r["n_email"], r["n_phone"], r["n_student_id"]) for r in texts.redacted_documents(spark, folder).collect()}
+    assert got == {k: plain(t) for k, t in docs} and sum(x[1] > 0 for x in got.values()) > 20
