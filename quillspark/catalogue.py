@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quillspark import registry
-from quillspark.plans import answers, changes, documents, logs, namings, projects, ranges, reviews, scans, texts, trees, vectors, work, writings  # noqa: F401  they register their queries
+from quillspark.plans import answers, changes, documents, logs, namings, outlines, projects, ranges, reviews, scans, texts, trees, vectors, work, writings  # noqa: F401  they register their queries
 from quillspark.streaming import folds, runs  # noqa: F401
 
 

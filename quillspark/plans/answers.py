@@ -223,3 +223,22 @@ def run_messages(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events").select(F.col("user_id").alias("run"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("step"), F.col("event_type").alias("kind"), "value")
     done = e.where("value >= 50 or value < 10").select("run", "step", (F.col("value") >= 50).alias("ok"))
     return review.progress(e.select("run", "step", "kind"), done)
+
+
+_LINKS = f"g AS (SELECT a.id AS f, b.id AS t FROM x {_TARGET} WHERE b.id IS NOT NULL), deg AS (SELECT id, count(*) AS n FROM (SELECT f AS id FROM g UNION ALL SELECT t FROM g) GROUP BY id)"
+
+
+@query(f"""WITH {_EDGES}, {_PLACES}, {_REFS}, {_LINKS}, c AS (SELECT k.unit, k.id AS node_id, (CASE i.f WHEN 'R' THEN 2 ELSE 0 END + (k.id IN (SELECT id FROM t WHERE id IS NOT NULL))::INT + least(coalesce(deg.n, 0), 4))::INTEGER AS score, k.pos, i.n
+  FROM k JOIN w ON w.unit = k.unit AND w.pos = k.pos JOIN i ON i.o = w.o AND 'A' || i.n = k.local LEFT JOIN deg ON deg.id = k.id)
+SELECT unit, node_id, score, row_number() OVER (PARTITION BY unit ORDER BY score DESC, pos, n)::INTEGER AS rank FROM c QUALIFY rank <= 12""")
+def argument_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """The twelve arguments of each unit that a review looks at first: by their
+    grounding, whether scaffolding stands on them, and their links."""
+    s = _stored(spark, folder)
+    nodes = s["nodes"].select("unit", "node_id", "position", "local_id", F.when(F.col("grounding") == "concrete", 2).when(F.col("grounding") == "namedropping", 1).otherwise(0).alias("g"))
+    degree = graph.degrees(s["edges"], "from_node", "to_node").withColumnRenamed("node", "node_id")
+    held = s["anchors"].select("node_id").distinct().withColumn("held", F.lit(True))
+    c = nodes.join(degree, "node_id", "left").join(held, "node_id", "left")
+    c = c.withColumn("score", graph.candidate_score(F.col("g"), F.coalesce("held", F.lit(False)), F.coalesce("degree", F.lit(0))))
+    rank = F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("score"), "position", F.substring("local_id", 2, 9).cast("int")))
+    return c.withColumn("rank", rank).where("rank <= 12").select("unit", "node_id", "score", "rank")

@@ -55,15 +55,16 @@ def streamed_latest(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""SELECT user_id, event_id FROM events WHERE event_type = 'purchase'""")
 def streamed_pending(spark: SparkSession, folder: str) -> DataFrame:
-    """Work done once though batches may be run again: what a batch brings is
-    joined against what is stored before it is appended."""
+    """Work done once though batches may be run again: each batch has a folder of
+    its own, which another run of it writes anew, and what it brings is joined
+    against what the batches before it have stored."""
     at = f"{scratch(spark)}/done-{uuid.uuid4().hex}"
     schema = "user_id long, event_id long"
-    spark.createDataFrame([], schema).write.parquet(at)
+    spark.createDataFrame([], schema).write.parquet(f"{at}/batch=-1")
 
     def work(batch: DataFrame, k: int) -> None:
-        have = spark.read.schema(schema).parquet(at)
-        batch.select("user_id", "event_id").join(have, ["user_id", "event_id"], "left_anti").write.mode("append").parquet(at)
+        have = spark.read.schema(f"{schema}, batch long").parquet(at).where(F.col("batch") < k)  # what a run of this batch that died left is no reason to skip
+        batch.select("user_id", "event_id").join(have, ["user_id", "event_id"], "left_anti").write.mode("overwrite").parquet(f"{at}/batch={k}")
 
     run_once(stream(spark, folder).where("event_type = 'purchase'"), "append", work)
-    return spark.read.schema(schema).parquet(at)
+    return spark.read.schema(f"{schema}, batch long").parquet(at).drop("batch")
