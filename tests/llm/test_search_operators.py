@@ -220,3 +220,28 @@ def test_pack_keeps_to_the_capacity(spark):
     total = sum(r["s"] for r in out)
     assert all(r["s"] <= 30_000 or r["n"] == 1 for r in out) and len(out) <= 2 + -(-total // 25_000)
     assert sharding.shards(df.limit(0)).count() == 0 and sharding.pack(df.limit(0), 100).count() == 0
+
+
+def test_short_buckets_are_skipped(monkeypatch):
+    """Of sixteen buckets of falling norms only those that may reach a window are scored."""
+    import pandas as pd
+
+    from quillspark.llm import common as c
+
+    rng = np.random.default_rng(6)
+    rows, seen = [], []
+    for k in range(16):
+        x = rng.integers(-30, 31, (50, 8)) // (1 + k)
+        keys = np.arange(k * 50, k * 50 + 50)
+        rows.append((8, 0, k, float((x * x).sum(1).max()), 50, c.pack(keys), c.pack(keys), ["b"] * 50, [r.astype(np.int16).tobytes() for r in x]))
+    frame = pd.DataFrame(rows, columns=[x.split()[0] for x in hard_negatives.BUCKETS.split(", ")])
+    a = rng.integers(-30, 31, 8).astype(np.int16)
+    size = float((a.astype(float) ** 2).sum())
+    least = -(1 << 63)
+    asked = pd.DataFrame([(8, 0, 9000, 1, 9001, 1, 0, 1 << 62, least, "a", size, a.tobytes())], columns=[x.split()[0] for x in hard_negatives.WINDOWS.split(", ")])
+    product = hard_negatives._product
+    monkeypatch.setattr(hard_negatives, "_product", lambda *x: (seen.append(1), product(*x))[1])
+    found = hard_negatives._look(frame, asked, False, 10)
+    every = sorted(((-int(np.frombuffer(x, np.int16).astype(int) @ a.astype(int)), k) for r in rows for k, x in zip(c.unpack(r[5], 50, np.int64)[0].tolist(), r[8], strict=True)))
+    assert [(-s, k) for s, k in zip(found["score"], found["key"], strict=True)] == [(s, k) for s, k in every if s <= 0][:10]
+    assert len(seen) < 8
