@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import intervals, state
 from quillspark.operators import namings as ops
+from quillspark.operators.positions import order, upto
 from quillspark.registry import query
-from quillspark.sources.tables import lines, table
+from quillspark.sources.tables import ELEMENTS_SQL, document_elements, lines, table
 
 AI = 0
 #: Ids of orders and suppliers among the namings.
@@ -347,3 +348,40 @@ def active_seeds(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""{_cte('acts')} SELECT naming_id, arg_max(designation, seq) FILTER (WHERE designation IS NOT NULL) AS designation, arg_max(inscription, seq) FILTER (WHERE inscription IS NOT NULL) AS inscription FROM acts GROUP BY naming_id""")
 def current_states(spark: SparkSession, folder: str) -> DataFrame:
     return state.latest(_table(spark, folder, "acts"), ["naming_id"], ["seq"], "designation", "inscription")
+
+
+@query(f"""{_cte('constructs')}, {ELEMENTS_SQL}, x AS (SELECT document_id, seq, char_start, last_value(CASE WHEN element_type = 'heading' AND function_type IS NOT NULL THEN content END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY char_start ROWS UNBOUNDED PRECEDING) AS heading FROM e),
+j AS (SELECT c.*, x.heading, x.char_start AS place FROM constructs c JOIN x ON x.document_id = c.document_id AND x.seq = c.anchor)
+SELECT document_id, heading, count(*) FILTER (WHERE kind = 'BEFUND') AS n_findings, count(*) FILTER (WHERE kind = 'PROFIL') AS n_profiles, min(place)::BIGINT AS first_place, max(place)::BIGINT AS last_place,
+  string_agg(json_extract_string(content, '$.text'), ' ' ORDER BY created_at, id) FILTER (WHERE kind = 'BEFUND') AS findings FROM j GROUP BY ALL""")
+def constructs_by_container(spark: SparkSession, folder: str) -> DataFrame:
+    """What was found in each container of a work: constructs of two kinds under
+    the nearest typed heading before what they are anchored at, with the range of
+    their places and the findings in the order they were made."""
+    typed = F.when((F.col("element_type") == "heading") & F.col("function_type").isNotNull(), F.col("content"))
+    e = document_elements(spark, folder).withColumn("heading", typed).drop("content")
+    e = e.withColumn("heading", F.last("heading", ignorenulls=True).over(upto(order()))).select("document_id", F.col("seq").alias("anchor"), "heading", F.col("char_start").alias("place"))
+    j = _table(spark, folder, "constructs").join(e, ["document_id", "anchor"])
+    finding = F.col("kind") == "BEFUND"
+    said = F.transform(F.array_sort(F.collect_list(F.when(finding, F.struct("created_at", "id", F.get_json_object("content", "$.text").alias("t"))))), lambda x: x["t"])
+    return j.groupBy("document_id", "heading").agg(F.count_if(finding).alias("n_findings"), F.count_if(F.col("kind") == "PROFIL").alias("n_profiles"), F.min("place").alias("first_place"), F.max("place").alias("last_place"), F.nullif(F.array_join(said, " "), F.lit("")).alias("findings"))
+
+
+@query("""WITH c AS (SELECT c_nationkey AS project, count(*) AS n_cases, count(*) FILTER (WHERE c_acctbal < 0) AS n_debtors FROM customer GROUP BY ALL), o AS (SELECT c_nationkey AS project, count(*) AS n_documents, max(o_orderdate) AS last_change, count(DISTINCT o_custkey) AS n_used FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+u AS (SELECT s_nationkey AS project, count(*) AS n_members FROM supplier GROUP BY ALL)
+SELECT n_nationkey AS project, n_name AS name, coalesce(n_members, 0) AS n_members, coalesce(n_cases, 0) AS n_cases, coalesce(n_documents, 0) AS n_documents, coalesce(n_cases, 0) - coalesce(n_used, 0) AS n_bare, last_change, row_number() OVER (ORDER BY last_change DESC NULLS LAST, n_name)::INTEGER AS place
+FROM nation LEFT JOIN c ON c.project = n_nationkey LEFT JOIN o ON o.project = n_nationkey LEFT JOIN u ON u.project = n_nationkey WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0)""")
+def project_overview(spark: SparkSession, folder: str) -> DataFrame:
+    """The projects that have a member in good standing, with their members,
+    cases, documents and cases without any, the latest changed first."""
+    from pyspark.sql import Window
+
+    c, o, s, n = (table(spark, folder, x) for x in ("customer", "orders", "supplier", "nation"))
+    cases = c.groupBy(F.col("c_nationkey").alias("project")).agg(F.count("*").alias("n_cases"))
+    used = o.join(c.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("project")), "o_custkey").groupBy("project", "o_custkey").agg(F.count("*").alias("n"), F.max("o_orderdate").alias("t"))
+    docs = used.groupBy("project").agg(F.sum("n").alias("n_documents"), F.max("t").alias("last_change"), F.count("*").alias("n_used"))
+    members = s.groupBy(F.col("s_nationkey").alias("project")).agg(F.count("*").alias("n_members"), F.max(F.col("s_acctbal") > 0).alias("_in"))
+    zero = lambda x: F.coalesce(x, F.lit(0).cast("long"))
+    out = n.select(F.col("n_nationkey").alias("project"), F.col("n_name").alias("name")).join(members.where("_in"), "project").join(cases, "project", "left").join(docs, "project", "left")
+    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("last_change"), "name"))  # a short list
+    return out.select("project", "name", zero("n_members").alias("n_members"), zero("n_cases").alias("n_cases"), zero("n_documents").alias("n_documents"), (zero("n_cases") - zero("n_used")).alias("n_bare"), "last_change", place.alias("place"))
