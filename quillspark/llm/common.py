@@ -14,6 +14,7 @@ are rows of their own; rows equal in both are copies and get equal results.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -225,6 +226,20 @@ def unpack_all(blobs, sizes, *kinds: type) -> list[np.ndarray]:
 PACKED = "part int, n int, blob binary"
 
 
+try:
+    _give_back = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # of the C library of Linux
+    _give_back = None
+
+
+def trim() -> None:
+    """Give the memory that this worker holds but does not use back to the
+    machine: workers stay for the next stages, beside those that run there."""
+    pa.default_memory_pool().release_unused()
+    if _give_back:
+        _give_back(0)
+
+
 def packed_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch(
         [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
@@ -264,6 +279,7 @@ def filtered(df: DataFrame, text: str, keep: Callable[[pa.Array], np.ndarray]) -
         for b in batches:
             texts = b.column(0).field(at)
             yield b.filter(pa.array(keep(texts if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type) else texts.cast(pa.string())), pa.bool_()))
+        trim()
 
     src = df.select(F.struct("*").alias("rest"))
     return src.mapInArrow(run, src.schema).select("rest.*")

@@ -50,7 +50,7 @@ from pyspark.sql import types as T
 from quillspark.llm import common as c
 
 ROOM = 1 << 19  # words that one group is meant for
-POOL = 1 << 25  # bytes of slices that a task holds before it sends them
+POOL = 1 << 24  # bytes of slices that a task holds before it sends them
 _HOT = -1 << 30  # the part of rows that name hot anchors
 
 
@@ -143,6 +143,8 @@ def _repeated_anchors(docs: DataFrame, window: int, anchor: int, groups: int, ho
             for p, x in c.by_part((h[first] >> c.U(40)).astype(np.int64) % groups, h[first], many.astype(np.int32), key[row], tie[row]):
                 out.append((p, len(x[0]), c.pack(*x)))
             yield c.packed_batch(out)
+            del out, h, row, hs, rs
+        c.trim()
 
     def decide(part: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if part[0] < 0:
@@ -291,7 +293,10 @@ def _repeats(docs: DataFrame, anchors: DataFrame, over: np.ndarray, window: int,
                     if pool.size > POOL:
                         yield c.packed_batch(list(pool.rows()))
                         pool.clear()
+                        c.trim()
         yield c.packed_batch(list(pool.rows()))
+        pool.clear()
+        c.trim()
 
     def subtree(part: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if part[0] < 0:
@@ -316,7 +321,10 @@ def _repeats(docs: DataFrame, anchors: DataFrame, over: np.ndarray, window: int,
         head = np.maximum.accumulate(np.where(np.append(True, depth < window), np.arange(len(order)), 0))
         key, tie, place = key[order], tie[order], place[order]
         later = (key != key[head]) | (tie != tie[head]) | (place != place[head])
-        return _frame(_Places(key[later], tie[later], place[later]).rows(groups))
+        found = _Places(key[later], tie[later], place[later])
+        del words, ofs, word, of, at, own, rank, shared, order, depth, head
+        c.trim()
+        return _frame(found.rows(groups))
 
     joined = docs.select("key", "tie", "text").join(anchors, ["key", "tie"], "left")
     packed = joined.select("key", "tie", "text", "anchors").mapInArrow(emit, c.PACKED).groupBy("part").applyInPandas(subtree, c.PACKED)
@@ -405,6 +413,7 @@ def strip_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
             part = pa.array([g > 0 for g in gone], pa.bool_())
             left = pa.array([not g or g < k for g, k in zip(gone, n, strict=True)], pa.bool_())
             yield pa.record_batch([b.column("rest"), pa.array(out, pa.binary()).cast(pa.string()), part], names=["rest", "text", "part"]).filter(left)
+        c.trim()
 
     done = both.mapInArrow(strip, T.StructType([src.schema["rest"], T.StructField("text", T.StringType()), T.StructField("part", T.BooleanType())]))
     new = {text: F.col("text"), n_chars: F.when(F.col("part"), F.length("text")).otherwise(F.col(f"rest.`{n_chars}`")) if n_chars in df.columns else None}
