@@ -276,17 +276,20 @@ def _left_out(page: _Page) -> list[bool]:
                 plain[0] += plain[k]
             k = doubt[parent[k]]
 
-    text_of = [0.0] * n
+    text_of, chars = [0.0] * n, [0] * n
     for k, text, share, _ in page.blocks:
         text_of[k] += (1 - share) * len(text)
+        chars[k] += len(text)
     for k in range(n - 1, 0, -1):
         text_of[parent[k]] += text_of[k]
+        chars[parent[k]] += chars[k]
+    told = any(chars[k] and not doubt[k] and page.tag[k] in ("article", "main") for k in range(1, n))  # the page says where its text is
     for k in range(1, n):
         around = doubt[parent[k]] if doubt[k] == k else doubt[k]
         if around and not page.off[k] and (page.tag[k] == "main" or page.tag[k] == "article" and doubt[k] != k and not page.pure[around] and 2 * text_of[k] > total):
             clear(around)
     for k in sorted((k for k in range(1, n) if doubt[k] == k and plain[k]), key=lambda k: (-plain[k], k)):
-        if not cleared[k] and plain[k] > 4 * plain[0] and plain[0] < OUTSIDE[not page.pure[k]]:
+        if not told and not cleared[k] and plain[k] > 4 * plain[0] and plain[0] < OUTSIDE[not page.pure[k]]:
             clear(k)
     out = page.off[:]
     for k in range(1, n):
