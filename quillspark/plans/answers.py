@@ -136,7 +136,7 @@ def anchor_labels(spark: SparkSession, folder: str) -> DataFrame:
 # other forms of answers
 
 
-@query("""WITH s AS (SELECT s_nationkey AS k, s_suppkey AS n, s_name, s_acctbal::INTEGER AS b FROM supplier)
+@query("""WITH s AS (SELECT s_nationkey AS k, s_suppkey AS n, s_name, floor(s_acctbal)::INTEGER AS b FROM supplier)
 SELECT 'n' || n_nationkey AS atom_id, 'value' AS part, 'SUMMARY' AS name, NULL::INTEGER AS n, NULL AS key, n_name || chr(10) || 'second line' AS value FROM nation WHERE n_regionkey <> 3
 UNION ALL SELECT 'n' || k, 'item', 'POINT', s.n, 'text', s_name FROM s JOIN nation ON n_nationkey = k WHERE n_regionkey <> 3
 UNION ALL SELECT 'n' || k, 'item', 'POINT', s.n, 'note', 'a ' || b || chr(10) || ' b' FROM s JOIN nation ON n_nationkey = k WHERE n_regionkey <> 3
@@ -144,7 +144,7 @@ UNION ALL SELECT 'n' || n_nationkey, 'failure', 'header-scan', NULL, NULL, NULL
 def structured_answers(spark: SparkSession, folder: str) -> DataFrame:
     """Sections and numbered items of answers, and the answers without any."""
     nation, supplier = table(spark, folder, "nation"), table(spark, folder, "supplier")
-    point = _text("## POINT ", F.col("s_suppkey"), "\ntext: ", F.col("s_name"), "\nnote:\n a ", F.col("s_acctbal").cast("decimal(20,2)").cast("decimal(20,0)"), "\n b")
+    point = _text("## POINT ", F.col("s_suppkey"), "\ntext: ", F.col("s_name"), "\nnote:\n a ", F.floor("s_acctbal").cast("int"), "\n b")
     points = supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", point.alias("t")))), lambda x: x.t), "\n").alias("points"))
     raw = _text("before\n# SUMMARY\n", F.col("n_name"), "\nsecond line\n", F.coalesce("points", F.lit("")), "\n### Other\nlost")
     answers = nation.join(points, "n_nationkey", "left").select(_text("n", F.col("n_nationkey")).alias("atom_id"), F.when(F.col("n_regionkey") == 3, "nothing of it").otherwise(raw).alias("raw_text"))
