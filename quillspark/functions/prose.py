@@ -1,17 +1,19 @@
 """Structured answers of models, read as tables.
 
 An answer is lines; a header line opens a section, a ``key:`` line a field, and
-lines after it continue the field.  Both are running sums over the lines of an
-answer, so all answers are read in one job.
+lines after it continue the field.  Argument graphs and assessments are read by
+expressions within the row of their answer; ``structured`` takes answers of any
+length, as running sums over their lines.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.arrays import let
 from quillspark.sources.tables import lines
 
 FIELD = r"^\s*([A-Za-z_][A-Za-z0-9_]*)\s*:\s*(.*)$"
@@ -73,46 +75,122 @@ GROUNDINGS = ("none", "namedropping", "abstract", "concrete")
 FUNCTIONS = ("textorganisatorisch", "didaktisch", "kontextualisierend", "rhetorisch")
 
 
+def _cut(rows: Column, opens: Callable[[Column], Column], made: Callable[[Column, Column], Column]) -> Column:
+    """``made(row, rows after it)`` for each row that opens a run of rows."""
+
+    def runs(own: Column, at: Column) -> Column:
+        return F.transform(at, lambda o, k: made(F.get(own, o), F.slice(own, o + 2, F.coalesce(F.get(at, k + 1), F.size(own)) - o - 1)))
+
+    places = lambda own: F.filter(F.transform(own, lambda x, i: F.when(opens(x), i)), lambda i: i.isNotNull())
+    return let(rows, lambda own: let(places(own), lambda at: runs(own, at)))
+
+
+def _row_sections(raw: Column, header: str) -> Column:
+    """array<struct<head, body>>: the sections of an answer that have lines."""
+    rows = F.transform(F.split(raw, "\n"), lambda x: F.when(x.contains("\r"), F.regexp_replace(x, r"\r$", "")).otherwise(x))
+    return F.filter(_cut(rows, lambda x: x.rlike(header), lambda head, body: F.struct(head.alias("head"), body.alias("body"))), lambda s: F.size(s["body"]) > 0)
+
+
+def _row_fields(body: Column) -> Column:
+    """array<struct<key, value>>: the fields of a section in their order."""
+    stripped = lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r"))
+    key = lambda x: F.lower(stripped(F.substring_index(x, ":", 1)))
+    value = lambda x, rest: F.when(F.size(rest) == 0, x).otherwise(F.concat_ws("\n", x, rest))
+    field = lambda x, rest: F.struct(key(x).alias("key"), stripped(value(F.regexp_extract(x, FIELD, 2), rest)).alias("value"))
+    return _cut(body, lambda x: x.contains(":") & x.rlike(FIELD), field)
+
+
+def _get(found: Column, *names: str) -> Column:
+    """The last value of the first of the names that a section has, else ''."""
+    last = lambda name: F.try_element_at(F.filter(found, lambda f: f["key"] == name), F.lit(-1))["value"]
+    return F.coalesce(*[last(n) for n in names], F.lit(""))
+
+
+def _first(sections: Column, key: Callable[[Column], Column]) -> Column:
+    """Of sections with the same key the first."""
+    keys = lambda own: F.sort_array(F.transform(own, lambda s, k: F.struct(key(s).alias("key"), k.alias("k"))))
+    return let(sections, lambda own: let(keys(own), lambda ks: F.transform(F.filter(ks, lambda x, i: (i == 0) | (F.get(ks, i - 1)["key"] != x["key"])), lambda x: F.get(own, x["k"]))))
+
+
+def _arguments(sections: Column) -> Column:
+    """array<struct<local_id, claim, anchor_phrase, grounding, premises>>, also of those without a claim."""
+    part = lambda s, k: F.upper(F.regexp_extract(s["head"], _HEADER, k))
+
+    def made(local: Column, f: Column) -> Column:
+        g = F.lower(_get(f, "grounding", "referential_grounding"))
+        kind = let(g, lambda x: F.when(x.isin(*GROUNDINGS), x).otherwise("none"))
+        return F.struct(local.alias("local_id"), _get(f, "claim").alias("claim"), _get(f, "anchor", "anchor_phrase").alias("anchor_phrase"), kind.alias("grounding"), _get(f, "premises").alias("premises"))
+
+    own = _first(F.filter(sections, lambda s: part(s, 1) != ""), lambda s: part(s, 2))
+    found = F.transform(own, lambda s: F.struct(part(s, 2).alias("l"), _row_fields(s["body"]).alias("f")))
+    return F.transform(F.filter(found, lambda x: F.size(x["f"]) > 0), lambda x: made(x["l"], x["f"]))
+
+
+def _scaffolding(sections: Column) -> Column:
+    """array<struct<local_id, excerpt, function_type, description, assessment, anchored_to, anchor_phrase>>."""
+    part = lambda s, k: F.upper(F.regexp_extract(s["head"], _HEADER, k))
+
+    def made(local: Column, f: Column) -> Column:
+        plain = F.substring(F.trim(F.regexp_replace(_get(f, "excerpt"), "^[\"„](.*)[\"“”]$", "$1")), 1, 1000)
+        kind = let(F.lower(_get(f, "function", "function_type")), lambda x: F.when(x.isin(*FUNCTIONS), x).otherwise("kontextualisierend"))
+        refs = F.filter(F.transform(F.split(_get(f, "anchored_to"), "[,;]"), lambda x: F.upper(F.trim(x))), lambda x: x.rlike(r"^(A\d+|§\d+:A\d+)$"))
+        return F.struct(
+            local.alias("local_id"), plain.alias("excerpt"), kind.alias("function_type"), _get(f, "description", "function_description").alias("description"),
+            _get(f, "assessment").alias("assessment"), refs.alias("anchored_to"), _get(f, "anchor", "anchor_phrase").alias("anchor_phrase"),
+        )
+
+    own = _first(F.filter(sections, lambda s: part(s, 5) != ""), lambda s: part(s, 5))
+    found = F.transform(own, lambda s: F.struct(part(s, 5).alias("l"), _row_fields(s["body"]).alias("f")))
+    whole = lambda f: (_get(f, "excerpt") != "") & (_get(f, "description", "function_description") != "") & (_get(f, "assessment") != "")
+    return F.transform(F.filter(found, lambda x: whole(x["f"])), lambda x: made(x["l"], x["f"]))
+
+
+_FRONT = r"(?i)^(\s*A\d+\s*-\s*(?:supports|refines|contradicts|presupposes)\s*->\s*)(.+)$"
+
+
+def _edge_lines(sections: Column) -> Column:
+    """array<struct<e, from_id, to_id, k>>: edges as written, one target each; ``k`` is empty if unreadable."""
+    rows = F.flatten(F.transform(F.filter(sections, lambda s: F.upper(F.regexp_extract(s["head"], _HEADER, 3)) != ""), lambda s: s["body"]))
+    rows = F.filter(F.transform(rows, lambda x: F.trim(F.regexp_replace(x, r"\s*\([^)]*\)\s*$", ""))), lambda x: x != "")
+    rows = F.transform(rows, lambda x: F.regexp_replace(F.regexp_replace(x, "-{1,3}>", "->"), "→", "->"))
+    targets = lambda x: F.filter(F.split(F.regexp_extract(x, _FRONT, 2), r"\s*,\s*"), lambda y: y != "")
+    each = F.flatten(F.transform(rows, lambda x: F.when(F.regexp_extract(x, _FRONT, 2).contains(","), F.transform(targets(x), lambda y: F.concat(F.regexp_extract(x, _FRONT, 1), y))).otherwise(F.array(x))))
+    m = lambda x, k: F.regexp_extract(x, _EDGE, k)
+    return F.transform(each, lambda x: F.struct(x.alias("e"), F.upper(m(x, 1)).alias("from_id"), F.upper(m(x, 3)).alias("to_id"), F.lower(m(x, 2)).alias("k")))
+
+
 def argument_graph(responses: DataFrame) -> dict[str, DataFrame]:
     """Tables ``arguments``, ``premises``, ``edges``, ``scaffolding`` and
-    ``warnings`` of answers (atom_id, raw_text)."""
-    is_head = F.col("content").rlike(_HEADER)
-    s = _sections(responses, is_head, is_head)
-    part = lambda k: F.upper(F.regexp_extract("head", _HEADER, k))
-    s = s.withColumn("kind", F.when(part(1) != "", "argument").when(part(3) != "", "edges").otherwise("scaffolding")).withColumn("local_id", F.concat(part(2), part(5)))
-    heads = s.groupBy("document_id", "kind", "local_id").agg(F.min("section").alias("section"))
-    f = fields(s.where("kind <> 'edges'")).withColumn("local_id", F.concat(part(2), part(5))).withColumn("kind", F.when(part(1) != "", "argument").otherwise("scaffolding"))
-    f = f.join(heads.select("document_id", "kind", "local_id", "section"), ["document_id", "kind", "local_id", "section"], "left_semi")
-    get = lambda *names: F.coalesce(*[F.max(F.when(F.col("key") == n, F.col("value"))) for n in names], F.lit(""))
-    wide = f.groupBy(F.col("document_id").alias("atom_id"), "kind", "local_id").agg(
-        get("claim").alias("claim"), get("anchor", "anchor_phrase").alias("anchor_phrase"), F.lower(get("grounding", "referential_grounding")).alias("g"), get("premises").alias("premises"),
-        F.lower(get("function", "function_type")).alias("f"), get("description", "function_description").alias("description"), get("assessment").alias("assessment"), get("excerpt").alias("excerpt"), get("anchored_to").alias("anchored"),
-    )
-    args = wide.where("kind = 'argument' and claim <> ''")
-    arguments = args.select("atom_id", "local_id", "claim", "anchor_phrase", F.when(F.col("g").isin(*GROUNDINGS), F.col("g")).otherwise("none").alias("grounding"))
-    line = F.regexp_replace("p", r"^\s*-\s+", "")
+    ``warnings`` of answers (atom_id, raw_text), and ``rows``: (atom_id,
+    arguments, edges, scaffolding) with all of an answer in one row.
+
+    An answer is read within its row, so nothing is shuffled; it is known by its
+    ``atom_id``.
+    """
+    s = responses.select("atom_id", _row_sections(F.col("raw_text"), _HEADER).alias("s"))
+    made = F.filter(_arguments(F.col("s")), lambda x: x["claim"] != "")
+    each = lambda column, name: s.select("atom_id", F.inline(column)) if name is None else s.select("atom_id", F.explode(column).alias(name))
+    args = each(made, None)
+
     form = r"(?i)^\s*(stated|carried|background)\b(?:\s*§\s*(\d+))?\s*:\s*(.+)$"
-    p = args.select("atom_id", "local_id", F.posexplode(F.split("premises", "\n")).alias("n", "p")).where(F.trim("p") != "").withColumn("p", line)
+    p = F.flatten(F.transform(made, lambda a: F.transform(F.split(a["premises"], "\n"), lambda x, n: F.struct(a["local_id"].alias("local_id"), n.alias("n"), x.alias("p")))))
+    p = each(F.transform(F.filter(p, lambda x: F.trim(x["p"]) != ""), lambda x: F.struct(x["local_id"], x["n"], F.regexp_replace(x["p"], r"^\s*-\s+", "").alias("p"))), None)
     kind = F.lower(F.regexp_extract("p", form, 1))
     premises = p.select("atom_id", "local_id", "n", F.when(kind == "", "stated").otherwise(kind).alias("type"), F.trim(F.when(kind == "", F.col("p")).otherwise(F.regexp_extract("p", form, 3))).alias("text"), F.nullif(F.regexp_extract("p", form, 2), F.lit("")).cast("int").alias("from_paragraph"))
-    raw = s.where("kind = 'edges'").select(F.col("document_id").alias("atom_id"), "seq", F.trim(F.regexp_replace("content", r"\s*\([^)]*\)\s*$", "")).alias("e")).where("e <> ''")
-    raw = raw.withColumn("e", F.regexp_replace(F.regexp_replace("e", "-{1,3}>", "->"), "→", "->"))
-    front = r"(?i)^(\s*A\d+\s*-\s*(?:supports|refines|contradicts|presupposes)\s*->\s*)(.+)$"
-    each = F.when(F.regexp_extract("e", front, 2).contains(","), F.transform(F.filter(F.split(F.regexp_extract("e", front, 2), r"\s*,\s*"), lambda x: x != ""), lambda x: F.concat(F.regexp_extract("e", front, 1), x))).otherwise(F.array("e"))
-    raw = raw.select("atom_id", "seq", F.explode(each).alias("e"))
-    m = lambda k: F.regexp_extract("e", _EDGE, k)
-    raw = raw.withColumn("from_id", F.upper(m(1))).withColumn("to_id", F.upper(m(3))).withColumn("k", F.lower(m(2)))
-    inner = ~F.col("to_id").startswith("§")
-    demoted = inner & (F.col("k") == "presupposes")
-    good = (F.col("k") != "") & ~F.col("to_id").startswith("§0:")
-    edges = raw.where(good).select("atom_id", "from_id", "to_id", F.when(demoted, "supports").otherwise(F.col("k")).alias("kind"), F.when(inner, "inter_argument").otherwise("prior_paragraph").alias("scope"))
-    refs = F.filter(F.transform(F.split("anchored", "[,;]"), lambda x: F.upper(F.trim(x))), lambda x: x.rlike(r"^(A\d+|§\d+:A\d+)$"))
-    sc = wide.where("kind = 'scaffolding' and excerpt <> '' and description <> '' and assessment <> ''")
-    plain = F.regexp_replace("excerpt", "^[\"„](.*)[\"“”]$", "$1")
-    scaffolding = sc.select("atom_id", "local_id", F.substring(F.trim(plain), 1, 1000).alias("excerpt"), F.when(F.col("f").isin(*FUNCTIONS), F.col("f")).otherwise("kontextualisierend").alias("function_type"), "description", "assessment", refs.alias("anchored_to"), "anchor_phrase")
-    odd = raw.where(~good | demoted).select("atom_id", F.when(F.col("k") == "", "unreadable edge").when(demoted, "presupposes made supports").otherwise("no paragraph 0").alias("what"), F.col("e").alias("at"))
-    lost = wide.where("kind = 'argument' and claim = ''").select("atom_id", F.lit("no claim").alias("what"), F.col("local_id").alias("at"))
-    return {"arguments": arguments, "premises": premises, "edges": edges, "scaffolding": scaffolding, "warnings": odd.unionByName(lost)}
+
+    inner = lambda x: ~x["to_id"].startswith("§")
+    demoted = lambda x: inner(x) & (x["k"] == "presupposes")
+    good = lambda x: (x["k"] != "") & ~x["to_id"].startswith("§0:")
+    edge = lambda x: F.struct(x["from_id"].alias("from_id"), x["to_id"].alias("to_id"), F.when(demoted(x), "supports").otherwise(x["k"]).alias("kind"), F.when(inner(x), "inter_argument").otherwise("prior_paragraph").alias("scope"))
+    edges = F.transform(F.filter(_edge_lines(F.col("s")), good), edge)
+
+    what = lambda x: F.when(x["k"] == "", "unreadable edge").when(demoted(x), "presupposes made supports").otherwise("no paragraph 0")
+    odd = F.transform(F.filter(_edge_lines(F.col("s")), lambda x: ~good(x) | demoted(x)), lambda x: F.struct(what(x).alias("what"), x["e"].alias("at")))
+    lost = F.transform(F.filter(_arguments(F.col("s")), lambda x: x["claim"] == ""), lambda x: F.struct(F.lit("no claim").alias("what"), x["local_id"].alias("at")))
+    return {
+        "arguments": args.drop("premises"), "premises": premises, "edges": each(edges, None), "scaffolding": each(_scaffolding(F.col("s")), None), "warnings": each(F.concat(odd, lost), None),
+        "rows": s.select("atom_id", made.alias("arguments"), edges.alias("edges"), _scaffolding(F.col("s")).alias("scaffolding")),
+    }
 
 
 def json_object(text: Column, schema: str) -> Column:
@@ -132,13 +210,17 @@ def validity(responses: DataFrame, arguments: DataFrame, fallacies: Sequence[str
     known arguments (atom_id, local_id): one that carries needs a form, one that
     does not a known fallacy and a target, both a rationale."""
     form = r"(?i)^\s*(?:#{1,3}\s+)?[*_]{0,3}\s*VALIDITY\s+(A\d+)\s*[*_]{0,3}\s*$"
-    head = F.col("content").rlike(form)
-    f = fields(_sections(responses, head, head)).withColumn("local_id", F.upper(F.regexp_extract("head", form, 1)))
-    last = f.groupBy("document_id", "local_id").agg(F.max("section").alias("section"))
-    f = f.join(last, ["document_id", "local_id", "section"])
-    get = lambda *names: F.trim(F.coalesce(*[F.max(F.when(F.col("key") == n, F.col("value"))) for n in names], F.lit("")))
-    w = f.groupBy(F.col("document_id").alias("atom_id"), "local_id").agg(F.lower(get("carries")).isin("yes", "true").alias("carries"), F.lower(get("form", "inference_form")).alias("form"), F.lower(get("fallacy")).alias("fallacy"), get("target", "target_premise").alias("target"), get("rationale").alias("rationale"))
+    get = lambda f, *names: F.trim(_get(f, *names))
+
+    def last(found: Column) -> Column:
+        """Of sections of the same argument the last that has fields."""
+        return _first(F.reverse(F.filter(found, lambda x: F.size(x["f"]) > 0)), lambda x: x["local_id"])
+
+    read = F.transform(_row_sections(F.col("raw_text"), form), lambda s: F.struct(F.upper(F.regexp_extract(s["head"], form, 1)).alias("local_id"), _row_fields(s["body"]).alias("f")))
+    known = arguments.groupBy("atom_id").agg(F.collect_set("local_id").alias("known"))
+    both = responses.select("atom_id", "raw_text").join(known, "atom_id").select("atom_id", F.explode(let(read, last)).alias("x"), "known")
+    f = F.col("x.f")
+    w = both.where(F.array_contains("known", F.col("x.local_id"))).select("atom_id", "x.local_id", F.lower(get(f, "carries")).isin("yes", "true").alias("carries"), F.lower(get(f, "form", "inference_form")).alias("form"), F.lower(get(f, "fallacy")).alias("fallacy"), get(f, "target", "target_premise").alias("target"), get(f, "rationale").alias("rationale"))
     w = w.withColumn("form", F.when(F.col("form").isin(*FORMS), F.col("form")))
     ok = (F.col("rationale") != "") & F.when(F.col("carries"), F.col("form").isNotNull()).otherwise(F.col("fallacy").isin(*fallacies) & (F.col("target") != ""))
-    w = w.where(ok).withColumn("fallacy", F.when(~F.col("carries"), F.col("fallacy"))).withColumn("target", F.when(~F.col("carries"), F.col("target")))
-    return w.join(arguments.select("atom_id", "local_id").distinct(), ["atom_id", "local_id"], "left_semi")
+    return w.where(ok).withColumn("fallacy", F.when(~F.col("carries"), F.col("fallacy"))).withColumn("target", F.when(~F.col("carries"), F.col("target")))

@@ -3,10 +3,13 @@ their items, parsed, and compared with what SQL reads from the tables directly."
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import prose
+from quillspark.functions.arrays import let
 from quillspark.operators import graph, review
 from quillspark.registry import query
 from quillspark.sources.tables import table
@@ -26,18 +29,37 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
 
 
+def _orders(spark: SparkSession, folder: str) -> DataFrame:
+    """(atom_id, items): the items of each order by their line, the first of
+    those that repeat.  All that follows stays where one shuffle has put it."""
+    r = table(spark, folder, "lineitem").select(_text("o", F.col("l_orderkey")).alias("atom_id"), F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), "l_quantity", "l_discount", F.col("l_returnflag").alias("f")).alias("x"))
+    i = r.repartition("atom_id").groupBy("atom_id").agg(F.sort_array(F.collect_list("x")).alias("i"))
+    one = let(F.col("i"), lambda own: F.filter(own, lambda x, k: (k == 0) | ~x["n"].eqNullSafe(F.get(own, k - 1)["n"])))
+    return i.select("atom_id", F.transform(one, lambda x: F.struct(x["n"].alias("n"), x["p"].alias("p"), x["s"].alias("s"), x["l_quantity"].cast("int").alias("q"), F.round(x["l_discount"] * 100).cast("int").alias("d"), x["f"].alias("f"))).alias("items"))
+
+
 def _answers(spark: SparkSession, folder: str) -> DataFrame:
     """(atom_id, raw_text): an argument for each item of an order, without claim
     below five pieces; edges by the flag of the item; scaffolding by its discount."""
-    o, n, p, s, q, d, f = (F.col(x) for x in "onpsqdf")
-    claim = F.when(q >= 5, _text("claim: part ", p, "\n goes on\n")).otherwise("claim:\n")
-    grounding = F.when(f == "R", "concrete").when(f == "A", "Abstract").otherwise("unheard of")
-    argument = _text("ARGUMENT A", n, "\n", claim, "premises:\n- stated: q", q, "\n- carried §", n, ": s", s, "\n- odd one\nanchor: p", n, "\ngrounding: ", grounding)
-    edge = F.when(n > 1, F.when(f == "R", _text("A", n, " -supports-> A1")).when(f == "A", _text("A", n, " -refines-> §0:A1")).otherwise(_text("A", n, " -presupposes--> A1, A", n - 1))).otherwise("A1 -contradicts-> §1:A1")
-    scaffold = F.when(d > 5, _text("SCAFFOLDING S", n, '\nexcerpt: "e', p, '"\nfunction: ', F.when(f == "N", "didaktisch").otherwise("new"), "\ndescription: d", q, "\nassessment: a\nanchored_to: A", n, ", §2:A1; what"))
-    line = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("n", c.alias("t"))))), lambda x: x.t), "\n")
-    out = _items(spark, folder).groupBy("o").agg(line(argument).alias("a"), line(edge).alias("e"), line(scaffold).alias("c"))
-    return out.select(_text("o", o).alias("atom_id"), _text("In front.\n", F.col("a"), "\nEDGES\n", F.col("e"), "\n", F.col("c")).alias("raw_text"))
+
+    def argument(x: Column) -> Column:
+        claim = F.when(x.q >= 5, _text("claim: part ", x.p, "\n goes on\n")).otherwise("claim:\n")
+        grounding = F.when(x.f == "R", "concrete").when(x.f == "A", "Abstract").otherwise("unheard of")
+        return _text("ARGUMENT A", x.n, "\n", claim, "premises:\n- stated: q", x.q, "\n- carried §", x.n, ": s", x.s, "\n- odd one\nanchor: p", x.n, "\ngrounding: ", grounding)
+
+    def edge(x: Column) -> Column:
+        n = x.n
+        return F.when(n > 1, F.when(x.f == "R", _text("A", n, " -supports-> A1")).when(x.f == "A", _text("A", n, " -refines-> §0:A1")).otherwise(_text("A", n, " -presupposes--> A1, A", n - 1))).otherwise("A1 -contradicts-> §1:A1")
+
+    def scaffold(x: Column) -> Column:
+        return F.when(x.d > 5, _text("SCAFFOLDING S", x.n, '\nexcerpt: "e', x.p, '"\nfunction: ', F.when(x.f == "N", "didaktisch").otherwise("new"), "\ndescription: d", x.q, "\nassessment: a\nanchored_to: A", x.n, ", §2:A1; what"))
+
+    return _orders(spark, folder).select("atom_id", _text("In front.\n", _lines("items", argument), "\nEDGES\n", _lines("items", edge), "\n", _lines("items", scaffold)).alias("raw_text"))
+
+
+def _lines(items: str, said: Callable[[Column], Column]) -> Column:
+    """What is said of each item, one under another."""
+    return F.array_join(F.filter(F.transform(items, said), lambda x: x.isNotNull()), "\n")
 
 
 _ARGUMENTS = f"""{I}, a AS (SELECT 'o' || o AS atom_id, o, n, 'A' || n AS local_id, p, s, q, f FROM i WHERE q >= 5)"""
@@ -171,14 +193,16 @@ FROM i WHERE n <= 4 AND (f = 'R' AND d <> 3 OR f = 'A')""")
 def answered_validity(spark: SparkSession, folder: str) -> DataFrame:
     """Assessments of known arguments; those without a form or with an unknown
     fallacy are left out, and so are those of arguments that there are not."""
-    n, q, d, f = (F.col(x) for x in "nqdf")
-    yes = _text("carries: yes\nform: ", F.when(d == 3, "guess").when(q % 2 == 0, "inductive").otherwise("Deductive"))
-    no = _text("carries: no\nfallacy: ", F.when(f == "A", "circular").otherwise("unknown"), "\ntarget: p", F.col("p"))
-    part = _text(F.when(q % 2 == 0, "## ").otherwise("**"), "VALIDITY A", n, F.when(q % 2 == 0, "").otherwise("**"), "\n", F.when(f == "R", yes).otherwise(no), "\nrationale: r", q, "\n more")
-    i = _items(spark, folder)
-    raw = i.groupBy("o").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", part.alias("t")))), lambda x: x.t), "\n").alias("raw_text"))
-    known = i.where("n <= 4").select(_text("o", F.col("o")).alias("atom_id"), _text("A", F.col("n")).alias("local_id"))
-    return prose.validity(raw.select(_text("o", F.col("o")).alias("atom_id"), "raw_text"), known, ["circular"])
+
+    def part(x: Column) -> Column:
+        even = x.q % 2 == 0
+        yes = _text("carries: yes\nform: ", F.when(x.d == 3, "guess").when(even, "inductive").otherwise("Deductive"))
+        no = _text("carries: no\nfallacy: ", F.when(x.f == "A", "circular").otherwise("unknown"), "\ntarget: p", x.p)
+        return _text(F.when(even, "## ").otherwise("**"), "VALIDITY A", x.n, F.when(even, "").otherwise("**"), "\n", F.when(x.f == "R", yes).otherwise(no), "\nrationale: r", x.q, "\n more")
+
+    raw = _orders(spark, folder).select("atom_id", _lines("items", part).alias("raw_text"))
+    known = table(spark, folder, "lineitem").where("l_linenumber <= 4").select(_text("o", F.col("l_orderkey")).alias("atom_id"), _text("A", F.col("l_linenumber")).alias("local_id"))
+    return prose.validity(raw, known.repartition("atom_id"), ["circular"])
 
 
 @query(f"""WITH {I}, c AS (SELECT o, p, row_number() OVER (PARTITION BY o ORDER BY n) AS rank FROM i) SELECT i.o AS unit, c.rank::INTEGER AS rank, c.p AS node_id, 'd' || d AS rationale FROM i JOIN c ON c.o = i.o AND c.rank = i.q % 4 WHERE i.q % 4 > 0""")

@@ -3,6 +3,7 @@
 import duckdb
 
 from quillspark import catalogue
+from quillspark.functions import prose
 from tests.test_catalogue import plain
 
 
@@ -32,3 +33,10 @@ def test_a_cited_name_is_a_citation_wherever_it_stands(spark, tmp_path):
     rows = f"SELECT * FROM (VALUES (1, '{long} bis Haus'), (2, '{long} bis Der'), (3, 'x' || chr(10) || '{long} mit Quell im Text'), (4, 'xy' || chr(10) || '{long} mit Quellen')) t(doc_id, text)"
     got = {(r["document_id"], r["token"]): r["kind"] for r in same(spark, tmp_path, "grounded_tokens", documents=rows).collect()}
     assert got[1, "Quell"] == got[2, "Quell"] == got[3, "Quell"] == "citation" and got[4, "Quellen"] == "proper_noun"
+
+
+def test_answers_are_read_within_their_rows(spark):
+    raw = spark.createDataFrame([("r", "ARGUMENT A1\r\nclaim : one\r\n goes on \r\nARGUMENT A1\nclaim: later\nARGUMENT A2\nclaim: x\nclaim: y\nEDGES\nA2 -supports-> A1"), (None, "ARGUMENT A1\nclaim: z")], "atom_id string, raw_text string")
+    t = prose.argument_graph(raw)
+    assert all("Exchange" not in t[k]._jdf.queryExecution().executedPlan().toString() for k in ("arguments", "premises", "edges", "scaffolding", "warnings"))
+    assert {(r["atom_id"], r["local_id"], r["claim"]) for r in t["arguments"].collect()} == {("r", "A1", "one\n goes on"), ("r", "A2", "y"), (None, "A1", "z")}
