@@ -231,11 +231,12 @@ def memo_blocks(spark: SparkSession, folder: str) -> DataFrame:
   '{"input":' || user_id || ',"output":' || event_id || ',"cacheRead":0}' AS tokens, CASE WHEN value < 10 THEN least(2000, 100 * user_id) END::INTEGER AS message_length FROM events WHERE event_type <> 'signup'""")
 def call_log(spark: SparkSession, folder: str) -> DataFrame:
     """Calls as rows of a log: defaults, tokens as JSON, messages cut to 2,000
-    characters; calls without a module are left out."""
+    characters; calls without a module are left out.  The messages, made here, are
+    up to twice as long, so that the cut is met but they don't grow with the ids."""
     user = F.col("user_id")
     calls = table(spark, folder, "events").select(
         F.when(F.col("event_type") != "signup", F.col("event_type")).alias("module"), F.col("event_id").alias("model_key"), F.when(user % 3 != 0, _text("p", user % 3)).alias("provider"), F.when(user % 2 == 0, 1).alias("retries"),
-        F.when(F.col("value") >= 10, True).alias("success"), user.alias("input"), F.col("event_id").alias("output"), F.lit(0).alias("cache_read"), F.when(F.col("value") < 10, F.repeat(F.lit("x"), (user * 100).cast("int"))).alias("error_message"),
+        F.when(F.col("value") >= 10, True).alias("success"), user.alias("input"), F.col("event_id").alias("output"), F.lit(0).alias("cache_read"), F.when(F.col("value") < 10, F.repeat(F.lit("x"), F.least(user * 100, F.lit(4000)).cast("int"))).alias("error_message"),
     )
     return review.call_log(calls).withColumn("message_length", F.length("error_message")).drop("error_message")
 

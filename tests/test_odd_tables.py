@@ -40,3 +40,9 @@ def test_answers_are_read_within_their_rows(spark):
     t = prose.argument_graph(raw)
     assert all("Exchange" not in t[k]._jdf.queryExecution().executedPlan().toString() for k in ("arguments", "premises", "edges", "scaffolding", "warnings"))
     assert {(r["atom_id"], r["local_id"], r["claim"]) for r in t["arguments"].collect()} == {("r", "A1", "one\n goes on"), ("r", "A2", "y"), (None, "A1", "z")}
+
+
+def test_messages_of_large_users(spark, tmp_path):
+    rows = "SELECT * FROM (VALUES (1, 30000000::BIGINT, 'error', 5::DOUBLE), (2, 21, 'error', 5), (3, 20, 'view', 5), (4, 3, 'view', 50), (5, 7, 'signup', 5)) t(event_id, user_id, event_type, value)"
+    got = {r["model_key"]: r["message_length"] for r in same(spark, tmp_path, "call_log", events=rows).collect()}
+    assert got == {1: 2000, 2: 2000, 3: 2000, 4: None}
