@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.sources.folders import written
+
+_REFERENCE = r"^\s*(?:§(\d+):)?(A\d+)\s*$"  # an argument of this paragraph or of another one
+
 
 def symmetric(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, other, direction): every edge seen from both ends."""
@@ -30,7 +34,7 @@ def resolve_references(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Textual references (unit, position, ref) like ``A3`` or ``§2:A1`` to node
     ids: (unit, position, ref, node_id, reason); nodes (unit, position,
     local_id, node_id).  What can't be resolved has a reason."""
-    m = lambda k: F.regexp_extract("ref", r"^\s*(?:§(\d+):)?(A\d+)\s*$", k)
+    m = lambda k: F.regexp_extract("ref", _REFERENCE, k)
     r = refs.withColumn("local_id", m(2)).withColumn("at", F.when(m(1) != "", m(1).cast("int")).otherwise(F.col("position")))
     n = nodes.withColumnRenamed("position", "at")
     reason = F.when(F.col("local_id") == "", "unreadable").when(F.col("at") == 0, "no such paragraph").when(F.col("node_id").isNull(), "no such argument")
@@ -54,26 +58,63 @@ def anchor_labels(anchors: DataFrame) -> DataFrame:
     return anchors.withColumn("label", F.when(other, F.concat(F.lit("§"), F.col("at").cast("string"), F.lit(":"), F.col("local_id"))).otherwise(F.col("local_id")))
 
 
+def _node_id(unit: Column | str, at: Column | str, local: Column | str) -> Column:
+    return F.concat_ws("/", unit, F.col(at).cast("string") if isinstance(at, str) else at.cast("string"), local)
+
+
+def _found(refs: DataFrame, known: DataFrame) -> DataFrame:
+    """References (unit, refs: array<struct<ref, at, local_id, ...>>, and more) one
+    each, with node_id and reason; known has (unit, at, ids).  Those of a row to the
+    same paragraph meet it together."""
+    ats = F.array_distinct(F.transform("refs", lambda r: r["at"]))
+    r = refs.select("*", F.explode(ats).alias("at")).withColumn("refs", F.filter("refs", lambda x: x["at"] == F.col("at")))
+    j = r.join(known, ["unit", "at"], "left").select(*[c for c in refs.columns if c != "refs"], "at", "ids", F.explode("refs").alias("r"))
+    there = F.coalesce(F.array_contains("ids", F.col("r.local_id")), F.lit(False))
+    reason = F.when(F.col("r.ref").isNull(), "nothing found").when(F.col("r.local_id") == "", "unreadable").when(F.col("at") == 0, "no such paragraph").when(~there, "no such argument")
+    return j.select(*[c for c in j.columns if c not in ("at", "ids", "r")], "r.*", F.when(there, _node_id("unit", "at", "r.local_id")).alias("node_id"), reason.alias("reason"))
+
+
+def stored_nodes(tables: dict[str, DataFrame], paragraphs: DataFrame) -> DataFrame:
+    """Arguments of paragraphs (as in ``stored_graph``) with ids and anchors, in one pass."""
+    own = tables["rows"].join(paragraphs.select("atom_id", "unit", "position", "text", "char_start"), "atom_id")
+    a = own.select("atom_id", "unit", "position", "text", "char_start", F.inline(F.transform("arguments", lambda x: F.struct(x["local_id"].alias("local_id"), x["claim"].alias("claim"), x["anchor_phrase"].alias("phrase"), x["grounding"].alias("grounding")))))
+    return anchor_spans(a).select(_node_id("unit", "position", "local_id").alias("node_id"), "atom_id", "unit", "position", "local_id", "claim", "grounding", "anchor_start", "anchor_end")
+
+
 def stored_graph(tables: dict[str, DataFrame], paragraphs: DataFrame) -> dict[str, DataFrame]:
-    """Rows to store of an argument graph (the tables of ``prose.argument_graph``)
-    for paragraphs (atom_id, unit, position, text, char_start): ``nodes`` with
-    ids and anchors, ``edges`` between node ids, ``anchors`` of scaffolding, and
-    ``errors``: references that lead nowhere, and paragraphs with nothing."""
-    node_id = lambda unit, at, local: F.concat_ws("/", unit, at.cast("string"), local)
-    a = tables["arguments"].withColumnRenamed("anchor_phrase", "phrase").join(paragraphs, "atom_id")
-    nodes = anchor_spans(a).select(node_id(F.col("unit"), F.col("position"), F.col("local_id")).alias("node_id"), "atom_id", "unit", "position", "local_id", "claim", "grounding", "anchor_start", "anchor_end")
-    known = nodes.select("unit", "position", "local_id", "node_id")
-    places = paragraphs.select("atom_id", "unit", "position")
-    e = tables["edges"].join(places, "atom_id").withColumn("from_node", node_id(F.col("unit"), F.col("position"), F.col("from_id")))
-    e = e.join(known.select(F.col("node_id").alias("from_node")), "from_node", "left_semi")
-    to = resolve_references(e.select("unit", "position", F.col("to_id").alias("ref")).distinct(), known)
-    e = e.join(to.withColumnRenamed("ref", "to_id"), ["unit", "position", "to_id"])
-    sc = tables["scaffolding"].join(places, "atom_id").select("atom_id", "unit", "position", F.col("local_id").alias("scaffold"), F.explode("anchored_to").alias("ref"))
-    s = sc.join(resolve_references(sc.select("unit", "position", "ref").distinct(), known), ["unit", "position", "ref"])
-    has = nodes.select("atom_id").unionByName(tables["scaffolding"].select("atom_id")).distinct()
-    lost = e.where("node_id is null").select("atom_id", F.col("to_id").alias("at"), "reason").unionByName(s.where("node_id is null").select("atom_id", F.col("ref").alias("at"), "reason"))
-    bare = places.join(has, "atom_id", "left_anti").select("atom_id", F.lit(None).cast("string").alias("at"), F.lit("nothing found").alias("reason"))
+    """Rows to store of an argument graph (``prose.argument_graph``) for paragraphs
+    (atom_id, unit, position, text, char_start): ``nodes`` with ids and anchors,
+    ``edges`` between node ids, ``anchors`` of scaffolding, and ``errors``:
+    references that lead nowhere, and paragraphs with nothing.
+
+    Answers meet their paragraphs whole, a row each, and these rows are written to
+    the shared folder, so that answers are read once; a reference then meets the
+    local ids of the paragraph that it names.
+    """
+    nodes = stored_nodes(tables, paragraphs)
+    local = F.transform("arguments", lambda x: x["local_id"])
+    places = tables["rows"].join(paragraphs.select("atom_id", "unit", "position"), "atom_id", "right")
+    scaffolding = F.transform("scaffolding", lambda x: F.struct(x["local_id"].alias("local_id"), x["anchored_to"].alias("anchored_to")))
+    places = written(places.select("atom_id", "unit", "position", local.alias("ids"), "edges", scaffolding.alias("scaffolding")), "places")
+    known = places.where(F.size("ids") > 0).select("unit", F.col("position").alias("at"), "ids")
+
+    def reference(ref: Column, **more: Column) -> Column:
+        m = lambda k: F.regexp_extract(ref, _REFERENCE, k)
+        at = F.when(m(1) != "", m(1).cast("int")).otherwise(F.col("position"))
+        return F.struct(ref.alias("ref"), at.alias("at"), m(2).alias("local_id"), *[v.alias(k) for k, v in more.items()])
+
+    none = F.lit(None).cast("string")
+    linked = F.filter("edges", lambda x: F.array_contains("ids", x["from_id"]))
+    edges = F.transform(linked, lambda x: reference(x["to_id"], from_id=x["from_id"], kind=x["kind"], scope=x["scope"]))
+    anchored = lambda made: F.flatten(F.transform("scaffolding", lambda s: F.transform(s["anchored_to"], lambda r: made(s, r))))
+    bare = F.when(F.coalesce(F.size("ids") == 0, F.lit(True)) & F.coalesce(F.size("scaffolding") == 0, F.lit(True)), F.array(F.struct(none.alias("ref"), F.col("position").alias("at"), none.alias("local_id"))))
+    empty = F.expr("filter(array(named_struct('ref', '', 'at', position, 'local_id', '')), x -> false)")
+    every = F.concat(F.coalesce(F.transform(linked, lambda x: reference(x["to_id"])), empty), F.coalesce(anchored(lambda s, r: reference(r)), empty), F.coalesce(bare, empty))
+
+    e = _found(places.select("unit", "position", edges.alias("refs")), known).where("node_id is not null")
+    s = _found(places.select("atom_id", "unit", anchored(lambda s, r: reference(r, scaffold=s["local_id"])).alias("refs")), known).where("node_id is not null")
+    lost = _found(places.select("atom_id", "unit", every.alias("refs")), known).where("node_id is null")
     return {
-        "nodes": nodes, "edges": e.where("node_id is not null").select("from_node", F.col("node_id").alias("to_node"), "kind", "scope"),
-        "anchors": s.where("node_id is not null").select("atom_id", "scaffold", "node_id"), "errors": lost.unionByName(bare),
+        "nodes": nodes, "edges": e.select("unit", _node_id("unit", "position", "from_id").alias("from_node"), F.col("node_id").alias("to_node"), "kind", "scope"),
+        "anchors": s.select("unit", "atom_id", "scaffold", "node_id"), "errors": lost.select("atom_id", F.col("ref").alias("at"), "reason"),
     }

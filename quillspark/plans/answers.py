@@ -97,11 +97,15 @@ def answer_warnings(spark: SparkSession, folder: str) -> DataFrame:
 # stored graphs: customers are units, their orders paragraphs
 
 
-def _stored(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def _graphs(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], DataFrame]:
     orders = table(spark, folder, "orders").select(_text("o", F.col("o_orderkey")).alias("atom_id"), _text("c", F.col("o_custkey")).alias("unit"), "o_orderkey", "o_custkey")
     position = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     p = orders.withColumn("position", position).select("atom_id", "unit", "position", _text("See p1, then p3 of ", F.col("o_orderkey"), ".").alias("text"), (F.col("position") * 100).cast("long").alias("char_start"))
-    return graph.stored_graph(prose.argument_graph(_answers(spark, folder)), p)
+    return prose.argument_graph(_answers(spark, folder)), p
+
+
+def _stored(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return graph.stored_graph(*_graphs(spark, folder))
 
 
 _PLACES = """w AS (SELECT o_orderkey AS o, 'c' || o_custkey AS unit, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, 'See p1, then p3 of ' || o_orderkey || '.' AS text FROM orders),
@@ -113,7 +117,7 @@ _REFS = f"r AS (SELECT o, n, 'A' || n AS ref, 'A' || n AS local, NULL::BIGINT AS
 @query(f"""WITH {I}, {_PLACES} SELECT id AS node_id, (pos * 100 + CASE WHEN contains(text, 'p' || n) THEN instr(text, 'p' || n) - 1 ELSE 0 END)::BIGINT AS anchor_start, (pos * 100 + CASE WHEN contains(text, 'p' || n) THEN instr(text, 'p' || n) - 1 + length('p' || n) ELSE length(text) END)::BIGINT AS anchor_end FROM k""")
 def stored_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """Arguments with their ids, and the spans of the phrases they stand on."""
-    return _stored(spark, folder)["nodes"].select("node_id", F.col("anchor_start").cast("long").alias("anchor_start"), F.col("anchor_end").cast("long").alias("anchor_end"))
+    return graph.stored_nodes(*_graphs(spark, folder)).select("node_id", F.col("anchor_start").cast("long").alias("anchor_start"), F.col("anchor_end").cast("long").alias("anchor_end"))
 
 
 @query(f"""WITH {_EDGES}, {_PLACES} SELECT a.id AS from_node, b.id AS to_node, x.kind FROM x {_TARGET} WHERE b.id IS NOT NULL""")
@@ -260,10 +264,13 @@ def argument_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """The twelve arguments of each unit that a review looks at first: by their
     grounding, whether scaffolding stands on them, and their links."""
     s = _stored(spark, folder)
-    nodes = s["nodes"].select("unit", "node_id", "position", "local_id", F.when(F.col("grounding") == "concrete", 2).when(F.col("grounding") == "namedropping", 1).otherwise(0).alias("g"))
-    degree = graph.degrees(s["edges"], "from_node", "to_node").withColumnRenamed("node", "node_id")
-    held = s["anchors"].select("node_id").distinct().withColumn("held", F.lit(True))
-    c = nodes.join(degree, "node_id", "left").join(held, "node_id", "left")
-    c = c.withColumn("score", graph.candidate_score(F.col("g"), F.coalesce("held", F.lit(False)), F.coalesce("degree", F.lit(0))))
-    rank = F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("score"), "position", F.substring("local_id", 2, 9).cast("int")))
+    part = lambda df, node, k, g, degree, held: df.select("unit", node.alias("node_id"), k.alias("k"), F.lit(g).cast("int").alias("g") if isinstance(g, int) else g.alias("g"), F.lit(degree).alias("degree"), F.lit(held).alias("held"))
+    none = F.lit(None).cast("struct<position:int,n:int>")
+    grounded = F.when(F.col("grounding") == "concrete", 2).when(F.col("grounding") == "namedropping", 1).otherwise(0)
+    nodes = part(s["nodes"], F.col("node_id"), F.struct("position", F.substring("local_id", 2, 9).cast("int").alias("n")), grounded, 0, False)
+    ends = part(s["edges"].select("unit", F.explode(F.array("from_node", "to_node")).alias("node")), F.col("node"), none, 0, 1, False)
+    held = part(s["anchors"], F.col("node_id"), none, 0, 0, True)
+    c = nodes.unionByName(ends).unionByName(held).repartition("unit").groupBy("unit", "node_id").agg(F.max("k").alias("k"), F.max("g").alias("g"), F.sum("degree").alias("degree"), F.max("held").alias("held"))
+    c = c.withColumn("score", graph.candidate_score(F.col("g"), F.col("held"), F.col("degree")))
+    rank = F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("score"), "k"))
     return c.withColumn("rank", rank).where("rank <= 12").select("unit", "node_id", "score", "rank")

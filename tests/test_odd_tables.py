@@ -4,6 +4,7 @@ import duckdb
 
 from quillspark import catalogue
 from quillspark.functions import prose
+from quillspark.operators import graph
 from tests.test_catalogue import plain
 
 
@@ -46,3 +47,12 @@ def test_messages_of_large_users(spark, tmp_path):
     rows = "SELECT * FROM (VALUES (1, 30000000::BIGINT, 'error', 5::DOUBLE), (2, 21, 'error', 5), (3, 20, 'view', 5), (4, 3, 'view', 50), (5, 7, 'signup', 5)) t(event_id, user_id, event_type, value)"
     got = {r["model_key"]: r["message_length"] for r in same(spark, tmp_path, "call_log", events=rows).collect()}
     assert got == {1: 2000, 2: 2000, 3: 2000, 4: None}
+
+
+def test_stored_edges_shuffle_little(spark):
+    raw = spark.createDataFrame([("p", "ARGUMENT A1\nclaim: one"), ("q", "ARGUMENT A1\nclaim: x\nEDGES\nA1 -contradicts-> §1:A1\nA1 -supports-> A9\nA7 -supports-> A1")], "atom_id string, raw_text string")
+    paragraphs = spark.createDataFrame([("p", "u", 1, "a", 0), ("q", "u", 2, "b", 9), ("z", "u", 3, "c", 20)], "atom_id string, unit string, position int, text string, char_start long")
+    s = graph.stored_graph(prose.argument_graph(raw), paragraphs)
+    assert s["edges"]._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+    assert [tuple(r) for r in s["edges"].select("from_node", "to_node").collect()] == [("u/2/A1", "u/1/A1")]
+    assert {tuple(r) for r in s["errors"].collect()} == {("q", "A9", "no such argument"), ("z", None, "nothing found")}
