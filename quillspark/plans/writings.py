@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import citations, markers, privacy, text
-from quillspark.plans.answers import I, _items, _text
+from quillspark.plans.answers import I, _items, _orders, _text
 from quillspark.registry import query
 from quillspark.sources import docx, export, formats
 from quillspark.sources.tables import ELEMENTS_SQL, document_elements, lines, table
@@ -174,10 +174,10 @@ SELECT o AS document_id, kind, content, page::INTEGER AS page, level, chapter, s
 def annotation_summaries(spark: SparkSession, folder: str) -> DataFrame:
     """Summaries of annotations read back: chapters, entries over several lines,
     comments with the entry they follow, and places in the joined text."""
-    n = F.col("n")
-    part = _text(F.col("o") % 9 + 1, ".", n, " Kap ", n, "\nHervorheben [Seite ", n, "]: q", F.col("p"), "\nmore\n\nNotiz [Seite ", n, "]: \nc", F.col("s"), "\n\n12\n")
-    whole = _items(spark, folder).groupBy("o").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", part.alias("t")))), lambda x: x.t), "").alias("t"))
-    a = formats.annotations(whole.select(F.col("o").alias("doc_id"), _text("Zusammenfassung der Anmerkungen in x.pdf\n", F.col("t")).alias("text")))
+    o = F.substring("atom_id", 2, 20).cast("long")
+    part = lambda x: _text(F.col("o") % 9 + 1, ".", x.n, " Kap ", x.n, "\nHervorheben [Seite ", x.n, "]: q", x.p, "\nmore\n\nNotiz [Seite ", x.n, "]: \nc", x.s, "\n\n12\n")
+    whole = _orders(spark, folder).select(o.alias("o"), "items").select(F.col("o").alias("doc_id"), _text("Zusammenfassung der Anmerkungen in x.pdf\n", F.array_join(F.transform("items", part), "")).alias("text"))
+    a = formats.annotations(whole)
     return a.select("document_id", "kind", "content", "page", "level", "chapter", "semantic", "paired_with", "char_start", "char_end")
 
 

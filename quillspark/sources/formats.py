@@ -1,13 +1,16 @@
-"""Plain text, annotation summaries and their dispatch, as jobs over lines."""
+"""Plain text, annotation summaries and their dispatch."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.arrays import offsets
 from quillspark.functions.text import german_sentences
-from quillspark.sources.tables import lines
 
 # The summary's first line and its entries.
 SUMMARY = r"^Zusammenfassung der Anmerkungen in (.+?)\.(pdf|PDF)\.?\s*$"
@@ -38,40 +41,85 @@ def sentence_elements(p: DataFrame) -> DataFrame:
     return s.select("document_id", "paragraph", "n", F.col("s.text").alias("content"), (F.col("base") + F.col("s.start")).alias("char_start"), (F.col("base") + F.col("s.end")).alias("char_end"))
 
 
+_ANY, _END = r"[^\n\r\u0085\u2028\u2029]", r"(?=(?:\r\n|[\n\r\u0085\u2028\u2029])?\Z)"  # as Spark's patterns read . and $
+
+
+def _form(pattern: str) -> re.Pattern:
+    return re.compile(pattern.replace(".+", _ANY + "+").replace(".*", _ANY + "*").replace("$", _END), re.ASCII)
+
+
+_SUMMARY, _ENTRY, _NUMBER, _PAGE = _form(SUMMARY), _form(ENTRY), _form(r"^(\d+(?:\.\d+)*)\s+.+$"), _form(r"^\d+$")
+_RETURN, _SPACE = _form(r"\r$"), _form(r"^\s+|\s+$")
+_ELEMENTS = {"kind": pa.string(), "content": pa.string(), "type": pa.string(), "page": pa.int32(), "idx": pa.int32(), "level": pa.int32(), "chapter": pa.string(), "semantic": pa.string(), "paired_with": pa.int32(), "char_start": pa.int64(), "char_end": pa.int64()}
+
+
+def _stripped(text: str) -> str:
+    odd = any(x in text for x in "\u0085\u2028\u2029")
+    return _SPACE.sub("", text) if odd else text.strip(" \t\n\r\f\v")
+
+
+def _entries(text: str) -> Iterator[tuple]:
+    """(kind, content, type, page) of a summary, in their order."""
+    open_: tuple | None = None  # type, page and lines of the entry that goes on
+    for k, line in enumerate(text.split("\n")):
+        line = _RETURN.sub("", line) if "\r" in line else line
+        if k == 0 and _SUMMARY.match(line):
+            continue
+        t = _stripped(line).strip(" ")
+        entry = _ENTRY.match(t)
+        if open_ and (entry or not t):
+            yield "annotation", _stripped("\n".join(open_[2])), *open_[:2]
+            open_ = None
+        if entry:
+            page = int(entry[2])
+            open_ = entry[1], page if page < 1 << 31 else None, [entry[3]] if entry[3] else []
+        elif open_:
+            open_[2].append(line)
+        elif t and not _PAGE.match(t):
+            yield "heading", _stripped(line), None, None
+    if open_:
+        yield "annotation", _stripped("\n".join(open_[2])), *open_[:2]
+
+
+def _elements(text: str) -> Iterator[tuple]:
+    chapter, cited, at = None, None, 0
+    for k, (kind, content, type_, page) in enumerate(_entries(text)):
+        if kind == "heading":
+            chapter, number = content, _NUMBER.match(content)
+            row = (number[1].count(".") + 1 if number else 1, None, None, None)
+        elif type_ in CITING:
+            row, cited = (None, chapter, "citing", None), k
+        else:
+            row = (None, chapter, "commenting", cited)
+        yield kind, content, type_, page, k, *row, at, at + len(content)
+        at += len(content) + 1
+
+
 def annotations(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Elements of annotation summaries: chapter headings and annotations, in
-    one pass of windows over lines.
+    """Elements of annotation summaries: chapter headings and annotations, read
+    in one pass over the lines of each text; nothing is shuffled.
 
     An entry takes the lines after it up to a blank one or the next entry; a
     comment names the citing entry before it; every entry has the chapter
     heading before it as context.
     """
-    e = lines(df, doc_id, text).select("document_id", "seq", F.regexp_replace("content", r"\r$", "").alias("line"))
-    line = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
-    w = Window.partitionBy("document_id").orderBy("seq")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    e = e.withColumn("t", line).where(~((F.col("seq") == 0) & F.col("line").rlike(SUMMARY)))
-    entry, blank = F.col("t").rlike(ENTRY), F.col("t") == ""
-    # the last line that opens or ends an entry tells whether a line continues one
-    e = e.withColumn("mark", F.last(F.when(entry, F.struct(F.lit("e").alias("k"), "seq")).when(blank, F.struct(F.lit("b").alias("k"), "seq")), ignorenulls=True).over(upto))
-    inside = F.coalesce(F.col("mark.k") == "e", F.lit(False))
-    e = e.where(inside | ~blank & ~F.col("t").rlike(r"^\d+$"))
-    e = e.withColumn("kind", F.when(inside, "annotation").otherwise("heading")).withColumn("at", F.when(inside, F.col("mark.seq")).otherwise(F.col("seq")))
-    body = F.when(entry, F.regexp_extract("t", ENTRY, 3)).otherwise(F.col("line"))
-    parts = F.filter(F.array_sort(F.collect_list(F.struct("seq", F.when(~entry | (body != ""), body).alias("b")))), lambda x: x.b.isNotNull())
-    g = e.groupBy("document_id", "at", "kind").agg(
-        F.array_join(F.transform(parts, lambda x: x.b), "\n").alias("content"),
-        F.max(F.when(entry, F.regexp_extract("t", ENTRY, 1))).alias("type"), F.max(F.when(entry, F.regexp_extract("t", ENTRY, 2).cast("int"))).alias("page"),
-    ).withColumn("content", F.regexp_replace("content", r"^\s+|\s+$", ""))
-    order = Window.partitionBy("document_id").orderBy("at")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    citing = F.col("type").isin(*CITING)
-    g = g.withColumn("idx", F.row_number().over(order) - 1)
-    number = F.regexp_extract("content", r"^(\d+(?:\.\d+)*)\s+.+$", 1)
-    head = F.col("kind") == "heading"
-    g = g.withColumn("level", F.when(head, F.size(F.split(number, r"\.")))).withColumn("chapter", F.when(~head, F.last(F.when(head, F.col("content")), ignorenulls=True).over(run)))
-    g = g.withColumn("semantic", F.when(head, None).when(citing, "citing").otherwise("commenting"))
-    g = g.withColumn("paired_with", F.when(F.col("semantic") == "commenting", F.last(F.when(citing, F.col("idx")), ignorenulls=True).over(before)))
-    start = F.coalesce(F.sum(F.length("content") + 1).over(before), F.lit(0)).cast("long")
-    return g.withColumn("char_start", start).withColumn("char_end", F.col("char_start") + F.length("content")).drop("at")
+    own = df.select(F.col(doc_id).alias("document_id"), F.col(text).cast("string").alias("text")).where("text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(b: pa.RecordBatch, keys: list[int], rows: list[tuple]) -> pa.RecordBatch:
+            cols = zip(*rows, strict=True) if rows else [()] * len(_ELEMENTS)
+            return pa.record_batch([b.column("document_id").take(pa.array(keys, pa.int64())), *[pa.array(c, kind) for c, kind in zip(cols, _ELEMENTS.values(), strict=True)]], names=["document_id", *_ELEMENTS])
+
+        for b in batches:
+            keys, rows = [], []
+            for k, t in enumerate(b.column("text")):
+                for row in _elements(t.as_py()):
+                    keys.append(k)
+                    rows.append(row)
+                    if len(rows) == 10_000:
+                        yield batch(b, keys, rows)
+                        keys, rows = [], []
+            yield batch(b, keys, rows)
+
+    kind = own.schema["document_id"].dataType.simpleString()
+    return own.mapInArrow(run, f"document_id {kind}, kind string, content string, type string, page int, idx int, level int, chapter string, semantic string, paired_with int, char_start long, char_end long")
