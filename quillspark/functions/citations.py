@@ -111,8 +111,22 @@ def resolve(cited: DataFrame, entries: DataFrame) -> DataFrame:
     """Citations (citation_id, document_id, author, year, suffix) with the ids
     of their entries (entry_id, document_id, last_name, year, suffix): those of
     the same suffix if there is any, else all of that author and year."""
-    e = entries.select("document_id", F.col("last_name").alias("author"), "year", F.col("suffix").alias("entry_suffix"), "entry_id")
-    m = cited.join(e, ["document_id", "author", "year"], "left")
-    exact = F.col("suffix").isNotNull() & (F.col("suffix") == F.col("entry_suffix"))
-    ids = m.groupBy("citation_id").agg(F.array_sort(F.collect_set(F.when(exact, F.col("entry_id")))).alias("same"), F.array_sort(F.collect_set("entry_id")).alias("any"))
+    keys = ["document_id", "author", "year"]
+    e = entries.where("entry_id is not null").select("document_id", F.col("last_name").alias("author"), "year", F.col("suffix").alias("entry_suffix"), "entry_id")
+    # the entries of a key once, not once for each citation of it
+    alike = e.groupBy(*keys, "entry_suffix").agg(F.collect_set("entry_id").alias("ids"))
+    known = alike.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(F.col("entry_suffix").isNotNull(), F.struct("entry_suffix", F.array_sort("ids").alias("v"))))).alias("by_suffix"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("any"))
+    c = cited.select("citation_id", *keys, "suffix")
+    single = c.groupBy("citation_id").agg(F.count("*").alias("_n"), F.first(F.struct(*keys, "suffix")).alias("_c"))
+    none = F.array().cast(alike.schema["ids"].dataType)
+
+    def met(x: DataFrame) -> DataFrame:
+        same = F.element_at("by_suffix", F.col("suffix"))
+        return x.join(known, keys, "left").select("citation_id", F.coalesce(same, none).alias("same"), F.coalesce("any", none).alias("any"))
+
+    one = met(single.where("_n = 1").select("citation_id", "_c.*"))
+    # an id of several citations has the entries of all of them
+    several = met(c.join(single.where("_n > 1").select(F.col("citation_id").alias("_id")), F.col("citation_id").eqNullSafe(F.col("_id")), "left_semi"))
+    merged = lambda x: F.array_sort(F.array_distinct(F.flatten(F.collect_list(x)))).alias(x)
+    ids = one.unionByName(several.groupBy("citation_id").agg(merged("same"), merged("any")))
     return ids.select("citation_id", F.when(F.size("same") > 0, F.col("same")).otherwise(F.col("any")).alias("entry_ids"))

@@ -2,7 +2,9 @@
 
 import time
 
+from quillspark.functions import citations
 from quillspark.operators import dictionary
+from quillspark.sources import formats
 
 
 def test_patterns_that_begin_alike_cost_no_more(spark):
@@ -12,3 +14,33 @@ def test_patterns_that_begin_alike_cost_no_more(spark):
     got = sorted((r["document_id"], r["seed_id"], r["candidate"], r["start"], r["context"]) for r in dictionary.scan(texts, names, context=3).collect())
     assert got == sorted((k, f"s{k}", f"Customer#{k:09}", 6000, f"no CUSTOMER#{k:09}") for k in range(40))
     assert time.perf_counter() - began < 60  # 600 million pairs by the first four characters
+
+
+def test_annotations_are_read_without_a_shuffle(spark):
+    t = "Zusammenfassung der Anmerkungen in x.pdf\r\nFront\n2.1.3 Teil  \r\nNotiz [Seite 7]: \n 12 \n\n12\nHervorheben [Seite 1]:  a\r\n b\nText [Seite 2]: n\nText [Seite 3]:"
+    a = formats.annotations(spark.createDataFrame([(1, t), (2, None), (3, ""), (4, "12")], "doc_id int, text string"))
+    assert "Exchange" not in a._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in a.collect()] == [
+        (1, "heading", "Front", None, None, 0, 1, None, None, None, 0, 5), (1, "heading", "2.1.3 Teil", None, None, 1, 3, None, None, None, 6, 16),
+        (1, "annotation", "12", "Notiz", 7, 2, None, "2.1.3 Teil", "commenting", None, 17, 19), (1, "annotation", "a\n b", "Hervorheben", 1, 3, None, "2.1.3 Teil", "citing", None, 20, 24),
+        (1, "annotation", "n", "Text", 2, 4, None, "2.1.3 Teil", "commenting", 3, 25, 26), (1, "annotation", "", "Text", 3, 5, None, "2.1.3 Teil", "commenting", 3, 27, 27),
+    ]
+
+
+def test_entries_are_gathered_once_for_all_citations(spark):
+    e = spark.range(400).selectExpr("cast(id as string) entry_id", "'d' document_id", "'A' last_name", "'1999' year", "case when id % 100 = 0 then 'a' end suffix")
+    c = spark.range(4000).selectExpr("id citation_id", "'d' document_id", "'A' author", "'1999' year", "case id % 3 when 0 then 'a' when 1 then 'b' end suffix")
+    c = c.unionByName(c.where("citation_id = 0").selectExpr("citation_id", "document_id", "author", "'2001' year", "suffix")).unionByName(c.where("citation_id = 1").selectExpr("-1L citation_id", "document_id", "'B' author", "year", "suffix"))
+    out = citations.resolve(c, e)
+    got = {r["citation_id"]: r["entry_ids"] for r in out.collect()}
+    a, every = ["0", "100", "200", "300"], sorted(map(str, range(400)))
+    assert got == {-1: [], **{k: a if k % 3 == 0 else every for k in range(4000)}}
+    plan, rows = out._jdf.queryExecution().executedPlan(), []
+    walk = [plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan]
+    while walk:
+        node = walk.pop()
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            rows.append(node.metrics().apply("numOutputRows").value())
+        below = [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(k) for k in range(node.children().size())]
+        walk += below
+    assert rows and max(rows) <= 5000  # 1.6 million pairs of a citation and an entry
