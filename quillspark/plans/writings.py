@@ -10,6 +10,7 @@ from quillspark.functions import citations, markers, privacy, text
 from quillspark.plans.answers import I, _items, _orders, _text
 from quillspark.registry import query
 from quillspark.sources import docx, export, formats
+from quillspark.sources.folders import written
 from quillspark.sources.tables import ELEMENTS_SQL, document_elements, lines, table
 
 #: Parts as persons: the words of their names, and two years.
@@ -320,7 +321,7 @@ _DOCX = f"""{ELEMENTS_SQL}, d AS (SELECT document_id, element_type, level, trim(
 def docx_elements(spark: SparkSession, folder: str) -> DataFrame:
     """Documents written as DOCX files and read back as elements: types, levels
     by style, sections, roles and places."""
-    e = docx.document_elements(docx.paragraphs(_files(spark, folder)))
+    e = docx.document_elements(written(docx.paragraphs(_files(spark, folder)), "paragraphs"))  # read three times
     return e.select(_id(), "seq", "element_type", "content", "level", "section_kind", "position_role", "char_start")
 
 

@@ -33,6 +33,7 @@ TOC_NAMES = ("toc ", "verzeichnis ")
 CAPTION_STYLE = r"(?iu)^(caption|beschriftung|bildunterschrift|tabellen?(?:beschriftung|titel))\b"
 CAPTION_WORDS = r"(?iu)^(abb(?:\.|ildung)|tab(?:\.|elle)|fig(?:\.|ure)|schaubild|diagramm)\s*\d"
 PAGE_NUMBER = r"^\s*\d{1,5}\s*$"
+SENT = 1 << 20  # about as many characters leave a task at once
 FAILED = "[DOCX text extraction failed]"
 
 
@@ -133,21 +134,31 @@ def read_paragraphs(content: bytes) -> list[dict]:
     return out
 
 
+def _rows(key: str | None, content: bytes | None) -> list[dict]:
+    try:
+        return [{"document_id": key, "idx": i, **r} for i, r in enumerate(read_paragraphs(content))]
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, TypeError) as e:
+        return [{"document_id": key, "idx": -1, "error": f"{type(e).__name__}: {e}"}]
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
+    for b in batches:
+        for key, content in zip(b.column("document_id"), b.column("content"), strict=True):
+            for r in _rows(key.as_py(), content.as_py()):
+                rows.append(r)
+                size += 200 + len(r.get("text") or "") + len(r.get("note_text") or "")
+                if size >= SENT:
+                    yield pa.RecordBatch.from_pylist(rows, SCHEMA)
+                    rows, size = [], 0
+    yield pa.RecordBatch.from_pylist(rows, SCHEMA)
+
+
 def paragraphs(files: DataFrame) -> DataFrame:
     """Paragraphs of files (document_id, content); a file that can't be read
     gives one row with its error."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for key, content in zip(b.column("document_id").to_pylist(), b.column("content").to_pylist(), strict=True):
-                try:
-                    rows += [{"document_id": key, "idx": i, **r} for i, r in enumerate(read_paragraphs(content))]
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, TypeError) as e:
-                    rows.append({"document_id": key, "idx": -1, "error": f"{type(e).__name__}: {e}"})
-            yield pa.RecordBatch.from_pylist(rows, SCHEMA)
-
-    return files.select(F.col("document_id").cast("string").alias("document_id"), "content").mapInArrow(read, ROWS)
+    return files.select(F.col("document_id").cast("string").alias("document_id"), "content").mapInArrow(_read, ROWS)
 
 
 def _is_caption() -> Column:
@@ -200,7 +211,9 @@ def document_elements(p: DataFrame) -> DataFrame:
     w = Window.partitionBy("document_id").orderBy("idx")
     b = p.where("error is null and note_text is null and (text <> '' or drawing)")
     known = toc_references(p).groupBy("document_id", F.col("heading_idx").alias("idx")).agg(F.min("level").alias("_toc"))
-    b = b.join(known, ["document_id", "idx"], "left").withColumn("level", F.coalesce("_toc", "level"))
+    # by document alone, as the windows: one shuffle
+    known = known.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "_toc"))).alias("_known"))
+    b = b.join(known, "document_id", "left").withColumn("level", F.coalesce(F.element_at("_known", F.col("idx")), "level")).drop("_known")
     kind = F.when(F.col("toc").isNotNull(), "toc_entry").when(F.col("level").isNotNull(), "heading").when(F.col("drawing") & (F.col("text") == ""), "figure")
     kind = kind.when(_is_caption(), "caption").otherwise("paragraph")
     b = b.withColumn("element_type", kind)

@@ -28,6 +28,7 @@ def json_outline(e: DataFrame) -> DataFrame:
 
 _W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 _STYLES = f"<w:styles {_W}>" + "".join(f'<w:style w:styleId="H{k}"><w:name w:val="heading {k}"/></w:style>' for k in range(1, 10)) + "</w:styles>"
+SENT = 1 << 20  # about as many bytes leave a task at once
 _NO_XML = re.compile("[^\\t\\n\\r\\u0020-\\ud7ff\\ue000-\\ufffd\\U00010000-\\U0010ffff]")
 
 
@@ -53,7 +54,13 @@ def docx(e: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column("document_id"), pa.array([_docx(r) for r in b.column("rows").to_pylist()], pa.binary())], names=["document_id", "content"])
+            first, made, size = 0, [], 0
+            for k, r in enumerate(b.column("rows")):  # one document at a time is Python's
+                made.append(_docx(r.as_py()))
+                size += len(made[-1])
+                if size >= SENT or k == b.num_rows - 1:
+                    yield pa.record_batch([b.column("document_id").slice(first, len(made)), pa.array(made, pa.binary())], names=["document_id", "content"])
+                    first, made, size = k + 1, [], 0
 
     return whole.mapInArrow(run, f"document_id {whole.schema['document_id'].dataType.simpleString()}, content binary")
 

@@ -2,9 +2,11 @@
 
 import time
 
+import pyarrow as pa
+
 from quillspark.functions import citations
 from quillspark.operators import dictionary
-from quillspark.sources import formats
+from quillspark.sources import docx, export, formats
 
 
 def test_patterns_that_begin_alike_cost_no_more(spark):
@@ -44,3 +46,13 @@ def test_entries_are_gathered_once_for_all_citations(spark):
         below = [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(k) for k in range(node.children().size())]
         walk += below
     assert rows and max(rows) <= 5000  # 1.6 million pairs of a citation and an entry
+
+
+def test_files_leave_python_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(docx, "SENT", 2000)
+    e = spark.range(300).selectExpr("id document_id", "0L char_start", "'paragraph' element_type", "cast(null as int) level", "repeat('x ', 200) content")
+    files = [(str(r[0]), bytes(r[1])) for r in export.docx(e).collect()] + [("bad", b"no")]
+    batch = pa.record_batch([pa.array([f[k] for f in files]) for k in (0, 1)], names=["document_id", "content"])
+    out = list(docx._read(iter([batch, batch])))
+    assert sum(b.num_rows for b in out) == 602 and max(b.num_rows for b in out) <= 10
+    assert sorted(r["document_id"] for b in out for r in b.to_pylist()) == sorted(2 * [f[0] for f in files])
