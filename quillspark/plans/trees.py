@@ -9,6 +9,7 @@ from quillspark.functions.arrays import offsets
 from quillspark.operators.collapse import collapse
 from quillspark.registry import query
 from quillspark.sources import trees
+from quillspark.sources.folders import written
 from quillspark.sources.tables import ELEMENTS_SQL, table
 
 E = f"WITH {ELEMENTS_SQL}"
@@ -64,7 +65,6 @@ def collapsed_levels(spark: SparkSession, folder: str) -> DataFrame:
     own = docs.select("document_id", F.posexplode(starts).alias("idx", "p")).select("document_id", "idx", F.length("p.l").cast("long").alias("size"), F.substring("p.l", 1, 3).alias("label"), F.col("p.s").alias("at"))
     nodes = flat.drop("text").join(own, ["document_id", "idx"]).select("document_id", F.col("idx").alias("node"), F.coalesce("parent", F.lit(-1)).alias("parent"), (F.col("depth") + 1).alias("depth"), "at", F.col("size").alias("value"), "label")
     works = nodes.select("document_id").distinct().select("document_id", F.lit(-1).alias("node"), F.lit(None).cast("int").alias("parent"), F.lit(0).alias("depth"), F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("value"), F.lit("").alias("label"))
-    both = nodes.unionByName(works)
-    sums = collapse(both, "document_id", "|")
-    even = collapse(both.withColumn("value", F.when(F.col("value") % 2 == 0, F.col("value"))), "document_id", "|").select("document_id", "node", F.col("latest").alias("latest_even"))
-    return sums.join(even, ["document_id", "node"]).select("document_id", "node", "n_below", "total", "latest_even", "joined")
+    both = written(nodes.unionByName(works), "nodes")  # each level reads them
+    out = collapse(both, "document_id", "|", latest=F.when(F.col("value") % 2 == 0, F.col("value")))
+    return out.select("document_id", "node", "n_below", "total", F.col("latest").alias("latest_even"), "joined")
