@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.sources.folders import written
+
 
 @dataclass(frozen=True)
 class Phase:
@@ -30,7 +32,13 @@ class Phase:
 
 def folded(facts: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     """(keys, mask, n_<fact>…) from facts (keys, fact): bit k of the mask tells
-    whether the atom has the fact ``names[k]``; facts of other names are passed over."""
+    whether the atom has the fact ``names[k]``; facts of other names are passed over.  Facts may
+    also come counted, as rows (keys, n_<fact>…), several of one key added up."""
+    if "fact" not in facts.columns:  # counted within their rows
+        counts = [F.sum(f"n_{n}").alias(f"n_{n}") for n in names if f"n_{n}" in facts.columns]
+        out = facts.groupBy(*keys).agg(*counts)
+        out = out.select(*keys, *[F.coalesce(f"n_{n}", F.lit(0).cast("long")).alias(f"n_{n}") if f"n_{n}" in out.columns else F.lit(0).cast("long").alias(f"n_{n}") for n in names])
+        return out.withColumn("mask", sum((F.when(F.col(f"n_{n}") > 0, F.lit(1 << k)).otherwise(0).cast("long") for k, n in enumerate(names)), F.lit(0).cast("long")))
     place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("fact")) - 1
     counts = [F.count_if(F.col("fact") == n).alias(f"n_{n}") for n in names]
     bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))).alias("mask")
@@ -39,10 +47,8 @@ def folded(facts: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataF
 
 def _known(atoms: DataFrame, facts: DataFrame, names: Sequence[str]) -> DataFrame:
     """Atoms (unit, kind, atom, at) with has_<fact> and n_<fact>."""
-    j = atoms.join(folded(facts, ["kind", "atom"], names), ["kind", "atom"], "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
-    for k, n in enumerate(names):
-        j = j.withColumn(f"has_{n}", F.col("mask").bitwiseAND(F.lit(1 << k)) != 0).withColumn(f"n_{n}", F.coalesce(f"n_{n}", F.lit(0).cast("long")))
-    return j
+    j = atoms.join(folded(facts, ["kind", "atom"], names).drop("mask"), ["kind", "atom"], "left").select(*atoms.columns, *[F.coalesce(f"n_{n}", F.lit(0).cast("long")).alias(f"n_{n}") for n in names])
+    return j.select("*", *[(F.col(f"n_{n}") > 0).alias(f"has_{n}") for n in names])
 
 
 def _state(p: Phase) -> tuple[Column, Column, Column]:
@@ -56,7 +62,10 @@ def work_lists(atoms: DataFrame, facts: DataFrame, names: Sequence[str], phases:
     phase how many atoms there are, are done, have failed (they are left out of
     the run) and wait; whether the phases it needs are through; and the first
     atom that waits, in the order of ``at`` and ``atom``."""
-    j = _known(atoms, facts, names)
+    return _lists(_known(atoms, facts, names), phases)
+
+
+def _lists(j: DataFrame, phases: Sequence[Phase]) -> DataFrame:
     aggs = []
     for k, p in enumerate(phases):
         mine, done, failed = _state(p)
@@ -75,11 +84,11 @@ def work_lists(atoms: DataFrame, facts: DataFrame, names: Sequence[str], phases:
 
 def pending(atoms: DataFrame, facts: DataFrame, names: Sequence[str], phases: Sequence[Phase]) -> DataFrame:
     """(unit, phase, atom, at): the atoms that wait in phases that are open."""
-    j = _known(atoms, facts, names)
+    j = written(_known(atoms, facts, names), "atoms")  # for the atoms and for the phases
     states = [_state(p) for p in phases]
     waiting = F.array_compact(F.array(*[F.when(m & ~d & ~f, F.lit(p.name)) for p, (m, d, f) in zip(phases, states, strict=True)]))
     each = j.select("unit", "atom", "at", F.explode(waiting).alias("phase"))
-    free = work_lists(atoms, facts, names, phases).where("open and pending > 0").select("unit", "phase")
+    free = _lists(j, phases).where("open and pending > 0").select("unit", "phase")
     return each.join(free, ["unit", "phase"], "left_semi")
 
 

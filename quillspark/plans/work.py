@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import partial, reduce
+from operator import add
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,22 +62,24 @@ def _atoms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, folder: str) -> DataFrame:
-    """(kind, atom, fact), some facts several times."""
+    """(kind, atom, n_<fact>…): how often a row says each fact of its atom."""
     li, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
 
     def row(df: DataFrame, kind: str, atom: list[str], *facts: tuple[str, str]) -> DataFrame:
-        found = F.array_compact(F.array(*[F.when(F.expr(when), F.lit(name)) for when, name in facts]))
-        return df.select(F.lit(kind).alias("kind"), F.concat_ws("/", F.lit(kind[0]), *atom).alias("atom"), F.explode(found).alias("fact"))
+        said = {n: [F.coalesce(F.expr(when).cast("int"), F.lit(0)) for when, x in facts if x == n] for _, n in facts}
+        return df.select(F.lit(kind).alias("kind"), F.concat_ws("/", F.lit(kind[0]), *atom).alias("atom"), *[reduce(add, x).alias(f"n_{n}") for n, x in said.items()])
 
-    return (
+    union = partial(DataFrame.unionByName, allowMissingColumns=True)
+    rows = (
         row(
             li, "paragraph", ["l_orderkey", "l_linenumber"], ("l_quantity > 3", "argument"), ("l_quantity > 30", "argument"), ("l_discount > 0.02", "scaffold"), ("l_tax > 0.01", "assessed"), ("l_tax > 0.04", "assessed"),
             ("l_linestatus = 'F'", "forward"), ("l_returnflag <> 'N'", "retrograde"), ("l_partkey % 50 = 0", "failed"),
-        )
-        .unionByName(row(li, "section", ["l_orderkey", "l_returnflag"], ("l_linenumber <= 4", "graph_memo"), ("l_quantity < 40", "synthetic_memo"), ("l_tax < 0.07", "retrograde_memo")))
-        .unionByName(row(orders, "chapter", ["o_orderkey"], ("o_orderpriority not like '1%'", "graph_memo"), ("o_orderstatus <> 'P'", "synthetic_memo"), ("o_totalprice > 1000", "retrograde_memo")))
-        .unionByName(row(orders, "work", ["o_custkey"], ("o_orderkey % 3 = 0", "graph_memo"), ("o_orderkey % 5 = 0", "synthetic_memo"), ("o_orderkey % 7 = 0", "meta_memo"), ("o_orderkey % 2 = 0", "validated"), ("o_orderkey % 2 = 0", "other")))
+        ),
+        row(li, "section", ["l_orderkey", "l_returnflag"], ("l_linenumber <= 4", "graph_memo"), ("l_quantity < 40", "synthetic_memo"), ("l_tax < 0.07", "retrograde_memo")),
+        row(orders, "chapter", ["o_orderkey"], ("o_orderpriority not like '1%'", "graph_memo"), ("o_orderstatus <> 'P'", "synthetic_memo"), ("o_totalprice > 1000", "retrograde_memo")),
+        row(orders, "work", ["o_custkey"], ("o_orderkey % 3 = 0", "graph_memo"), ("o_orderkey % 5 = 0", "synthetic_memo"), ("o_orderkey % 7 = 0", "meta_memo"), ("o_orderkey % 2 = 0", "validated"), ("o_orderkey % 2 = 0", "other")),
     )
+    return reduce(union, rows)
 
 
 # The same in SQL: each phase's own condition, written out.

@@ -3,9 +3,11 @@
 import time
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from quillspark.functions import citations
-from quillspark.operators import dictionary
+from quillspark.operators import dictionary, worklist
+from quillspark.operators.collapse import collapse
 from quillspark.sources import docx, export, formats
 
 
@@ -56,3 +58,20 @@ def test_files_leave_python_a_few_at_a_time(spark, monkeypatch):
     out = list(docx._read(iter([batch, batch])))
     assert sum(b.num_rows for b in out) == 602 and max(b.num_rows for b in out) <= 10
     assert sorted(r["document_id"] for b in out for r in b.to_pylist()) == sorted(2 * [f[0] for f in files])
+
+
+def test_counted_facts_are_the_same_work(spark):
+    names, phases = ("a", "b"), (worklist.Phase("one", "p", "n_a >= 2"), worklist.Phase("two", "p", "has_b", needs=("one",)))
+    atoms = spark.createDataFrame([(u, "p", f"p{u}{k}", k) for u in range(3) for k in range(2)], "unit int, kind string, atom string, at long")
+    rows = [("p", "p00", "a"), ("p", "p00", "a"), ("p", "p01", "a"), ("p", "p10", "a"), ("p", "p10", "a"), ("p", "p11", "a"), ("p", "p11", "a"), ("p", "p11", "b")]
+    facts = spark.createDataFrame(rows, "kind string, atom string, fact string")
+    counted = spark.createDataFrame([("p", "p00", 1), ("p", "p00", 1), ("p", "p01", 1), ("p", "p10", 2), ("p", "p11", 2)], "kind string, atom string, n_a int").unionByName(spark.createDataFrame([("p", "p11", 1)], "kind string, atom string, n_b int"), allowMissingColumns=True)
+    both = [(sorted(map(tuple, worklist.work_lists(atoms, f, names, phases).collect())), sorted(map(tuple, worklist.pending(atoms, f, names, phases).collect()))) for f in (facts, counted)]
+    assert both[0] == both[1] and both[0][1] == [(0, "one", "p01", 1), (1, "two", "p10", 0), (2, "one", "p20", 0), (2, "one", "p21", 1)]
+
+
+def test_the_latest_value_may_be_another(spark):
+    nodes = spark.createDataFrame([("d", 0, None, 0, 0, 1, "r"), ("d", 1, 0, 1, 1, 4, "x"), ("d", 2, 0, 1, 2, 3, "y")], "d string, node int, parent int, depth int, at int, value long, label string")
+    even = F.when(F.col("value") % 2 == 0, F.col("value"))
+    out = {r["node"]: (r["total"], r["latest"], r["joined"]) for r in collapse(nodes, "d", "|", latest=even).collect()}
+    assert out == {0: (8, 4, "x|y"), 1: (4, 4, "x"), 2: (3, None, "y")}
