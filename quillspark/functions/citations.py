@@ -31,29 +31,33 @@ def n_inline(text: str | Column) -> Column:
     return F.regexp_count(text, F.lit(COUNTED))
 
 
-def _read(raw: Column, at: Column, form: str) -> Column:
-    """A citation from its words; null if its first author is none."""
-    part = lambda k: F.nullif(F.trim(F.regexp_extract(raw, form, k)), F.lit(""))
-    names = F.split(F.regexp_replace(part(1), rf"(?i)\s+{ET_AL}", ""), _JOINED)
+_MARK, _PART = "\x01", "\x02"  # stand around a match and between its groups; no form matches them
+
+
+def _read(found: Column, at: Column) -> Column:
+    """A citation from a match and its groups; null if its first author is none."""
+    part = lambda k: F.nullif(F.trim(F.get(found, F.lit(k))), F.lit(""))
+    names = F.split(F.regexp_replace(F.regexp_replace(part(1), rf"(?i)\s+{ET_AL}", ""), _JOINED, _MARK), _MARK)
 
     def made(authors: Column) -> Column:
         odd = F.exists(F.split(F.get(authors, F.lit(0)), r"\s+"), lambda x: x.isin(*sorted(NO_AUTHORS)))
-        return F.when(~odd, F.struct(at.cast("int").alias("offset"), raw.alias("raw"), authors.alias("authors"), part(2).alias("year"), part(3).alias("suffix"), part(4).alias("page")))
+        return F.when(~odd, F.struct(at.cast("int").alias("offset"), F.get(found, F.lit(0)).alias("raw"), authors.alias("authors"), part(2).alias("year"), part(3).alias("suffix"), part(4).alias("page")))
 
     return let(F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x != ""), made)
 
 
-def _places(text: Column, form: str) -> Column:
-    """array<struct<raw, at>>: the matches of ``form`` in a text and their places."""
-
-    def placed(raws: Column) -> Column:
-        def at(gaps: Column) -> Column:
-            starts = offsets(F.zip_with(gaps, raws, lambda g, r: F.length(g) + F.coalesce(F.length(r), F.lit(0))))
-            return let(starts, lambda s: F.transform(raws, lambda r, k: F.struct(r.alias("raw"), (F.get(s, k) + F.length(F.get(gaps, k))).alias("at"))))
+def _places(text: Column, form: str, groups: int = 0) -> Column:
+    """array<struct<found, at>>: the matches of ``form`` in a text, each with its
+    first ``groups`` groups, and their places.  One pass marks them all: what
+    splits a text by a form reads the form anew for each text."""
+    marks = _MARK + _PART.join(f"${k}" for k in range(groups + 1)) + _MARK
 
-        return F.when(F.size(raws) > 0, let(F.split(text, form, -1), at)).otherwise(F.array().cast("array<struct<raw:string,at:bigint>>"))
+    def placed(pieces: Column) -> Column:
+        starts = offsets(F.transform(pieces, lambda x: F.length(F.substring_index(x, _PART, 1))))
+        own = lambda s: F.transform(pieces, lambda x, k: F.when(k % 2 == 1, F.struct(F.split(x, _PART).alias("found"), F.get(s, k).alias("at"))))
+        return F.when(F.size(pieces) > 1, F.filter(let(starts, own), lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<found:array<string>,at:bigint>>"))
 
-    return let(F.regexp_extract_all(text, F.lit(form), F.lit(0)), placed)
+    return let(F.split(F.regexp_replace(F.translate(text, _MARK + _PART, "\x03\x03"), form, marks), _MARK), placed)
 
 
 _NARRATIVE = rf"\b({AUTHORS})\s*\(\s*{YEAR}\s*\)"
@@ -67,9 +71,10 @@ def citations_of(text: str | Column) -> Column:
     by offset; the narrative form goes before one in brackets at its place."""
     col = F.col(text) if isinstance(text, str) else text
     known = lambda x: F.filter(x, lambda c: c.isNotNull())
-    told = F.transform(_places(col, _NARRATIVE), lambda p: _read(p["raw"], p["at"], _NARRATIVE))
-    block = lambda b: F.transform(_places(F.substring(b["raw"], F.lit(2), F.length(b["raw"]) - 2), _INSIDE), lambda p: _read(p["raw"], b["at"] + 1 + p["at"], _INSIDE))
-    inside = F.flatten(F.transform(F.filter(_places(col, _BRACKETS), lambda b: b["raw"].rlike(_YEARS)), block))
+    raw = lambda b: F.get(b["found"], F.lit(0))
+    told = F.transform(_places(col, _NARRATIVE, 4), lambda p: _read(p["found"], p["at"]))
+    block = lambda b: F.transform(_places(F.substring(raw(b), F.lit(2), F.length(raw(b)) - 2), _INSIDE, 4), lambda p: _read(p["found"], b["at"] + 1 + p["at"]))
+    inside = F.flatten(F.transform(F.filter(_places(col, _BRACKETS), lambda b: raw(b).rlike(_YEARS)), block))
     both = let(known(told), lambda t: F.array_sort(F.concat(t, F.filter(known(inside), lambda c: ~F.exists(t, lambda d: d["offset"] == c["offset"])))))
     return F.when(col.rlike(_YEARS), both).otherwise(F.array().cast(f"array<{CITATION}>"))
 

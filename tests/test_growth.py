@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import citations
 from quillspark.operators import dictionary, worklist
 from quillspark.operators.collapse import collapse
+from quillspark.plans import writings
 from quillspark.sources import docx, export, formats
 
 
@@ -75,3 +76,20 @@ def test_the_latest_value_may_be_another(spark):
     even = F.when(F.col("value") % 2 == 0, F.col("value"))
     out = {r["node"]: (r["total"], r["latest"], r["joined"]) for r in collapse(nodes, "d", "|", latest=even).collect()}
     assert out == {0: (8, 4, "x|y"), 1: (4, 4, "x"), 2: (3, None, "y")}
+
+
+def test_texts_made_from_a_small_table_are_dealt_out(spark, sf):
+    for q in (writings.inline_citations(spark, sf), writings.cited_authors(spark, sf)):
+        plan = q._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(id") == plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan  # one task read all of them
+        assert q.rdd.getNumPartitions() > 1
+
+
+def test_a_form_is_read_once_for_all_texts(spark):
+    t = "\x01Ä\x02 $1 (vgl. Bohnsack, 2010;\x01 Cramer und Groß 2019b: 4–5) \U0001f600 Klafki u. a.\n(1999)\x02"
+    df = spark.createDataFrame([(t,), ("\x01\x02",), ("2010",), (None,)], "t string").select(citations.citations_of("t").alias("c"))
+    assert [[tuple(c) for c in r["c"]] for r in df.collect()] == [
+        [(t.index("Bohnsack"), "Bohnsack, 2010", ["Bohnsack"], "2010", None, None), (t.index("Cramer"), "Cramer und Groß 2019b: 4–5", ["Cramer", "Groß"], "2019", "b", "4–5"), (t.index("Klafki"), "Klafki u. a.\n(1999)", ["Klafki"], "1999", None, None)], [], [], [],
+    ]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in (citations._NARRATIVE, citations._INSIDE) if f", {x}, -1)" in plan]  # a split reads its form anew for each text
