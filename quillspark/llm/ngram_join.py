@@ -93,6 +93,7 @@ def signatures(docs: DataFrame, n: int = 5) -> DataFrame:
                     digests[i + k] = hashlib.blake2b(h[first[k] : first[k + 1]].tobytes(), digest_size=16).digest()
                     sigs[i + k] = x.tobytes()
             yield pa.record_batch([*(b.column(x) for x in ("id", "key", "tie")), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "key", "tie", "digest", "sig"])
+        c.trim()
 
     return docs.mapInArrow(sign, "id long, key long, tie long, digest binary, sig binary")
 
@@ -193,6 +194,7 @@ def candidates(points: DataFrame, threshold: float, tolerance: float, groups: in
         for b in batches:
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, _N)
             yield pa.record_batch([pa.array(np.repeat(np.asarray(b.column("key")), BANDS)), pa.array(_bands(sig).view(np.int64).ravel())], names=["key", "bucket"])
+        c.trim()
 
     rows = points.mapInArrow(deal, "key long, bucket long")
     # buckets of the same members count once: their sums of two hashes agree
@@ -212,6 +214,8 @@ def candidates(points: DataFrame, threshold: float, tolerance: float, groups: in
             found.append((point[a], point[b]))
         root = _forest(*map(np.concatenate, zip(*found, strict=True)), len(ids))
         tied = root != np.arange(len(ids))
+        del pdf, sig, found, point
+        c.trim()
         return pd.DataFrame({"a": ids[tied], "b": ids[root[tied]]})
 
     dealt = _deal(_blocked(members, "bucket", "size", block), groups).select("task", "part", "lo", "hi", "own", "key", "sig")
@@ -258,6 +262,7 @@ def verified(sets: DataFrame, threshold: float, tolerance: float, n: int, groups
                 out += [h[s:e].tobytes() for s, e in zip(first[:-1], first[1:], strict=True)]
             kept = ("key", "group", "size", "copies", "sig")
             yield pa.record_batch([*(b.column(x) for x in kept), pa.array(out, pa.binary())], names=[*kept, "shingles"])
+        c.trim()
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, cuts = _parts(pdf)
@@ -296,7 +301,10 @@ def verified(sets: DataFrame, threshold: float, tolerance: float, n: int, groups
             np.add.at(links, s + a, many[s + b])
             np.add.at(links, s + b, many[s + a])
             root[s:e] = keys[s + _forest(a, b, e - s)]
-        return pd.DataFrame({"key": keys, "root": root, "links": links, "one": pdf["size"].to_numpy() <= block})
+        one = pdf["size"].to_numpy() <= block
+        del pdf, sig, shingles
+        c.trim()
+        return pd.DataFrame({"key": keys, "root": root, "links": links, "one": one})
 
     sets = sets.select("key", "group", "size", "copies", "sig", "text").mapInArrow(shingle, "key long, group long, size long, copies long, sig binary, shingles binary")
     dealt = _deal(_blocked(sets, "group", "size", block), groups).select("task", "part", "lo", "hi", "own", "key", "size", "copies", "sig", "shingles")

@@ -92,7 +92,10 @@ def _gather(packed: DataFrame, name: str, runs: bool = False) -> DataFrame:
             key, tie, doc = key[at], tie[at], doc[at]
         cuts = np.flatnonzero(doc)
         ends = np.append(cuts[1:], len(key))
-        return pd.DataFrame({"key": key[cuts], "tie": tie[cuts], name: [value[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)]})
+        found = pd.DataFrame({"key": key[cuts], "tie": tie[cuts], name: [value[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)]})
+        del pdf, key, tie, value, doc, new, order
+        c.trim()
+        return found
 
     return packed.groupBy("part").applyInPandas(gather, f"key long, tie long, {name} binary")
 
@@ -155,6 +158,8 @@ def _repeated_anchors(docs: DataFrame, window: int, anchor: int, groups: int, ho
         again = (total[at] > 1) & (many == 1)  # the others are on their way already
         over = np.flatnonzero(total > hot)
         out = list(_Places(key[again], tie[again], _half(h[at[again]])).rows(groups))
+        del pdf, many, key, tie, at, again
+        c.trim()
         return _frame([*out, (_HOT, len(over), h[over].tobytes())] if len(over) else out)
 
     decided = c.cut(docs.select("key", "tie", "text").mapInArrow(collect, c.PACKED).groupBy("part").applyInPandas(decide, c.PACKED), "anchors")

@@ -175,6 +175,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                         out[i + text[first], k] = np.minimum.reduceat(c.mix(h * mul[k]), first)
             sketch = pa.ListArray.from_arrays(np.arange(0, out.size + 1, 16, dtype=np.int32), pa.array(out.view(np.int64).ravel()))
             yield pa.record_batch([b.column("row"), b.column("toxic"), pa.array(out[:, 0].view(np.int64)), pa.array(out[:, 1].view(np.int64)), sketch], names=["row", "toxic", "a", "b", "sketch"])
+        c.trim()
 
     return docs.select("row", "text", "toxic").mapInArrow(least, "row long, toxic int, a long, b long, sketch array<long>")
 
@@ -207,6 +208,7 @@ def _together(docs: DataFrame, stems: Stems) -> tuple[int, int, np.ndarray]:
                 total += (v.T @ v).astype(np.int64)
         flat = np.append(total.ravel(), [n, words])
         cell = np.flatnonzero(flat)
+        c.trim()
         yield pa.record_batch([pa.array(cell), pa.array(flat[cell])], names=["cell", "n"])
 
     rows = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # a row for each two voters
@@ -288,6 +290,7 @@ def find_stems(rows: DataFrame, prior: float, chance: float = 0.01, purity: floa
             h, at_ = np.unique(np.concatenate(hs), return_inverse=True)
             n1, n = np.bincount(at_, np.concatenate(ys)).astype(np.int32), np.bincount(at_).astype(np.int32)
             yield c.packed_batch([(p, len(x[0]), c.pack(*x)) for p, x in c.by_part((c.mix(h) % c.U(groups)).astype(np.int64), h, n1, n)])
+        c.trim()
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         h, n1, n = c.unpack_all(pdf["blob"], pdf["n"], c.U, np.int32, np.int32)
@@ -378,6 +381,7 @@ def _features(few: DataFrame, stems: Stems) -> pa.Table:
                 slots += [slot[s:e].astype(np.int32).tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
                 weights += [(many[s:e] * scale[k]).astype(np.float32).tobytes() for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
             yield pa.record_batch([b.column("row"), b.column("toxic"), *(pa.array(x, pa.binary()) for x in (bits, slots, weights))], names=["row", "toxic", "bits", "slots", "weights"])
+        c.trim()
 
     return few.select("row", "toxic", "text").mapInArrow(features, "row long, toxic int, bits binary, slots binary, weights binary").toArrow().sort_by("row")
 

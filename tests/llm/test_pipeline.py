@@ -67,3 +67,15 @@ def test_mix_of_what_is_left(spark, sf, stages):
     assert {r["doc_id"]: r["size"] for r in out} == sizes
     assert abs(sum(r["taken"] for r in out) - 1.5 * sum(sizes.values())) <= len({r["source"] for r in out})
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, out))
+
+
+def test_workers_give_back_memory(spark, sf, monkeypatch):
+    """Workers stay for the next stages, so all that read texts or sets give back what they held."""
+    docs, run = spark.read.parquet(f"{sf}/documents.parquet"), []
+    kinds = [(type(docs), "mapInArrow"), (type(docs.groupBy("doc_id")), "applyInPandas")]
+    for kind, name in kinds:
+        monkeypatch.setattr(kind, name, lambda self, f, *a, g=getattr(kind, name): run.append(f) or g(self, f, *a))
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        stage(spark, docs, sf)
+    assert {"least", "count", "features", "sign", "deal", "compare", "shingle", "verify", "collect", "decide", "gather", "emit", "subtree", "strip"} <= {f.__name__ for f in run}
+    assert not [f.__qualname__ for f in run if "trim" not in f.__code__.co_names and f.__name__ != "choose"]  # counts of a bounded sample
