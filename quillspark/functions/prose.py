@@ -68,36 +68,35 @@ def structured(responses: DataFrame, singletons: Sequence[str], lists: dict[str,
     return single, items, responses.where(~ok).select("atom_id", F.lit("header-scan").alias("stage"))
 
 
-_HEADER = r"(?i)^\s*(?:(ARGUMENT)\s+(A\d+)|(EDGES)|(SCAFFOLDING)\s+(S\d+))\s*$"
+_BLANK = r"[ \t\x0B\f\r]"  # white space within a line
+_LINE_END = r"(?=\n|\z)"
+_HEADER = rf"(?i)\n{_BLANK}*(?:ARGUMENT{_BLANK}+(?=A)|SCAFFOLDING{_BLANK}+(?=S)|(?=EDGES))(A\d+|S\d+|EDGES){_BLANK}*{_LINE_END}"
+_KEY = rf"\n{_BLANK}*([A-Za-z_][A-Za-z0-9_]*){_BLANK}*:{_BLANK}*(?=.*{_LINE_END})"
 # Kinds of edges, grounding and functions.
 _EDGE = r"(?i)^\s*(A\d+)\s*-\s*(supports|refines|contradicts|presupposes)\s*->\s*(A\d+|§\d+:A\d+)\s*$"
 GROUNDINGS = ("none", "namedropping", "abstract", "concrete")
 FUNCTIONS = ("textorganisatorisch", "didaktisch", "kontextualisierend", "rhetorisch")
+_MARK = "\r\n"  # stands nowhere once line ends are plain
+_ALL = 1 << 30
 
 
-def _cut(rows: Column, opens: Callable[[Column], Column], made: Callable[[Column, Column], Column]) -> Column:
-    """``made(row, rows after it)`` for each row that opens a run of rows."""
-
-    def runs(own: Column, at: Column) -> Column:
-        return F.transform(at, lambda o, k: made(F.get(own, o), F.slice(own, o + 2, F.coalesce(F.get(at, k + 1), F.size(own)) - o - 1)))
-
-    places = lambda own: F.filter(F.transform(own, lambda x, i: F.when(opens(x), i)), lambda i: i.isNotNull())
-    return let(rows, lambda own: let(places(own), lambda at: runs(own, at)))
+def _below(text: Column, form: str, end: str = "") -> Column:
+    """array<string>: what follows each match of ``form``, after the first group of
+    the match and ``end``.  One pass marks all matches; lines are not looked at singly."""
+    return F.slice(F.split(F.regexp_replace(text, form, f"{_MARK}$1{end}"), _MARK), 2, _ALL)
 
 
 def _row_sections(raw: Column, header: str) -> Column:
-    """array<struct<head, body>>: the sections of an answer that have lines."""
-    rows = F.transform(F.split(raw, "\n"), lambda x: F.when(x.contains("\r"), F.regexp_replace(x, r"\r$", "")).otherwise(x))
-    return F.filter(_cut(rows, lambda x: x.rlike(header), lambda head, body: F.struct(head.alias("head"), body.alias("body"))), lambda s: F.size(s["body"]) > 0)
+    """array<struct<id, text>>: the sections of an answer that have lines, by the name
+    in their header; the text has the name as its first line."""
+    plain = F.concat(F.lit("\n"), F.when(raw.contains("\r"), F.regexp_replace(raw, r"\r+" + _LINE_END, "")).otherwise(raw))
+    return F.transform(F.filter(_below(plain, header), lambda x: x.contains("\n")), lambda x: F.struct(F.upper(F.substring_index(x, "\n", 1)).alias("id"), x.alias("text")))
 
 
-def _row_fields(body: Column) -> Column:
+def _row_fields(text: Column) -> Column:
     """array<struct<key, value>>: the fields of a section in their order."""
-    stripped = lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r"))
-    key = lambda x: F.lower(stripped(F.substring_index(x, ":", 1)))
-    value = lambda x, rest: F.when(F.size(rest) == 0, x).otherwise(F.concat_ws("\n", x, rest))
-    field = lambda x, rest: F.struct(key(x).alias("key"), stripped(value(F.regexp_extract(x, FIELD, 2), rest)).alias("value"))
-    return _cut(body, lambda x: x.contains(":") & x.rlike(FIELD), field)
+    value = lambda x: F.btrim(F.substr(x, F.instr(x, "\n")), F.lit(" \t\n\x0b\f\r"))
+    return F.transform(_below(text, _KEY, "\n"), lambda x: F.struct(F.lower(F.substring_index(x, "\n", 1)).alias("key"), value(x).alias("value")))
 
 
 def _get(found: Column, *names: str) -> Column:
@@ -106,43 +105,47 @@ def _get(found: Column, *names: str) -> Column:
     return F.coalesce(*[last(n) for n in names], F.lit(""))
 
 
-def _first(sections: Column, key: Callable[[Column], Column]) -> Column:
-    """Of sections with the same key the first."""
-    keys = lambda own: F.sort_array(F.transform(own, lambda s, k: F.struct(key(s).alias("key"), k.alias("k"))))
-    return let(sections, lambda own: let(keys(own), lambda ks: F.transform(F.filter(ks, lambda x, i: (i == 0) | (F.get(ks, i - 1)["key"] != x["key"])), lambda x: F.get(own, x["k"]))))
+def _first(sections: Column, name: Callable[[Column, Column], Column] = lambda s, k: s["id"]) -> Column:
+    """Of sections with the same name the first."""
+    keys = lambda own: F.sort_array(F.transform(own, lambda s, k: F.struct(name(s, k).alias("key"), k.alias("k"))))
+    firsts = lambda own: let(keys(own), lambda ks: F.transform(F.filter(ks, lambda x, i: (i == 0) | (F.get(ks, i - 1)["key"] != x["key"])), lambda x: F.get(own, x["k"])))
+    return F.when(F.size(F.array_distinct(sections["id"])) == F.size(sections), sections).otherwise(let(sections, firsts))
+
+
+def _read(sections: Column, letter: str, made: Callable[[Column, Column], Column]) -> Column:
+    """``made(id, fields)`` of the sections whose ids begin with a letter; without those
+    that have no fields, or of which nothing is made."""
+    own = F.filter(sections, lambda s: s["id"].startswith(letter))
+    return F.filter(F.transform(own, lambda s: let(_row_fields(s["text"]), lambda f: F.when(F.size(f) > 0, made(s["id"], f)))), lambda x: x.isNotNull())
 
 
-def _arguments(sections: Column) -> Column:
-    """array<struct<local_id, claim, anchor_phrase, grounding, premises>>, also of those without a claim."""
-    part = lambda s, k: F.upper(F.regexp_extract(s["head"], _HEADER, k))
+def _arguments(sections: Column, *kept: str) -> Column:
+    """array<struct<local_id, claim, anchor_phrase, grounding, premises>> or what is kept of it, also of those without a claim."""
 
     def made(local: Column, f: Column) -> Column:
         g = F.lower(_get(f, "grounding", "referential_grounding"))
         kind = let(g, lambda x: F.when(x.isin(*GROUNDINGS), x).otherwise("none"))
-        return F.struct(local.alias("local_id"), _get(f, "claim").alias("claim"), _get(f, "anchor", "anchor_phrase").alias("anchor_phrase"), kind.alias("grounding"), _get(f, "premises").alias("premises"))
+        every = {"local_id": local, "claim": _get(f, "claim"), "anchor_phrase": _get(f, "anchor", "anchor_phrase"), "grounding": kind, "premises": _get(f, "premises")}
+        return F.struct(*[every[k].alias(k) for k in kept or every])
 
-    own = _first(F.filter(sections, lambda s: part(s, 1) != ""), lambda s: part(s, 2))
-    found = F.transform(own, lambda s: F.struct(part(s, 2).alias("l"), _row_fields(s["body"]).alias("f")))
-    return F.transform(F.filter(found, lambda x: F.size(x["f"]) > 0), lambda x: made(x["l"], x["f"]))
+    return _read(sections, "A", made)
 
 
-def _scaffolding(sections: Column) -> Column:
-    """array<struct<local_id, excerpt, function_type, description, assessment, anchored_to, anchor_phrase>>."""
-    part = lambda s, k: F.upper(F.regexp_extract(s["head"], _HEADER, k))
+def _scaffolding(sections: Column, *kept: str) -> Column:
+    """array<struct<local_id, excerpt, function_type, description, assessment, anchored_to, anchor_phrase>> or what is kept of it."""
 
     def made(local: Column, f: Column) -> Column:
         plain = F.substring(F.trim(F.regexp_replace(_get(f, "excerpt"), "^[\"„](.*)[\"“”]$", "$1")), 1, 1000)
         kind = let(F.lower(_get(f, "function", "function_type")), lambda x: F.when(x.isin(*FUNCTIONS), x).otherwise("kontextualisierend"))
-        refs = F.filter(F.transform(F.split(_get(f, "anchored_to"), "[,;]"), lambda x: F.upper(F.trim(x))), lambda x: x.rlike(r"^(A\d+|§\d+:A\d+)$"))
-        return F.struct(
-            local.alias("local_id"), plain.alias("excerpt"), kind.alias("function_type"), _get(f, "description", "function_description").alias("description"),
-            _get(f, "assessment").alias("assessment"), refs.alias("anchored_to"), _get(f, "anchor", "anchor_phrase").alias("anchor_phrase"),
-        )
+        refs = F.filter(F.transform(F.split(F.translate(_get(f, "anchored_to"), ";", ","), ","), lambda x: F.upper(F.trim(x))), lambda x: x.rlike(r"^(A\d+|§\d+:A\d+)$"))
+        every = {
+            "local_id": local, "excerpt": plain, "function_type": kind, "description": _get(f, "description", "function_description"),
+            "assessment": _get(f, "assessment"), "anchored_to": refs, "anchor_phrase": _get(f, "anchor", "anchor_phrase"),
+        }
+        whole = (_get(f, "excerpt") != "") & (every["description"] != "") & (every["assessment"] != "")
+        return F.when(whole, F.struct(*[every[k].alias(k) for k in kept or every]))
 
-    own = _first(F.filter(sections, lambda s: part(s, 5) != ""), lambda s: part(s, 5))
-    found = F.transform(own, lambda s: F.struct(part(s, 5).alias("l"), _row_fields(s["body"]).alias("f")))
-    whole = lambda f: (_get(f, "excerpt") != "") & (_get(f, "description", "function_description") != "") & (_get(f, "assessment") != "")
-    return F.transform(F.filter(found, lambda x: whole(x["f"])), lambda x: made(x["l"], x["f"]))
+    return _read(sections, "S", made)
 
 
 _FRONT = r"(?i)^(\s*A\d+\s*-\s*(?:supports|refines|contradicts|presupposes)\s*->\s*)(.+)$"
@@ -150,25 +153,32 @@ _FRONT = r"(?i)^(\s*A\d+\s*-\s*(?:supports|refines|contradicts|presupposes)\s*->
 
 def _edge_lines(sections: Column) -> Column:
     """array<struct<e, from_id, to_id, k>>: edges as written, one target each; ``k`` is empty if unreadable."""
-    rows = F.flatten(F.transform(F.filter(sections, lambda s: F.upper(F.regexp_extract(s["head"], _HEADER, 3)) != ""), lambda s: s["body"]))
-    rows = F.filter(F.transform(rows, lambda x: F.trim(F.regexp_replace(x, r"\s*\([^)]*\)\s*$", ""))), lambda x: x != "")
-    rows = F.transform(rows, lambda x: F.regexp_replace(F.regexp_replace(x, "-{1,3}>", "->"), "→", "->"))
-    targets = lambda x: F.filter(F.split(F.regexp_extract(x, _FRONT, 2), r"\s*,\s*"), lambda y: y != "")
-    each = F.flatten(F.transform(rows, lambda x: F.when(F.regexp_extract(x, _FRONT, 2).contains(","), F.transform(targets(x), lambda y: F.concat(F.regexp_extract(x, _FRONT, 1), y))).otherwise(F.array(x))))
-    m = lambda x, k: F.regexp_extract(x, _EDGE, k)
-    return F.transform(each, lambda x: F.struct(x.alias("e"), F.upper(m(x, 1)).alias("from_id"), F.upper(m(x, 3)).alias("to_id"), F.lower(m(x, 2)).alias("k")))
+    rows = F.flatten(F.transform(F.filter(sections, lambda s: s["id"] == "EDGES"), lambda s: F.slice(F.split(s["text"], "\n"), 2, _ALL)))
+    bare = lambda x: F.trim(F.when(x.contains("("), F.regexp_replace(x, r"\s*\([^)]*\)\s*$", "")).otherwise(x))
+    arrow = lambda x: F.replace(F.when(x.contains("-->"), F.regexp_replace(x, "-{1,3}>", "->")).otherwise(x), F.lit("→"), F.lit("->"))
+    rows = F.transform(F.filter(F.transform(rows, bare), lambda x: x != ""), arrow)
+    targets = lambda x: F.filter(F.split(F.regexp_replace(x, r"\s*,\s*", "\n"), "\n"), lambda y: y != "")
+    front = lambda x: F.split(F.regexp_replace(x, _FRONT, "$1\n$2"), "\n")
+    single = lambda m, x: F.when(F.get(m, F.lit(1)).contains(","), F.transform(targets(F.get(m, F.lit(1))), lambda y: F.concat(F.get(m, F.lit(0)), y))).otherwise(F.array(x))
+    each = F.flatten(F.transform(rows, lambda x: F.when(x.contains(","), let(front(x), lambda m: single(m, x))).otherwise(F.array(x))))
+    part = lambda m, k: F.coalesce(F.get(m, F.lit(k)), F.lit(""))
+    read = F.transform(each, lambda x: F.struct(x.alias("e"), F.slice(F.split(F.regexp_replace(x, _EDGE, "\n$1\n$3\n$2"), "\n"), 2, 3).alias("m")))
+    return F.transform(read, lambda x: F.struct(x["e"].alias("e"), F.upper(part(x["m"], 0)).alias("from_id"), F.upper(part(x["m"], 1)).alias("to_id"), F.lower(part(x["m"], 2)).alias("k")))
 
 
 def argument_graph(responses: DataFrame) -> dict[str, DataFrame]:
     """Tables ``arguments``, ``premises``, ``edges``, ``scaffolding`` and
     ``warnings`` of answers (atom_id, raw_text), and ``rows``: (atom_id,
-    arguments, edges, scaffolding) with all of an answer in one row.
+    arguments, edges, scaffolding) with what a graph needs of an answer in one row.
 
     An answer is read within its row, so nothing is shuffled; it is known by its
     ``atom_id``.
     """
     s = responses.select("atom_id", _row_sections(F.col("raw_text"), _HEADER).alias("s"))
-    made = F.filter(_arguments(F.col("s")), lambda x: x["claim"] != "")
+    own = lambda s, k: F.when(s["id"] == "EDGES", F.concat(s["id"], k.cast("string"))).otherwise(s["id"])
+    s = s.select("atom_id", _first(F.col("s"), own).alias("s"))
+    claimed = lambda *kept: F.filter(_arguments(F.col("s"), *kept), lambda x: x["claim"] != "")
+    made = claimed()
     each = lambda column, name: s.select("atom_id", F.inline(column)) if name is None else s.select("atom_id", F.explode(column).alias(name))
     args = each(made, None)
 
@@ -189,7 +199,7 @@ def argument_graph(responses: DataFrame) -> dict[str, DataFrame]:
     lost = F.transform(F.filter(_arguments(F.col("s")), lambda x: x["claim"] == ""), lambda x: F.struct(F.lit("no claim").alias("what"), x["local_id"].alias("at")))
     return {
         "arguments": args.drop("premises"), "premises": premises, "edges": each(edges, None), "scaffolding": each(_scaffolding(F.col("s")), None), "warnings": each(F.concat(odd, lost), None),
-        "rows": s.select("atom_id", made.alias("arguments"), edges.alias("edges"), _scaffolding(F.col("s")).alias("scaffolding")),
+        "rows": s.select("atom_id", claimed("local_id", "claim", "anchor_phrase", "grounding").alias("arguments"), edges.alias("edges"), _scaffolding(F.col("s"), "local_id", "anchored_to").alias("scaffolding")),
     }
 
 
@@ -209,18 +219,18 @@ def validity(responses: DataFrame, arguments: DataFrame, fallacies: Sequence[str
     rationale) of answers (atom_id, raw_text) with ``VALIDITY An`` sections, for
     known arguments (atom_id, local_id): one that carries needs a form, one that
     does not a known fallacy and a target, both a rationale."""
-    form = r"(?i)^\s*(?:#{1,3}\s+)?[*_]{0,3}\s*VALIDITY\s+(A\d+)\s*[*_]{0,3}\s*$"
+    form = rf"(?i)\n{_BLANK}*(?:#{{1,3}}{_BLANK}+)?[*_]{{0,3}}{_BLANK}*VALIDITY{_BLANK}+(A\d+){_BLANK}*[*_]{{0,3}}{_BLANK}*{_LINE_END}"
     get = lambda f, *names: F.trim(_get(f, *names))
 
     def last(found: Column) -> Column:
         """Of sections of the same argument the last that has fields."""
-        return _first(F.reverse(F.filter(found, lambda x: F.size(x["f"]) > 0)), lambda x: x["local_id"])
+        return _first(F.reverse(F.filter(found, lambda x: F.size(x["f"]) > 0)))
 
-    read = F.transform(_row_sections(F.col("raw_text"), form), lambda s: F.struct(F.upper(F.regexp_extract(s["head"], form, 1)).alias("local_id"), _row_fields(s["body"]).alias("f")))
+    read = F.transform(_row_sections(F.col("raw_text"), form), lambda s: F.struct(s["id"], _row_fields(s["text"]).alias("f")))
     known = arguments.groupBy("atom_id").agg(F.collect_set("local_id").alias("known"))
     both = responses.select("atom_id", "raw_text").join(known, "atom_id").select("atom_id", F.explode(let(read, last)).alias("x"), "known")
     f = F.col("x.f")
-    w = both.where(F.array_contains("known", F.col("x.local_id"))).select("atom_id", "x.local_id", F.lower(get(f, "carries")).isin("yes", "true").alias("carries"), F.lower(get(f, "form", "inference_form")).alias("form"), F.lower(get(f, "fallacy")).alias("fallacy"), get(f, "target", "target_premise").alias("target"), get(f, "rationale").alias("rationale"))
+    w = both.where(F.array_contains("known", F.col("x.id"))).select("atom_id", F.col("x.id").alias("local_id"), F.lower(get(f, "carries")).isin("yes", "true").alias("carries"), F.lower(get(f, "form", "inference_form")).alias("form"), F.lower(get(f, "fallacy")).alias("fallacy"), get(f, "target", "target_premise").alias("target"), get(f, "rationale").alias("rationale"))
     w = w.withColumn("form", F.when(F.col("form").isin(*FORMS), F.col("form")))
     ok = (F.col("rationale") != "") & F.when(F.col("carries"), F.col("form").isNotNull()).otherwise(F.col("fallacy").isin(*fallacies) & (F.col("target") != ""))
     return w.where(ok).withColumn("fallacy", F.when(~F.col("carries"), F.col("fallacy"))).withColumn("target", F.when(~F.col("carries"), F.col("target")))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.arrays import let
 from quillspark.sources.folders import written
 
 _REFERENCE = r"^\s*(?:§(\d+):)?(A\d+)\s*$"  # an argument of this paragraph or of another one
@@ -81,6 +84,64 @@ def stored_nodes(tables: dict[str, DataFrame], paragraphs: DataFrame) -> DataFra
     return anchor_spans(a).select(_node_id("unit", "position", "local_id").alias("node_id"), "atom_id", "unit", "position", "local_id", "claim", "grounding", "anchor_start", "anchor_end")
 
 
+_LINKED = "filter(edges, x -> array_contains(ids, x.from_id))"  # edges that begin at an argument
+
+
+def _reference(ref: Column, **more: Column) -> Column:
+    m = lambda k: F.regexp_extract(ref, _REFERENCE, k)
+    far = lambda k: F.when(k != "", k.cast("int")).otherwise(F.col("position"))
+    at = F.when(ref.contains("§"), let(m(1), far)).otherwise(F.col("position"))
+    return F.struct(ref.alias("ref"), at.alias("at"), m(2).alias("local_id"), *[v.alias(k) for k, v in more.items()])
+
+
+def _edge_references() -> Column:
+    return F.transform(F.expr(_LINKED), lambda x: _reference(x["to_id"], from_id=x["from_id"], kind=x["kind"], scope=x["scope"]))
+
+
+def _anchored(made: Callable[[Column, Column], Column]) -> Column:
+    return F.flatten(F.transform("scaffolding", lambda s: F.transform(s["anchored_to"], lambda r: made(s, r))))
+
+
+def _places(tables: dict[str, DataFrame], paragraphs: DataFrame) -> DataFrame:
+    """Paragraphs with their local ids, groundings, edges and scaffolding."""
+    each = lambda name: F.transform("arguments", lambda x: x[name])
+    places = tables["rows"].join(paragraphs.select("atom_id", "unit", "position"), "atom_id", "right")
+    return places.select("atom_id", "unit", "position", each("local_id").alias("ids"), each("grounding").alias("groundings"), "edges", "scaffolding")
+
+
+def linked_nodes(tables: dict[str, DataFrame], paragraphs: DataFrame) -> DataFrame:
+    """Arguments of paragraphs (as in ``stored_graph``) with what they are tied to:
+    (unit, position, local_id, node_id, grounding, degree, held), held if scaffolding
+    stands on them.
+
+    References to their own paragraph are counted within its row, before rows are
+    written; only those to another one meet the local ids there.
+    """
+    own = lambda r: r["at"] == F.col("position")
+    away = lambda refs, begins: F.transform(F.filter(refs, lambda r: ~own(r)), lambda r: F.struct(r["at"].cast("long").alias("at"), r["local_id"].alias("local_id"), begins(r).alias("from_id")))
+    p = _places(tables, paragraphs).where("unit is not null")
+    p = p.select("unit", "position", "ids", "groundings", _edge_references().alias("links"), F.array_distinct(_anchored(lambda s, r: _reference(r))).alias("anchors"))
+
+    within = F.filter("links", lambda r: own(r) & F.array_contains("ids", r["local_id"]))
+    ends = F.concat(F.transform(within, lambda r: r["from_id"]), F.transform(within, lambda r: r["local_id"]))
+    below = F.transform(F.filter("anchors", own), lambda r: r["local_id"])
+    counted = lambda tied, held: F.transform("ids", lambda i, k: F.struct(i.alias("local_id"), F.get("groundings", k).alias("grounding"), F.size(F.filter(tied, lambda x: x == i)).cast("long").alias("degree"), F.array_contains(held, i).alias("held")))
+    nodes = let(F.struct(ends.alias("ends"), below.alias("below")), lambda x: counted(x["ends"], x["below"]))
+    far = F.concat(away("links", lambda r: r["from_id"]), away("anchors", lambda r: F.lit(None).cast("string")))
+    p = written(p.select("unit", F.col("position").cast("long").alias("position"), nodes.alias("nodes"), far.alias("far")), "nodes")
+
+    known = p.where(F.size("nodes") > 0).select("unit", F.col("position").alias("at"), F.col("nodes.local_id").alias("ids"))
+    met = p.select("unit", "position", F.inline("far")).join(known, ["unit", "at"]).where(F.array_contains("ids", F.col("local_id")))
+    held = F.col("from_id").isNull()
+    end = lambda at, local, degree, on: F.struct(F.col(at).alias("position"), F.col(local).alias("local_id"), F.lit(None).cast("string").alias("grounding"), degree.cast("long").alias("degree"), on.alias("held"))
+    both = F.array(end("at", "local_id", ~held, held), end("position", "from_id", F.lit(1), F.lit(False)))
+    tied = met.select("unit", F.inline(F.filter(both, lambda x: x["local_id"].isNotNull())))
+
+    every = p.select("unit", "position", F.inline("nodes")).unionByName(tied).repartition("unit").groupBy("unit", "position", "local_id")
+    n = every.agg(F.max("grounding").alias("grounding"), F.sum("degree").alias("degree"), F.max("held").alias("held"))
+    return n.withColumn("node_id", _node_id("unit", "position", "local_id"))
+
+
 def stored_graph(tables: dict[str, DataFrame], paragraphs: DataFrame) -> dict[str, DataFrame]:
     """Rows to store of an argument graph (``prose.argument_graph``) for paragraphs
     (atom_id, unit, position, text, char_start): ``nodes`` with ids and anchors,
@@ -92,27 +153,15 @@ def stored_graph(tables: dict[str, DataFrame], paragraphs: DataFrame) -> dict[st
     local ids of the paragraph that it names.
     """
     nodes = stored_nodes(tables, paragraphs)
-    local = F.transform("arguments", lambda x: x["local_id"])
-    places = tables["rows"].join(paragraphs.select("atom_id", "unit", "position"), "atom_id", "right")
-    scaffolding = F.transform("scaffolding", lambda x: F.struct(x["local_id"].alias("local_id"), x["anchored_to"].alias("anchored_to")))
-    places = written(places.select("atom_id", "unit", "position", local.alias("ids"), "edges", scaffolding.alias("scaffolding")), "places")
+    places = written(_places(tables, paragraphs).drop("groundings"), "places")
     known = places.where(F.size("ids") > 0).select("unit", F.col("position").alias("at"), "ids")
-
-    def reference(ref: Column, **more: Column) -> Column:
-        m = lambda k: F.regexp_extract(ref, _REFERENCE, k)
-        at = F.when(m(1) != "", m(1).cast("int")).otherwise(F.col("position"))
-        return F.struct(ref.alias("ref"), at.alias("at"), m(2).alias("local_id"), *[v.alias(k) for k, v in more.items()])
-
     none = F.lit(None).cast("string")
-    linked = F.filter("edges", lambda x: F.array_contains("ids", x["from_id"]))
-    edges = F.transform(linked, lambda x: reference(x["to_id"], from_id=x["from_id"], kind=x["kind"], scope=x["scope"]))
-    anchored = lambda made: F.flatten(F.transform("scaffolding", lambda s: F.transform(s["anchored_to"], lambda r: made(s, r))))
     bare = F.when(F.coalesce(F.size("ids") == 0, F.lit(True)) & F.coalesce(F.size("scaffolding") == 0, F.lit(True)), F.array(F.struct(none.alias("ref"), F.col("position").alias("at"), none.alias("local_id"))))
     empty = F.expr("filter(array(named_struct('ref', '', 'at', position, 'local_id', '')), x -> false)")
-    every = F.concat(F.coalesce(F.transform(linked, lambda x: reference(x["to_id"])), empty), F.coalesce(anchored(lambda s, r: reference(r)), empty), F.coalesce(bare, empty))
+    every = F.concat(F.coalesce(F.transform(F.expr(_LINKED), lambda x: _reference(x["to_id"])), empty), F.coalesce(_anchored(lambda s, r: _reference(r)), empty), F.coalesce(bare, empty))
 
-    e = _found(places.select("unit", "position", edges.alias("refs")), known).where("node_id is not null")
-    s = _found(places.select("atom_id", "unit", anchored(lambda s, r: reference(r, scaffold=s["local_id"])).alias("refs")), known).where("node_id is not null")
+    e = _found(places.select("unit", "position", _edge_references().alias("refs")), known).where("node_id is not null")
+    s = _found(places.select("atom_id", "unit", _anchored(lambda s, r: _reference(r, scaffold=s["local_id"])).alias("refs")), known).where("node_id is not null")
     lost = _found(places.select("atom_id", "unit", every.alias("refs")), known).where("node_id is null")
     return {
         "nodes": nodes, "edges": e.select("unit", _node_id("unit", "position", "from_id").alias("from_node"), F.col("node_id").alias("to_node"), "kind", "scope"),

@@ -263,14 +263,8 @@ SELECT unit, node_id, score, row_number() OVER (PARTITION BY unit ORDER BY score
 def argument_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """The twelve arguments of each unit that a review looks at first: by their
     grounding, whether scaffolding stands on them, and their links."""
-    s = _stored(spark, folder)
-    part = lambda df, node, k, g, degree, held: df.select("unit", node.alias("node_id"), k.alias("k"), F.lit(g).cast("int").alias("g") if isinstance(g, int) else g.alias("g"), F.lit(degree).alias("degree"), F.lit(held).alias("held"))
-    none = F.lit(None).cast("struct<position:int,n:int>")
+    c = graph.linked_nodes(*_graphs(spark, folder))
     grounded = F.when(F.col("grounding") == "concrete", 2).when(F.col("grounding") == "namedropping", 1).otherwise(0)
-    nodes = part(s["nodes"], F.col("node_id"), F.struct("position", F.substring("local_id", 2, 9).cast("int").alias("n")), grounded, 0, False)
-    ends = part(s["edges"].select("unit", F.explode(F.array("from_node", "to_node")).alias("node")), F.col("node"), none, 0, 1, False)
-    held = part(s["anchors"], F.col("node_id"), none, 0, 0, True)
-    c = nodes.unionByName(ends).unionByName(held).repartition("unit").groupBy("unit", "node_id").agg(F.max("k").alias("k"), F.max("g").alias("g"), F.sum("degree").alias("degree"), F.max("held").alias("held"))
-    c = c.withColumn("score", graph.candidate_score(F.col("g"), F.col("held"), F.col("degree")))
-    rank = F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("score"), "k"))
+    c = c.withColumn("score", graph.candidate_score(grounded, F.col("held"), F.col("degree")))
+    rank = F.row_number().over(Window.partitionBy("unit").orderBy(F.desc("score"), "position", F.substring("local_id", 2, 9).cast("int")))
     return c.withColumn("rank", rank).where("rank <= 12").select("unit", "node_id", "score", "rank")

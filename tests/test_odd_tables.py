@@ -64,3 +64,22 @@ def test_stored_edges_shuffle_little(spark):
     assert s["edges"]._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
     assert [tuple(r) for r in s["edges"].select("from_node", "to_node").collect()] == [("u/2/A1", "u/1/A1")]
     assert {tuple(r) for r in s["errors"].collect()} == {("q", "A9", "no such argument"), ("z", None, "nothing found")}
+
+
+def test_candidates_read_answers_once(spark, tmp_path):
+    orders = "SELECT * FROM (VALUES (1, 7), (2, 7), (3, 7), (4, 8), (5, NULL), (6, 9), (6, 9), (9, 8)) t(o_orderkey, o_custkey)"
+    items = "SELECT l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber AS l_partkey, 3 AS l_suppkey, 4.0 + (l_orderkey + l_linenumber) % 4 AS l_quantity, ((l_orderkey * 3 + l_linenumber) % 10) / 100.0 AS l_discount, ['R', 'A', 'N'][(l_orderkey + l_linenumber * 2) % 3 + 1] AS l_returnflag"
+    rows = f"{items} FROM range(1, 8) a(l_orderkey), range(1, 6) b(l_linenumber) UNION ALL {items} FROM (VALUES (1, 1), (2, 12), (8, 1)) t(l_orderkey, l_linenumber)"
+    c = same(spark, tmp_path, "argument_candidates", orders=orders, lineitem=rows)
+    assert {r["unit"] for r in c.collect()} == {"c7", "c8", "c9"}
+    assert not [f for f in c.inputFiles() if "/nodes-" not in f]  # lineitem was read and parsed anew for the nodes
+
+
+def test_long_answers_are_read_in_passes_over_the_whole(spark):
+    raw = "In front.\r\n" + "".join(f"ARGUMENT A{k}\r\nclaim: c{k}\r\n goes on\r\n\r\nanchor : p\rq\r\nGrounding: Concrete\r\n" for k in range(400)) + "ARGUMENT A7\nclaim: later\nEDGES\nA1 -supports--> A2, §2:A3 (x)\nARGUMENT B1\nargument a400\nARGUMENT A401"
+    t = prose.argument_graph(spark.createDataFrame([("r", raw)], "atom_id string, raw_text string"))
+    got = {r["local_id"]: (r["claim"], r["anchor_phrase"], r["grounding"]) for r in t["arguments"].collect()}
+    assert got == {f"A{k}": (f"c{k}\n goes on\n\nanchor : p\rq", "", "concrete") for k in range(400)}
+    assert [tuple(r)[1:4] for r in t["edges"].collect()] == [("A1", "A2", "supports"), ("A1", "§2:A3", "supports")]
+    lines = "split(raw_text"  # each line was an element that a pattern was tried on
+    assert lines not in t["rows"]._jdf.queryExecution().optimizedPlan().toString()
